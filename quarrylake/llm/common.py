@@ -139,3 +139,20 @@ def column_or_null(df: DataFrame, name: str, kind: str):
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; looks at no more than one row beyond."""
     return df.limit(rows + 1).count() <= rows
+
+
+def ordered_index(df: DataFrame, keys: list, name: str = "idx") -> DataFrame:
+    """df with name, the place (from 0) of each row in the order of keys; sorted in ranges, with no task that holds all rows.
+
+    keys must order the rows fully. The driver gets one count for each partition.
+    """
+    spark = df.sparkSession
+    # monotonically_increasing_id: the partition's number in the upper bits, the row's in the lower 33
+    parts = stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id()))
+    parts = parts.withColumn("_p", F.shiftright("_m", 33))
+    before, total = [], 0
+    for p, n in sorted((r["_p"], r["n"]) for r in parts.groupBy("_p").agg(F.count("*").alias("n")).collect()):
+        before.append((p, total))
+        total += n
+    offsets = spark.createDataFrame(before, "_p long, _o long")
+    return parts.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_o")

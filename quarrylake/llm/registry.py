@@ -1,11 +1,15 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from quarrylake.llm import decontamination
+from quarrylake.llm import decontamination, jaccard_join, mixing
 
 
 def queries() -> dict:
-    return {"op1_decontamination": decontamination.op1_decontamination}
+    return {
+        "op1_decontamination": decontamination.op1_decontamination,
+        "op6_jaccard_join": jaccard_join.op6_jaccard_join,
+        "op7_mixing": mixing.op7_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.ORACLE_OP1}
+    return {"op1_decontamination": decontamination.ORACLE_OP1, "op6_jaccard_join": jaccard_join.ORACLE_OP6}
