@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from quarrylake.llm import decontamination, jaccard_join, mixing
+from quarrylake.llm import decontamination, jaccard_join, mixing, substring_dedup
 
 
 def queries() -> dict:
@@ -8,6 +8,7 @@ def queries() -> dict:
         "op1_decontamination": decontamination.op1_decontamination,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_mixing": mixing.op7_mixing,
+        "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     }
 
 
