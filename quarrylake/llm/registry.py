@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from quarrylake.llm import decontamination, jaccard_join, mixing, substring_dedup
+from quarrylake.llm import decontamination, jaccard_join, mixing, substring_dedup, suffix_tree_lm
 
 
 def queries() -> dict:
@@ -9,6 +9,7 @@ def queries() -> dict:
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_mixing": mixing.op7_mixing,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+        "op10_lm_scoring": suffix_tree_lm.op10_lm_scoring,
     }
 
 
