@@ -1,12 +1,13 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from quarrylake.llm import decontamination, jaccard_join, mixing, simhash, substring_dedup, suffix_tree_lm
+from quarrylake.llm import decontamination, jaccard_join, mixing, simhash, substring_dedup, suffix_tree_lm, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
         "op3_simhash": simhash.op3_simhash,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_mixing": mixing.op7_mixing,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
