@@ -1,11 +1,12 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from quarrylake.llm import decontamination, jaccard_join, mixing, simhash, substring_dedup, suffix_tree_lm, toxicity
+from quarrylake.llm import decontamination, jaccard_join, mixing, pii, simhash, substring_dedup, suffix_tree_lm, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
+        "op2_pii": pii.op2_pii,
         "op3_simhash": simhash.op3_simhash,
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
