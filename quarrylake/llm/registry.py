@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from quarrylake.llm import decontamination, jaccard_join, mixing, pii, simhash, substring_dedup, suffix_tree_lm, toxicity
+from quarrylake.llm import decontamination, jaccard_join, line_dedup, mixing, pii, simhash, substring_dedup, suffix_tree_lm, toxicity
 
 
 def queries() -> dict:
@@ -11,10 +11,15 @@ def queries() -> dict:
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_mixing": mixing.op7_mixing,
+        "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_lm_scoring": suffix_tree_lm.op10_lm_scoring,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.ORACLE_OP1, "op6_jaccard_join": jaccard_join.ORACLE_OP6}
+    return {
+        "op1_decontamination": decontamination.ORACLE_OP1,
+        "op6_jaccard_join": jaccard_join.ORACLE_OP6,
+        "op8_line_dedup": line_dedup.ORACLE_OP8,
+    }
