@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from quarrylake.llm import decontamination, jaccard_join, line_dedup, mixing, pii, simhash, substring_dedup, suffix_tree_lm, toxicity
+from quarrylake.llm import decontamination, html_extraction, jaccard_join, line_dedup, mixing, pii, simhash, substring_dedup, suffix_tree_lm, toxicity
 
 
 def queries() -> dict:
@@ -9,6 +9,7 @@ def queries() -> dict:
         "op2_pii": pii.op2_pii,
         "op3_simhash": simhash.op3_simhash,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_html_extraction": html_extraction.op5_html_extraction,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_mixing": mixing.op7_mixing,
         "op8_line_dedup": line_dedup.op8_line_dedup,

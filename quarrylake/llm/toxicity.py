@@ -195,6 +195,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def keep(docs: DataFrame, model: Model, limit: float) -> DataFrame:
+    """The rows of docs, all columns, that score below the limit."""
+    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    at = names.index("text")
+
+    def run(batches):
+        for batch in batches:
+            m = shared.value
+            mask = [m.document([m.sentence(w) for _, _, w in sentences(x)]) < limit for x in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     s = score(docs, train(docs, labels))
