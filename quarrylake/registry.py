@@ -1,9 +1,13 @@
 """All queries of the library, by name, and their SQL."""
 
+from quarrylake.plans import evaluation_queries, report_queries
+
+_ALL = {**report_queries.Q, **evaluation_queries.Q}
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
