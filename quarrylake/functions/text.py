@@ -78,7 +78,7 @@ def teeth(clause: Column) -> Column:
     def groups(pattern: str, g: int) -> Column:
         return F.regexp_extract_all(clause, F.lit(pattern), F.lit(g))
 
-    single = F.zip_with(groups(f"(?U){L.FDI}", 1), groups(f"(?U){L.FDI}", 2), F.concat)
+    single = F.zip_with(groups(f"(?U){L.FDI}", 1), groups(f"(?U){L.FDI}", 2), lambda q, p: F.concat(q, p))
     ranges = F.regexp_extract_all(clause, F.lit(f"(?iuU){L.FDI_RANGE}"), F.lit(0))
 
     def expand(r: Column) -> Column:

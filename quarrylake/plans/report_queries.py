@@ -27,7 +27,7 @@ def docs(spark, d: str) -> DataFrame:
 
 
 NORMAL = "coalesce(nullif(array_to_string(regexp_extract_all(lower({0}), '[a-z0-9]+'), ' '), ''), '<empty>')"
-SHINGLES = "CASE WHEN len(string_split(normal, ' ')) < 5 THEN [normal] ELSE list_distinct(list_transform(range(1, len(string_split(normal, ' ')) - 3), i -> array_to_string(string_split(normal, ' ')[i:i+4], ' '))) END"
+SHINGLES = "CASE WHEN len(string_split(normal, ' ')) < 5 THEN [normal] ELSE list_distinct(list_transform(range(1, len(string_split(normal, ' ')) - 3), lambda i: array_to_string(string_split(normal, ' ')[i:i+4], ' '))) END"
 REPORTS = "gen_reports"
 
 
@@ -50,7 +50,7 @@ def p3(spark, d):
     return s.join(n, "doc_id").select("doc_id", T.jaccard(F.col("s"), F.col("t")).alias("jaccard"))
 
 
-@query("p4_clauses", "SELECT rid, c AS clause, ord::BIGINT AS ord FROM (SELECT rid, unnest(l) c, unnest(range(1, len(l) + 1)) ord FROM (SELECT rid, list_filter(string_split_regex(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(1)), x -> trim(x) <> '') l FROM gen_reports))", REPORTS)
+@query("p4_clauses", "SELECT rid, c AS clause, ord::BIGINT AS ord FROM (SELECT rid, unnest(l) c, unnest(range(1, len(l) + 1)) ord FROM (SELECT rid, list_filter(string_split_regex(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') l FROM gen_reports))", REPORTS)
 def p4(spark, d):
     r = generated(spark, d, REPORTS).select("rid", F.posexplode(T.clauses(F.col("text"))).alias("ord", "c"))
     return r.select("rid", F.col("c.clause").alias("clause"), (F.col("ord") + 1).cast("long").alias("ord"))
@@ -147,7 +147,7 @@ def p21(spark, d):
     return generated(spark, d, "gen_predictions").select("case_id", T.is_terminated(F.col("prediction")).alias("terminated"))
 
 
-@query("p22_sentences", f"SELECT case_id, s AS sentence, count(*) AS n FROM (SELECT case_id, unnest(list_filter(list_transform(string_split_regex(prediction, '[.!?;\\n]+'), x -> {NORMAL.format('x')}), y -> len(string_split(y, ' ')) >= 4)) s FROM gen_predictions) GROUP BY 1, 2", "gen_predictions")
+@query("p22_sentences", f"SELECT case_id, s AS sentence, count(*) AS n FROM (SELECT case_id, unnest(list_filter(list_transform(string_split_regex(prediction, '[.!?;\\n]+'), lambda x: {NORMAL.format('x')}), lambda y: len(string_split(y, ' ')) >= 4)) s FROM gen_predictions) GROUP BY 1, 2", "gen_predictions")
 def p22(spark, d):
     return generated(spark, d, "gen_predictions").select("case_id", F.explode(T.sentences(F.col("prediction"))).alias("sentence")).groupBy("case_id", "sentence").agg(F.count("*").alias("n"))
 
@@ -206,9 +206,9 @@ def a4(spark, d):
 
 
 def _rounds(k: int) -> str:
-    out = "w0 AS (SELECT case_id, avg((1 - 0.99) / (1 - pow(0.99, n))) w FROM l JOIN c USING (label) GROUP BY 1)"
+    out = "w0 AS MATERIALIZED (SELECT case_id, avg((1 - 0.99) / (1 - pow(0.99, n))) w FROM l JOIN c USING (label) GROUP BY 1)"
     for i in range(k):
-        out += f", w{i + 1} AS (SELECT case_id, least(greatest(w / (SELECT avg(w) FROM w{i}), 0.25), 4.0) w FROM w{i})"
+        out += f", w{i + 1} AS MATERIALIZED (SELECT case_id, least(greatest(w / (SELECT avg(w) FROM w{i}), 0.25), 4.0) w FROM w{i})"
     return out
 
 
@@ -281,7 +281,7 @@ def w9(spark, d):
     return sampling.top_regions(r, 9).select("case_id", "label")
 
 
-@query("w10_aligned_starts", "SELECT p_partkey, array_to_string(list_transform(range(0, CASE WHEN p_size <= 8 THEN 1 ELSE CAST(ceil((p_size - 8) / 4.0) AS INT) + 1 END), k -> k * 4), ',') AS starts FROM part")
+@query("w10_aligned_starts", "SELECT p_partkey, array_to_string(list_transform(range(0, CASE WHEN p_size <= 8 THEN 1 ELSE CAST(ceil((p_size - 8) / 4.0) AS INT) + 1 END), lambda k: k * 4), ',') AS starts FROM part")
 def w10(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.array_join(sampling.aligned_starts(F.col("p_size"), F.lit(8), F.lit(4)).cast("array<string>"), ",").alias("starts"))
 
