@@ -11,8 +11,7 @@ from quarrylake.functions import text as T
 
 
 def _grams(tokens: Column, n: int) -> Column:
-    return T.let(tokens, lambda w: F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))))
+    return T.let(tokens, lambda w: F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(T.grams(w, n)))
 
 
 def corpus_bleu(pairs: DataFrame, order: int = 4, epsilon: float = 0.1) -> DataFrame:

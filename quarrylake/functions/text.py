@@ -27,10 +27,14 @@ def normalize_report(text: Column) -> Column:
     return F.when(joined == "", EMPTY).otherwise(joined)
 
 
+def grams(words: Column, n: int) -> Column:
+    """Runs of n words joined by blanks; words must have n at least. (slice() would copy all words for each run.)"""
+    return F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.concat_ws(" ", *(F.get(words, i + k) for k in range(n))))
+
+
 def shingles(normal: Column, size: int = 5) -> Column:
     """Distinct word shingles of a normalised text, as strings; one short shingle for a short text."""
-    return let(F.split(normal, " "), lambda w: F.when(F.size(w) < size, F.array(normal)).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " ")))))
+    return let(F.split(normal, " "), lambda w: F.when(F.size(w) < size, F.array(normal)).otherwise(F.array_distinct(grams(w, size))))
 
 
 def shingle_hashes(normal: Column, size: int = 5) -> Column:

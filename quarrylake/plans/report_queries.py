@@ -27,7 +27,8 @@ def docs(spark, d: str) -> DataFrame:
 
 
 NORMAL = "coalesce(nullif(array_to_string(regexp_extract_all(lower({0}), '[a-z0-9]+'), ' '), ''), '<empty>')"
-SHINGLES = "CASE WHEN len(string_split(normal, ' ')) < 5 THEN [normal] ELSE list_distinct(list_transform(range(1, len(string_split(normal, ' ')) - 3), lambda i: array_to_string(string_split(normal, ' ')[i:i+4], ' '))) END"
+# the words of a text, and its shingles one a row: w must be string_split(normal, ' ')
+SHINGLES = "unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i+4], ' ')))"
 REPORTS = "gen_reports"
 
 
@@ -36,14 +37,15 @@ def p1(spark, d):
     return docs(spark, d).select("doc_id", T.normalize_report(F.col("text")).alias("normal"))
 
 
-@query("p2_shingles", f"WITH n AS (SELECT doc_id, {NORMAL.format('text')} normal FROM documents), s AS (SELECT doc_id, {SHINGLES} s FROM n) SELECT doc_id, len(s)::BIGINT AS n, list_min(s) AS first, list_max(s) AS last FROM s")
+@query("p2_shingles", f"WITH n AS (SELECT doc_id, string_split({NORMAL.format('text')}, ' ') w FROM documents), s AS (SELECT doc_id, {SHINGLES} s FROM n) SELECT doc_id, count(DISTINCT s) AS n, min(s) AS first, max(s) AS last FROM s GROUP BY 1")
 def p2(spark, d):
     s = docs(spark, d).select("doc_id", T.shingles(T.normalize_report(F.col("text"))).alias("s"))
     return s.select("doc_id", F.size("s").cast("long").alias("n"), F.array_min("s").alias("first"), F.array_max("s").alias("last"))
 
 
-@query("p3_jaccard", f"""WITH n AS (SELECT doc_id, {NORMAL.format('text')} normal FROM documents), s AS (SELECT doc_id, {SHINGLES} s FROM n)
-SELECT a.doc_id, CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AS jaccard FROM s a JOIN s b ON b.doc_id = a.doc_id + 1""")
+@query("p3_jaccard", f"""WITH n AS (SELECT doc_id, string_split({NORMAL.format('text')}, ' ') w FROM documents), s AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, {SHINGLES} s FROM n)), k AS (SELECT doc_id, count(*) c FROM s GROUP BY 1),
+i AS (SELECT a.doc_id, count(*) i FROM s a JOIN s b ON b.doc_id = a.doc_id + 1 AND a.s = b.s GROUP BY 1)
+SELECT a.doc_id, CAST(coalesce(i, 0) AS DOUBLE) / (a.c + b.c - coalesce(i, 0)) AS jaccard FROM k a JOIN k b ON b.doc_id = a.doc_id + 1 LEFT JOIN i ON i.doc_id = a.doc_id""")
 def p3(spark, d):
     s = docs(spark, d).select("doc_id", T.shingle_hashes(T.normalize_report(F.col("text"))).alias("s"))
     n = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t"))
@@ -168,7 +170,7 @@ def j1(spark, d):
 
 
 NEAR = f"""n AS (SELECT doc_id, {NORMAL.format('text')} normal FROM documents), g AS (SELECT min(doc_id) id, normal FROM n GROUP BY normal),
-s AS (SELECT id, unnest({SHINGLES}) h FROM g), k AS (SELECT id, count(*) c FROM s GROUP BY 1),
+s AS (SELECT DISTINCT id, h FROM (SELECT id, {SHINGLES} h FROM (SELECT id, string_split(normal, ' ') w FROM g))), k AS (SELECT id, count(*) c FROM s GROUP BY 1),
 p AS (SELECT x.id a, y.id b, count(*) i FROM s x JOIN s y ON x.h = y.h AND x.id < y.id GROUP BY 1, 2),
 near AS (SELECT a, b, CAST(i AS DOUBLE) / (ka.c + kb.c - i) jaccard FROM p JOIN k ka ON ka.id = a JOIN k kb ON kb.id = b WHERE CAST(i AS DOUBLE) / (ka.c + kb.c - i) >= 0.85)"""
 
