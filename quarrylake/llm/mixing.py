@@ -89,11 +89,11 @@ def blocks(docs: DataFrame, seed: int, block: int = BLOCK) -> DataFrame:
     """(doc_id, row, sid, block, words): the words that a document has in each block of its source; docs: (doc_id, row, sid, size)."""
     n = docs.agg(F.count("*")).first()[0]
     buckets = 16 + n // 20_000
-    h = docs.withColumn("h", F.xxhash64("doc_id", "row", F.lit(seed))).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.lit(buckets)))
+    h = docs.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.lit(buckets)))
     sums = h.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     run = W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("sid", "bucket", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("before"))
-    inside = W.partitionBy("sid", "bucket").orderBy("h", "doc_id", "row").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
     placed = h.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["sid", "bucket"])
     placed = placed.where("size > 0").select("doc_id", "row", "sid", "size", (F.col("before") + F.col("inside")).alias("a"))
     first, last = F.floor(F.col("a") / block), F.floor((F.col("a") + F.col("size") - 1) / block)
