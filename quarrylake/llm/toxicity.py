@@ -62,12 +62,16 @@ def features(word: bytes) -> list[int]:
 
 
 class Cached(dict):
-    """Features of words seen before; emptied when it grows large."""
+    """Features of words seen before, or those of them that are kept; emptied when it grows large."""
+
+    def __init__(self, kept: np.ndarray | None = None):
+        self.kept = None if kept is None else set(kept.tolist())
 
     def __missing__(self, word: bytes) -> np.ndarray:
         if len(self) > 300_000:
             self.clear()
-        self[word] = found = np.array(features(word), np.uint64)
+        found = features(word) if self.kept is None else [f for f in features(word) if f in self.kept]
+        self[word] = found = np.array(found, np.uint64)
         return found
 
 
@@ -92,12 +96,11 @@ def _bags(kept):
 
     def run(batches):
         """(y, sentence sizes, kept features) of each labelled text."""
-        known, keep = Cached(), np.sort(kept.value)
+        known = Cached(kept.value)
         for batch in batches:
             sizes, words = [], []
             for text in batch.column("text").to_pylist():
                 s = [np.concatenate([known[w] for w in set(ws)]) for _, _, ws in sentences(text)]
-                s = [f[np.isin(f, keep)] for f in s]
                 sizes.append([len(f) for f in s])
                 words.append(signed(np.concatenate([*s, np.empty(0, np.uint64)])))
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(sizes, schema.field(1).type), pa.array(words, schema.field(2).type)], schema=schema)
