@@ -1,22 +1,20 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States are contexts of up to two words whose relative frequency reaches
-CONTEXT_SHARE. A context stays in the tree if its next-symbol distribution
+States are contexts of one and of two words; every context that training texts
+hold may be one. A context stays in the tree if its next-symbol distribution
 diverges enough from that of its suffix. Distributions are smoothed by an
 absolute discount, whose mass goes to the suffix state's distribution and at
 the root to add-one unigram counts over all training words, so they sum to 1.
 A word is scored in the state of the longest retained suffix.
 
-What each part needs of memory: unigram counts are a table that grows with the
-corpus; words above WORD_SHARE and (context, word) pairs above PAIR_SHARE of
-all tokens are at most 1/share many each and go to the executors, the counts of
-rarer words are joined. Pairs are counted in blocks of BLOCK tokens and left
-out of a block in which they occur once: a pair above PAIR_SHARE occurs
-BLOCK * PAIR_SHARE times in some block, and its count lacks one a block at most.
+Counts are tables that grow with the corpus and hold every (context, word) that
+occurs, held-out texts' with a training count of 0, so that states are tested
+and words are scored by joins. Triples above TRIPLE_SHARE of all tokens, at
+most 1/share many, are scored by executors; the others are joined one by one.
 
 Defined results: null and empty texts are the end token alone; repeated rows
 are scored each; without training rows all scores are 0; extra columns are
-ignored. Words are identified by 64-bit hashes.
+ignored. Words and triples are identified by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,10 +28,11 @@ from pyspark.sql import functions as F
 from quarrylake.llm.common import WordHasher, mix, signed, stored, utf8
 
 END = np.uint64(0x5BD1E995C0DE0E4D)
-WORD_SHARE, PAIR_SHARE, CONTEXT_SHARE = 2.0 ** -20, 2.0 ** -20, 2.0 ** -13
+#: Stands before the first word of a text; no state has it.
+BEGIN = np.uint64(0)
+TRIPLE_SHARE = 2.0 ** -20
 BLOCK = 1 << 22
 DISCOUNT, DIVERGENCE = 0.5, 0.01
-_BITS = 21
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -48,17 +47,45 @@ def _tokens(batch: pa.RecordBatch, hasher: WordHasher):
         yield i, np.insert(h, at[1:], END), np.repeat(np.arange(j - i), n + 1)
 
 
-def _count_words(batches):
+def _before(t: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
+    """The word k places before each token in its text, or BEGIN."""
+    out = np.full(len(t), BEGIN)
+    out[k:] = np.where(row[k:] == row[:-k], t[:-k], BEGIN)
+    return out
+
+
+def triple_keys(*columns: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64 makes of columns of longs."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x, k):
+        return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+
+    h = np.full(len(columns[0]), 42, np.uint64)
+    for x in columns:
+        h = h + p5 + np.uint64(8)
+        h = turned(h ^ (turned(x * p2, 31) * p1), 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h = h ^ (h >> np.uint64(32))
+    return h
+
+
+def _count_triples(batches):
+    """(a, b, w, c): each word with the two before it and how often training texts of a block have them."""
     hasher, held, count = WordHasher(), [], 0
-    schema = pa.schema([("h", pa.int64()), ("c", pa.int64())])
+    schema = pa.schema([(x, pa.int64()) for x in "abwc"])
 
     def counted():
-        h, c = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(c.astype(np.int64))], schema=schema)
+        a, b, w, c = (np.concatenate(x) for x in zip(*held))
+        _, first, of = np.unique(triple_keys(a, b, w), return_index=True, return_inverse=True)
+        c = np.bincount(of, c, len(first)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([*(pa.array(signed(x[first])) for x in (a, b, w)), pa.array(c)], schema=schema)
 
     for batch in batches:
-        for _, t, _ in _tokens(batch, hasher):
-            held.append(t)
+        out = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        for i, t, row in _tokens(batch, hasher):
+            held.append((_before(t, row, 2), _before(t, row, 1), t, ~out[i + row]))
             count += len(t)
             if count >= BLOCK:
                 yield counted()
@@ -67,192 +94,117 @@ def _count_words(batches):
         yield counted()
 
 
+def _states(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, total, alpha): the contexts that pass the divergence test, log10 of their count and of the weight of their backoff.
+
+    counts: (keys, w, c, below), below: log10 of the word's probability in the suffix state.
+    """
+    x, total, rest = F.col("c") - DISCOUNT, F.col("total"), DISCOUNT * F.col("n") / F.col("total")
+    s = counts.where((F.col("c") > 0) & (F.col(keys[0]) != int(BEGIN))).groupBy(*keys).agg(
+        F.sum("c").alias("total"), F.count("*").alias("n"), F.sum(x * (F.log(x) - F.col("below") * float(np.log(10)))).alias("s"),
+        F.sum(F.pow(F.lit(10.0), F.col("below"))).alias("d"))
+    alpha = rest / F.greatest(1 - F.col("d"), F.lit(1e-9))
+    gain = F.col("s") / total - F.log(total) * (1 - rest) + rest * F.log(alpha)
+    return s.where(gain >= DIVERGENCE).select(*keys, F.log10(total).alias("total"), F.log10(alpha).alias("alpha"))
+
+
+def _smoothed(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """counts (keys, w, c, below) with total and alpha of the retained states and p, log10 of the word's probability there."""
+    own = F.when(F.col("c") > 0, F.log10(F.col("c") - DISCOUNT) - F.col("total")).otherwise(F.col("alpha") + F.col("below"))
+    return counts.join(_states(counts, keys), keys, "left").withColumn("p", F.when(F.col("total").isNull(), F.col("below")).otherwise(own))
+
+
+class Model:
+    """words (w, c), pairs (b, w, c, below, total, alpha, p) and triples (k, c, base, known, p) of all texts; c counts training texts."""
+
+    def __init__(self, docs: DataFrame):
+        triples = stored(docs.select("text", "held_out").mapInArrow(_count_triples, "a long, b long, w long, c long").groupBy("a", "b", "w").agg(F.sum("c").alias("c")))
+        pairs = stored(triples.groupBy("b", "w").agg(F.sum("c").alias("c")))
+        self.words = stored(pairs.groupBy("w").agg(F.sum("c").alias("c")))
+        self.tokens, v = self.words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+        self.denominator = float(self.tokens + v + 1)
+        base = F.log10((F.col("c") + 1) / F.lit(self.denominator))
+        pairs = stored(pairs.join(self.words.select("w", base.alias("below"), (F.col("c") > 0).alias("known")), "w"))
+        self.pairs = stored(_smoothed(pairs, ["b"]))
+        below = self.pairs.select("b", "w", F.col("p").alias("below"), F.col("below").alias("base"), "known")
+        triples = stored(triples.join(below, ["b", "w"]))
+        p = _smoothed(triples, ["a", "b"])
+        self.triples = stored(p.select(F.xxhash64("a", "b", "w").alias("k"), "c", "base", "known", "p").dropDuplicates(["k"]))
+
+
 class Tree:
-    """The words that executors know, and the retained states. Contexts are places in tops, words places in words."""
+    """The root and the states of one word as arrays, to be looked into; contexts are places in tops, words places in words."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, vocabulary: int):
-        o = np.argsort(hashes)
-        self.words, self.counts = hashes[o], counts[o]
-        self.tokens, self.denominator = tokens, float(tokens + vocabulary + 1)
+    def __init__(self, model: Model):
+        words = model.words.where("c > 0").orderBy("w").toPandas()
+        self.words, self.counts = words["w"].to_numpy(np.int64), words["c"].to_numpy(np.int64)
+        self.tokens, self.denominator = model.tokens, model.denominator
         self.base = np.log10((self.counts + 1) / self.denominator)
-        tops = np.flatnonzero((self.counts >= tokens * CONTEXT_SHARE) & (self.words != END))
-        self.context = np.full(len(self.words) + 1, -1, np.int32)
-        self.context[tops] = np.arange(len(tops))
-        self.tops = tops
-        self.codes = [np.empty(0, np.int64)] * 2
-        self.logs = [np.empty(0)] * 2
-        self.states = [np.empty(0, np.int64)] * 2
-        self.alphas = [np.empty(0)] * 2
-
-    def ids(self, t: np.ndarray) -> np.ndarray:
-        """Place of each token in words, -1 if it is not among them."""
-        if not len(self.words):
-            return np.full(len(t), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.words, t), len(self.words) - 1)
-        return np.where(self.words[at] == t, at, -1)
-
-    def contexts(self, ids: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """State numbers (-1: none) of the one and the two words before each token in its text."""
-        one = np.full(len(ids), -1, np.int64)
-        one[1:] = np.where(row[1:] == row[:-1], self.context[ids[:-1]], -1)
-        two = np.full(len(ids), -1, np.int64)
-        two[2:] = np.where((one[2:] >= 0) & (one[1:-1] >= 0) & (row[2:] == row[:-2]), one[1:-1] * len(self.tops) + one[2:], -1)
-        return one, two
-
-    @staticmethod
-    def find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
-        if not len(table):
-            return np.full(len(x), -1, np.int64)
-        at = np.minimum(np.searchsorted(table, x), len(table) - 1)
-        return np.where(table[at] == x, at, -1)
-
-    def grow(self, depth: int, codes: np.ndarray, counts: np.ndarray) -> None:
-        """Adds the states of one depth that pass the divergence test; codes: state << _BITS | word."""
-        o = np.argsort(codes)
-        codes, counts = codes[o], counts[o].astype(float)
-        state, word = codes >> _BITS, codes & ((1 << _BITS) - 1)
-        names, first = np.unique(state, return_index=True)
-        if not len(names):
-            return
-        size = np.add.reduceat(counts, first)
-        if depth == 0:
-            total = np.maximum(self.counts[self.tops[names]].astype(float), size)
-            below = 10.0 ** self.base[word]
-        else:
-            a, b = names // len(self.tops), names % len(self.tops)
-            at = self.find(self.pairs[0], (a << _BITS) | self.tops[b])
-            total = np.maximum(np.where(at >= 0, self.pairs[1][at], 0), size)
-            below = 10.0 ** self.log_one(state % len(self.tops), word)
-        member = np.searchsorted(names, state)
-        p = (counts - DISCOUNT) / total[member]
-        rest = np.maximum(1 - np.add.reduceat(p, first), 1e-9)
-        alpha = rest / np.maximum(1 - np.add.reduceat(below, first), 1e-9)
-        gain = np.add.reduceat(p * np.log(p / below), first) + rest * np.log(alpha)
-        keep = gain >= DIVERGENCE
-        self.states[depth], self.alphas[depth] = names[keep], np.log10(alpha[keep])
-        inside = keep[member]
-        self.codes[depth], self.logs[depth] = codes[inside], np.log10(p[inside])
+        pairs = model.pairs.where("total IS NOT NULL").toPandas()
+        self.tops = np.unique(pairs["b"].to_numpy(np.int64))
+        self.states, self.alphas = [np.arange(len(self.tops))], [np.empty(len(self.tops))]
+        state = np.searchsorted(self.tops, pairs["b"].to_numpy(np.int64))
+        self.alphas[0][state] = pairs["alpha"].to_numpy(float)
+        self.logs = dict(zip(zip(state.tolist(), np.searchsorted(self.words, pairs["w"].to_numpy(np.int64)).tolist()), pairs["p"].tolist()))
 
     def log_one(self, one: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 P(word | one word before); words of -1 get only the weight of their backoff."""
-        known = word >= 0
-        out = np.where(known, self.base[word] if len(self.base) else 0.0, 0.0)
-        at = self.find(self.states[0], one)
-        has = at >= 0
-        out[has] += self.alphas[0][at[has]]
-        hit = self.find(self.codes[0], np.where(has & known, (one << _BITS) | np.maximum(word, 0), -1))
-        out[hit >= 0] = self.logs[0][hit[hit >= 0]]
-        return out
-
-    def score(self, ids: np.ndarray, row: np.ndarray) -> np.ndarray:
-        one, two = self.contexts(ids, row)
-        out = self.log_one(one, ids)
-        at = self.find(self.states[1], two)
-        has = at >= 0
-        out[has] += self.alphas[1][at[has]]
-        hit = self.find(self.codes[1], np.where(has & (ids >= 0), (two << _BITS) | np.maximum(ids, 0), -1))
-        out[hit >= 0] = self.logs[1][hit[hit >= 0]]
-        return out
-
-
-def _count_pairs(tree):
-    schema = pa.schema([("depth", pa.int32()), ("code", pa.int64()), ("c", pa.int64())])
+        """log10 P(word | one word before)."""
+        return np.array([self.logs.get((s, w), self.alphas[0][s] + self.base[w]) for s, w in zip(one.tolist(), word.tolist())])
 
-    def run(batches):
-        model, hasher = tree.value, WordHasher()
-        held: list[list[np.ndarray]] = [[], []]
-        count = 0
 
-        def counted():
-            for depth in (0, 1):
-                code, c = np.unique(np.concatenate(held[depth]), return_counts=True)
-                code, c = code[c > 1], c[c > 1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), depth, np.int32)), pa.array(code), pa.array(c.astype(np.int64))], schema=schema)
+def train(docs: DataFrame) -> tuple[DataFrame, Tree]:
+    """(counts of all training words, the tree of one-word states) from docs (text); the driver gets all its pairs, for small corpora."""
+    model = Model(docs.select("text", F.lit(False).alias("held_out")))
+    return model.words, Tree(model)
 
-        for batch in batches:
-            for _, t, row in _tokens(batch, hasher):
-                ids = model.ids(t)
-                for depth, state in enumerate(model.contexts(ids, row)):
-                    ok = (state >= 0) & (ids >= 0)
-                    held[depth].append((state[ok] << _BITS) | ids[ok])
-                count += len(t)
-                if count >= BLOCK:
-                    yield from counted()
-                    held, count = [[], []], 0
-        if count:
-            yield from counted()
-
-    return run, "depth int, code long, c long"
-
-
-def _score(tree):
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("h", pa.int64()), ("m", pa.int64()),
+
+def _score(frequent):
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("k", pa.int64()), ("m", pa.int64()),
                         ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
     def run(batches):
-        model, hasher = tree.value, WordHasher()
+        (keys, bases, scores, knowns), hasher = frequent.value, WordHasher()
         at = TaskContext.get().partitionId() << 33
         for batch in batches:
             ids, held = batch.column("doc_id"), batch.column("held_out")
             for i, t, row in _tokens(batch, hasher):
                 n = int(row[-1]) + 1
-                w = model.ids(t)
-                known = w >= 0
-                sums = [np.bincount(row, x, n) for x in (np.ones(len(t)), known, np.where(known, model.base[w] if len(model.base) else 0.0, 0.0), model.score(w, row))]
+                k = triple_keys(_before(t, row, 2), _before(t, row, 1), t).view(np.int64)
+                place = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
+                here = keys[place] == k if len(keys) else np.zeros(len(k), bool)
+                place, r = place[here], row[here]
+                sums = [np.bincount(row, minlength=n), np.bincount(r, knowns[place], n), np.bincount(r, bases[place], n), np.bincount(r, scores[place], n)]
                 rows = at + i + np.arange(n)
-                zero = pa.array(np.zeros(n, np.int64))
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(i, n), pa.array(rows), held.slice(i, n), pa.array(signed(mix(rows.astype(np.uint64)))), zero,
+                    ids.slice(i, n), pa.array(rows), held.slice(i, n), pa.array(signed(mix(rows.astype(np.uint64)))), pa.array(np.zeros(n, np.int64)),
                     pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3])], schema=schema)
-                # words that executors do not know: a row for each in each text, to be joined with its count
-                h, r = t[~known], row[~known]
-                o = np.lexsort((h, r))
-                h, r = h[o], r[o]
-                first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])))) if len(h) else np.empty(0, np.int64)
-                k = len(first)
-                m = np.diff(np.concatenate((first, [len(h)])))
-                none = pa.array(np.zeros(k, np.int64))
-                zero = pa.array(np.zeros(k))
+                # the other triples: a row for each, to be joined with its probability
+                k, r = k[~here], row[~here]
+                none, zero = pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.float64())
                 yield pa.RecordBatch.from_arrays([
-                    ids.take(pa.array(i + r[first])), pa.array(rows[r[first]]), held.take(pa.array(i + r[first])), pa.array(signed(h[first])),
-                    pa.array(m.astype(np.int64)), none, none, zero, zero], schema=schema)
+                    none, pa.array(rows[r]), pa.nulls(len(k), pa.bool_()), pa.array(k), pa.array(np.ones(len(k), np.int64)), none, none, zero, zero], schema=schema)
             at += batch.num_rows
 
-    return run, "doc_id long, row long, held_out boolean, h long, m long, n_tokens long, n_known long, base double, score double"
-
-
-def train(docs: DataFrame) -> tuple[DataFrame, Tree]:
-    """(counts of all training words, the tree) from docs (text)."""
-    counts = stored(docs.select("text").mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("c") >= n * WORD_SHARE).toPandas()
-    tree = Tree(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), n, v)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    run, schema = _count_pairs(shared)
-    pairs = docs.select("text").mapInArrow(run, schema).groupBy("depth", "code").agg(F.sum("c").alias("c"))
-    pairs = pairs.where(F.col("c") >= max(2, n * PAIR_SHARE)).toPandas()
-    one, two = (pairs[pairs["depth"] == d] for d in (0, 1))
-    code, c = one["code"].to_numpy(np.int64), one["c"].to_numpy(np.int64)
-    o = np.argsort(code)
-    tree.pairs = (code[o], c[o])
-    tree.grow(0, code, c)
-    tree.grow(1, two["code"].to_numpy(np.int64), two["c"].to_numpy(np.int64))
-    return counts, tree
+    return run, "doc_id long, row long, held_out boolean, k long, m long, n_tokens long, n_known long, base double, score double"
 
 
 def score_documents(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); the held-out fold is not learned from."""
     docs = docs.select("doc_id", "text", F.coalesce(fold_of(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"))
-    counts, tree = train(docs.where("NOT held_out"))
-    run, schema = _score(docs.sparkSession.sparkContext.broadcast(tree))
-    rare = counts.where(F.col("c") < tree.tokens * WORD_SHARE)
-    rows = docs.mapInArrow(run, schema).join(rare, "h", "left")
-    gain = F.col("m") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(tree.denominator))
+    model = Model(docs)
+    top = model.triples.where(F.col("c") >= max(1, model.tokens * TRIPLE_SHARE)).toPandas().sort_values("k")
+    frequent = tuple(top[x].to_numpy(t) for x, t in (("k", np.int64), ("base", float), ("p", float), ("known", float)))
+    run, schema = _score(docs.sparkSession.sparkContext.broadcast(frequent))
+    other = model.triples.where(F.col("c") < max(1, model.tokens * TRIPLE_SHARE))
+    rows = docs.mapInArrow(run, schema).join(other.select("k", F.col("base").alias("base_"), "known", "p"), "k", "left")
+
+    def total(own: str, joined: Column) -> Column:
+        return F.sum(F.coalesce(own, F.lit(0)) + F.col("m") * F.coalesce(joined, F.lit(0)))
+
     out = rows.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + gain).alias("base_score"), F.sum(F.col("score") + gain).alias("score"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), total("n_known", F.col("known").cast("long")).alias("n_known"),
+        total("base", F.col("base_")).alias("base_score"), total("score", F.col("p")).alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -259,3 +259,44 @@ def test_suffix_tree_distributions_sum_to_one(spark):
         p = 10.0 ** tree.log_one(np.full(len(words_), s), words_)
         unknown = 10.0 ** tree.alphas[0][list(tree.states[0]).index(s)] / tree.denominator
         assert p.sum() + unknown == pytest.approx(1.0, abs=1e-6)
+
+
+def suffix_tree_by_hand(tokens, held):
+    """Scores of tokenised texts by dictionaries that hold every context."""
+    import math
+
+    train = [t for t, h in zip(tokens, held) if not h]
+    c = Counter(w for t in train for w in t)
+    n = sum(c.values()) + len(c) + 1
+    after = {}
+    for t in train:
+        for k, w in enumerate(t):
+            for m in (1, 2):
+                if k >= m:
+                    after.setdefault(tuple(t[k - m:k]), Counter())[w] += 1
+    states = {}
+
+    def p(context, w):
+        if not context:
+            return (c[w] + 1) / n
+        if context not in states:
+            return p(context[1:], w)
+        total, alpha = states[context]
+        return (after[context][w] - 0.5) / total if after[context][w] else alpha * p(context[1:], w)
+
+    for m in (1, 2):
+        for context, f in after.items():
+            if len(context) == m:
+                total, rest = sum(f.values()), 0.5 * len(f) / sum(f.values())
+                alpha = rest / max(1 - sum(p(context[1:], w) for w in f), 1e-9)
+                if sum((x - 0.5) / total * math.log((x - 0.5) / total / p(context[1:], w)) for w, x in f.items()) + rest * math.log(alpha) >= 0.01:
+                    states[context] = total, alpha
+    return [sum(math.log10(p(tuple(t[max(0, k - 2):k]), w)) for k, w in enumerate(t)) for t in tokens]
+
+
+def test_suffix_tree_holds_every_context(spark):
+    texts = corpus() + ["the cat sat on the mat"] * 60
+    held = [zlib.crc32(str(k).encode()) % 7 == 2 for k in range(len(texts))]
+    expected = suffix_tree_by_hand([split(t) + ["\n"] for t in texts], held)
+    got = {r.doc_id: r.score for r in suffix_tree_lm.score_documents(table(spark, texts)).collect()}
+    assert got == {k: pytest.approx(x, abs=1e-6) for k, x in enumerate(expected)}
