@@ -300,3 +300,10 @@ def test_suffix_tree_holds_every_context(spark):
     expected = suffix_tree_by_hand([split(t) + ["\n"] for t in texts], held)
     got = {r.doc_id: r.score for r in suffix_tree_lm.score_documents(table(spark, texts)).collect()}
     assert got == {k: pytest.approx(x, abs=1e-6) for k, x in enumerate(expected)}
+
+
+def test_suffix_tree_scores_do_not_depend_on_partitions(spark):
+    # each text's pairs occur once in it, and each text is a partition of its own
+    texts = ["a quick brown fox jumps over lazy dogs"] * 40
+    one, many = (sorted((r.doc_id, round(r.score, 6)) for r in suffix_tree_lm.score_documents(table(spark, texts).repartition(k, "doc_id")).collect()) for k in (1, 64))
+    assert one == many
