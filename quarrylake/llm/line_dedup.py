@@ -8,8 +8,10 @@ array, cut at REACH lines. Only positions whose run of lines still repeats go
 on to the next level. A run is judged at the fewest lines that have MIN_WORDS
 words: positions with one rank at that length form an interval of the suffix
 array with a common prefix of so many lines at least. In each interval the
-first position in (doc_id, line) order stays and the lines of all others go,
-so that maximal repeated runs lose all copies but the first.
+first position in (doc_id, line) order stays and the lines of all others go.
+That leaves the last lines of a maximal repeated run where they have too few
+words to be judged by themselves; op8's SQL is defined so. With whole, which
+the pipeline uses, maximal repeated runs lose all copies but the first.
 
 Defined results: null stays null and empty stays empty; runs never cross
 documents; a run with fewer words, such as a blank line, is never removed by
@@ -73,11 +75,20 @@ def run_lengths(lines: DataFrame, repeated: DataFrame, min_words: int = MIN_WORD
     return long.unionByName(short)
 
 
-def repeated_lines(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(row, line) of the lines to remove."""
+def repeated_lines(lines: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+    """(row, line) of the lines to remove; whole: up to the ends of maximal repeated runs, not of the runs that are judged.
+
+    A line of a maximal run is in the judged run from the start, or the fewest lines that end with it and have min_words
+    words lie in the maximal run. So runs judged from their ends, added to those from their starts, make runs whole.
+    """
     lines = stored(lines)
     ranks = suffix_ranks(lines)
-    runs = stored(run_lengths(lines, ranks[0], min_words))
+    runs = run_lengths(lines, ranks[0], min_words)
+    if whole:
+        back = {"line": -F.col("line")}
+        ends = run_lengths(lines.withColumns(back), ranks[0].withColumns(back), min_words)
+        runs = runs.unionByName(ends.withColumn("line", 1 - F.col("line") - F.col("m"))).distinct()
+    runs = stored(runs)
     gone = None
     for k, r in enumerate(ranks):
         # runs of 2**k <= m < 2**(k+1) lines: two overlapping blocks of 2**k lines, or one
@@ -92,12 +103,12 @@ def repeated_lines(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return gone.distinct()
 
 
-def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs without the later copies of repeated line runs; columns n_lines and n_removed are added."""
+def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+    """docs without the later copies of repeated line runs (whole: of maximal ones); columns n_lines and n_removed are added."""
     if {"row", "gone"} & set(docs.columns):
         raise ValueError("row and gone are names of columns used here")
     rows = stored(docs.withColumn("row", F.monotonically_increasing_id()))
-    gone = repeated_lines(line_table(rows), min_words).groupBy("row").agg(F.collect_set("line").alias("gone"))
+    gone = repeated_lines(line_table(rows), min_words, whole).groupBy("row").agg(F.collect_set("line").alias("gone"))
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
     out = rows.join(gone, "row", "left")

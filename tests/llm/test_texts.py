@@ -307,3 +307,34 @@ def test_suffix_tree_scores_do_not_depend_on_partitions(spark):
     texts = ["a quick brown fox jumps over lazy dogs"] * 40
     one, many = (sorted((r.doc_id, round(r.score, 6)) for r in suffix_tree_lm.score_documents(table(spark, texts).repartition(k, "doc_id")).collect()) for k in (1, 64))
     assert one == many
+
+
+def test_line_dedup_of_maximal_runs(spark):
+    rng = random.Random(8)
+    long = [" ".join(words(rng, 12)) for _ in range(4)]
+    short = ["a b c", "d e", "f g h i j", "", "k"]
+    texts = ["\n".join(rng.choice(long + short * 2) for _ in range(rng.randrange(1, 14))) for _ in range(60)] + [None, "", long[0]]
+    a, b = " ".join(f"once{k}" for k in range(20)), "five short words at last"
+    texts += [f"{a}\n{b}\nx1", f"{a}\n{b}\nx2", f"{a}\n{b}"]
+    lines = [None if t is None else t.split("\n") for t in texts]
+    seen, gone = set(), [set() for _ in texts]
+    for k, ls in enumerate(lines):
+        for i in range(len(ls or [])):
+            for j in range(i + 1, len(ls) + 1):
+                run = tuple(ls[i:j])
+                if sum(max(1, len(split(x))) for x in run) >= line_dedup.MIN_WORDS:
+                    if run in seen:
+                        gone[k] |= set(range(i, j))
+                    seen.add(run)
+    got = {r.doc_id: r for r in line_dedup.remove_repeated_lines(table(spark, texts), whole=True).collect()}
+    for k, ls in enumerate(lines):
+        expected = texts[k] if not gone[k] else "\n".join(x for i, x in enumerate(ls) if i not in gone[k])
+        assert (got[k].text, got[k].n_removed) == (expected, len(gone[k])), k
+
+
+def test_pipeline_drops_whole_copies(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"once{k}" for k in range(20)) + "\nfive short words at last"
+    left = corpus_pipeline.drop_repeated_lines(spark, table(spark, [text, text, text + "\nx"]), "")
+    assert {r.doc_id: r.text for r in left.collect()} == {0: text, 2: "x"}
