@@ -13,15 +13,12 @@ from pyspark.sql import functions as F
 from quarrylake.llm import decontamination, jaccard_join, line_dedup, mixing, toxicity
 from quarrylake.llm.common import stored
 
-#: A document is rejected as toxic from this probability on.
-TOXIC = 0.5
-
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the model of labels does not find toxic."""
+    """Keeps the documents that the model of labels does not find toxic, by op4's threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels)
-    return toxicity.keep(docs, model, TOXIC)
+    return toxicity.keep(docs, model, toxicity.THRESHOLD)
 
 
 def drop_repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,3 +68,17 @@ def test_pipeline_and_registry(spark):
         docs = corpus_pipeline.stored(out)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, d).count() == docs.count()
     assert len(registry.queries()) == 10 and set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_pipeline_rejects_what_op4_predicts(spark, monkeypatch):
+    import math
+
+    import corpus_pipeline
+    import numpy as np
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.createDataFrame([(1, "one sentence"), (2, "two. sentences"), (3, "")], "doc_id long, text string")
+    # each sentence scores 0.25, so the documents 0.25, 0.44 and 0
+    monkeypatch.setattr(toxicity, "train", lambda *_: toxicity.Model(np.empty(0, np.uint64), np.empty(0), math.log(0.25 / 0.75)))
+    predicted = {r.doc_id for r in toxicity.score(docs, toxicity.train()).where(f"score >= {toxicity.THRESHOLD}").collect()}
+    assert predicted == {2} and {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, d).collect()} == {1, 3}
