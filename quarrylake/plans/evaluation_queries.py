@@ -347,7 +347,7 @@ def a41(spark, d):
 
 @query("a43_largest_component")
 def a43(spark, d):
-    v = generated(spark, d, VOX).where("ref > 0 AND y < 16 AND x < 40")
+    v = generated(spark, d, VOX).where("ref > 0")
     return S.largest_component(v).groupBy("case_id").agg(F.count("*").alias("n"))
 
 

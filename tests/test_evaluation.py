@@ -70,6 +70,32 @@ def test_largest_component(spark):
     assert sorted((r.case_id, r.z, r.y, r.x) for r in got) == [("a", 0, 0, 0), ("a", 0, 0, 1), ("a", 0, 1, 1), ("b", 1, 1, 1)]
 
 
+def test_largest_component_query_takes_all_foreground(spark, tmp_path):
+    import random
+
+    from quarrylake.plans.evaluation_queries import Q
+
+    rng = random.Random(3)
+    rows = [(k, rng.randrange(3), rng.randrange(4), line, 1.0) for k in range(2500, 4500) for line in range(1, 4) if rng.random() < 0.8]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    cases = {}
+    for k, _, s, z, _ in rows:
+        if z % 4:
+            cases.setdefault(f"S{s % 20}", set()).add((z, k % 64, k // 64))
+    expected = {}
+    for case, left in cases.items():
+        while left:
+            todo, n = [left.pop()], 0
+            while todo:
+                z, y, x = todo.pop()
+                n += 1
+                near = {(z + 1, y, x), (z - 1, y, x), (z, y + 1, x), (z, y - 1, x), (z, y, x + 1), (z, y, x - 1)} & left
+                left -= near
+                todo += near
+            expected[case] = max(n, expected.get(case, 0))
+    assert {r.case_id: r.n for r in Q["a43_largest_component"][0](spark, str(tmp_path)).collect()} == expected
+
+
 def test_manifest_and_stream(spark, tmp_path):
     from quarrylake.plans.manifest import build
     from quarrylake.sources import files
