@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from quarrylake.llm.common import stored
 
-#: A text is a host's template if its importance falls below LOW, or below LOW_MAIN in an element that is marked as the
-#: main one, where copied articles and quoted lines repeat too; that takes MIN_PAGES pages with the place.
+#: A text is a host's template if its importance falls below LOW, or its own below LOW_MAIN in an element that is marked
+#: as the main one, where styles vary, copied articles and quoted lines repeat too; that takes MIN_PAGES pages with the place.
 MIN_PAGES, LOW, LOW_MAIN = 8, 0.4, 0.03
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -158,11 +158,11 @@ def content_nodes(tree: Node) -> list[tuple[Node, int, str]]:
     return out
 
 
-def blocks(tree: Node, low: dict[int, float]) -> list[str]:
-    """The text blocks of the main text, without branches of low importance (low: key to importance)."""
+def blocks(tree: Node, low: dict[int, tuple[float, float]]) -> list[str]:
+    """The text blocks of the main text, without branches of low importance (low: key to importance and the text's own)."""
     roots = _root(tree)
-    limit = LOW if roots == [tree] else LOW_MAIN
-    gone = {id(n) for n, key, _ in content_nodes(tree) if low.get(key, 1.0) < limit} if low else set()
+    k, limit = (0, LOW) if roots == [tree] else (1, LOW_MAIN)
+    gone = {id(n) for n, key, _ in content_nodes(tree) if key in low and low[key][k] < limit} if low else set()
     out: list[str] = []
     held: list[str] = []
 
@@ -196,15 +196,16 @@ def _signed(x: int) -> int:
 
 
 def _statistics(batches):
-    """(host, place, key, style, n) of the content nodes; key of 0: a page's node at the place with its style."""
+    """(host, place, key, style, n) of the content nodes; key of 0: a page with the place, once, with the styles it shows there."""
     schema = pa.schema([("host", pa.string()), ("place", pa.int64()), ("key", pa.int64()), ("style", pa.int64()), ("n", pa.int64())])
     for batch in batches:
         count: dict[tuple, int] = {}
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            seen = set()
+            seen, styles = set(), {}
             for node, key, _ in content_nodes(parse(page or "")):
-                style = xxhash.xxh3_64_intdigest(",".join(c.tag if isinstance(c, Node) else "#" for c in node.children))
-                seen |= {(host, node.path, key, 0), (host, node.path, 0, style)}
+                styles.setdefault(node.path, set()).add(",".join(c.tag if isinstance(c, Node) else "#" for c in node.children))
+                seen.add((host, node.path, key, 0))
+            seen |= {(host, path, 0, xxhash.xxh3_64_intdigest(";".join(sorted(x)))) for path, x in styles.items()}
             for k in seen:
                 count[k] = count.get(k, 0) + 1
         rows = [(h, _signed(p), _signed(k), _signed(s), n) for (h, p, k, s), n in count.items()]
@@ -213,11 +214,11 @@ def _statistics(batches):
 
 
 def site_style_tree(pages: DataFrame) -> DataFrame:
-    """(host, place, key, n, total, importance): the importance of each content node of the hosts' trees.
+    """(host, place, key, n, total, own, importance): the importance of each content node of the hosts' trees.
 
     A text on n of the total pages with that place: 1 - log(n) / log(total), 1 for a text of one page and 0 for one on
-    all, which is 1 - H for a place whose text never changes; times a factor for the entropy of the place's styles,
-    as a place that looks different from page to page holds content.
+    all, which is 1 - H for a place whose text never changes (own); times a factor for the entropy of the place's styles,
+    as a place that looks different from page to page holds content. A page counts once at a place, whatever its styles.
     """
     s = pages.select("host", "html").mapInArrow(_statistics, "host string, place long, key long, style long, n long")
     s = stored(s.groupBy("host", "place", "key", "style").agg(F.sum("n").alias("n")))
@@ -227,7 +228,7 @@ def site_style_tree(pages: DataFrame) -> DataFrame:
     places = styles.select("host", "place", "total", entropy.alias("h"))
     texts = s.where("key <> 0 AND n > 1").join(places.where(F.col("total") >= MIN_PAGES), ["host", "place"])
     own = 1 - F.log("n") / F.log("total")
-    return texts.select("host", "place", "key", "n", "total", (own + (1 - own) * F.col("h") * 0.5).alias("importance"))
+    return texts.select("host", "place", "key", "n", "total", own.alias("own"), (own + (1 - own) * F.col("h") * 0.5).alias("importance"))
 
 
 def _keys(batches):
@@ -248,7 +249,7 @@ def _extracted(batches):
     for batch in batches:
         out = []
         for page, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist()):
-            out.append("\n".join(blocks(parse(page or ""), {x["key"] % (1 << 64): x["importance"] for x in low or ()})))
+            out.append("\n".join(blocks(parse(page or ""), {x["key"] % (1 << 64): (x["importance"], x["own"]) for x in low or ()})))
         yield pa.RecordBatch.from_arrays([batch.column("page"), pa.array(out, pa.string())], schema=schema)
 
 
@@ -256,9 +257,10 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for pages (page_id, url, html)."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = stored(pages.select("page_id", "url", "html", host.alias("host"), F.monotonically_increasing_id().alias("page")))
-    low = site_style_tree(rows).where(F.col("importance") < LOW).groupBy("host", "key").agg(F.min("importance").alias("importance"))
+    low = site_style_tree(rows).where((F.col("importance") < LOW) | (F.col("own") < LOW_MAIN))
+    low = low.groupBy("host", "key").agg(F.min("importance").alias("importance"), F.min("own").alias("own"))
     keys = rows.select("page", "host", "html").mapInArrow(_keys, "page long, host string, key long")
-    per = keys.join(low, ["host", "key"]).groupBy("page").agg(F.collect_list(F.struct("key", "importance")).alias("low"))
+    per = keys.join(low, ["host", "key"]).groupBy("page").agg(F.collect_list(F.struct("key", "importance", "own")).alias("low"))
     text = rows.select("page", "html").join(per, "page", "left").mapInArrow(_extracted, "page long, text string")
     return rows.select("page", "page_id", "url").join(text, "page").drop("page")
 

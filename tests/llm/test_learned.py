@@ -82,3 +82,14 @@ def test_pipeline_rejects_what_op4_predicts(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "train", lambda *_: toxicity.Model(np.empty(0, np.uint64), np.empty(0), math.log(0.25 / 0.75)))
     predicted = {r.doc_id for r in toxicity.score(docs, toxicity.train()).where(f"score >= {toxicity.THRESHOLD}").collect()}
     assert predicted == {2} and {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, d).collect()} == {1, 3}
+
+
+def test_templates_inside_articles_go_where_styles_differ(spark):
+    rows = []
+    for k in range(100):
+        link = f"<p>See <a href=/x>part {k}</a> as well</p>" * (k % 3 > 0)
+        rows.append((k, f"http://a.example/{k}", STYLE.format(f"<article><p>Story number {k} is here</p>{link}<p>Buy our things now</p></article>")))
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.total for r in H.site_style_tree(d.withColumn("host", d.url.substr(8, 9))).where("n = 100").collect()} == {100}
+    got = {r.page_id: r.text for r in H.extract_main_text(d).collect()}
+    assert got == {k: f"Story number {k} is here" + f"\nSee part {k} as well" * (k % 3 > 0) for k in range(100)}
