@@ -290,8 +290,8 @@ def w10(spark, d):
 
 @query("w12_moving_average")
 def w12(spark, d):
-    e = generated(spark, d, "gen_epochs").withColumn("key", F.lit("metric"))
-    return sampling.moving_average(e, "key", "epoch", "metric").select("epoch", F.round("ema", 9).alias("ema"))
+    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.col("event_id").alias("epoch"), F.col("value").alias("metric"))
+    return sampling.moving_average(e, "user_id", "epoch", "metric").select("user_id", "epoch", F.round("ema", 9).alias("ema"))
 
 
 @query("k10_best_artifact", "SELECT epoch, gate AND (b IS NULL OR metric > b) AS saved FROM (SELECT *, max(CASE WHEN gate THEN metric END) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) b FROM gen_epochs)", "gen_epochs")

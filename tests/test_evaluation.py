@@ -96,6 +96,18 @@ def test_largest_component_query_takes_all_foreground(spark, tmp_path):
     assert {r.case_id: r.n for r in Q["a43_largest_component"][0](spark, str(tmp_path)).collect()} == expected
 
 
+def test_moving_average_query_takes_all_events(spark, tmp_path):
+    from quarrylake.plans.report_queries import Q
+
+    rows = [(k, (k * 7) % 5, float(k % 13), "view") for k in range(1000)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    last, expected = {}, {}
+    for k, u, v, _ in rows:
+        last[u] = expected[k] = last[u] * 0.9 + v * 0.1 if u in last else v
+    got = {r.epoch: r.ema for r in Q["w12_moving_average"][0](spark, str(tmp_path)).collect()}
+    assert got == {k: pytest.approx(x, abs=1e-8) for k, x in expected.items()}
+
+
 def test_manifest_and_stream(spark, tmp_path):
     from quarrylake.plans.manifest import build
     from quarrylake.sources import files
