@@ -112,6 +112,7 @@ class Model:
     """Feature weights of the sentence classifier, and its constant."""
 
     def __init__(self, names: np.ndarray, weights: np.ndarray, bias: float):
+        self.parts = names, weights, bias  # what workers get
         self.table = {int(w): float(x) for w, x in zip(names, weights) if x}
         self.bias = bias
         self.words: dict[bytes, float] = {}
@@ -173,11 +174,11 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) ->
     return fit(bags["y"].to_numpy(), bags["sizes"].tolist(), bags["words"].tolist())
 
 
-def _scores(model):
+def _scores(parts):
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("worst", pa.string()), ("worst_score", pa.float64())])
 
     def run(batches):
-        m = model.value
+        m = Model(*parts.value)
         for batch in batches:
             scores, texts, tops = [], [], []
             for text in batch.column("text").to_pylist():
@@ -194,18 +195,18 @@ def _scores(model):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, worst, worst_score): the document's probability, its most offending sentence and that one's."""
-    run, schema = _scores(docs.sparkSession.sparkContext.broadcast(model))
+    run, schema = _scores(docs.sparkSession.sparkContext.broadcast(model.parts))
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def keep(docs: DataFrame, model: Model, limit: float) -> DataFrame:
     """The rows of docs, all columns, that score below the limit."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    shared, names = docs.sparkSession.sparkContext.broadcast(model.parts), docs.columns
     at = names.index("text")
 
     def run(batches):
+        m = Model(*shared.value)
         for batch in batches:
-            m = shared.value
             mask = [m.document([m.sentence(w) for _, _, w in sentences(x)]) < limit for x in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
