@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], rounds: int = 200) -> DataFrame:
     """(node, component) for edges (a, b): component is the least node that links reach; isolated nodes do not appear.
 
     Alternates large-star and small-star steps, which need a number of rounds that grows with the logarithm of the
-    graph; minima are taken partially before each shuffle, so a node with very many links is no bottleneck.
+    graph (not settled after so many, it raises); minima are taken partially before each shuffle, so a node with very many links is no bottleneck.
     cut materialises an intermediate table (a checkpoint, or a table in shared storage).
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -28,5 +28,7 @@ def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame]
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"links still change after {rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylake.functions.text import hash_offset
+from quarrylake.operators.ordering import ordered_index, running_max
 
 
 def epoch_sample(records: DataFrame, epoch: int, cap: int = 3, near_cap: int | None = None) -> DataFrame:
@@ -33,10 +35,10 @@ def shard(rows: DataFrame, order: list, rank: int, world: int, drop_last: bool =
     """Every world-th row in order, from rank on; drop_last leaves out what does not fill all shards."""
     if not 0 <= rank < world:
         raise ValueError(f"shard {rank} of {world}")
-    r = rows.withColumn("_i", F.row_number().over(W.orderBy(*order)) - 1)
+    r = ordered_index(rows, order, "_i")
     if drop_last:
-        r = r.withColumn("_n", F.count("*").over(W.partitionBy()))
-        r = r.where(F.col("_i") < F.col("_n") - F.col("_n") % world).drop("_n")
+        n = r.count()
+        r = r.where(F.col("_i") < n - n % world)
     return r.where(F.col("_i") % world == rank).drop("_i")
 
 
@@ -49,9 +51,10 @@ def permutation(n: int, seed: int) -> list[int]:
 
 def derangement(records: DataFrame, order: str) -> DataFrame:
     """records with source: the case that follows in the cycle by the order column, never the case itself if there are two."""
-    w = W.orderBy(order)
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return records.withColumn("source", F.coalesce(F.lead("case_id").over(w), F.first("case_id").over(whole)))
+    r = ordered_index(records, [order], "_i")
+    n = max(r.count(), 1)
+    before = r.select(F.pmod(F.col("_i") - 1, F.lit(n)).alias("_i"), F.col("case_id").alias("source"))
+    return r.join(before, "_i").drop("_i")
 
 
 def roll(rows: DataFrame, batch: str, order: str, value: str) -> DataFrame:
@@ -80,19 +83,29 @@ def spread_starts(size: Column, patch: Column, share: float) -> Column:
 
 
 def moving_average(series: DataFrame, key: str, order: str, value: str, keep: float = 0.9) -> DataFrame:
-    """series with ema: keep * previous + (1 - keep) * value in order, the first value itself; folds one key's ordered values."""
-    points = series.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("p"))
-    fold = F.aggregate("p", F.array().cast("array<struct<o:bigint,v:double,ema:double>>"), lambda a, x: F.concat(a, F.array(F.struct(
-        x["o"].cast("bigint").alias("o"), x["v"].alias("v"),
-        F.when(F.size(a) == 0, x["v"]).otherwise(F.try_element_at(a, F.lit(-1))["ema"] * keep + x["v"] * (1 - keep)).alias("ema")))))
-    return points.select(key, F.explode(fold).alias("x")).select(key, F.col("x.o").alias(order), F.col("x.v").alias(value), "x.ema")
+    """series with ema: keep * previous + (1 - keep) * value in order, the first value itself.
+
+    Each series is cut into chunks. Within one the fold is a sum of values weighted by powers of keep, which a window
+    adds up; a chunk passes on keep**n * (what it was given) + its own sum, folded over the chunks of a series.
+    """
+    chunk = max(1, int(200 / -math.log10(keep)))  # powers down to 1e-200
+    r = ordered_index(series.select(key, order, F.col(value).cast("double").alias(value)), [key, order], "_i").withColumn("_c", F.floor(F.col("_i") / chunk))
+    w = W.partitionBy(key, "_c").orderBy("_i")
+    r = r.withColumn("_n", F.row_number().over(w))
+    r = r.withColumn("_s", F.sum((1 - keep) * F.col(value) * F.pow(F.lit(keep), -F.col("_n"))).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    last = r.groupBy(key, "_c").agg(F.max("_n").alias("n"), F.max_by("_s", "_n").alias("s"), F.min_by(value, "_n").alias("v"))
+    chunks = last.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_c", "n", "s", "v"))).alias("x"))
+    # what the first chunk is given is the first value: keep * v + (1 - keep) * v is v
+    fold = F.aggregate("x", F.struct(F.col("x")[0]["v"].alias("at"), F.array().cast("array<struct<c:bigint,given:double>>").alias("out")), lambda a, y: F.struct(
+        (F.pow(F.lit(keep), y["n"]) * (a["at"] + y["s"])).alias("at"), F.concat(a["out"], F.array(F.struct(y["_c"].alias("c"), a["at"].alias("given")))).alias("out")))["out"]
+    given = chunks.select(key, F.explode(fold).alias("g")).select(key, F.col("g.c").alias("_c"), F.col("g.given").alias("_g"))
+    return r.join(given, [key, "_c"]).select(key, order, value, (F.pow(F.lit(keep), F.col("_n")) * (F.col("_g") + F.col("_s"))).alias("ema"))
 
 
 def best_so_far(epochs: DataFrame, order: str, value: str, eligible: str) -> DataFrame:
     """epochs with saved: eligible rows that beat every eligible row before."""
-    gated = F.when(F.col(eligible), F.col(value))
-    before = F.max(gated).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    return epochs.withColumn("saved", F.coalesce(F.col(eligible) & (before.isNull() | (F.col(value) > before)), F.lit(False)))
+    r = running_max(epochs, [order], F.when(F.col(eligible), F.col(value)), "_best")
+    return r.withColumn("saved", F.coalesce(F.col(eligible) & (F.col("_best").isNull() | (F.col(value) > F.col("_best"))), F.lit(False))).drop("_best")
 
 
 def forced_foreground(index: Column, batch: int, share: float) -> Column:

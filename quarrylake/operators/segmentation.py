@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrylake.operators.ordering import ordered_index
+from quarrylake.operators.storage import broadcast_if_small
+
 
 def align(reference: DataFrame, predicted: DataFrame) -> DataFrame:
     """(case_id, z, y, x, ref, pred) of voxels (case_id, z, y, x, label) that both have."""
@@ -129,13 +132,13 @@ def target_spacing(spacings: DataFrame, sizes: DataFrame, threshold: float = 3.0
 
 def unexpected_labels(voxels: DataFrame, expected: DataFrame) -> DataFrame:
     """(case_id, label) that occur and are not in expected (label)."""
-    return voxels.select("case_id", "label").distinct().join(F.broadcast(expected), "label", "left_anti").select("case_id", "label")
+    return voxels.select("case_id", "label").distinct().join(broadcast_if_small(expected), "label", "left_anti").select("case_id", "label")
 
 
 def label_gaps(labels: DataFrame) -> DataFrame:
     """(label, previous) where the numbers of labels are not consecutive."""
-    p = F.lag("label").over(W.orderBy("label"))
-    return labels.select("label").distinct().withColumn("previous", p).where("label - previous <> 1")
+    at = ordered_index(labels.select("label").distinct(), ["label"])
+    return at.join(at.select(F.col("label").alias("previous"), (F.col("idx") + 1).alias("idx")), "idx").where("label - previous <> 1").select("label", "previous")
 
 
 def one_hot(voxels: DataFrame, labels: list[int]) -> DataFrame:

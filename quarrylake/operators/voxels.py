@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrylake.operators.storage import broadcast_if_small
+
 AXES = ("z", "y", "x")
 
 
@@ -17,7 +19,7 @@ def global_pool(features: DataFrame) -> DataFrame:
 def region_pool(features: DataFrame, labels: DataFrame, regions: DataFrame) -> DataFrame:
     """(case_id, label, c, mean, max) of each region (label) asked for; zeros where a case lacks it."""
     j = features.join(labels, ["case_id", *AXES]).groupBy("case_id", "label", "c").agg(F.avg("v").alias("mean"), F.max("v").alias("max"))
-    grid = features.select("case_id", "c").distinct().crossJoin(F.broadcast(regions))
+    grid = features.select("case_id", "c").distinct().crossJoin(broadcast_if_small(regions))
     return grid.join(j, ["case_id", "label", "c"], "left").fillna(0.0, ["mean", "max"]).select("case_id", "label", "c", "mean", "max")
 
 
@@ -137,6 +139,6 @@ def image_tokens(global_tokens: DataFrame, regions: DataFrame) -> DataFrame:
 
 def pad(arrays: DataFrame, column: str, value: float = 0.0) -> DataFrame:
     """arrays with the column filled up to the longest of its batch and mask, 1 for what was there."""
-    longest = F.max(F.size(column)).over(W.partitionBy("batch"))
-    fill = longest - F.size(column)
-    return arrays.withColumns({"mask": F.concat(F.array_repeat(F.lit(1), F.size(column)), F.array_repeat(F.lit(0), fill)), column: F.concat(column, F.array_repeat(F.lit(value), fill))})
+    longest = arrays.groupBy("batch").agg(F.max(F.size(column)).alias("_longest"))
+    fill = F.col("_longest") - F.size(column)
+    return arrays.join(broadcast_if_small(longest), "batch").withColumns({"mask": F.concat(F.array_repeat(F.lit(1), F.size(column)), F.array_repeat(F.lit(0), fill)), column: F.concat(column, F.array_repeat(F.lit(value), fill))}).drop("_longest")
