@@ -6,11 +6,16 @@ tags and classes) and contents (hashes of its own text) that pages show there.
 The importance of a content node is 1 - H, of a host's presentation the
 entropy of its styles; both follow from how often each (host, path, style) and
 (host, path, text) occurs, so they are counted by key and no host's tree is
-held in one place. From each page go the branches of elements that never hold
-main text (scripts, forms, navigation, notices, comments by their tag, role,
-class or id) and those whose text the host shows again on a good part of its
-pages. Text is what remains in the blocks of the article, or of the body where
-no element is marked as the main one.
+held in one place. A branch weighs both: with l styles, GAMMA**l of its content
+importance and the rest of its presentation's. From each page go the branches
+of elements that never hold main text (scripts, forms, navigation, notices,
+comments by their tag, role, class or id) and those of low importance. Text is
+what remains in the blocks of the article, or of the body where no element is
+marked as the main one.
+
+Pages are parsed twice, for the counts and for the text, and never stored: only
+counts are shuffled. What is to be removed is broadcast if its rows are few
+enough, otherwise joined to the pages by host.
 
 Defined results: null and empty html give an empty text; broken markup is
 closed as browsers do (a new block ends a paragraph, an end tag ends what is
@@ -24,16 +29,19 @@ from __future__ import annotations
 import html
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.common import stored
+from quarrylake.llm.common import small_enough, stored
 
 #: A text is a host's template if its importance falls below LOW, or its own below LOW_MAIN in an element that is marked
 #: as the main one, where styles vary, copied articles and quoted lines repeat too; that takes MIN_PAGES pages with the place.
-MIN_PAGES, LOW, LOW_MAIN = 8, 0.4, 0.03
+MIN_PAGES, LOW, LOW_MAIN, GAMMA = 8, 0.4, 0.03, 0.9
+#: Keys to remove that are broadcast at most, 16 bytes each and about 64 in a worker's set.
+BROADCAST_KEYS = 200_000
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
@@ -46,18 +54,29 @@ BLOCK = {"p", "div", "article", "section", "main", "h1", "h2", "h3", "h4", "h5",
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "td", "th", "blockquote", "aside", "nav", "header", "footer", "form"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "alertdialog"}
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|adslot|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|footer|header|masthead|topbar|"
-    r"cookies?|consent|gdpr|notice\w*|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|share|sharing|social|related|recommend\w*|widget\w*|"
-    r"comments?|commentlist|respond|replies|disqus|pagination|pager|toolbar|skip|search\w*|tags?|copyright|legal|disclaimer)(?:$|[\s_-])", re.I)
+#: Words of class and id that name what is not main text; one token of them must consist of such a word, with a word before it
+#: (cookie-notice) or one of _HOLDERS behind it (ad-box). FRAME counts outside of main elements only, where it names page parts.
+_HOLDERS = "bar|box|banner|wrapper|wrap|container|block|section|list|area|slot|unit|links?|buttons?|form|widget|popup|message|panel"
+_NEVER_WORDS = ("ads?|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|cookies?|consent|gdpr|notice|newsletter|subscribe|subscription|signup|login|popup|modal|"
+                "overlay|share|sharing|social|related|recommended|recommendations|comments?|commentlist|respond|replies|disqus|pagination|pager|toolbar|breadcrumbs?|navbar|navigation|disclaimer")
+_FRAME_WORDS = "nav|menu|sidebar|side|footer|header|masthead|topbar|widget|skip|search|tags?|copyright|legal|banner"
+
+
+def _named(words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|\s)(?:[a-z0-9]+[-_])*(?:{words})(?:[-_](?:{_HOLDERS}))*(?:[-_]?[0-9]+)?(?=\s|$)", re.I)
+
+
+UNWANTED, FRAME = _named(_NEVER_WORDS), _named(f"{_NEVER_WORDS}|{_FRAME_WORDS}")
+#: Elements whose class is looked at: a paragraph or a heading is text, whatever its class.
+CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "span", "figure", "center", "details", "a"}
 MAIN = re.compile(r"(?:^|[\s_-])(?:article-?body|post-?content|entry-?content|main-?content|story-?body|post-?body|articletext)(?:$|[\s_-])", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "path", "drop", "main", "children")
+    __slots__ = ("tag", "path", "drop", "main", "inside", "children")
 
-    def __init__(self, tag: str, path: int, drop: bool, main: bool):
-        self.tag, self.path, self.drop, self.main, self.children = tag, path, drop, main, []
+    def __init__(self, tag: str, path: int, drop: bool, main: bool, inside: bool = False):
+        self.tag, self.path, self.drop, self.main, self.inside, self.children = tag, path, drop, main, main or inside, []
 
 
 def parse(page: str) -> Node:
@@ -101,9 +120,11 @@ def parse(page: str) -> Node:
         attributes = {a.lower(): x or y or z for a, x, y, z in _ATTRIBUTE.findall(m.group(3))} if m.group(3) else {}
         label = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
         main = tag in ("article", "main") or attributes.get("role", "") in ("main", "article") or attributes.get("itemprop", "") == "articleBody" or bool(label and MAIN.search(label))
-        drop = tag in NEVER or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(
-            label and not main and tag not in ("body", "html") and UNWANTED.search(label))
-        node = Node(tag, xxhash.xxh3_64_intdigest(f"{tag}.{label}", stack[-1].path), drop, main)
+        inside = stack[-1].inside
+        # an article's own header holds its titles
+        drop = (tag in NEVER and not (tag == "header" and inside)) or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(
+            label and not main and tag in CONTAINERS and (UNWANTED if inside else FRAME).search(label))
+        node = Node(tag, xxhash.xxh3_64_intdigest(f"{tag}.{label}", stack[-1].path), drop, main, inside)
         stack[-1].children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -158,11 +179,11 @@ def content_nodes(tree: Node) -> list[tuple[Node, int, str]]:
     return out
 
 
-def blocks(tree: Node, low: dict[int, tuple[float, float]]) -> list[str]:
-    """The text blocks of the main text, without branches of low importance (low: key to importance and the text's own)."""
+def blocks(tree: Node, low: set[int], low_main: set[int]) -> list[str]:
+    """The text blocks of the main text without the branches to remove, by their keys: low, or low_main where the main element is marked."""
     roots = _root(tree)
-    k, limit = (0, LOW) if roots == [tree] else (1, LOW_MAIN)
-    gone = {id(n) for n, key, _ in content_nodes(tree) if key in low and low[key][k] < limit} if low else set()
+    keys = low if roots == [tree] else low_main
+    gone = {id(n) for n, key, _ in content_nodes(tree) if key in keys} if keys else set()
     out: list[str] = []
     held: list[str] = []
 
@@ -216,53 +237,58 @@ def _statistics(batches):
 def site_style_tree(pages: DataFrame) -> DataFrame:
     """(host, place, key, n, total, own, importance): the importance of each content node of the hosts' trees.
 
-    A text on n of the total pages with that place: 1 - log(n) / log(total), 1 for a text of one page and 0 for one on
-    all, which is 1 - H for a place whose text never changes (own); times a factor for the entropy of the place's styles,
-    as a place that looks different from page to page holds content. A page counts once at a place, whatever its styles.
+    own, the content's: 1 - H of a text on n of the total pages with that place, which is 1 - log(n) / log(total), 1 for a
+    text of one page and 0 for one on all. The presentation's: the entropy of the place's styles to the base of total, 0
+    for one style and 1 if each page has its own. A page counts once at a place, with the styles that it shows there.
     """
     s = pages.select("host", "html").mapInArrow(_statistics, "host string, place long, key long, style long, n long")
     s = stored(s.groupBy("host", "place", "key", "style").agg(F.sum("n").alias("n")))
-    styles = s.where("key = 0").groupBy("host", "place").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("x"))
+    styles = s.where("key = 0").groupBy("host", "place").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("x"), F.count("*").alias("l"))
     # entropy to the base of the number of pages: 0 for one style, 1 if each page has its own
     entropy = F.when(F.col("total") > 1, (F.log("total") - F.col("x") / F.col("total")) / F.log("total")).otherwise(0.0)
-    places = styles.select("host", "place", "total", entropy.alias("h"))
+    places = styles.select("host", "place", "total", entropy.alias("h"), F.pow(F.lit(GAMMA), F.col("l")).alias("g"))
     texts = s.where("key <> 0 AND n > 1").join(places.where(F.col("total") >= MIN_PAGES), ["host", "place"])
     own = 1 - F.log("n") / F.log("total")
-    return texts.select("host", "place", "key", "n", "total", own.alias("own"), (own + (1 - own) * F.col("h") * 0.5).alias("importance"))
+    return texts.select("host", "place", "key", "n", "total", own.alias("own"), ((1 - F.col("g")) * F.col("h") + F.col("g") * own).alias("importance"))
 
 
-def _keys(batches):
-    """(page, host, key) of the content nodes of each page."""
-    schema = pa.schema([("page", pa.int64()), ("host", pa.string()), ("key", pa.int64())])
-    for batch in batches:
-        page, host, key = [], [], []
-        for p, h, text in zip(batch.column("page").to_pylist(), batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            own = {_signed(k) for _, k, _ in content_nodes(parse(text or ""))}
-            page += [p] * len(own)
-            host += [h] * len(own)
-            key += own
-        yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(host, pa.string()), pa.array(key, pa.int64())], schema=schema)
+def _host_key(host: str, key: int) -> int:
+    return xxhash.xxh3_64_intdigest(host, key)
 
 
-def _extracted(batches):
-    schema = pa.schema([("page", pa.int64()), ("text", pa.string())])
-    for batch in batches:
-        out = []
-        for page, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist()):
-            out.append("\n".join(blocks(parse(page or ""), {x["key"] % (1 << 64): (x["importance"], x["own"]) for x in low or ()})))
-        yield pa.RecordBatch.from_arrays([batch.column("page"), pa.array(out, pa.string())], schema=schema)
+def _extracted(shared):
+    """Pages (page_id, url, host, html) to texts; shared: a broadcast of two arrays of host keys, or None where pages bring lists of keys."""
+    def run(batches):
+        low, low_main = (set(x.tolist()) for x in shared.value) if shared else (set(), set())
+        for batch in batches:
+            out, rows = [], [batch.column(c).to_pylist() for c in ("host", "html", *(() if shared else ("low", "low_main")))]
+            for host, page, *own in zip(*rows):
+                tree = parse(page or "")
+                if shared:
+                    keys = {k: _host_key(host, k) for _, k, _ in content_nodes(tree)} if low or low_main else {}
+                    own = [{k for k, x in keys.items() if x in low}, {k for k, x in keys.items() if x in low_main}]
+                else:
+                    own = [{k % (1 << 64) for k in x or ()} for x in own]
+                out.append("\n".join(blocks(tree, *own)))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+
+    return run
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for pages (page_id, url, html)."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = stored(pages.select("page_id", "url", "html", host.alias("host"), F.monotonically_increasing_id().alias("page")))
+    rows = pages.select("page_id", "url", host.alias("host"), "html")
+    schema = f"page_id {dict(pages.dtypes)['page_id']}, url string, text string"
     low = site_style_tree(rows).where((F.col("importance") < LOW) | (F.col("own") < LOW_MAIN))
-    low = low.groupBy("host", "key").agg(F.min("importance").alias("importance"), F.min("own").alias("own"))
-    keys = rows.select("page", "host", "html").mapInArrow(_keys, "page long, host string, key long")
-    per = keys.join(low, ["host", "key"]).groupBy("page").agg(F.collect_list(F.struct("key", "importance", "own")).alias("low"))
-    text = rows.select("page", "html").join(per, "page", "left").mapInArrow(_extracted, "page long, text string")
-    return rows.select("page", "page_id", "url").join(text, "page").drop("page")
+    low = stored(low.groupBy("host", "key").agg((F.min("importance") < LOW).alias("low"), (F.min("own") < LOW_MAIN).alias("low_main")))
+    if small_enough(low, BROADCAST_KEYS):
+        found = low.toPandas()
+        keys = np.array([_host_key(h, k % (1 << 64)) for h, k in zip(found["host"], found["key"])], np.uint64)
+        shared = pages.sparkSession.sparkContext.broadcast(tuple(keys[found[c].to_numpy(bool)] for c in ("low", "low_main")))
+        return rows.mapInArrow(_extracted(shared), schema)
+    per = low.groupBy("host").agg(*(F.collect_list(F.when(F.col(c), F.col("key"))).alias(c) for c in ("low", "low_main")))
+    return rows.join(per, "host", "left").select("page_id", "url", "host", "html", "low", "low_main").mapInArrow(_extracted(None), schema)
 
 
 def op5_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from quarrylake.llm import html_extraction as H
 from quarrylake.llm import toxicity
 
@@ -35,7 +37,7 @@ def test_toxicity_learns_sentences(spark):
 
 
 def blocks(page):
-    return H.blocks(H.parse(page), {})
+    return H.blocks(H.parse(page), set(), set())
 
 
 def test_extraction_of_written_pages():
@@ -46,6 +48,62 @@ def test_extraction_of_written_pages():
     assert blocks("<p>" * 3000 + "deep" + "<div>" * 3000) == ["deep"]
 
 
+def test_class_names_and_headers_inside_articles():
+    page = STYLE.format("<header>site</header><article><header><h1>T</h1><p>sub-title</p></header><p class='tags side'>kept</p><div class='notice-board'>board</div>"
+                        "<div class='cookie-notice'>no</div><div class='share-buttons'>no</div><section id=comments><p>no</p></section><footer>no</footer></article>")
+    assert blocks(page) == ["T", "sub-title", "kept", "board"]
+    assert blocks("<div class=sidebar>no</div><div class=side>no</div><p>" + "long " * 200_000 + "</p>") == [("long " * 200_000).strip()]
+
+
+def importance_by_hand(pages):
+    """(host, key) to (importance, own) of every text on two pages at least."""
+    import math
+    from collections import Counter, defaultdict
+
+    texts, styles, total = Counter(), defaultdict(Counter), Counter()
+    for host, page in pages:
+        seen, shown = set(), defaultdict(set)
+        for node, key, _ in H.content_nodes(H.parse(page)):
+            seen.add((node.path, key))
+            shown[node.path].add(tuple(c.tag if isinstance(c, H.Node) else "#" for c in node.children))
+        for path, x in shown.items():
+            styles[host, path][frozenset(x)] += 1
+            total[host, path] += 1
+        for path, key in seen:
+            texts[host, path, key] += 1
+    out = {}
+    for (host, path, key), n in texts.items():
+        m = total[host, path]
+        if n > 1 and m >= H.MIN_PAGES:
+            shares = [c / m for c in styles[host, path].values()]
+            weight = H.GAMMA ** len(shares)
+            own = 1 - math.log(n, m)
+            out[host, key] = weight * own - (1 - weight) * sum(p * math.log(p, m) for p in shares), own
+    return out
+
+
+def test_importance_against_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(120):
+        parts = [rng.choice(["<p>{}</p>", "<p>{} <b>x</b></p>", "<div><p>{}</p></div>"]).format(rng.choice(["same", f"text {rng.randrange(9)}", f"own {k}"])) for _ in range(6)]
+        rows.append((f"h{k % 3}", STYLE.format("".join(parts))))
+    d = spark.createDataFrame(rows, "host string, html string")
+    got = {(r.host, r.key % (1 << 64)): (round(r.importance, 9), round(r.own, 9)) for r in H.site_style_tree(d).collect()}
+    assert got == {k: (round(a, 9), round(b, 9)) for k, (a, b) in importance_by_hand(rows).items()} and len(got) > 20
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_extraction_of_odd_tables(spark, monkeypatch, most):
+    monkeypatch.setattr(H, "BROADCAST_KEYS", most)
+    rows = [(k, f"http://a.example/{k}", STYLE.format(f"<div class=x><p>Buy our things now</p></div><div class=y><p>Story number {k} is here</p></div>"), 1, "z") for k in range(20)]
+    rows += [(20, None, None, 1, "z"), (None, None, "<p>a", 1, "z"), (22, "http://b.example/2", "<p>Buy our things now</p>", 1, "z")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, host int, key string")
+    got = sorted(((r.page_id, r.text) for r in H.extract_main_text(d).collect()), key=str)
+    assert got == sorted([(k, f"Story number {k} is here") for k in range(20)] + [(20, ""), (None, "a"), (22, "Buy our things now")], key=str)
+    assert H.extract_main_text(d.limit(0)).count() == 0
+
+
 def test_templates_go_by_importance(spark):
     rows = [(k, f"http://a.example/{k}", STYLE.format(f"<div class=x><p>Buy our things now</p></div><div class=y><p>Story number {k} is here</p></div>")) for k in range(20)]
     rows += [(20, None, None), (21, "http://b.example/", ""), (22, "http://b.example/2", "<p>Buy our things now</p>"), (22, "http://b.example/2", "<p>Buy our things now</p>")]
