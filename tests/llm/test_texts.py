@@ -122,7 +122,11 @@ def test_simhash(spark):
     assert near == {(a, b): d for a in all_f for b in all_f if (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= 3}
 
 
-def test_jaccard_join(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_join(spark, monkeypatch, small):
+    if small:  # no rounds of centres, crowds of two components, small tries and chunks
+        for name, x in (("ROUNDS", 0), ("CROWD", 1), ("LEAVES", 5), ("PROBES", 3), ("CHUNK", 500), ("DEALT", 100), ("BROADCAST_ROWS", 1), ("ONE_TASK", 1)):
+            monkeypatch.setattr(jaccard_join, name, x)
     texts = corpus()
     sets = []
     for t in texts:
@@ -139,6 +143,13 @@ def test_jaccard_join(spark):
     assert jaccard_join.near_duplicate_classes(table(spark, [])).count() == 0
 
 
+def test_jaccard_join_of_odd_ids(spark):
+    a, b, c = "a b c d e f g h", "p q r s t u v w", "x y"
+    rows = [(None, a), (None, None), (7, a), (7, b), (7, None), (3, b), (1 << 60, c), ((1 << 60) + 1, c)]
+    got = sorted(map(tuple, jaccard_join.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, 4, 7), (None, 0, None), (7, 4, 7), (7, 4, 3), (7, 0, 7), (3, 4, 3), (1 << 60, 1, 1 << 60), ((1 << 60) + 1, 1, 1 << 60)], key=str)
+
+
 def test_trie_agrees_with_sets():
     import numpy as np
 
