@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylake.operators.storage import broadcast_if_small, checkpoint_folder, small_enough
+
 #: ASCII white space that separates words: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -115,13 +116,13 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary one; a cluster raises."""
+    sc = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
-    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarrylake-"))
+        sc.setCheckpointDir(checkpoint_folder(spark))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
@@ -136,11 +137,6 @@ def column_or_null(df: DataFrame, name: str, kind: str):
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows; looks at no more than one row beyond."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def ordered_index(df: DataFrame, keys: list, name: str = "idx") -> DataFrame:
     """df with name, the place (from 0) of each row in the order of keys; sorted in ranges, with no task that holds all rows.
 

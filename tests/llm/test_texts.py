@@ -194,32 +194,6 @@ def test_mixing(spark):
     assert mixing.mix(table(spark, [])).count() == 0 and mixing.mix(table(spark, [None, ""])).agg(F.sum("taken")).first()[0] == 0
 
 
-def test_line_dedup(spark):
-    rng = random.Random(4)
-    long = [" ".join(words(rng, 12)) for _ in range(4)]
-    short = ["a b c", "d e", "f g h i j", "", "k"]
-    texts = ["\n".join(rng.choice(long + short * 2) for _ in range(rng.randrange(1, 14))) for _ in range(60)] + [None, "", "\n\n", long[0], long[0]]
-    lines = [None if t is None else t.split("\n") for t in texts]
-    count = Counter(x for ls in lines if ls for x in ls)
-    seen, gone = set(), [set() for _ in texts]
-    for k, ls in enumerate(lines):
-        for i in range(len(ls or [])):
-            total, m = 0, 0
-            while i + m < len(ls) and m < line_dedup.REACH and count[ls[i + m]] > 1 and total < line_dedup.MIN_WORDS:
-                total += max(1, len(split(ls[i + m])))
-                m += 1
-            if total >= line_dedup.MIN_WORDS:
-                run = tuple(ls[i:i + m])
-                if run in seen:
-                    gone[k] |= set(range(i, i + m))
-                seen.add(run)
-    got = {r.doc_id: r for r in line_dedup.remove_repeated_lines(table(spark, texts)).collect()}
-    for k, ls in enumerate(lines):
-        expected = texts[k] if not gone[k] else "\n".join(x for i, x in enumerate(ls) if i not in gone[k])
-        assert (got[k].text, got[k].n_removed) == (expected, len(gone[k])), k
-    assert any(gone) and line_dedup.remove_repeated_lines(table(spark, [])).count() == 0
-
-
 @pytest.mark.parametrize("crowded", [20_000, 1])
 def test_substring_dedup(spark, monkeypatch, crowded):
     monkeypatch.setattr(substring_dedup, "CROWDED", crowded)
@@ -320,27 +294,36 @@ def test_suffix_tree_scores_do_not_depend_on_partitions(spark):
     assert one == many
 
 
-def test_line_dedup_of_maximal_runs(spark):
+@pytest.mark.parametrize("min_words", [10, 1, 37])
+def test_line_dedup(spark, min_words):
     rng = random.Random(8)
     long = [" ".join(words(rng, 12)) for _ in range(4)]
     short = ["a b c", "d e", "f g h i j", "", "k"]
-    texts = ["\n".join(rng.choice(long + short * 2) for _ in range(rng.randrange(1, 14))) for _ in range(60)] + [None, "", long[0]]
+    texts = ["\n".join(rng.choice(long + short * 2) for _ in range(rng.randrange(1, 14))) for _ in range(60)] + [None, "", "\n\n", long[0], long[0]]
     a, b = " ".join(f"once{k}" for k in range(20)), "five short words at last"
-    texts += [f"{a}\n{b}\nx1", f"{a}\n{b}\nx2", f"{a}\n{b}"]
+    texts += [f"{a}\n{b}\nx1", f"{a}\n{b}\nx2", f"{a}\n{b}", *["\n".join(f"one{k}" for k in range(60))] * 2, *["\n".join([long[1]] * 40)] * 2]
     lines = [None if t is None else t.split("\n") for t in texts]
     seen, gone = set(), [set() for _ in texts]
     for k, ls in enumerate(lines):
         for i in range(len(ls or [])):
             for j in range(i + 1, len(ls) + 1):
                 run = tuple(ls[i:j])
-                if sum(max(1, len(split(x))) for x in run) >= line_dedup.MIN_WORDS:
+                if sum(max(1, len(split(x))) for x in run) >= min_words:
                     if run in seen:
                         gone[k] |= set(range(i, j))
                     seen.add(run)
-    got = {r.doc_id: r for r in line_dedup.remove_repeated_lines(table(spark, texts), whole=True).collect()}
+    got = {r.doc_id: r for r in line_dedup.remove_repeated_lines(table(spark, texts), min_words).collect()}
     for k, ls in enumerate(lines):
         expected = texts[k] if not gone[k] else "\n".join(x for i, x in enumerate(ls) if i not in gone[k])
         assert (got[k].text, got[k].n_removed) == (expected, len(gone[k])), k
+    assert any(gone) and line_dedup.remove_repeated_lines(table(spark, []), min_words).count() == 0
+
+
+def test_line_dedup_of_odd_columns(spark):
+    t = "one two three four five six seven eight nine ten"
+    rows = [(None, t, 1, "g", 5, 6), (4, t, 2, "g", 5, 6), (4, t, 3, "g", 5, 6), (5, None, 4, "g", 5, 6)]
+    got = line_dedup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string, row int, gone string, n_lines int, n_removed int"))
+    assert sorted((r.row, r.text, r.gone, r.n_lines, r.n_removed) for r in got.collect()) == [(1, t, "g", 1, 0), (2, "", "g", 1, 1), (3, "", "g", 1, 1), (4, None, "g", 0, 0)]
 
 
 def test_pipeline_drops_whole_copies(spark):
