@@ -23,8 +23,8 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes later copies of maximal repeated line runs; a document of which no word is left goes."""
-    out = line_dedup.remove_repeated_lines(docs, whole=True)
-    nothing = (F.col("n_removed") > 0) & (mixing.word_count(F.col("text")) == 0)
+    out = line_dedup.remove_repeated_lines(docs, counts=("_pipeline_lines", "_pipeline_removed"))
+    nothing = (F.col("_pipeline_removed") > 0) & (mixing.word_count(F.col("text")) == 0)
     return out.where(~nothing).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(docs.columns)
 
 
