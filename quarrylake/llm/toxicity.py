@@ -7,11 +7,11 @@ are words and their beginnings (for languages that inflect), hashed to 64 bits;
 the model keeps those that occur in MIN_DOCS training documents and whose
 occurrence depends on the label (SCREEN standard errors). It is fitted on at
 most SAMPLE labelled rows (those with the least hash of doc_id), a bounded
-sample; every document is scored.
+sample, which also bounds its features; every document is scored.
 
 Defined results: null and empty texts have no sentences and get the score 0; words are lower-cased (A-Z) and stripped of ASCII
-punctuation; repeated rows are scored each; without usable labels every score
-is 0; doc_id, lang, source and labels are never features.
+punctuation; repeated rows are scored each; of several texts with one doc_id the least is learned from, with the
+largest label; without usable labels every score is 0; an empty table gives no rows; doc_id, lang, source and labels are never features.
 """
 
 from __future__ import annotations
@@ -30,8 +30,6 @@ from quarrylake.llm.suffix_tree_lm import fold_of
 #: Labelled rows that the classifier is fitted on at most.
 SAMPLE = 6000
 MIN_DOCS, SCREEN = 4, 4.0
-#: Features of the model at most: those that depend most on the label.
-FEATURES = 20_000
 #: Lengths in bytes of the beginnings of a word that are features.
 BEGINNINGS = (3, 4, 5, 6)
 STEPS, RATE, PENALTY = 150, 0.1, 1e-4
@@ -92,20 +90,21 @@ def _seen(batches):
 
 
 def _bags(kept):
-    schema = pa.schema([("y", pa.int32()), ("sizes", pa.list_(pa.int32())), ("words", pa.list_(pa.int64()))])
+    schema = pa.schema([("y", pa.int32()), ("sizes", pa.binary()), ("words", pa.binary())])
 
     def run(batches):
-        """(y, sentence sizes, kept features) of each labelled text."""
-        known = Cached(kept.value)
+        """(y, kept features in each sentence, their places among the kept ones) of each labelled text, 4 bytes a number."""
+        names = kept.value
+        known = Cached(names)
         for batch in batches:
             sizes, words = [], []
             for text in batch.column("text").to_pylist():
                 s = [np.concatenate([known[w] for w in set(ws)]) for _, _, ws in sentences(text)]
-                sizes.append([len(f) for f in s])
-                words.append(signed(np.concatenate([*s, np.empty(0, np.uint64)])))
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(sizes, schema.field(1).type), pa.array(words, schema.field(2).type)], schema=schema)
+                sizes.append(np.array([len(f) for f in s], np.int32).tobytes())
+                words.append(np.searchsorted(names, np.concatenate([*s, np.empty(0, np.uint64)])).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(sizes, pa.binary()), pa.array(words, pa.binary())], schema=schema)
 
-    return run, "y int, sizes array<int>, words array<long>"
+    return run, "y int, sizes binary, words binary"
 
 
 class Model:
@@ -133,14 +132,16 @@ class Model:
         return 1 - math.prod(1 - x for x in p)
 
 
-def fit(y: np.ndarray, sizes: list, words: list) -> Model:
-    """Maximum likelihood of the noisy-or of logistic sentence scores, by Adam on all rows, with a penalty on weights."""
+def fit(names: np.ndarray, y: np.ndarray, sizes: list, words: list) -> Model:
+    """Maximum likelihood of the noisy-or of logistic sentence scores, by Adam on all rows, with a penalty on weights.
+
+    sizes: of each row's sentences, how many of its words (places in names) are theirs.
+    """
     if not len(y) or not y.any():
         return Model(np.empty(0, np.uint64), np.empty(0), -30.0)
-    bags = np.repeat(np.arange(len(y)), [len(s) for s in sizes])
-    n = np.concatenate([np.asarray(s, np.int64) for s in sizes])
-    owner = np.repeat(np.arange(len(n)), n)
-    names, col = np.unique(np.concatenate([np.asarray(w, np.int64) for w in words]), return_inverse=True)
+    bags = np.repeat(np.arange(len(y), dtype=np.int32), [len(s) for s in sizes])
+    n, col = np.concatenate(sizes), np.concatenate(words)
+    owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
     w = np.zeros(len(names))
     b = float(np.log(y.mean() / max(1.0, len(n) / len(y))))
     m1 = m2 = np.zeros(len(w) + 1)
@@ -153,7 +154,7 @@ def fit(y: np.ndarray, sizes: list, words: list) -> Model:
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad ** 2
         step = RATE * (m1 / (1 - 0.9 ** t)) / (np.sqrt(m2 / (1 - 0.99 ** t)) + 1e-6)
         w, b = w - step[:-1], b - step[-1]
-    return Model(names.view(np.uint64), w, float(b))
+    return Model(names, w, float(b))
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Model:
@@ -161,17 +162,18 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) ->
     known = labels.where(F.col("toxic").isNotNull() & (fold_of(F.col("doc_id"), folds) != held))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     some = known.join(docs.select("doc_id").distinct(), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.select("doc_id", "text").join(F.broadcast(stored(some)), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(stored(some)), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     rows = stored(rows.select("y", "text"))
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     seen = rows.mapInArrow(_seen, "f long, y int, n long").groupBy("f").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("t"))
     # the difference of a feature's share in toxic and in other texts, in standard errors
     share = F.col("n") / n
     z = (F.col("t") / max(toxic, 1) - (F.col("n") - F.col("t")) / max(n - toxic, 1)) / F.sqrt(share * (1 - share) * (1 / max(toxic, 1) + 1 / max(n - toxic, 1)))
-    kept = seen.where((F.col("n") >= MIN_DOCS) & (F.col("n") < n) & (F.abs(z) >= SCREEN)).orderBy(F.abs(z).desc(), "f").limit(FEATURES).select("f").toPandas()
-    run, schema = _bags(docs.sparkSession.sparkContext.broadcast(kept["f"].to_numpy(np.int64).view(np.uint64)))
-    bags = rows.mapInArrow(run, schema).toPandas()
-    return fit(bags["y"].to_numpy(), bags["sizes"].tolist(), bags["words"].tolist())
+    kept = seen.where((F.col("n") >= MIN_DOCS) & (F.col("n") < n) & (F.abs(z) >= SCREEN)).select("f").toArrow()
+    names = np.sort(kept.column("f").to_numpy().view(np.uint64))
+    run, schema = _bags(docs.sparkSession.sparkContext.broadcast(names))
+    bags = rows.mapInArrow(run, schema).toArrow()
+    return fit(names, bags.column("y").to_numpy(), *([np.frombuffer(x.as_buffer(), np.int32) for x in bags.column(c)] for c in ("sizes", "words")))
 
 
 def _scores(parts):

@@ -36,6 +36,38 @@ def test_toxicity_learns_sentences(spark):
     assert toxicity.keep(d, toxicity.train(d, y), 0.5).count() == len(docs) - 120
 
 
+def test_noisy_or_against_brute_force():
+    import numpy as np
+
+    rng = random.Random(2)
+    y = np.array([k % 3 == 0 for k in range(60)]).astype(np.int32)
+    bags = [[sorted(rng.sample(range(5), 2)) + ([5] if bad and s == 0 else []) for s in range(3)] for bad in y]
+    m = toxicity.fit(np.arange(6, dtype=np.uint64), y, [np.array([len(s) for s in b], np.int32) for b in bags], [np.array([w for s in b for w in s], np.int32) for b in bags])
+    names, w, b = m.parts
+
+    def loss(w, b):
+        total = 0.0
+        for bag, label in zip(bags, y):
+            none = 1.0
+            for s in bag:
+                none *= 1 - 1 / (1 + np.exp(-(b + sum(w[x] for x in s))))
+            total -= np.log(max(1 - none, 1e-12)) if label else np.log(max(none, 1e-12))
+        return total / len(y) + toxicity.PENALTY / 2 * sum(x * x for x in w)
+
+    least = loss(w, b)
+    assert least < 0.1 < loss(w * 0, b) and w[5] == max(w)
+    # what the steps lead to is lower than its neighbours along the weight that matters
+    assert all(least < loss(w - np.eye(6)[5] * d, b) for d in (2.0, 4.0))
+
+
+def test_toxicity_of_odd_tables(spark):
+    d = spark.createDataFrame([(1, "bad " * 300_000, 7), (1, "a. b", 7), (None, "x", 7), (2, None, 7)], "doc_id long, text string, y int")
+    y = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.score(d, toxicity.train(d, y)).count() == 4
+    assert toxicity.score(d.limit(0), toxicity.train(d.limit(0), y)).count() == 0
+    assert toxicity.keep(d, toxicity.train(d, y.limit(0)), 0.3).columns == d.columns
+
+
 def blocks(page):
     return H.blocks(H.parse(page), set(), set())
 
