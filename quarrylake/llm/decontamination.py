@@ -6,8 +6,10 @@ rarest term in the corpus; the postings of that term are intersected with the
 offset-adjusted positions of the window's other terms, second rarest first.
 
 Defined results: a null or word-less text has no words, no hits and is clean;
-a null item has no windows; repeated items count under each item_id; extra
-columns are ignored; empty tables give empty or all-clean results.
+a null item has no windows; repeated items count under each item_id, and once
+where item_id and text are the same; rows that share a doc_id are documents of
+their own, told apart by their texts; extra columns are ignored; empty tables
+give empty or all-clean results.
 """
 
 from __future__ import annotations
@@ -15,14 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.common import small_enough, stored
+from quarrylake.llm.common import broadcast_if_small, small_enough, stored
 
 #: All that is no word character of a text not yet lower-cased.
 GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 13
-#: Rows of the query lists up to which they are broadcast: under 100 MB.
-BROADCAST_ROWS = 200_000
+#: Rows and characters of what the windows are looked up by, up to which it is broadcast.
+BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 32_000_000
 
 
 def words(text: Column) -> Column:
@@ -35,50 +37,59 @@ def fold(word: Column) -> Column:
     return F.translate(word, UPPER, LOWER)
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if small_enough(df, BROADCAST_ROWS) else df
+def _maybe_broadcast(df: DataFrame, *texts: str) -> DataFrame:
+    """df to be broadcast if its rows are few enough and so are the characters of its texts, columns of strings or arrays of them."""
+    size = sum((F.length(F.array_join(x, " ") if dict(df.dtypes)[x].startswith("array") else F.col(x)) for x in texts), F.lit(0))
+    small = small_enough(df, BROADCAST_ROWS) and (df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= BROADCAST_CHARS)
+    return F.broadcast(df) if small else df
 
 
 def query_terms(items: DataFrame) -> DataFrame:
-    """(item_id, m, pos, term, key): the words of each item. key, lower(term), is equal for terms equal after fold()."""
-    w = items.select("item_id", words(F.col("text")).alias("w"))
-    return w.select("item_id", F.size("w").alias("m"), F.posexplode("w").alias("pos", "word")).select(
-        "item_id", "m", "pos", fold(F.col("word")).alias("term"), F.lower("word").alias("key"))
+    """(item, item_id, m, pos, term, key): the words of each distinct item. key, lower(term), is equal for terms equal after fold()."""
+    w = items.select("item_id", "text").distinct().select(F.monotonically_increasing_id().alias("item"), "item_id", words(F.col("text")).alias("w"))
+    return w.select("item", "item_id", F.size("w").alias("m"), F.posexplode("w").alias("pos", "word")).select(
+        "item", "item_id", "m", "pos", fold(F.col("word")).alias("term"), F.lower("word").alias("key"))
 
 
 def term_counts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, cf): occurrences in the corpus of each wanted key; partial counts are made before the shuffle."""
     seen = docs.select(F.explode(F.split("text", GAPS)).alias("word")).select(F.lower("word").alias("key"))
-    return seen.join(_maybe_broadcast(keys.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.count("*").alias("cf"))
+    wanted = stored(keys.select("key").distinct())
+    return stored(seen.join(_maybe_broadcast(wanted, "key"), "key", "left_semi").groupBy("key").agg(F.count("*").alias("cf")))
+
+
+def document_key(docs: DataFrame) -> Column:
+    """What tells documents apart: equal for rows with one doc_id and one text, whose results are the same."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
 
 
 def build_index(docs: DataFrame, keys: DataFrame, reach: int = WINDOW - 1) -> DataFrame:
-    """Postings (key, doc_id, pos, ctx, at) of the wanted keys; ctx: the folded words within reach, at: the term's place in it (from 0)."""
-    w = docs.select("doc_id", words(F.col("text")).alias("w"))
-    e = w.select("doc_id", "w", F.posexplode("w").alias("pos", "word")).withColumn("key", F.lower("word"))
-    hit = e.join(_maybe_broadcast(keys.select("key").distinct()), "key", "left_semi")
+    """Postings (key, doc, doc_id, pos, ctx, at) of the wanted keys; ctx: the folded words within reach, at: the term's place in it (from 0)."""
+    w = docs.select(document_key(docs).alias("doc"), "doc_id", words(F.col("text")).alias("w"))
+    e = w.select("doc", "doc_id", "w", F.posexplode("w").alias("pos", "word")).withColumn("key", F.lower("word"))
+    hit = e.join(_maybe_broadcast(stored(keys.select("key").distinct()), "key"), "key", "left_semi")
     start = F.greatest(F.col("pos") - reach, F.lit(0))
     ctx = F.slice("w", start + 1, F.col("pos") - start + 1 + reach)
-    return hit.select("key", "doc_id", "pos", F.transform(ctx, fold).alias("ctx"), (F.col("pos") - start).alias("at"))
+    return hit.select("key", "doc", "doc_id", "pos", F.transform(ctx, fold).alias("ctx"), (F.col("pos") - start).alias("at"))
 
 
 def plan_windows(terms: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, m, pos, key, second, ictx, iat): for each window that can occur its rarest term, once per place in an item.
+    """(item, item_id, m, pos, key, second, ictx, iat): for each window that can occur its rarest term, once per place in an item.
 
     second: offset of the rarest other term of the window, as seen from the rarest; ictx and iat: the item's words around it.
     """
-    t = terms.join(_maybe_broadcast(counts), "key", "left").fillna(0, ["cf"])
-    item = t.groupBy("item_id", "m").agg(F.sort_array(F.collect_list(F.struct("pos", "term", "key", "cf"))).alias("w"))
+    t = terms.join(_maybe_broadcast(counts, "key"), "key", "left").fillna(0, ["cf"])
+    item = t.groupBy("item", "item_id", "m").agg(F.sort_array(F.collect_list(F.struct("pos", "term", "key", "cf"))).alias("w"))
     size = F.least("m", F.lit(window))
-    wins = item.select("item_id", "m", "w", F.explode(F.sequence(F.lit(0), F.col("m") - size)).alias("s"), size.alias("k"))
+    wins = item.select("item", "item_id", "m", "w", F.explode(F.sequence(F.lit(0), F.col("m") - size)).alias("s"), size.alias("k"))
     order = F.sort_array(F.transform(F.slice("w", F.col("s") + 1, F.col("k")), lambda x: F.struct(x.cf.alias("cf"), x.pos.alias("pos"))))
-    wins = wins.select("item_id", "m", "w", order.alias("o")).where(F.col("o")[0].cf > 0)
-    wins = wins.select("item_id", "m", "w", F.col("o")[0].pos.alias("pos"),
+    wins = wins.select("item", "item_id", "m", "w", order.alias("o")).where(F.col("o")[0].cf > 0)
+    wins = wins.select("item", "item_id", "m", "w", F.col("o")[0].pos.alias("pos"),
                        F.when(F.size("o") > 1, F.get("o", F.lit(1)).pos - F.col("o")[0].pos).otherwise(0).alias("second"))
     # one row for each rarest place and second term; the exact check covers every window through that place
-    wins = wins.dropDuplicates(["item_id", "pos", "second"])
+    wins = wins.dropDuplicates(["item", "pos", "second"])
     start = F.greatest(F.col("pos") - (window - 1), F.lit(0))
-    return wins.select("item_id", "m", "pos", F.col("w")[F.col("pos")].key.alias("key"), "second",
+    return wins.select("item", "item_id", "m", "pos", F.col("w")[F.col("pos")].key.alias("key"), "second",
                        F.transform(F.slice("w", start + 1, F.col("pos") - start + window), lambda x: x.term).alias("ictx"),
                        (F.col("pos") - start).alias("iat"))
 
@@ -93,12 +104,12 @@ def _run(left: bool, window: int) -> Column:
 
 
 def phrase_matches(index: DataFrame, plan: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, start, end): runs of document words, end exclusive, that hold an occurrence of a window."""
-    both = index.withColumnRenamed("pos", "pos_d").join(_maybe_broadcast(plan.drop("pos")), "key")
+    """(doc, doc_id, item_id, start, end): runs of document words, end exclusive, that hold an occurrence of a window."""
+    both = index.withColumnRenamed("pos", "pos_d").join(_maybe_broadcast(plan.drop("pos", "item"), "key", "ictx"), "key")
     both = both.where(F.get("ctx", F.col("at") + F.col("second")) == F.get("ictx", F.col("iat") + F.col("second")))
-    runs = both.select("doc_id", "item_id", "m", "pos_d", _run(True, window).alias("l"), _run(False, window).alias("r"))
+    runs = both.select("doc", "doc_id", "item_id", "m", "pos_d", _run(True, window).alias("l"), _run(False, window).alias("r"))
     runs = runs.where(F.col("l") + F.col("r") + 1 >= F.least("m", F.lit(window)))
-    return runs.select("doc_id", "item_id", (F.col("pos_d") - F.col("l")).alias("start"), (F.col("pos_d") + F.col("r") + 1).alias("end"))
+    return runs.select("doc", "doc_id", "item_id", (F.col("pos_d") - F.col("l")).alias("start"), (F.col("pos_d") + F.col("r") + 1).alias("end"))
 
 
 def proximity_matches(docs: DataFrame, queries: DataFrame, slop: int) -> DataFrame:
@@ -108,16 +119,16 @@ def proximity_matches(docs: DataFrame, queries: DataFrame, slop: int) -> DataFra
     """
     t = queries.select("query_id", F.posexplode(F.array_distinct(F.transform("terms", fold))).alias("pos", "term")).withColumn("key", F.lower("term"))
     counts = term_counts(docs, t)
-    ranked = t.join(counts, "key", "left").fillna(0, ["cf"]).groupBy("query_id").agg(
+    ranked = t.join(broadcast_if_small(counts), "key", "left").fillna(0, ["cf"]).groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct("cf", "term", "key"))).alias("o"))
     plan = ranked.where(F.col("o")[0].cf > 0).select("query_id", F.col("o")[0].key.alias("key"), F.col("o")[0].term.alias("first"), F.transform("o", lambda x: x.term).alias("need"))
-    found = build_index(docs, plan, slop).join(_maybe_broadcast(plan), "key")
+    found = build_index(docs, plan, slop).join(_maybe_broadcast(plan, "need"), "key")
     ok = (F.get("ctx", F.col("at")) == F.col("first")) & (F.size(F.array_except("need", "ctx")) == 0)
     return found.where(ok).select("doc_id", "query_id", F.col("pos").alias("start"))
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, start, end) for docs(doc_id, text) and items(item_id, text)."""
+    """(doc, doc_id, item_id, start, end) for docs(doc_id, text) and items(item_id, text)."""
     terms = stored(query_terms(items))
     plan = stored(plan_windows(terms, term_counts(docs, terms), window))
     return phrase_matches(build_index(docs, plan, window - 1), plan, window)
@@ -127,14 +138,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     """Per document: n_words, n_hit, n_items, item_ids (sorted as strings), contaminated (share * n_hit >= n_words > 0 and a hit)."""
     m = find_contamination(docs.select("doc_id", "text"), items.select("item_id", "text"), window)
     # overlapping runs are merged per document: a row for each distinct run only
-    per = m.groupBy("doc_id").agg(
+    per = m.groupBy("doc").agg(
         F.collect_set(F.struct("start", "end")).alias("runs"), F.collect_set(F.col("item_id").cast("string")).alias("ids"))
     merged = F.aggregate(
         F.sort_array("runs"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")),
         lambda a, x: F.struct((a.n + F.greatest(x.end - F.greatest(x.start, a.to), F.lit(0))).cast("long").alias("n"), F.greatest(a.to, x.end).alias("to"))).n
-    per = per.select("doc_id", merged.alias("n_hit"), F.array_sort("ids").alias("item_ids"))
-    n = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = n.join(per, "doc_id", "left").select(
+    per = per.select("doc", merged.alias("n_hit"), F.array_sort("ids").alias("item_ids"))
+    n = docs.select("doc_id", document_key(docs).alias("doc"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    out = n.join(per, "doc", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
     return out.withColumns({

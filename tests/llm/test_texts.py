@@ -66,6 +66,12 @@ def test_decontamination(spark):
                         ids.add(str(i))
         assert got[k] == (len(w), len(hit), sorted(ids), bool(hit) and 20 * len(hit) >= len(w)), k
     assert decontamination.contamination(table(spark, []), bench).count() == 0
+    # a benchmark row twice, and rows that share a doc_id
+    again = {r.doc_id: (r.n_words, r.n_hit, list(r.item_ids), r.contaminated) for r in decontamination.contamination(table(spark, texts), bench.unionByName(bench)).collect()}
+    assert again == got
+    shared = table(spark, [texts[0], "four clean words here", None, texts[0]]).withColumn("doc_id", F.when(F.col("doc_id") == 2, None).otherwise(1))
+    rows = sorted((r.n_words, r.n_hit, r.contaminated) for r in decontamination.contamination(shared, bench).collect())
+    assert rows == [(0, 0, False), (4, 0, False), *[(got[0][0], got[0][1], True)] * 2]
     assert decontamination.contamination(table(spark, texts), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
