@@ -6,8 +6,9 @@ A fingerprint has BITS bits, written in hex.
 
 Defined results: null and empty texts have no terms and the fingerprint 0;
 equal texts have equal fingerprints; the likeness of two fingerprints is the
-cosine that their share of equal bits stands for, 0 at least; of repeated rows
-with one doc_id each is a document of its own, in text order.
+cosine that their share of equal bits stands for, 0 at least; rows with one
+doc_id are documents of their own, in the order of their texts' hashes; a null
+doc_id comes last and is no query; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.common import WordHasher, mix, stored, utf8
+from quarrylake.llm.common import WordHasher, broadcast_if_small, mix, stored, utf8
 
 BITS = 128
 PAIR_WEIGHT, WORD_WEIGHT = 1.0, 0.25
+#: Bits that the query's search allows, and which rows are its queries: those whose doc_id SEARCHED divides.
+RADIUS, SEARCHED = 3, 20
 _PART = 1 << 14
 
 
@@ -162,10 +165,12 @@ def _edge_rows(batches):
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text (its end replaced by the next document's beginning), and their likeness.
 
-    Documents are sorted in ranges, so a document's next one is in its partition but for one document of each.
+    Documents are sorted in ranges, so a document's next one is in its partition but for one document of each. The
+    ranges are by doc_id and a hash: the driver samples those, never texts.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_last(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("h")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     found = stored(rows.mapInArrow(_neighbour_rows, _OUT + ", part long, edge int, text string"))
     heads = found.where("edge = 0").select("part", F.col("text").alias("after"), F.col("fingerprint").alias("other"))
     # the next partition with rows; after the last, the first: one pair of numbers for each partition
@@ -177,5 +182,14 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     return found.where("edge = -1").drop("part", "edge", "text").unionByName(ends.mapInArrow(_edge_rows, _OUT))
 
 
+def near_counts(rows: DataFrame, radius: int = RADIUS, every: int = SEARCHED) -> DataFrame:
+    """rows (doc_id, fingerprint, ...) with n_near: for each doc_id that every divides, how many other fingerprints lie within radius; NULL for the rest."""
+    asked = rows.where(F.col("doc_id") % every == 0)
+    near = neighbours(asked, rows, radius).groupBy("query").agg((F.count("*") - 1).alias("_near"))  # it finds itself
+    near = stored(near)
+    out = rows.join(broadcast_if_small(near), (F.col("fingerprint") == F.col("query")) & (F.col("doc_id") % every == 0), "left")
+    return out.select(*rows.columns, F.col("_near").alias("n_near"))
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
-    return compare_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_counts(stored(compare_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))))

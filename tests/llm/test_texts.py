@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small tables that hold nulls, empty texts, repeats and odd columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -107,6 +108,38 @@ def test_pii(spark, tmp_path):
     assert len(got) == len(texts)
 
 
+def simhash_by_hand(text):
+    """Word by word and bit by bit; hashes of words are the operator's own."""
+    import numpy as np
+
+    h, n = simhash.WordHasher(lower=False)(np.frombuffer(text.encode(), np.uint8))
+    votes, total = [0.0] * simhash.BITS, 0.0
+    logs = [math.log2(1 + int(x)) for x in n]
+    terms = [(x, simhash.WORD_WEIGHT * y) for x, y in zip(h, logs)]
+    with np.errstate(over="ignore"):
+        terms += [(simhash.mix(np.array([h[k] * np.uint64(0xC2B2AE3D27D4EB4F) + h[k + 1]]))[0], simhash.PAIR_WEIGHT * (logs[k] + logs[k + 1]) / 2) for k in range(len(h) - 1)]
+    for x, weight in terms:
+        total += weight
+        for k, bit in enumerate(simhash._signs(np.array([x]))[0]):
+            votes[k] += weight * bit
+    bits = [simhash.BITS - 1 - k for k in range(simhash.BITS)]
+    # a bit of as many votes for as against is a matter of rounding
+    tied = sum(1 << b for b, v in zip(bits, votes) if abs(2 * v - total) <= 1e-6 * total)
+    return sum(1 << b for b, v in zip(bits, votes) if 2 * v > total), tied
+
+
+def test_simhash_of_odd_tables(spark):
+    long = "word " * 700_000  # more than one piece
+    rows = [(None, "a b c"), (2, "x y"), (2, "p q r s"), (2, None), (5, long), (20, "near this one here now"), (40, "near this one here now")]
+    out = simhash.near_counts(simhash.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string").withColumn("fingerprint", F.lit(1)))).collect()
+    assert len(out) == len(rows) and {r.doc_id: r.n_near for r in out if r.n_near is not None} == {20: 0, 40: 0}
+    assert next(r for r in out if r.doc_id == 5).n_chars == len(long)
+    assert [r.near_next for r in out if r.doc_id == 20] == [1.0]
+    f = {r.doc_id: r.fingerprint for r in out}
+    near = spark.createDataFrame([(0, "0" * 32), (1, "0" * 31 + "7"), (3, "0" * 31 + "f"), (60, "1" + "0" * 31)], "doc_id long, fingerprint string")
+    assert {r.doc_id: r.n_near for r in simhash.near_counts(near).collect()} == {0: 2, 1: None, 3: None, 60: 1} and f
+
+
 def test_simhash(spark):
     texts = corpus()
     rows = [(k, t) for k, t in enumerate(texts)]
@@ -122,6 +155,9 @@ def test_simhash(spark):
     assert got[0].fingerprint == got[1].fingerprint
     assert simhash.compare_with_next(table(spark, [])).count() == 0
     assert [r.near_next for r in simhash.compare_with_next(table(spark, ["alone"])).collect()] == [1.0]
+    for k, t in rows:
+        value, tied = simhash_by_hand(t or "")
+        assert (int(got[k].fingerprint, 16) ^ value) & ~tied == 0, k
     f = simhash.fingerprints(table(spark, texts))
     near = {(r["query"], r.match): r.distance for r in simhash.neighbours(f, f, 3).collect()}
     all_f = {r.fingerprint for r in f.collect()}
@@ -222,8 +258,6 @@ def test_substring_dedup(spark, monkeypatch, crowded):
 
 
 def test_suffix_tree_scores(spark):
-    import math
-
     texts = corpus() + ["the cat sat on the mat"] * 60
     rows = suffix_tree_lm.score_documents(table(spark, texts)).collect()
     held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in range(len(texts))}
@@ -254,8 +288,6 @@ def test_suffix_tree_distributions_sum_to_one(spark):
 
 def suffix_tree_by_hand(tokens, held):
     """Scores of tokenised texts by dictionaries that hold every context."""
-    import math
-
     train = [t for t, h in zip(tokens, held) if not h]
     c = Counter(w for t in train for w in t)
     n = sum(c.values()) + len(c) + 1
