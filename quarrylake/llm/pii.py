@@ -11,7 +11,9 @@ depends on the labelers and features, not on the corpus.
 
 Defined results: a null text counts as empty; offsets are code points, end
 exclusive; base spans always stay; a proposed span that overlaps a base span is
-dropped; repeated rows are separate documents; extra columns are ignored.
+dropped; repeated rows are separate documents; extra columns are ignored; an
+empty table gives no rows. Of an assignment (token = "...") the span is the
+value, and of a phrase that introduces a name the name.
 """
 
 from __future__ import annotations
@@ -35,15 +37,30 @@ BASE = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 KINDS = [*BASE, "iban", "name", "secret", "ssn"]
 TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra"
+KEYS = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key"
+#: How well-known keys begin, with what follows.
+SECRETS = (r"(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{8,64}|sk-[A-Za-z0-9]{20,64}|gh[oprsu]_[A-Za-z0-9]{16,64}|github_pat_[A-Za-z0-9_]{20,90}|glpat-[A-Za-z0-9_-]{16,40}"
+           r"|(?:AKIA|ASIA)[A-Z0-9]{12,20}|AIza[A-Za-z0-9_-]{30,40}|xox[abprs]-[A-Za-z0-9-]{10,80}|eyJ[A-Za-z0-9_-]{8,400}\.[A-Za-z0-9_-]{8,800}\.[A-Za-z0-9_-]{8,400}")
+_NAME = "[A-ZÀ-Þ][a-zß-ÿ]{1,30}"
+INTRODUCED = "[Mm]y name is|[Nn]ame is|[Nn]ame:|[Ii] am|I'm|[Dd]ear|[Ss]incerely,|[Rr]egards,|[Mm]ein Name ist|[Ii]ch hei(?:ß|ss)e|[Jj]e m'appelle|[Mm]e llamo"
 WIDER = (
-    r"(?<![A-Za-z0-9+])(?:"
+    r"(?<![A-Za-z0-9+_-])(?:"
     r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"
     r"|[0-9]{3}-[0-9]{2}-[0-9]{4}"
+    r"|0[0-9]{2,4}[ /-][0-9]{5,8}"
     r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?"
-    r"|[a-f0-9]{16,64}"
+    rf"|{SECRETS}"
+    r"|[a-f0-9]{16,64}|[A-F0-9]{32,64}"
+    rf"|(?i:{KEYS})[\x20\t]{{0,3}}[:=][\x20\t]{{0,3}}[\"']?[^\s\"',;<>()]{{6,128}}"
     r"|[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,64}(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[A-Za-z0-9-]{1,64}){1,8}"
-    rf"|(?:{TITLES})\.? [A-ZÀ-Þ][a-zß-ÿ]{{1,30}}(?: [A-ZÀ-Þ][a-zß-ÿ]{{1,30}})?"
+    rf"|(?:{TITLES})\.? {_NAME}(?: {_NAME})?"
+    rf"|(?:{INTRODUCED}) {_NAME} {_NAME}"
     r")(?![A-Za-z0-9])")
+#: What of a match is the span, where that is less than the match.
+VALUE = {"secret": rf"^(?i:{KEYS})[\x20\t]*[:=][\x20\t]*[\"']?(.+)$", "name": rf"^(?:{INTRODUCED}) (.+)$"}
+#: The gazetteer of given names.
+GIVEN = ("Anna|Maria|Laura|Julia|Sarah|Emma|Mary|Linda|Susan|Karen|Lisa|Nancy|Elena|Carmen|Sofia|Marie|Claire|Sophie|Camille|Petra|Sabine|Ursula|Heike|Ingrid|Monika|Jane|Alice|Olivia|"
+         "John|James|Robert|Michael|David|William|Thomas|Peter|Paul|Mark|George|Daniel|Hans|Klaus|Stefan|Andreas|Martin|Wolfgang|Jürgen|Pierre|Jean|Luc|Michel|Antoine|José|Juan|Carlos|Luis|Miguel|Pedro|Antonio")
 #: Cue words before a span.
 CUES = {
     "email": "e-?mail|mail|contact|write|correo|courriel|kontakt", "ip": "ip|host|server|address|from", "card": "card|visa|credit|karte|carte|tarjeta",
@@ -53,7 +70,7 @@ AGAINST = "version|isbn|issn|page|figure|table|section|vol|no|commit|sha|md5|rev
 #: Endings and beginnings that the gazetteer knows, by kind.
 GAZETTEER = {
     "email": r"(?i)\.(com|org|net|edu|gov|de|fr|es|uk|info|io|eu)$", "iban": r"^(DE|FR|ES|GB|IT|NL|AT|CH|BE|PT|PL|IE)", "card": r"^(4|5[1-5]|2[2-7]|3[47]|6)",
-    "phone": r"^\+?(1|33|34|44|49|39|31|41|43|\()", "name": rf"^({TITLES})"}
+    "phone": r"^\+?(1|33|34|44|49|39|31|41|43|\(|0)", "name": rf"^({TITLES}|{GIVEN})\b", "secret": rf"^(?:{SECRETS})$"}
 CONTEXT = 24
 LABELERS = ["format", "cue", "known", "edges"]
 FEATURES = ["kind", "length", "digits", "marks", "before", "after"]
@@ -98,9 +115,15 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     e = e.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
     e = e.withColumn("after", F.lead("first").over(order)).where("m IS NOT NULL")
     d = F.length(_digits(F.col("m")))
-    proposed = (F.when(F.col("m").rlike(r"(?i)[\[(]at[\])]"), "email").when(F.col("m").rlike("^[A-Z]{2}[0-9]{2}"), "iban").when(F.col("m").rlike(f"^({TITLES})"), "name")
-                .when(F.col("m").rlike("^[a-f0-9]{16,}$") & (d < F.length("m")), "secret").when(F.col("m").rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn").when(d == 10, "phone"))
+    proposed = (F.when(F.col("m").rlike(r"(?i)[\[(]at[\])]"), "email").when(F.col("m").rlike(VALUE["secret"]) | F.col("m").rlike(f"^(?:{SECRETS})$"), "secret")
+                .when(F.col("m").rlike(f"^({TITLES})") | F.col("m").rlike(VALUE["name"]), "name").when(F.col("m").rlike("^(?:[a-f0-9]{16,}|[A-F0-9]{32,})$") & (d < F.length("m")), "secret")
+                .when(F.col("m").rlike("^[A-Z]{2}[0-9]{2}"), "iban").when(F.col("m").rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn").when(F.col("m").rlike("^[0-9(]") & d.between(8, 13), "phone"))
     e = e.withColumn("kind", F.when(F.col("source") == "wider", proposed).otherwise(F.col("source"))).where("kind IS NOT NULL")
+    # what comes before the value goes to its left context
+    value = F.col("m")
+    for k, p in VALUE.items():
+        value = F.when((F.col("source") == "wider") & (F.col("kind") == k) & F.col("m").rlike(p), F.regexp_extract("m", p, 1)).otherwise(value)
+    e = e.withColumn("value", value).withColumns({"left": F.right(F.concat("left", F.substr("m", F.lit(1), F.length("m") - F.length("value"))), F.lit(CONTEXT)), "n": F.length("value").cast("long"), "m": F.col("value")})
     good = F.lit(False)
     for k in BASE:
         good = F.when(F.col("source") == k, valid(k, F.col("m"))).otherwise(good)
@@ -121,7 +144,7 @@ def votes(c: DataFrame) -> DataFrame:
     glued = F.col("left").rlike(r"[\p{L}0-9_]$") | F.col("after").rlike(r"^[\p{L}0-9_]")
     d = F.length(_digits(F.col("m"))) / F.length("m")
     return c.withColumns({
-        "format": F.when(F.col("base") | F.col("kind").isin("iban", "ssn", "name") | F.col("m").rlike(r"(?i)[\[(](at|dot)[\])]"), 1).when(F.col("of_base"), -1).otherwise(0),
+        "format": F.when((F.col("kind") == "secret") & ~F.col("m").rlike("[0-9]"), -1).when(F.col("base") | F.col("kind").isin("iban", "ssn", "name") | ((F.col("kind") == "secret") & F.col("m").rlike("[A-Za-z]")) | F.col("m").rlike(r"(?i)[\[(](at|dot)[\])]"), 1).when(F.col("of_base"), -1).otherwise(0),
         "cue": F.when(cue, 1).when(foe, -1).otherwise(0),
         "known": F.when(_by_kind(GAZETTEER, "m"), 1).otherwise(0),
         "edges": F.when(glued, -1).otherwise(1),
@@ -209,5 +232,6 @@ def op2_pii(spark, sf_dir: str) -> DataFrame:
         F.sort_array(F.collect_list(F.when(F.col("base"), x))).alias("b"), F.sort_array(F.collect_list(x)).alias("a"))
     text = {c: F.array_join(F.transform(c, lambda y: y.s), ",") for c in "ab"}
     out = rows.join(per, "row", "left")
-    return out.select("doc_id", *(F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in BASE),
+    # n_spans: base spans and those that the method adds
+    return out.select("doc_id", *(F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in BASE), F.coalesce(F.size("a"), F.lit(0)).cast("long").alias("n_spans"),
                       F.sha2(F.coalesce(text["b"], F.lit("")).cast("binary"), 256).alias("base_sha256"), F.coalesce(text["a"], F.lit("")).alias("spans"))

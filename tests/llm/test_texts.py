@@ -106,6 +106,46 @@ def test_pii(spark, tmp_path):
         assert got[k].base_sha256 == hashlib.sha256(joined.encode()).hexdigest(), k
         assert set(filter(None, joined.split(","))) <= set(got[k].spans.split(","))
     assert len(got) == len(texts)
+    table(spark, []).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    assert pii.op2_pii(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_pii_finds_more_kinds(spark):
+    rng = random.Random(3)
+
+    def hexes(n):
+        return "".join(rng.choice("0123456789abcdef") for _ in range(n))
+
+    wanted = {"secret": [hexes(40), "sk_live_" + hexes(24), "ghp_" + hexes(36), "AKIA" + "ABCD1234EFGH5678", "hunter2horse"], "name": ["John Smith", "Dr. Jane Doe"], "phone": ["030 1234567", "(555) 123-4567"], "ssn": ["123-45-6789"], "iban": ["DE89 3704 0044 0532 0130 00"]}
+    said = ['token = "{}"', "key {} is", "use {} now", "id {} there", "password: {}", "My name is {}.", "ask {} today", "call {} today", "call {} today", "SSN {}.", "account {}."]
+    texts = [f"é some words {s.format(x)} and more words" for s, x in zip(said, [x for xs in wanted.values() for x in xs])]
+    clean = [f"plain words number {k} of page {k * 7} in section 4.{k}" for k in range(60)] + ["the token was lost", "a secret garden", "I am here"]
+    rows, spans = pii.personal_data(table(spark, texts * 3 + clean))
+    found = {}
+    for r in spans.collect():
+        found.setdefault(r.doc_id, set()).add((r.kind, r.m, r.start, r.end))
+    kinds = [k for k, xs in wanted.items() for _ in xs]
+    for k, (kind, x) in enumerate(zip(kinds, [x for xs in wanted.values() for x in xs])):
+        at = texts[k].index(x)
+        assert (kind, x, at, at + len(x)) in found.get(k, ()), (kind, x, found.get(k))
+    assert set(found) == set(range(3 * len(texts)))
+
+
+def test_pii_estimates_the_hidden_class():
+    # two kinds of candidates whose labelers are right nine times of ten
+    rng = random.Random(4)
+    counts = Counter()
+    for _ in range(4000):
+        y = rng.random() < 0.3
+        counts[tuple((1 if y else -1) * (1 if rng.random() < 0.9 else -1) for _ in pii.LABELERS), y] += 1
+    patterns = Counter()
+    for (v, _), n in counts.items():
+        patterns[v] += n
+    post = pii.estimate(patterns)
+    wrong = sum(n for (v, y), n in counts.items() if (post[v] > 0.5) != y)
+    assert wrong / 4000 < 0.06 and abs(sum(post[v] * n for v, n in patterns.items()) / 4000 - 0.3) < 0.03
+    weights = pii.fit_classifier([((k, 1, 1, 1, 1, 1), float(k == "a"), 10.0) for k in "ab"])
+    assert weights[pii.FEATURES[0], "a"] > 0 > weights[pii.FEATURES[0], "b"]
 
 
 def simhash_by_hand(text):
