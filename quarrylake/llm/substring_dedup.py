@@ -8,15 +8,21 @@ with the same trigger hash.
 
 * The dictionary holds the distinct phrases of triggers that occur twice; the
   parse is the list of (document, place, phrase).
-* All runs of a phrase that occurs twice in the parse are repeated.
-* The runs (suffixes of dictionary phrases, cut at LENGTH) of different phrases
-  with one trigger are brought into one order; neighbours that agree in LENGTH
-  bytes are repeated. As only agreement in the first LENGTH bytes matters, the
-  order is by a 64-bit hash of those bytes, not lexicographic.
+* Phrases overlap by LENGTH - 1, so each run lies in one phrase of the parse. Of
+  the parse's suffix array only the order of its first symbols counts: all runs
+  of a phrase that occurs twice in the parse are repeated.
+* The suffixes of dictionary phrases that may be equal (those of one trigger) are
+  sorted together by prefix doubling, up to LENGTH symbols, beyond which their
+  order makes no difference. Suffixes of one rank there are repeated runs.
+
+The same parse over words finds passages of more than PASSAGE words that two
+documents share, however few bytes they have.
 
 Defined results: null and empty texts have no bytes; texts shorter than LENGTH
 keep all; matches never cross documents; repeated rows are separate documents,
-each removed where it repeats the other; doc_id must identify a row.
+each removed where it repeats the other (rows with one doc_id and one text
+share no passage with each other); a null doc_id is kept; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -28,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.common import byte_values, mix, powers, signed, stored, utf8
+from quarrylake.llm.common import WordHasher, broadcast_if_small, byte_values, mix, powers, signed, stored, utf8
 
 LENGTH, GRAM = 400, 100
+#: A passage has more words than this.
+PASSAGE, PASSAGE_GRAM = 50, 13
 #: Runs looked at together in a long text, and anchors sent on together.
 STEP, FLUSH = 1 << 20, 1 << 18
 #: Phrases whose suffixes one task orders, about; triggers with more go by single runs.
@@ -41,16 +49,22 @@ _MASK = np.uint64((1 << 24) - 1)
 
 
 class Parser:
-    def __init__(self, length: int, gram: int):
-        self.length, self.gram, self.values = length, gram, byte_values()
+    """Parses sequences of bytes, or of words as 64-bit hashes."""
+
+    def __init__(self, length: int, gram: int, words: bool = False):
+        self.length, self.gram, self.words, self.values = length, gram, words, byte_values()
         self.up = self.down = np.empty(0, np.uint64)
+        self.hasher = WordHasher(lower=False)
 
-    def sums(self, b: np.ndarray) -> np.ndarray:
-        if len(b) > len(self.up):
-            n = max(len(b), 1 << 16)
+    def symbols(self, text: np.ndarray) -> np.ndarray:
+        return self.hasher(text)[0] if self.words else text
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        if len(x) > len(self.up):
+            n = max(len(x), 1 << 16)
             self.up, self.down = powers(_P, n), powers(pow(_P, -1, 1 << 64), n)
-        h = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(self.values[b] * self.up[:len(b)], out=h[1:])
+        h = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum((x if self.words else self.values[x]) * self.up[:len(x)], out=h[1:])
         return h
 
     def phrases(self, b: np.ndarray):
@@ -85,11 +99,11 @@ class Parser:
 _KINDS = (np.uint64, np.uint64, np.int64, np.int32, np.int32, np.int32, np.int8)
 
 
-def _parse(buckets: int, length: int, gram: int):
+def _parse(buckets: int, *kind):
     schema = pa.schema([("bucket", pa.int64()), *((f"x{k}", pa.binary()) for k in range(len(_KINDS)))])
 
     def run(batches):
-        parser, held, count = Parser(length, gram), [], 0
+        parser, held, count = Parser(*kind), [], 0
 
         def dealt():
             cols = [np.concatenate(x).astype(k) for x, k in zip(zip(*held), _KINDS)]
@@ -113,10 +127,10 @@ def _parse(buckets: int, length: int, gram: int):
                 *(pa.array([c[x:y].tobytes() for x, y in parts], pa.binary()) for c in cols)], schema=schema)
 
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = batch.column("doc").to_numpy()
             buf, offs = utf8(batch.column("text"))
             for k in range(len(ids)):
-                found = parser.phrases(buf[offs[k]:offs[k + 1]])
+                found = parser.phrases(parser.symbols(buf[offs[k]:offs[k + 1]]))
                 if found:
                     n = len(found[0])
                     held.append([found[0], found[1], np.full(n, ids[k]), *found[2:], np.zeros(n, np.int8)])
@@ -140,109 +154,127 @@ def _repeated(table: pa.Table) -> pa.Table:
     keep = known.copy()
     keep[o] = np.concatenate(([False], same)) | np.concatenate((same, [False])) if len(o) else False
     keep |= flag == 1
-    return pa.table({"trig": signed(trig[keep]), "ctx": signed(ctx[keep]), "doc_id": doc[keep], "a": a[keep], "lo": lo[keep], "hi": hi[keep]})
+    return pa.table({"trig": signed(trig[keep]), "ctx": signed(ctx[keep]), "doc": doc[keep], "a": a[keep], "lo": lo[keep], "hi": hi[keep]})
+
 
+_PHRASE = "trig long, doc long, lo int, hi int, least long, most long, done boolean, b binary"
 
-def _with_bytes(length: int):
-    """Rows of docs with their wanted phrases: each phrase with its bytes."""
-    schema = pa.schema([("trig", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("a", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("b", pa.binary())])
+
+def _with_symbols(length: int, words: bool):
+    """Rows of docs with their wanted phrases: each phrase with its symbols."""
+    schema = pa.schema([("trig", pa.int64()), ("doc", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("least", pa.int64()), ("most", pa.int64()), ("done", pa.bool_()), ("b", pa.binary())])
 
     def run(batches):
+        parser = Parser(length, 1, words)
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+            ids = batch.column("doc").to_pylist()
             buf, offs = utf8(batch.column("text"))
             rows = []
             for k, wanted in enumerate(batch.column("wanted").to_pylist()):
-                text = buf[offs[k]:offs[k + 1]]
+                text = parser.symbols(buf[offs[k]:offs[k + 1]])
                 for w in wanted:
-                    rows.append((w["trig"], w["n"], ids[k], w["a"], w["lo"], w["hi"], text[w["lo"]:w["hi"] + length].tobytes()))
+                    rows.append((w["trig"], ids[k], w["lo"], w["hi"], w["least"], w["most"], w["done"], text[w["lo"]:w["hi"] + length].tobytes()))
                     if len(rows) >= 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                         rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return run, "trig long, n long, doc_id long, a int, lo int, hi int, b binary"
-
-
-def _suffix_keys(parser: Parser, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, phrase's row, run's start) of all runs of the phrases; equal keys: the same trigger, place and bytes."""
-    trig, a, lo, hi = (table.column(c).to_numpy() for c in ("trig", "a", "lo", "hi"))
-    keys, owners, starts = [], [], []
-    for k, b in enumerate(table.column("b")):
-        n = int(hi[k] - lo[k])
-        s = np.arange(n + 1)
-        place = (s + int(lo[k] - a[k])).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
-        keys.append(mix(parser.runs(np.frombuffer(b.as_buffer(), np.uint8), 0, n) + place + np.uint64(int(trig[k]) % (1 << 64))))
-        owners.append(np.full(n + 1, k))
-        starts.append(s + lo[k])
-    return np.concatenate(keys), np.concatenate(owners), np.concatenate(starts)
+    return run
 
 
-def _ordered(length: int, gram: int):
+def suffix_ranks(x: np.ndarray, length: int) -> np.ndarray:
+    """For each start in x the rank of the length symbols from there on among all such strings, by prefix doubling."""
+    n, size = len(x), 1
+    if length > len(x):
+        return np.empty(0, np.int64)
+    r = x.astype(np.uint64)
+    if x.dtype == np.uint8 and length >= 8:  # eight bytes are one number
+        size, n = 8, n - 7
+        r = sum(x[k:n + k].astype(np.uint64) << np.uint64(56 - 8 * k) for k in range(8))
+    r = np.unique(r, return_inverse=True)[1].astype(np.int64)
+    while size < length:
+        step = min(size, length - size)
+        r = np.unique(r[:-step] * (r.max() + 1) + r[step:], return_inverse=True)[1].astype(np.int64)
+        size += step
+    return r
+
+
+def _ordered(length: int, words: bool, across: bool):
     def run(table: pa.Table) -> pa.Table:
-        """Ranges of repeated runs in the phrases (of n = 1) of one bucket."""
-        key, owner, start = _suffix_keys(Parser(length, gram), table)
-        o = np.argsort(key, kind="stable")
-        same = key[o][1:] == key[o][:-1]
-        hit = np.zeros(len(key), bool)
-        hit[o] = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        hit &= table.column("n").to_numpy()[owner] == 1
-        at = np.flatnonzero(hit)
+        """Ranges of repeated runs in the phrases of one bucket that are not done; across: repeated in another document."""
+        lo, hi, doc, least, most = (table.column(c).to_numpy() for c in ("lo", "hi", "doc", "least", "most"))
+        done = table.column("done").to_numpy(zero_copy_only=False).astype(bool)
+        parts = [np.frombuffer(x.as_buffer(), np.uint64 if words else np.uint8) for x in table.column("b")]
+        ranks = suffix_ranks(np.concatenate(parts), length)
+        runs = (hi - lo + 1).astype(np.int64)
+        offset = np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1]))
+        owner = np.repeat(np.arange(len(parts)), runs)
+        start = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
+        rank = ranks[np.repeat(offset, runs) + start]
+        if across:
+            low, high = np.full(len(ranks), np.iinfo(np.int64).max), np.full(len(ranks), np.iinfo(np.int64).min)
+            np.minimum.at(low, rank, least[owner])
+            np.maximum.at(high, rank, most[owner])
+            hit = (low < high)[rank]
+        else:
+            hit = (np.bincount(rank, minlength=1) > 1)[rank]
+        at = np.flatnonzero(hit & ~done[owner])
         new = np.concatenate(([True], (np.diff(at) != 1) | (owner[at][1:] != owner[at][:-1]))) if len(at) else np.empty(0, bool)
         first, last = at[new], at[np.concatenate((new[1:], [True]))] if len(at) else at
-        return pa.table({"doc_id": table.column("doc_id").to_numpy()[owner[first]], "lo": start[first].astype(np.int32), "hi": start[last].astype(np.int32)})
+        begin = np.repeat(lo, runs) + start
+        return pa.table({"doc": doc[owner[first]], "lo": begin[first].astype(np.int32), "hi": begin[last].astype(np.int32)})
 
     return run
 
 
-def _single_runs(length: int, gram: int):
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int64())])
+def _single_runs(length: int, words: bool):
+    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("lo", pa.int32()), ("least", pa.int64()), ("most", pa.int64()), ("done", pa.bool_())])
 
     def run(batches):
-        parser = Parser(length, gram)
+        parser = Parser(length, 1, words)
         for batch in batches:
-            if batch.num_rows:
-                t = pa.Table.from_batches([batch])
-                key, owner, start = _suffix_keys(parser, t)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(t.column("doc_id").to_numpy()[owner]), pa.array(start.astype(np.int32)), pa.array(t.column("n").to_numpy()[owner])], schema=schema)
+            for r in batch.to_pylist():
+                n = r["hi"] - r["lo"]
+                key = parser.runs(np.frombuffer(r["b"], np.uint64 if words else np.uint8), 0, n)
+                one = np.ones(n + 1, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(one * r["doc"]), pa.array((r["lo"] + np.arange(n + 1)).astype(np.int32)), pa.array(one * r["least"]), pa.array(one * r["most"]), pa.array(np.full(n + 1, r["done"]))], schema=schema)
 
-    return run, "key long, doc_id long, lo int, n long"
+    return run, "key long, doc long, lo int, least long, most long, done boolean"
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, lo, hi): the strings of length bytes that start at lo .. hi also start elsewhere; docs: (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: bool = False, across: bool = False) -> DataFrame:
+    """(doc, lo, hi): the strings of length symbols that start at lo .. hi also start elsewhere; docs: (doc, text).
+
+    across: in another document; then of a string that a document has several times one place is given at least.
+    """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    run, schema = _parse(max(8, size // (50 * FLUSH)), length, gram)
-    parse = stored(docs.mapInArrow(run, schema).groupBy("bucket").applyInArrow(_repeated, "trig long, ctx long, doc_id long, a int, lo int, hi int"))
-    phrases = stored(parse.groupBy("trig", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "a", "lo", "hi")).alias("x")))
-    whole = parse.join(phrases.where("n > 1").select("trig", "ctx"), ["trig", "ctx"]).select("doc_id", "lo", "hi")
-    # phrases of a trigger with several phrases, one of which at least occurs once only
-    several = phrases.groupBy("trig").agg(F.count("*").alias("d"), F.min("n").alias("least")).where("d > 1 AND least = 1").select("trig", "d")
-    dictionary = phrases.join(several, "trig").select("trig", "n", "d", "x.*")
-    wanted = dictionary.groupBy("doc_id").agg(F.collect_list(F.struct("trig", "n", "a", "lo", "hi")).alias("wanted"))
-    run, schema = _with_bytes(length)
-    texts = docs.join(wanted, "doc_id").mapInArrow(run, schema)
-    texts = stored(texts.join(several.where(F.col("d") > CROWDED).select("trig", F.lit(True).alias("crowded")), "trig", "left"))
+    run, schema = _parse(max(8, size // ((250 if words else 50) * FLUSH)), length, gram, words)
+    parse = stored(docs.mapInArrow(run, schema).groupBy("bucket").applyInArrow(lambda t: _repeated(t), "trig long, ctx long, doc long, a int, lo int, hi int"))
+    phrases = parse.groupBy("trig", "ctx").agg(F.count("*").alias("n"), F.min("doc").alias("least"), F.max("doc").alias("most"), F.min(F.struct("doc", "lo", "hi")).alias("x"))
+    phrases = stored(phrases.withColumn("done", F.col("least") < F.col("most") if across else F.col("n") > 1))
+    whole = parse.join(broadcast_if_small(phrases.where("done").select("trig", "ctx")), ["trig", "ctx"]).select("doc", "lo", "hi")
+    # phrases of a trigger with several phrases, one of which at least is not known to repeat
+    several = stored(phrases.groupBy("trig").agg(F.count("*").alias("d"), F.bool_and("done").alias("all")).where("d > 1 AND NOT all").select("trig", "d"))
+    dictionary = phrases.join(broadcast_if_small(several.select("trig")), "trig").select("trig", "least", "most", "done", "x.*")
+    wanted = dictionary.groupBy("doc").agg(F.collect_list(F.struct("trig", "lo", "hi", "least", "most", "done")).alias("wanted"))
+    texts = docs.dropDuplicates(["doc"]) if across else docs
+    texts = stored(texts.join(wanted, "doc").mapInArrow(_with_symbols(length, words), _PHRASE))
+    crowds = several.where(F.col("d") > CROWDED).select("trig", F.lit(True).alias("crowded"))
+    texts = texts.join(broadcast_if_small(crowds), "trig", "left")
     few = texts.where("crowded IS NULL").drop("crowded")
     count = few.count()
-    ordered = few.withColumn("bucket", F.pmod("trig", F.lit(1 + count // PHRASES))).groupBy("bucket").applyInArrow(
-        _cut(_ordered(length, gram)), "doc_id long, lo int, hi int")
-    run, schema = _single_runs(length, gram)
+    order = _ordered(length, words, across)
+    ordered = few.withColumn("bucket", F.pmod("trig", F.lit(1 + count // PHRASES))).groupBy("bucket").applyInArrow(lambda t: order(t.drop_columns(["bucket"])), "doc long, lo int, hi int")
+    run, schema = _single_runs(length, words)
     single = texts.where("crowded").drop("crowded").mapInArrow(run, schema)
-    keys = single.groupBy("key").count().where("count > 1").select("key")
-    crowded = single.where("n = 1").join(keys, "key").select("doc_id", "lo", F.col("lo").alias("hi"))
+    keys = single.groupBy("key").agg(F.count("*").alias("n"), F.min("least").alias("low"), F.max("most").alias("high")).where("low < high" if across else "n > 1").select("key")
+    crowded = single.where("NOT done").join(keys, "key").select("doc", "lo", F.col("lo").alias("hi"))
     return whole.unionByName(ordered).unionByName(crowded)
 
 
-def _cut(f):
-    """f without the grouping column."""
-    return lambda table: f(table.drop_columns(["bucket"]))
-
-
 def _removed(length: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("doc", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -262,18 +294,32 @@ def _removed(length: int):
                 kept.append(text[at:].tobytes())
                 rows.append((len(text), sum(y - x for x, y in spans), len(spans), b"".join(kept)))
             cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:]))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc"), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[2:]))], schema=schema)
+
+    return run, "doc_id long, doc long, n_bytes long, n_removed long, n_spans long, kept binary"
 
-    return run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc, text); doc: equal for rows with one doc_id and one text, which repeat each other wholly."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc"), "text")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): kept holds the bytes that no repeated string covers."""
-    ranges = repeated_ranges(docs, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    """(doc_id, doc, n_bytes, n_removed, n_spans, kept): kept holds the bytes that no repeated string covers; doc: of keyed()."""
+    rows = keyed(docs)
+    ranges = repeated_ranges(rows.select("doc", "text"), length, gram).groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     run, schema = _removed(length)
-    return docs.select("doc_id", "text").join(ranges, "doc_id", "left").mapInArrow(run, schema)
+    return rows.join(ranges, "doc", "left").select("doc_id", "doc", "text", "ranges").mapInArrow(run, schema)
+
+
+def shared_passages(docs: DataFrame, more_than: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """(doc): the documents, by keyed(), that share a passage of more than so many words with another one."""
+    return repeated_ranges(keyed(docs).select("doc", "text"), more_than + 1, gram, words=True, across=True).select("doc").distinct()
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    passages = broadcast_if_small(stored(shared_passages(docs).withColumn("shares_passage", F.lit(1))))
+    out = remove_repeats(docs).join(passages, "doc", "left")
+    # shares_passage: 1 if another document has more than PASSAGE words of it in a row, also where they have fewer than LENGTH bytes
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.coalesce("shares_passage", F.lit(0)).alias("shares_passage"))

@@ -295,6 +295,49 @@ def test_substring_dedup(spark, monkeypatch, crowded):
         r = got[k]
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == (len(b), sum(cover), spans, bytes(x for x, c in zip(b, cover) if not c)), k
     assert substring_dedup.remove_repeats(table(spark, []), n, 10).count() == 0
+    w = [list("".join((t or "").split())) for t in texts]  # each character a word
+    spaced = table(spark, [" ".join(x) for x in w])
+    owners = {}
+    for k, x in enumerate(w):
+        for i in range(len(x) - 20):
+            owners.setdefault(tuple(x[i:i + 21]), set()).add(k)
+    key = {r.doc: r.doc_id for r in substring_dedup.keyed(spaced).collect()}
+    assert {key[r.doc] for r in substring_dedup.shared_passages(spaced, 20, 6).collect()} == {k for ks in owners.values() if len(ks) > 1 for k in ks}
+
+
+def removed_by_hand(data, n):
+    starts = Counter(b[k:k + n] for b in data for k in range(len(b) - n + 1))
+    out = []
+    for b in data:
+        cover = bytearray(len(b))
+        for i in range(len(b) - n + 1):
+            if starts[b[i:i + n]] > 1:
+                cover[i:i + n] = b"\1" * n
+        out.append((len(b), sum(cover)))
+    return sorted(out)
+
+
+def test_substring_dedup_at_full_length(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "STEP", 3000)  # long texts go in steps
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh é") for _ in range(3000))
+    texts = [base, "x" * 900, base[500:899], base[100:600] + "q", "".join(rng.choice("ab") for _ in range(20_000)) + base[:450], None, base]
+    rows = [(None, texts[1], "k"), (4, texts[2], "k"), (4, texts[3], "k"), (5, texts[5], "k"), ((1 << 60) + 1, texts[0], "k"), ((1 << 60) + 1, texts[0], "k"), (6, texts[4], "k")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, doc string")
+    got = substring_dedup.remove_repeats(d).collect()
+    assert sorted((r.n_bytes, r.n_removed) for r in got) == removed_by_hand([(t or "").encode() for _, t, _ in rows], 400)
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(k) for k, _, _ in rows)
+
+
+def test_suffix_ranks_follow_the_order_of_suffixes():
+    import numpy as np
+
+    rng = random.Random(3)
+    for kind, n in ((np.uint8, 5), (np.uint8, 21), (np.uint64, 7)):
+        x = np.array([rng.randrange(3) for _ in range(300)], kind)
+        parts = [tuple(x[k:k + n]) for k in range(len(x) - n + 1)]
+        places = {p: k for k, p in enumerate(sorted(set(parts)))}
+        assert substring_dedup.suffix_ranks(x, n).tolist() == [places[p] for p in parts]
 
 
 def test_suffix_tree_scores(spark):
