@@ -106,7 +106,7 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: t
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(_GONE, i)), "\n")
     n = F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(lines))
-    out = rows.join(broadcast_if_small(stored(gone), 20_000), _ROW, "left")
+    out = rows.join(gone, _ROW, "left")
     return out.withColumns({counts[0]: n.cast("long"), counts[1]: F.coalesce(F.size(_GONE), F.lit(0)).cast("long"), "text": F.when(F.col(_GONE).isNull(), F.col("text")).otherwise(kept)}).drop(_ROW, _GONE)
 
 
