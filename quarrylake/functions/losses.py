@@ -44,3 +44,30 @@ def soft_dice(rows: DataFrame, by: list[str], smooth: float = 1.0) -> DataFrame:
     """(by..., dice) of rows (by..., p, y): the soft Dice of probabilities and targets."""
     tp = F.sum(F.col("p") * F.col("y"))
     return rows.groupBy(*by).agg(((2 * tp + smooth) / F.greatest(F.sum("p") + F.sum("y") + smooth, F.lit(1e-8))).alias("dice"))
+
+
+def top_share_mean(losses: DataFrame, share: float, *by: str) -> DataFrame:
+    """(by..., loss): the mean of the largest share of losses (by..., loss, id), rounded down to whole rows, one at least."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy(*by)
+    ranked = losses.withColumns({"_k": F.row_number().over(w.orderBy(F.col("loss").desc(), "id")), "_n": F.count("*").over(w)})
+    return ranked.where(F.col("_k") <= F.greatest(F.floor(F.col("_n") * share), F.lit(1))).groupBy(*by).agg(F.avg("loss").alias("loss"))
+
+
+def compound(first: Column, second: Column, weight_first: float = 1.0, weight_second: float = 1.0) -> Column:
+    """A weighted sum of two losses; one with a weight of 0 is left out, also where it is NULL."""
+    parts = [w * x for w, x in ((weight_first, first), (weight_second, second)) if w]
+    return sum(parts[1:], parts[0]) if parts else F.lit(0.0)
+
+
+def supervision_weights(levels: int) -> list[float]:
+    """Weights of the losses at resolutions halved again and again: halves of each other, none for the lowest, with the sum 1."""
+    w = [0.5 ** k if k < levels - 1 or levels == 1 else 0.0 for k in range(levels)]
+    return [x / sum(w) for x in w]
+
+
+def supervised(losses: DataFrame, levels: int, *by: str) -> DataFrame:
+    """(by..., loss): losses (by..., level, loss) of all resolutions with those weights."""
+    weights = F.array(*map(F.lit, supervision_weights(levels)))
+    return losses.groupBy(*by).agg(F.sum(F.get(weights, F.col("level")) * F.col("loss")).alias("loss"))

@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from quarrylake.functions import losses
 from quarrylake.functions import similarity
 from quarrylake.operators import catalog as K
-from quarrylake.operators import dedup, sampling
+from quarrylake.operators import dedup, records, sampling
 from quarrylake.operators import segmentation as S
 from quarrylake.operators import voxels as V
-from quarrylake.plans.generated import generated, with_tables
+from quarrylake.plans.generated import generated, sql, with_tables
+from quarrylake.plans.report_queries import NEAR
 from quarrylake.sources.files import channels
 
 Q: dict[str, tuple] = {}
 
 
-def query(name: str, sql: str | None = None, *tables: str):
+def query(name: str, text: str | None = None, *tables: str):
     def add(f):
-        Q[name] = (f, with_tables(sql, *tables) if sql and tables else sql)
+        Q[name] = (f, with_tables(text, *tables) if text and tables else text)
         return f
 
     return add
@@ -52,7 +53,11 @@ def j10(spark, d):
     return K.missing_files(read(spark, d, "customer").select(F.col("c_custkey").alias("file")), read(spark, d, "orders").select(F.col("o_custkey").alias("file")))
 
 
-@query("a2_near_versions")
+@query("a2_near_versions", f"""WITH RECURSIVE gen_predictions AS ({sql("gen_predictions")}), documents AS (SELECT case_id AS doc_id, prediction AS text FROM gen_predictions), {NEAR},
+e AS (SELECT n.doc_id a, g.id b FROM n JOIN g USING (normal) WHERE n.doc_id <> g.id UNION ALL SELECT a, b FROM near),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.id WHERE r.m < u.b),
+roots AS (SELECT id, min(m) root FROM r GROUP BY 1), sizes AS (SELECT root, count(*) size FROM roots GROUP BY 1)
+SELECT count(*) / sum(size)::DOUBLE AS near_unique_rate, max(size) AS max_near_duplicate_count FROM sizes""")
 def a2(spark, d):
     g = dedup.duplicate_groups(generated(spark, d, "gen_predictions").select(F.col("case_id").alias("id"), F.col("prediction").alias("text")))
     n = g.groupBy("duplicate_group").agg(F.count("*").alias("n"))
@@ -62,7 +67,10 @@ def a2(spark, d):
 @query("a20_image_shuffle")
 def a20(spark, d):
     p = generated(spark, d, "gen_predictions")
-    m = similarity.overfit_metrics(p.select("prediction", "reference", F.col("reference2").alias("swapped"), F.col("reference").alias("source")))
+    # the prediction from another case's image, and that case's reference
+    of = sampling.derangement(p.select("case_id"), "case_id").join(p.select(F.col("case_id").alias("source"), F.col("prediction").alias("swapped"), F.col("reference").alias("own")), "source")
+    p = p.join(of.select("case_id", "swapped", "own"), "case_id")
+    m = similarity.overfit_metrics(p.select("prediction", "reference", "swapped", F.col("own").alias("source")))
     return m.select(F.round("swap_change_rate", 9).alias("change"), F.round("swap_stays", 9).alias("stays"), F.round("swap_follows", 9).alias("follows"))
 
 
@@ -103,7 +111,7 @@ def a37(spark, d):
 
 @query("a47_collate", "SELECT o_custkey, array_to_string(list_sort(list(o_orderkey)), ',') AS keys FROM orders GROUP BY 1")
 def a47(spark, d):
-    return read(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")).cast("array<string>"), ",").alias("keys"))
+    return records.collated(read(spark, d, "orders"), "o_custkey", "o_orderkey").select("o_custkey", F.array_join(F.col("values").cast("array<string>"), ",").alias("keys"))
 
 
 @query("w3_seeded_shuffle")
@@ -148,7 +156,8 @@ def m7(spark, d):
     return V.uncrop(V.crop(v, boxes), boxes)
 
 
-@query("m8_causal_loss")
+@query("m8_causal_loss", """WITH e AS (SELECT vec_id % 20 s, CASE WHEN vec_id % 7 = 0 THEN -100 ELSE label END l, embedding::DOUBLE[] x FROM embeddings), c AS (SELECT s, l, list_max(x) + ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))) - x[l + 1] ce FROM e)
+SELECT s::INT AS sample, round(coalesce(sum(ce) FILTER (l <> -100), 0) / greatest(count(*) FILTER (l <> -100), 1e-8), 9) AS loss FROM c GROUP BY 1""")
 def m8(spark, d):
     e = read(spark, d, "embeddings").select((F.col("vec_id") % 20).cast("int").alias("sample"), F.col("embedding").cast("array<double>").alias("logits"), F.when(F.col("vec_id") % 7 == 0, -100).otherwise(F.col("label")).alias("label"), F.lit(1.0).alias("weight"))
     return losses.weighted_causal_loss(e).withColumn("loss", F.round("loss", 9))
@@ -181,5 +190,5 @@ def v2(spark, d):
 
 @query("v16_merged_maps", "SELECT p_partkey, p_size AS a, p_partkey % 3 AS b FROM part")
 def v16(spark, d):
-    m = F.map_zip_with(F.create_map(F.lit("a"), F.col("p_size").cast("long"), F.lit("b"), F.lit(-1).cast("long")), F.create_map(F.lit("b"), F.col("p_partkey") % 3), lambda k, x, y: F.coalesce(y, x))
+    m = records.merged(F.create_map(F.lit("a"), F.col("p_size").cast("long"), F.lit("b"), F.lit(-1).cast("long")), F.create_map(F.lit("b"), F.col("p_partkey") % 3))
     return read(spark, d, "part").select("p_partkey", m["a"].cast("int").alias("a"), m["b"].alias("b"))

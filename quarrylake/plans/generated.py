@@ -48,7 +48,7 @@ FROM {lineitem}""",
 SELECT l_returnflag AS dataset, l_linestatus AS config, CAST(l_linenumber % 5 AS INT) AS fold, CAST(sum(CAST(l_quantity AS INT)) AS DOUBLE) / (count(*) * 50) AS dice
 FROM {lineitem} WHERE NOT (l_returnflag = 'A' AND l_linenumber % 5 = 2) GROUP BY l_returnflag, l_linestatus, l_linenumber % 5""",
     "gen_epochs": """
-SELECT event_id AS epoch, value AS metric, event_type AS kind, event_id % 3 <> 0 AS gate FROM {events} WHERE event_id < 400""",
+SELECT event_id AS epoch, value AS metric, event_type AS kind, event_id % 3 <> 0 AS gate FROM {events}""",
     "gen_records": """
 SELECT concat('c', lpad(CAST(o_orderkey AS STRING), 7, '0')) AS case_id, concat('d', CAST(o_custkey % 200 AS STRING)) AS duplicate_group,
  concat('t', CAST(o_custkey % 200 AS STRING), '_', CAST(o_orderkey % 3 AS STRING)) AS template_group, CAST(o_orderkey % 4 + 1 AS INT) AS reports, o_orderpriority AS label, o_orderstatus AS label2

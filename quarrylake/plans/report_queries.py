@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrylake.functions import assertions as A
 from quarrylake.functions import lexicon as L
 from quarrylake.functions import text as T
-from quarrylake.operators import dedup, sampling, split
+from quarrylake.operators import dedup, records, sampling, split
 from quarrylake.plans.generated import generated, with_tables
 
 Q: dict[str, tuple] = {}
@@ -288,7 +288,8 @@ def w10(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.array_join(sampling.aligned_starts(F.col("p_size"), F.lit(8), F.lit(4)).cast("array<string>"), ",").alias("starts"))
 
 
-@query("w12_moving_average")
+@query("w12_moving_average", """WITH e AS (SELECT user_id, event_id AS epoch, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 i FROM events)
+SELECT a.user_id, a.epoch, round(sum(b.value * CASE WHEN b.i = 0 THEN pow(0.9, a.i) ELSE 0.1 * pow(0.9, a.i - b.i) END), 9) AS ema FROM e a JOIN e b ON a.user_id = b.user_id AND b.i <= a.i GROUP BY 1, 2""")
 def w12(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.col("event_id").alias("epoch"), F.col("value").alias("metric"))
     return sampling.moving_average(e, "user_id", "epoch", "metric").select("user_id", "epoch", F.round("ema", 9).alias("ema"))
@@ -317,7 +318,7 @@ def v21(spark, d):
 
 @query("a48_last_wins", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) k FROM events) WHERE k = 1")
 def a48(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    return records.last_wins(spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", F.col("event_id").alias("at")), ["user_id"], "at").select("user_id", "event_id")
 
 
 @query("o9_first_cases", "SELECT case_id, 1.0::DOUBLE AS sampling_weight FROM gen_records ORDER BY case_id LIMIT 25", "gen_records")
