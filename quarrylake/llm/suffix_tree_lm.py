@@ -1,20 +1,28 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States are contexts of one and of two words; every context that training texts
-hold may be one. A context stays in the tree if its next-symbol distribution
-diverges enough from that of its suffix. Distributions are smoothed by an
-absolute discount, whose mass goes to the suffix state's distribution and at
-the root to add-one unigram counts over all training words, so they sum to 1.
-A word is scored in the state of the longest retained suffix.
-
-Counts are tables that grow with the corpus and hold every (context, word) that
-occurs, held-out texts' with a training count of 0, so that states are tested
-and words are scored by joins. Triples above TRIPLE_SHARE of all tokens, at
-most 1/share many, are scored by executors; the others are joined one by one.
+Symbols are the words with at least SYMBOL_SHARE of all training tokens, so at
+most 1/share many, and one class for all other words, inside of which a word
+has its share of the unigram counts. A state is a context of up to DEPTH symbols
+(older words to the left; contexts begin at a text's start and end before a
+word of the class). Every context that training texts hold is counted, with
+every next symbol. A context stays in the tree if its next-symbol distribution
+diverges from that of its longest suffix in the tree; distributions are
+smoothed by an absolute discount whose mass goes to that suffix's distribution,
+and at the root to add-one counts, so they sum to 1. A word is scored in the
+state of its longest suffix.
+
+A branch of the tree, all contexts with one last word, is built and used in one
+task: each token is sent once, with the words before it, to the task of its last
+word, which returns sums for texts. The contexts with a large share of all
+tokens (hot ones) are counted beforehand instead, by partial sums; their counts
+go to all the tasks that share their tokens by the next older word. Hot contexts
+only decide where tokens go, not what is counted.
 
 Defined results: null and empty texts are the end token alone; repeated rows
-are scored each; without training rows all scores are 0; extra columns are
-ignored. Words and triples are identified by 64-bit hashes.
+are scored each; a null doc_id is learned from; without training rows all scores
+are 0; extra columns are ignored; an empty table gives no rows. Words are
+identified by 64-bit hashes. Sums are of whole billionths, so that they do not
+depend on their order.
 """
 
 from __future__ import annotations
@@ -27,12 +35,18 @@ from pyspark.sql import functions as F
 
 from quarrylake.llm.common import WordHasher, mix, signed, stored, utf8
 
-END = np.uint64(0x5BD1E995C0DE0E4D)
-#: Stands before the first word of a text; no state has it.
-BEGIN = np.uint64(0)
-TRIPLE_SHARE = 2.0 ** -20
-BLOCK = 1 << 22
-DISCOUNT, DIVERGENCE = 0.5, 0.01
+END, BEGIN = np.uint64(0x5BD1E995C0DE0E4D), np.uint64(0)
+DEPTH = 3
+SYMBOL_SHARE = 2.0 ** -20
+#: Bits of a symbol. 0: a word of the class, or no word.
+BITS = 20
+MASK = (1 << BITS) - 1
+DISCOUNT, DIVERGENCE = 0.6, 0.01
+#: Tokens counted or sent together, documents of a chunk at most, and tokens that one task's branch has, about.
+BLOCK, CHUNK_ROWS, BRANCH = 1 << 21, 60_000, 1 << 21
+#: A context may be hot from this share of a block on, so there are at most DEPTH / share.
+HOT_SHARE = 2.0 ** -16
+_SCALE = 1e9
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -47,164 +61,399 @@ def _tokens(batch: pa.RecordBatch, hasher: WordHasher):
         yield i, np.insert(h, at[1:], END), np.repeat(np.arange(j - i), n + 1)
 
 
-def _before(t: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
-    """The word k places before each token in its text, or BEGIN."""
-    out = np.full(len(t), BEGIN)
-    out[k:] = np.where(row[k:] == row[:-k], t[:-k], BEGIN)
-    return out
+def _older(x: np.ndarray, row: np.ndarray, k: int, begin, none) -> np.ndarray:
+    """The symbol k places before each token of its text; begin just before the first, none beyond."""
+    first = np.concatenate(([0], np.flatnonzero(np.diff(row)) + 1))
+    place = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+    out = np.full(len(x), none, x.dtype)
+    out[k:] = x[:-k]
+    return np.where(place >= k, out, np.where(place == k - 1, begin, none)).astype(x.dtype)
 
 
-def triple_keys(*columns: np.ndarray) -> np.ndarray:
-    """What Spark's xxhash64 makes of columns of longs."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+def _packed(x: np.ndarray, kind) -> bytes:
+    """Bytes of numbers, by place value, compressed."""
+    x = np.ascontiguousarray(x.astype(kind))
+    raw = x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-    def turned(x, k):
-        return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
 
-    h = np.full(len(columns[0]), 42, np.uint64)
-    for x in columns:
-        h = h + p5 + np.uint64(8)
-        h = turned(h ^ (turned(x * p2, 31) * p1), 27) * p1 + p4
-        h = (h ^ (h >> np.uint64(33))) * p2
-        h = (h ^ (h >> np.uint64(29))) * p3
-        h = h ^ (h >> np.uint64(32))
-    return h
+def _unpacked(b: bytes, kind) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    raw = np.frombuffer(pa.decompress(b[8:], n, codec="zstd", asbytes=True), np.uint8) if n else np.empty(0, np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _count_triples(batches):
-    """(a, b, w, c): each word with the two before it and how often training texts of a block have them."""
+def _count_words(batches):
+    """(level, z, a, b, c): at level 0 how often training texts of a block have the word b, at others contexts that may be hot."""
     hasher, held, count = WordHasher(), [], 0
-    schema = pa.schema([(x, pa.int64()) for x in "abwc"])
+    schema = pa.schema([("level", pa.int32()), *((x, pa.int64()) for x in "zabc")])
 
     def counted():
-        a, b, w, c = (np.concatenate(x) for x in zip(*held))
-        _, first, of = np.unique(triple_keys(a, b, w), return_index=True, return_inverse=True)
-        c = np.bincount(of, c, len(first)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([*(pa.array(signed(x[first])) for x in (a, b, w)), pa.array(c)], schema=schema)
+        words = [np.concatenate(x) for x in zip(*held)]
+        cols = [[] for _ in range(5)]
+        for level in range(DEPTH + 1):
+            key = np.zeros(len(words[0]), np.uint64)
+            for w in words[1:level + 1] if level else words[:1]:
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + w)
+            _, first, c = np.unique(key, return_index=True, return_counts=True)
+            if level:
+                many = c >= max(32, len(key) * HOT_SHARE)
+                first, c = first[many], c[many]
+            # of the older words those of the context
+            own = [words[k][first] if k <= level and level else np.zeros(len(first), np.uint64) for k in (3, 2, 1)] if level else [np.zeros(len(first), np.uint64)] * 2 + [words[0][first]]
+            for col, x in zip(cols, (np.full(len(first), level), *map(signed, own), c)):
+                col.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in zip(cols, [np.int32] + [np.int64] * 4)], schema=schema)
 
     for batch in batches:
         out = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         for i, t, row in _tokens(batch, hasher):
-            held.append((_before(t, row, 2), _before(t, row, 1), t, ~out[i + row]))
-            count += len(t)
+            keep = ~out[i + row]
+            held.append([t[keep], *(_older(t, row, k, BEGIN, BEGIN)[keep] for k in range(1, DEPTH + 1))])
+            count += int(keep.sum())
             if count >= BLOCK:
                 yield counted()
                 held, count = [], 0
-    if held:
+    if count:
         yield counted()
 
 
-def _states(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, total, alpha): the contexts that pass the divergence test, log10 of their count and of the weight of their backoff.
+class Symbols:
+    """The words that are symbols, as 1, 2, ..., and the root's distribution; made from arrays that are broadcast."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, distinct: int):
+        self.words, self.tokens, self.denominator = words, tokens, float(tokens + distinct + 1)
+        self.begin = len(words) + 1
+        rest = self.denominator - float(np.sum(counts + 1))
+        self.root = np.concatenate(([rest], counts + 1, [0])) / self.denominator
+
+    def of(self, t: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(t), np.int64)
+        at = np.minimum(np.searchsorted(self.words, t), len(self.words) - 1)
+        return np.where(self.words[at] == t, at + 1, 0)
+
+    def contexts(self, s: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
+        """The symbols before each token, the nearest first; 0 from where its context ends on."""
+        out = []
+        for k in range(1, DEPTH + 1):
+            x = _older(s, row, k, self.begin, 0)
+            out.append(np.where(out[-1] > 0, x, 0) if out else x)
+        return out
+
+
+def _keys(context: list[np.ndarray], level: int) -> np.ndarray:
+    """The first symbols of contexts, as many as level, as one number."""
+    key = np.zeros(len(context[0]), np.int64)
+    for x in reversed(context[:level]):
+        key = (key << BITS) | x
+    return key
+
+
+class Routes:
+    """Where tokens go. hot: for each level the sorted keys of its hot contexts, and the first and number of their tasks."""
+
+    def __init__(self, tasks: int, hot: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.tasks, self.hot = tasks, hot
+
+    def find(self, context: list[np.ndarray], level: int) -> np.ndarray:
+        """The place of each context among the hot ones of a level, or -1."""
+        keys, key = self.hot[level - 1][0], _keys(context, level)
+        if not len(keys):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where((keys[at] == key) & (context[level - 1] > 0), at, -1)
+
+    def of(self, context: list[np.ndarray], spread: np.ndarray) -> np.ndarray:
+        out = (mix(context[0].astype(np.uint64)) % np.uint64(self.tasks)).astype(np.int64)
+        for level in range(1, DEPTH + 1):
+            at = self.find(context, level)
+            hot = at >= 0
+            first, number = self.hot[level - 1][1:]
+            # shared out by the next older word, or in any way where there is none
+            key = _keys(context, level + 1) if level < DEPTH else spread
+            share = (mix(key[hot].astype(np.uint64)) % number[at[hot]].astype(np.uint64)).astype(np.int64)
+            out[hot] = (first[at[hot]] + share) % self.tasks
+        return out
+
+    def targets(self) -> list[list[np.ndarray]]:
+        """For each level and hot context the tasks that need its counts: its own, and those of hot contexts that end with it."""
+        need = [[set() for _ in keys] for keys, _, _ in self.hot]
+        for level, (keys, first, number) in enumerate(self.hot, 1):
+            for key, f, n in zip(keys.tolist(), first.tolist(), number.tolist()):
+                own = {(f + k) % self.tasks for k in range(n)}
+                for shorter in range(1, level + 1):
+                    # the newest symbols are in the lowest bits
+                    at = int(np.searchsorted(self.hot[shorter - 1][0], key & ((1 << BITS * shorter) - 1)))
+                    need[shorter - 1][at] |= own
+        return [[np.array(sorted(x)) for x in level] for level in need]
+
+
+def _count_hot(shared):
+    """(level, i, w, c): how often a symbol follows the i-th hot context of a level in training texts of a block."""
+    schema = pa.schema([("level", pa.int32()), ("i", pa.int64()), ("w", pa.int64()), ("c", pa.int64())])
+
+    def run(batches):
+        words, routes = Symbols(*shared.value[0]), Routes(*shared.value[1])
+        hasher, held, count = WordHasher(), [[] for _ in range(DEPTH)], 0
+
+        def counted():
+            cols = [[] for _ in range(4)]
+            for level in range(DEPTH):
+                key, c = np.unique(np.concatenate([*held[level], np.empty(0, np.int64)]), return_counts=True)
+                for col, x in zip(cols, (np.full(len(key), level + 1), key >> BITS, key & MASK, c)):
+                    col.append(x)
+                held[level].clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in zip(cols, [np.int32] + [np.int64] * 3)], schema=schema)
+
+        for batch in batches:
+            out = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            for i, t, row in _tokens(batch, hasher):
+                keep = ~out[i + row]
+                s = words.of(t)
+                context = [x[keep] for x in words.contexts(s, row)]
+                for level in range(1, DEPTH + 1):
+                    at = routes.find(context, level)
+                    held[level - 1].append((at[at >= 0] << BITS) | s[keep][at >= 0])
+                count += len(t)
+                if count >= BLOCK:
+                    yield counted()
+                    count = 0
+        if count:
+            yield counted()
+
+    return run, "level int, i long, w long, c long"
+
+
+#: What goes to a task (kind 0: tokens, 1: words of the class, 2: counts of a hot context) and a chunk's own documents (kind 3).
+_SENT = pa.schema([("task", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), *((f"x{k}", pa.binary()) for k in range(DEPTH + 2)), ("ids", pa.list_(pa.int64()))])
+_SENT_SQL = "task long, kind int, chunk long, " + ", ".join(f"x{k} binary" for k in range(DEPTH + 2)) + ", ids array<long>"
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    counts: (keys, w, c, below), below: log10 of the word's probability in the suffix state.
-    """
-    x, total, rest = F.col("c") - DISCOUNT, F.col("total"), DISCOUNT * F.col("n") / F.col("total")
-    s = counts.where((F.col("c") > 0) & (F.col(keys[0]) != int(BEGIN))).groupBy(*keys).agg(
-        F.sum("c").alias("total"), F.count("*").alias("n"), F.sum(x * (F.log(x) - F.col("below") * float(np.log(10)))).alias("s"),
-        F.sum(F.pow(F.lit(10.0), F.col("below"))).alias("d"))
-    alpha = rest / F.greatest(1 - F.col("d"), F.lit(1e-9))
-    gain = F.col("s") / total - F.log(total) * (1 - rest) + rest * F.log(alpha)
-    return s.where(gain >= DIVERGENCE).select(*keys, F.log10(total).alias("total"), F.log10(alpha).alias("alpha"))
-
-
-def _smoothed(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """counts (keys, w, c, below) with total and alpha of the retained states and p, log10 of the word's probability there."""
-    own = F.when(F.col("c") > 0, F.log10(F.col("c") - DISCOUNT) - F.col("total")).otherwise(F.col("alpha") + F.col("below"))
-    return counts.join(_states(counts, keys), keys, "left").withColumn("p", F.when(F.col("total").isNull(), F.col("below")).otherwise(own))
-
-
-class Model:
-    """words (w, c), pairs (b, w, c, below, total, alpha, p) and triples (k, c, base, known, p) of all texts; c counts training texts."""
-
-    def __init__(self, docs: DataFrame):
-        triples = stored(docs.select("text", "held_out").mapInArrow(_count_triples, "a long, b long, w long, c long").groupBy("a", "b", "w").agg(F.sum("c").alias("c")))
-        pairs = stored(triples.groupBy("b", "w").agg(F.sum("c").alias("c")))
-        self.words = stored(pairs.groupBy("w").agg(F.sum("c").alias("c")))
-        self.tokens, v = self.words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-        self.denominator = float(self.tokens + v + 1)
-        base = F.log10((F.col("c") + 1) / F.lit(self.denominator))
-        pairs = stored(pairs.join(self.words.select("w", base.alias("below"), (F.col("c") > 0).alias("known")), "w"))
-        self.pairs = stored(_smoothed(pairs, ["b"]))
-        below = self.pairs.select("b", "w", F.col("p").alias("below"), F.col("below").alias("base"), "known")
-        triples = stored(triples.join(below, ["b", "w"]))
-        p = _smoothed(triples, ["a", "b"])
-        self.triples = stored(p.select(F.xxhash64("a", "b", "w").alias("k"), "c", "base", "known", "p").dropDuplicates(["k"]))
-
-
-class Tree:
-    """The root and the states of one word as arrays, to be looked into; contexts are places in tops, words places in words."""
-
-    def __init__(self, model: Model):
-        words = model.words.where("c > 0").orderBy("w").toPandas()
-        self.words, self.counts = words["w"].to_numpy(np.int64), words["c"].to_numpy(np.int64)
-        self.tokens, self.denominator = model.tokens, model.denominator
-        self.base = np.log10((self.counts + 1) / self.denominator)
-        pairs = model.pairs.where("total IS NOT NULL").toPandas()
-        self.tops = np.unique(pairs["b"].to_numpy(np.int64))
-        self.states, self.alphas = [np.arange(len(self.tops))], [np.empty(len(self.tops))]
-        state = np.searchsorted(self.tops, pairs["b"].to_numpy(np.int64))
-        self.alphas[0][state] = pairs["alpha"].to_numpy(float)
-        self.logs = dict(zip(zip(state.tolist(), np.searchsorted(self.words, pairs["w"].to_numpy(np.int64)).tolist()), pairs["p"].tolist()))
-
-    def log_one(self, one: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 P(word | one word before)."""
-        return np.array([self.logs.get((s, w), self.alphas[0][s] + self.base[w]) for s, w in zip(one.tolist(), word.tolist())])
-
-
-def train(docs: DataFrame) -> tuple[DataFrame, Tree]:
-    """(counts of all training words, the tree of one-word states) from docs (text); the driver gets all its pairs, for small corpora."""
-    model = Model(docs.select("text", F.lit(False).alias("held_out")))
-    return model.words, Tree(model)
-
-
-def _score(frequent):
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("k", pa.int64()), ("m", pa.int64()),
-                        ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
+def _slices(task: np.ndarray):
+    cuts = np.flatnonzero(np.diff(task)) + 1
+    return zip(np.concatenate(([0], cuts)).tolist(), np.concatenate((cuts, [len(task)])).tolist()) if len(task) else ()
+
+
+def _send(shared):
     def run(batches):
-        (keys, bases, scores, knowns), hasher = frequent.value, WordHasher()
-        at = TaskContext.get().partitionId() << 33
+        words, routes = Symbols(*shared.value[0]), Routes(*shared.value[1])
+        root = np.log10(np.maximum(words.root, 1e-300))
+        hasher, number = WordHasher(), TaskContext.get().partitionId() << 32
+        ids, held, parts, rows, count = [], [], [], 0, 0
+
+        def sent():
+            t, row = (np.concatenate(x) for x in zip(*parts))
+            out = np.concatenate(held)
+            s = words.of(t)
+            mark = row * 2 + ~out[row]  # a text's place, and whether it is learned from
+            made = []
+            context = words.contexts(s, row)
+            at = np.flatnonzero(context[0])
+            own = [x[at] for x in context]
+            task = routes.of(own, mix((number + at).astype(np.uint64)))
+            o = np.lexsort((_keys(own, DEPTH), task))
+            cols, task = [x[at][o] for x in (*context, s, mark)], task[o]
+            for x, y in _slices(task):
+                made.append((int(task[x]), 0, number, *(_packed(c[x:y], np.uint32) for c in cols), None))
+            at = np.flatnonzero(s == 0)
+            task = (mix(t[at] + np.uint64(1)) % np.uint64(routes.tasks)).astype(np.int64)
+            o = np.argsort(task, kind="stable")
+            at, task = at[o], task[o]
+            for x, y in _slices(task):
+                made.append((int(task[x]), 1, number, _packed(t[at[x:y]], np.uint64), _packed(mark[at[x:y]], np.uint32), *[None] * DEPTH, None))
+            n = len(out)
+            known = np.bincount(row, s > 0, n).astype(np.int64)
+            base = np.rint(np.bincount(row, np.where(s > 0, root[s], 0.0), n) * _SCALE).astype(np.int64)
+            made.append((number % routes.tasks, 3, number, out.tobytes(), np.bincount(row, minlength=n).astype(np.int64).tobytes(), known.tobytes(), base.tobytes(), *[None] * (DEPTH - 2), pa.chunked_array(ids).to_pylist()))
+            return _batch(made, _SENT)
+
         for batch in batches:
-            ids, held = batch.column("doc_id"), batch.column("held_out")
+            doc, out = batch.column("doc_id"), batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             for i, t, row in _tokens(batch, hasher):
                 n = int(row[-1]) + 1
-                k = triple_keys(_before(t, row, 2), _before(t, row, 1), t).view(np.int64)
-                place = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
-                here = keys[place] == k if len(keys) else np.zeros(len(k), bool)
-                place, r = place[here], row[here]
-                sums = [np.bincount(row, minlength=n), np.bincount(r, knowns[place], n), np.bincount(r, bases[place], n), np.bincount(r, scores[place], n)]
-                rows = at + i + np.arange(n)
-                yield pa.RecordBatch.from_arrays([
-                    ids.slice(i, n), pa.array(rows), held.slice(i, n), pa.array(signed(mix(rows.astype(np.uint64)))), pa.array(np.zeros(n, np.int64)),
-                    pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3])], schema=schema)
-                # the other triples: a row for each, to be joined with its probability
-                k, r = k[~here], row[~here]
-                none, zero = pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.float64())
-                yield pa.RecordBatch.from_arrays([
-                    none, pa.array(rows[r]), pa.nulls(len(k), pa.bool_()), pa.array(k), pa.array(np.ones(len(k), np.int64)), none, none, zero, zero], schema=schema)
-            at += batch.num_rows
-
-    return run, "doc_id long, row long, held_out boolean, k long, m long, n_tokens long, n_known long, base double, score double"
+                ids.append(doc.slice(i, n))
+                held.append(out[i:i + n])
+                parts.append((t, row + rows))
+                rows, count = rows + n, count + len(t)
+                if count >= BLOCK or rows >= CHUNK_ROWS:
+                    yield sent()
+                    ids, held, parts, rows, count = [], [], [], 0, 0
+                    number += 1
+        if rows:
+            yield sent()
+
+    return run
+
+
+def _pack_hot(shared):
+    """Counts of hot contexts (level, i, w, c), packed for the tasks that need them."""
+    def run(batches):
+        routes = Routes(*shared.value[1])
+        targets = routes.targets()
+        for batch in batches:
+            level, i, w, c = (batch.column(x).to_numpy() for x in ("level", "i", "w", "c"))
+            o = np.lexsort((w, i, level))
+            made, group = [], level[o].astype(np.int64) << 40 | i[o]
+            for x, y in _slices(group):
+                own = o[x:y]
+                lv, at = int(level[own[0]]), int(i[own[0]])
+                body = (_packed(w[own], np.uint32), _packed(c[own], np.uint64), lv.to_bytes(1, "little"), int(routes.hot[lv - 1][0][at]).to_bytes(8, "little"))
+                made += [(int(task), 2, None, *body, *[None] * (DEPTH - 2), None) for task in targets[lv - 1][at]]
+            yield _batch(made, _SENT)
+
+    return run
+
+
+def branch(symbols: Symbols, context: list[np.ndarray], w: np.ndarray, learned: np.ndarray, hot: list[np.ndarray], counts: list[tuple]) -> np.ndarray:
+    """The probability of each token's symbol w in the state of its longest suffix.
+
+    context: symbols before, nearest first; hot: by level, whether the token's context is counted in counts instead,
+    (level, context, w, c), from the shortest contexts to the longest.
+    """
+    result = symbols.root[w].copy()
+    occ = np.flatnonzero(context[0])
+    # what a key at this level continues: the entry of the shorter context with the same w, at first the root's
+    entry, group, prob = w[occ], None, symbols.root
+    side = [(lv, ctx, x, c, x) for lv, ctx, x, c in counts]  # the last: the entry so far
+    for level in range(1, DEPTH + 1):
+        keep = context[level - 1][occ] > 0
+        occ, entry = occ[keep], entry[keep]
+        here = [s for s in side if s[0] >= level]
+        older = [np.full(len(s[2]), (s[1] >> (BITS * (level - 1))) & MASK) for s in here]
+        keys = np.concatenate([(entry << BITS) | context[level - 1][occ], *((s[4] << BITS) | x for s, x in zip(here, older))])
+        weight = np.concatenate([(learned[occ] & ~hot[level - 1][occ]).astype(float), *((s[3] if s[0] == level else np.zeros(len(s[2]))) for s in here)])
+        if not len(keys):
+            break
+        u, inv = np.unique(keys, return_inverse=True)
+        c = np.bincount(inv, weight, len(u))
+        last, old = u >> BITS, u & MASK
+        # contexts: the shorter one, and the symbol before it
+        _, g = np.unique(old if group is None else (group[last] << BITS) | old, return_inverse=True)
+        total, kinds = np.bincount(g, c), np.bincount(g, c > 0)
+        below = prob[last]
+        p = (np.maximum(c - DISCOUNT, 0) + DISCOUNT * kinds[g] * below) / np.maximum(total, 1)[g]
+        gain = np.bincount(g, np.where(c > 0, c * np.log(np.maximum(p, 1e-300) / below), 0.0)) / np.maximum(total, 1)
+        prob, group = np.where(((total > 0) & (gain >= DIVERGENCE))[g], p, below), g
+        entry, result[occ] = inv[:len(occ)], prob[inv[:len(occ)]]
+        at = len(occ)
+        moved = []
+        for s in here:
+            moved.append((*s[:4], inv[at:at + len(s[2])]))
+            at += len(s[2])
+        side = moved
+    return result
+
+
+_BACK = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("row", "score", "base", "known")), ("ids", pa.list_(pa.int64()))])
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    return np.rint(values * _SCALE).astype(np.int64)
+
+
+def _scored(shared):
+    def run(table: pa.Table) -> pa.Table:
+        """Of one task: sums for the texts of each chunk (kind 0: of scores, 1: of words of the class); chunks' own rows pass through."""
+        symbols, routes = Symbols(*shared.value[0]), Routes(*shared.value[1])
+        made, rows = [], {k: [] for k in range(4)}
+        for r in table.to_pylist():
+            rows[r["kind"]].append(r)
+        made += [(r["chunk"], 3, r["x0"], r["x1"], r["x3"], r["x2"], r["ids"]) for r in rows[3]]
+
+        def returned(chunks, of, marks, kind, *values):
+            for k, chunk in enumerate(chunks):
+                own = of == k
+                place, at = np.unique(marks[own] >> 1, return_inverse=True)
+                sums = [np.zeros(len(place), np.int64) for _ in values]
+                for x, v in zip(sums, values):
+                    np.add.at(x, at, v[own])
+                made.append((chunk, kind, _packed(place, np.uint32), *(_packed(x, np.int64) if x is not None else None for x in (sums + [None] * 3)[:3]), None))
+
+        if rows[0]:
+            cols = [[_unpacked(r[f"x{k}"], np.uint32).astype(np.int64) for r in rows[0]] for k in range(DEPTH + 2)]
+            of = np.repeat(np.arange(len(rows[0])), [len(x) for x in cols[0]])
+            *context, w, mark = (np.concatenate(x) for x in cols)
+            hot = [routes.find(context, level) >= 0 for level in range(1, DEPTH + 1)]
+            counts = [(r["x2"][0], int.from_bytes(r["x3"], "little"), _unpacked(r["x0"], np.uint32).astype(np.int64), _unpacked(r["x1"], np.uint64).astype(float)) for r in rows[2]]
+            p = branch(symbols, context, w, (mark & 1) > 0, hot, sorted(counts, key=lambda x: x[0]))
+            returned([r["chunk"] for r in rows[0]], of, mark, 0, _sums(np.log10(p / symbols.root[w])))
+        if rows[1]:
+            words, marks = ([_unpacked(r[k], kind) for r in rows[1]] for k, kind in (("x0", np.uint64), ("x1", np.uint32)))
+            of = np.repeat(np.arange(len(words)), [len(x) for x in words])
+            words, marks = np.concatenate(words), np.concatenate(marks)
+            _, at = np.unique(words, return_inverse=True)
+            c = np.bincount(at, marks & 1)[at]
+            base = _sums(np.log10((c + 1) / symbols.denominator))
+            returned([r["chunk"] for r in rows[1]], of, marks, 1, np.zeros(len(c), np.int64), base, (c > 0).astype(np.int64))
+        return pa.Table.from_batches([_batch(made, _BACK)])
+
+    return run
+
+
+_OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _finished(table: pa.Table) -> pa.Table:
+    """The documents of one chunk with all their sums."""
+    rows = table.to_pylist()
+    own = next(r for r in rows if r["kind"] == 3)
+    held, n = np.frombuffer(own["row"], bool), np.frombuffer(own["score"], np.int64)
+    base, known = np.frombuffer(own["base"], np.int64).copy(), np.frombuffer(own["known"], np.int64).copy()
+    more = np.zeros(len(n), np.int64)
+    for r in rows:
+        if r["kind"] < 3:
+            place = _unpacked(r["row"], np.uint32)
+            more[place] += _unpacked(r["score"], np.int64)
+            if r["kind"] == 1:
+                base[place] += _unpacked(r["base"], np.int64)
+                known[place] += _unpacked(r["known"], np.int64)
+    return pa.Table.from_arrays([pa.array(own["ids"], pa.int64()), pa.array(held), pa.array(n), pa.array(known), pa.array(base / _SCALE), pa.array((base + more) / _SCALE)], schema=_OUT)
+
+
+def train(docs: DataFrame) -> tuple[tuple, tuple]:
+    """(what makes Symbols, what makes Routes) of docs (text, held_out)."""
+    found = stored(docs.select("text", "held_out").mapInArrow(_count_words, "level int, z long, a long, b long, c long").groupBy("level", "z", "a", "b").agg(F.sum("c").alias("c")))
+    tokens, distinct = found.where("level = 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    top = found.where((F.col("level") == 0) & (F.col("c") >= max(1, tokens * SYMBOL_SHARE))).select("b", "c").toArrow()
+    words, counts = top.column("b").to_numpy().view(np.uint64), top.column("c").to_numpy()
+    most = np.lexsort((words, -counts))[:MASK - 1]  # a share of 2**-20 allows a few more than there are numbers
+    most = most[np.argsort(words[most])]
+    symbols = words[most], counts[most], int(tokens), int(distinct)
+    tasks = max(4, tokens // BRANCH)
+    ids, hot = Symbols(*symbols), []
+    for level in range(1, DEPTH + 1):
+        t = found.where((F.col("level") == level) & (F.col("c") >= max(1, tokens / (4 * tasks), tokens * HOT_SHARE))).select("z", "a", "b", "c").toArrow()
+        context = [np.where((x := t.column(c).to_numpy().view(np.uint64)) == BEGIN, ids.begin, ids.of(x)) for c in ("b", "a", "z")[:level]]
+        c = t.column("c").to_numpy()
+        key, fits = _keys(context, level), np.all([x > 0 for x in context], axis=0)
+        # nothing is older than a text's beginning
+        fits &= np.all([x != ids.begin for x in context[:-1]], axis=0) if level > 1 else True
+        if level > 1:
+            fits &= np.isin(key & ((1 << BITS * (level - 1)) - 1), hot[-1][0])
+        o = np.argsort(key[fits])
+        key, c = key[fits][o], c[fits][o]
+        number = np.minimum(np.ceil(2 * c * tasks / max(tokens, 1)).astype(np.int64), tasks)
+        hot.append((key, (mix(key.astype(np.uint64)) % np.uint64(tasks)).astype(np.int64), np.maximum(number, 1)))
+    return symbols, (int(tasks), hot)
 
 
 def score_documents(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); the held-out fold is not learned from."""
-    docs = docs.select("doc_id", "text", F.coalesce(fold_of(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"))
-    model = Model(docs)
-    top = model.triples.where(F.col("c") >= max(1, model.tokens * TRIPLE_SHARE)).toPandas().sort_values("k")
-    frequent = tuple(top[x].to_numpy(t) for x, t in (("k", np.int64), ("base", float), ("p", float), ("known", float)))
-    run, schema = _score(docs.sparkSession.sparkContext.broadcast(frequent))
-    other = model.triples.where(F.col("c") < max(1, model.tokens * TRIPLE_SHARE))
-    rows = docs.mapInArrow(run, schema).join(other.select("k", F.col("base").alias("base_"), "known", "p"), "k", "left")
-
-    def total(own: str, joined: Column) -> Column:
-        return F.sum(F.coalesce(own, F.lit(0)) + F.col("m") * F.coalesce(joined, F.lit(0)))
-
-    out = rows.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), total("n_known", F.col("known").cast("long")).alias("n_known"),
-        total("base", F.col("base_")).alias("base_score"), total("score", F.col("p")).alias("score"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(fold_of(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"))
+    model = train(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    run, schema = _count_hot(shared)
+    hot = docs.mapInArrow(run, schema).groupBy("level", "i", "w").agg(F.sum("c").alias("c"))
+    sent = docs.mapInArrow(_send(shared), _SENT_SQL).unionByName(hot.mapInArrow(_pack_hot(shared), _SENT_SQL))
+    scored = _scored(shared)
+    back = sent.groupBy("task").applyInArrow(lambda t: scored(t), "chunk long, kind int, row binary, score binary, base binary, known binary, ids array<long>")
+    out = back.groupBy("chunk").applyInArrow(lambda t: _finished(t), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model[0][2]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -355,57 +355,88 @@ def test_suffix_tree_scores(spark):
     assert suffix_tree_lm.score_documents(table(spark, [])).count() == 0
 
 
-def test_suffix_tree_distributions_sum_to_one(spark):
-    import numpy as np
-
-    rng = random.Random(9)
-    docs = table(spark, [" ".join(rng.choice(["a b", "a c", "b a", "c d"]) for _ in range(50)) for _ in range(40)])
-    _, tree = suffix_tree_lm.train(docs)
-    assert len(tree.states[0])
-    words_ = np.arange(len(tree.words))
-    for s in tree.states[0]:
-        p = 10.0 ** tree.log_one(np.full(len(words_), s), words_)
-        unknown = 10.0 ** tree.alphas[0][list(tree.states[0]).index(s)] / tree.denominator
-        assert p.sum() + unknown == pytest.approx(1.0, abs=1e-6)
-
-
-def suffix_tree_by_hand(tokens, held):
-    """Scores of tokenised texts by dictionaries that hold every context."""
+def suffix_tree_by_hand(tokens, held, share):
+    """Scores of tokenised texts by dictionaries, context by context; and the distributions of all states."""
     train = [t for t, h in zip(tokens, held) if not h]
     c = Counter(w for t in train for w in t)
-    n = sum(c.values()) + len(c) + 1
+    n, least = sum(c.values()), max(1, sum(c.values()) * share)
+    den = n + len(c) + 1
+    known = {w for w in c if c[w] >= least}
+    root = {w: (c[w] + 1) / den for w in known}
+    root[None] = 1 - sum(root.values())
+
+    def symbols(t):
+        return [w if w in known else None for w in t]
+
+    def context(s, k, depth):
+        out = []
+        for i in range(k - 1, max(k - 1 - depth, -2), -1):
+            x = "BEGIN" if i < 0 else s[i]
+            if x is None:
+                break
+            out.append(x)
+        return tuple(out)  # the nearest first
+
     after = {}
     for t in train:
-        for k, w in enumerate(t):
-            for m in (1, 2):
-                if k >= m:
-                    after.setdefault(tuple(t[k - m:k]), Counter())[w] += 1
+        s = symbols(t)
+        for k, w in enumerate(s):
+            full = context(s, k, suffix_tree_lm.DEPTH)
+            for m in range(1, len(full) + 1):
+                after.setdefault(full[:m], Counter())[w] += 1
     states = {}
 
-    def p(context, w):
-        if not context:
-            return (c[w] + 1) / n
-        if context not in states:
-            return p(context[1:], w)
-        total, alpha = states[context]
-        return (after[context][w] - 0.5) / total if after[context][w] else alpha * p(context[1:], w)
-
-    for m in (1, 2):
-        for context, f in after.items():
-            if len(context) == m:
-                total, rest = sum(f.values()), 0.5 * len(f) / sum(f.values())
-                alpha = rest / max(1 - sum(p(context[1:], w) for w in f), 1e-9)
-                if sum((x - 0.5) / total * math.log((x - 0.5) / total / p(context[1:], w)) for w, x in f.items()) + rest * math.log(alpha) >= 0.01:
-                    states[context] = total, alpha
-    return [sum(math.log10(p(tuple(t[max(0, k - 2):k]), w)) for k, w in enumerate(t)) for t in tokens]
-
-
-def test_suffix_tree_holds_every_context(spark):
-    texts = corpus() + ["the cat sat on the mat"] * 60
+    def p(ctx, w):
+        if not ctx:
+            return root[w]
+        below = p(ctx[:-1], w)
+        if ctx not in states:
+            return below
+        f, total = after[ctx], sum(after[ctx].values())
+        return (max(f[w] - suffix_tree_lm.DISCOUNT, 0) + suffix_tree_lm.DISCOUNT * len(f) * below) / total
+
+    for m in range(1, suffix_tree_lm.DEPTH + 1):
+        for ctx, f in after.items():
+            if len(ctx) == m:
+                states[ctx] = True
+                gain = sum(x * math.log(p(ctx, w) / p(ctx[:-1], w)) for w, x in f.items()) / sum(f.values())
+                if gain < suffix_tree_lm.DIVERGENCE:
+                    del states[ctx]
+    for ctx in states:
+        assert sum(p(ctx, w) for w in root) == pytest.approx(1.0)
+    scores = []
+    for t in tokens:
+        s = symbols(t)
+        base = sum(math.log10((c[w] + 1) / den) for w in t)
+        scores.append(base + sum(math.log10(p(context(s, k, suffix_tree_lm.DEPTH), w) / root[w]) for k, w in enumerate(s)))
+    return scores, states
+
+
+@pytest.mark.parametrize("share, branch_size", [(2.0 ** -20, 1 << 21), (0.002, 300)])
+def test_suffix_tree_against_brute_force(spark, monkeypatch, share, branch_size):
+    for name, x in (("SYMBOL_SHARE", share), ("BRANCH", branch_size), ("BLOCK", 700), ("CHUNK_ROWS", 20)):
+        monkeypatch.setattr(suffix_tree_lm, name, x)
+    rng = random.Random(11)
+    texts = corpus() + ["the cat sat on the mat and the cat ran"] * 60 + [" ".join(rng.choice(["a b c d", "a b d c", "b a", "c"]) for _ in range(rng.randrange(60))) for _ in range(60)]
     held = [zlib.crc32(str(k).encode()) % 7 == 2 for k in range(len(texts))]
-    expected = suffix_tree_by_hand([split(t) + ["\n"] for t in texts], held)
-    got = {r.doc_id: r.score for r in suffix_tree_lm.score_documents(table(spark, texts)).collect()}
-    assert got == {k: pytest.approx(x, abs=1e-6) for k, x in enumerate(expected)}
+    expected, states = suffix_tree_by_hand([split(t) + ["\n"] for t in texts], held, share)
+    assert {len(s) for s in states} == set(range(1, suffix_tree_lm.DEPTH + 1))
+    d = table(spark, texts)
+    if branch_size < 1000:  # contexts of every length are hot
+        docs = d.withColumn("held_out", F.coalesce(suffix_tree_lm.fold_of(F.col("doc_id"), 7) == 2, F.lit(False)))
+        assert all(len(keys) for keys, _, _ in suffix_tree_lm.train(docs)[1][1])
+    for parts in (1, 7):
+        got = {r.doc_id: r.score for r in suffix_tree_lm.score_documents(d.repartition(parts)).collect()}
+        assert got == {k: pytest.approx(x, abs=1e-5) for k, x in enumerate(expected)}
+
+
+def test_suffix_tree_of_odd_tables(spark):
+    rows = [(None, "a b a b", "k"), (3, "word " * 450_000, "k"), (3, None, "k"), (3, None, "k"), (5, "", "k")]
+    got = suffix_tree_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string, held_out string")).collect()
+    assert sorted(r.n_tokens for r in got) == [1, 1, 1, 5, 450_001] and len({r.train_tokens for r in got}) == 1
+    only = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2][:2]
+    none = suffix_tree_lm.score_documents(spark.createDataFrame([(k, "x y") for k in only], "doc_id long, text string")).collect()
+    assert [(r.held_out, r.n_known, r.train_tokens, r.score) for r in none] == [(True, 0, 0, 0.0)] * 2
 
 
 def test_suffix_tree_scores_do_not_depend_on_partitions(spark):
