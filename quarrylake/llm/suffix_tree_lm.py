@@ -41,7 +41,7 @@ SYMBOL_SHARE = 2.0 ** -20
 #: Bits of a symbol. 0: a word of the class, or no word.
 BITS = 20
 MASK = (1 << BITS) - 1
-DISCOUNT, DIVERGENCE = 0.6, 0.01
+DISCOUNT, DIVERGENCE = 0.8, 0.01
 #: Tokens counted or sent together, documents of a chunk at most, and tokens that one task's branch has, about.
 BLOCK, CHUNK_ROWS, BRANCH = 1 << 21, 60_000, 1 << 21
 #: A context may be hot from this share of a block on, so there are at most DEPTH / share.
