@@ -43,11 +43,19 @@ def character_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def overfit_metrics(rows: DataFrame) -> DataFrame:
-    """One row of rows (prediction, reference, swapped, source): how far predictions repeat references or follow the swapped input."""
+    """One row of rows (prediction, reference, swapped, source): how far predictions repeat references or follow the swapped input.
+
+    Texts are compared character by character once for each different pair, and weighted by how often it occurs.
+    """
     p, r, s, o = (T.strip(F.col(c)) for c in ("prediction", "reference", "swapped", "source"))
-    return rows.agg(
-        F.avg((p == r).cast("double")).alias("exact_match"), F.avg(character_similarity("prediction", "reference")).alias("character_similarity"),
-        F.avg((p != s).cast("double")).alias("swap_change_rate"), F.avg(character_similarity("prediction", "swapped")).alias("swap_stays"), F.avg(character_similarity("source", "swapped")).alias("swap_follows"))
+    rows = rows.select(p.alias("p"), r.alias("r"), s.alias("s"), o.alias("o"))
+    sides = {"character_similarity": ("p", "r"), "swap_stays": ("p", "s"), "swap_follows": ("o", "s")}
+    pairs = F.array(*(F.struct(F.lit(name).alias("name"), F.col(a).alias("a"), F.col(b).alias("b")) for name, (a, b) in sides.items()))
+    n = rows.select(F.explode(pairs).alias("x")).select("x.*").groupBy("name", "a", "b").agg(F.count("*").alias("n")).withColumn("v", character_similarity("a", "b")).where("v IS NOT NULL")
+    like = n.agg(*((F.sum(F.when(F.col("name") == name, F.col("v") * F.col("n"))) / F.sum(F.when(F.col("name") == name, F.col("n")))).alias(name) for name in sides))
+    equal = rows.agg(F.avg((F.col("p") == F.col("r")).cast("double")).alias("exact_match"), F.avg((F.col("p") != F.col("s")).cast("double")).alias("swap_change_rate"))
+    # two single rows
+    return equal.crossJoin(like)
 
 
 _VOWELS = "aeiou"
@@ -145,5 +153,6 @@ def _meteor(prediction: pd.Series, references: pd.Series) -> pd.Series:
 
 
 def meteor(pairs: DataFrame) -> DataFrame:
-    """(case_id, meteor) of pairs (case_id, prediction, references): the best over the references."""
-    return pairs.select("case_id", _meteor("prediction", "references").alias("meteor"))
+    """(case_id, meteor) of pairs (case_id, prediction, references): the best over the references, found once for equal texts."""
+    scores = pairs.select("prediction", "references").distinct().withColumn("meteor", _meteor("prediction", "references"))
+    return pairs.join(scores, ["prediction", "references"]).select("case_id", "meteor")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrylake.functions import text as T
 from quarrylake.operators.components import connected_components
-from quarrylake.operators.storage import cut
+from quarrylake.operators.storage import broadcast_if_small, cut
 
 
 def exact_groups(reports: DataFrame) -> DataFrame:
@@ -16,27 +16,74 @@ def exact_groups(reports: DataFrame) -> DataFrame:
     return reports.select("id", T.normalize_report(F.col("text")).alias("normal")).groupBy("normal").agg(F.min("id").alias("id"), F.count("*").alias("n"))
 
 
-def near_pairs(reports: DataFrame, threshold: float = 0.85, size: int = 5) -> DataFrame:
-    """(a, b, jaccard) of all pairs of different normalised texts, by least ids, that reach the threshold.
+def shingle_sets(reports: DataFrame, size: int = 5) -> DataFrame:
+    """(id, s, n): the hashed shingles of each distinct normalised text, under its least id."""
+    return cut(exact_groups(reports).select("id", T.shingle_hashes(F.col("normal"), size).alias("s")).withColumn("n", F.size("s")))
+
 
-    Shingles are ordered by document frequency. Sets with Jaccard >= t share one of their first n - ceil(t * n) + 1
-    shingles, so only those are joined, which leaves frequent shingles out; the candidates are compared in full.
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, h): the first shingles of each set, by document frequency.
+
+    Sets with Jaccard >= t share one of their first n - ceil(t * n) + 1 shingles, which leaves frequent shingles out.
     """
-    sets = cut(exact_groups(reports).select("id", T.shingle_hashes(F.col("normal"), size).alias("s")).withColumn("n", F.size("s")))
     tokens = sets.select("id", "n", F.explode("s").alias("h"))
     frequency = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(frequency, "h")
     order = W.partitionBy("id").orderBy("df", "h")
     ranked = shared.withColumn("place", F.row_number().over(order)).withColumn("own", F.count("*").over(W.partitionBy("id")))
     # shingles of one text only come first in the order
-    prefix = ranked.where(F.col("place") + F.col("n") - F.col("own") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "n", "h")
-    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), "h")
-    pairs = prefix.join(other, "h").where((F.col("id") < F.col("b")) & (F.least("n", "m") >= threshold * F.greatest("n", "m"))).select(F.col("id").alias("a"), "b").distinct()
+    return ranked.where(F.col("place") + F.col("n") - F.col("own") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "n", "h")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs (a, b) whose sets reach the threshold."""
     left, right = (sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     found = pairs.join(left, "a").join(right, "b").select("a", "b", T.jaccard(F.col("sa"), F.col("sb")).alias("jaccard"))
     return found.where(F.col("jaccard") >= threshold)
 
 
+def _similar(n: str, m: str, threshold: float):
+    return F.least(n, m) >= threshold * F.greatest(n, m)
+
+
+def near_pairs(reports: DataFrame, threshold: float = 0.85, size: int = 5) -> DataFrame:
+    """(a, b, jaccard) of all pairs of different normalised texts, by least ids, that reach the threshold.
+
+    The result itself grows with the square of a group of near copies; for groups use near_components.
+    """
+    sets = shingle_sets(reports, size)
+    prefix = prefixes(sets, threshold)
+    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), "h")
+    pairs = prefix.join(other, "h").where((F.col("id") < F.col("b")) & _similar("n", "m", threshold)).select(F.col("id").alias("a"), "b").distinct()
+    return verified(pairs, sets, threshold)
+
+
+def near_components(reports: DataFrame, threshold: float = 0.85, size: int = 5, rounds: int = 2) -> DataFrame:
+    """Links (a, b) that join what all near pairs join.
+
+    In each round a shingle's texts are compared with one of them, another one each time, and what links is joined into
+    components; at last texts of different components that share a shingle are compared, which leaves few.
+    """
+    sets = shingle_sets(reports, size)
+    prefix = cut(prefixes(sets, threshold))
+    links = cut(prefix.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    component = None
+    for step in range(rounds + 1):
+        label = prefix.withColumn("c", F.col("id")) if component is None else prefix.join(component, "id", "left").select("id", "n", "h", F.coalesce("c", "id").alias("c"))
+        several = label.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
+        left = cut(label.join(broadcast_if_small(several), "h"))
+        if step < rounds:
+            centre = left.groupBy("h").agg(F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("x"), "id", "n", "c")).alias("m"))
+            pairs = left.join(broadcast_if_small(centre), "h").where((F.col("c") != F.col("m.c")) & _similar("n", "m.n", threshold)).select(F.col("m.id").alias("a"), F.col("id").alias("b"))
+        else:
+            other = left.select("h", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
+            pairs = left.join(other, "h").where((F.col("c") < F.col("d")) & _similar("n", "m", threshold)).select(F.col("id").alias("a"), "b")
+        links = cut(links.unionByName(verified(pairs.distinct(), sets, threshold).select("a", "b")))
+        if step < rounds:
+            component = connected_components(links, cut).select(F.col("node").alias("id"), F.col("component").alias("c"))
+    return links
+
+
 def duplicate_groups(reports: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(id, duplicate_group, template_group): least ids of the components of exact and near links, and of exact ones only.
 
@@ -45,7 +92,7 @@ def duplicate_groups(reports: DataFrame, threshold: float = 0.85) -> DataFrame:
     rows = cut(reports.select("id", T.normalize_report(F.col("text")).alias("normal")))
     least = rows.groupBy("normal").agg(F.min("id").alias("rep"))
     exact = rows.join(least, "normal").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    near = near_pairs(reports, threshold).select("a", "b")
+    near = near_components(reports, threshold)
     ids = rows.select("id").distinct()
     out = ids
     for name, edges in (("duplicate_group", exact.unionByName(near)), ("template_group", exact)):

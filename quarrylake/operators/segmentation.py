@@ -108,9 +108,15 @@ def benchmark_matrix(runs: DataFrame, gpus: list[str]) -> DataFrame:
 
 def fingerprint(samples: DataFrame) -> DataFrame:
     """(channel, mean, median, std, min, max, p99_5, p0_5) of foreground intensities (channel, value)."""
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.995), F.lit(0.005)))
-    a = samples.groupBy("channel").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), q.alias("q"))
-    return a.select("channel", "mean", F.col("q")[0].alias("median"), "std", "min", "max", F.col("q")[1].alias("p99_5"), F.col("q")[2].alias("p0_5"))
+    a = samples.groupBy("channel").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    # percentiles from counts of values in order, interpolated between neighbouring places
+    h = samples.where("value IS NOT NULL").groupBy("channel", "value").agg(F.count("*").alias("c"))
+    h = h.withColumn("upto", F.sum("c").over(W.partitionBy("channel").orderBy("value"))).join(broadcast_if_small(a.select("channel", "n")), "channel")
+    names = {"median": 0.5, "p99_5": 0.995, "p0_5": 0.005}
+    at = {k: (F.col("n") - 1) * F.lit(q) for k, q in names.items()}
+    ends = h.groupBy("channel").agg(*(F.min(F.when(F.col("upto") > f(p), F.struct("value", p.alias("p")))).alias(f"{k}_{side}") for k, p in at.items() for side, f in (("lo", F.floor), ("hi", F.ceil))))
+    value = {k: F.col(f"{k}_lo.value") + (F.col(f"{k}_hi.value") - F.col(f"{k}_lo.value")) * (F.col(f"{k}_lo.p") - F.floor(f"{k}_lo.p")) for k in names}
+    return a.join(ends, "channel").select("channel", "mean", value["median"].alias("median"), "std", "min", "max", value["p99_5"].alias("p99_5"), value["p0_5"].alias("p0_5"))
 
 
 def target_spacing(spacings: DataFrame, sizes: DataFrame, threshold: float = 3.0) -> DataFrame:
