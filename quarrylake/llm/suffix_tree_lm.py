@@ -43,9 +43,9 @@ BITS = 20
 MASK = (1 << BITS) - 1
 DISCOUNT, DIVERGENCE = 0.8, 0.01
 #: Tokens counted or sent together, documents of a chunk at most, and tokens that one task's branch has, about.
-BLOCK, CHUNK_ROWS, BRANCH = 1 << 21, 60_000, 1 << 21
+BLOCK, CHUNK_ROWS, BRANCH = 1 << 20, 60_000, 1 << 20
 #: A context may be hot from this share of a block on, so there are at most DEPTH / share.
-HOT_SHARE = 2.0 ** -16
+HOT_SHARE = 2.0 ** -14
 _SCALE = 1e9
 
 
@@ -58,16 +58,18 @@ def _tokens(batch: pa.RecordBatch, hasher: WordHasher):
     buf, offs = utf8(batch.column("text"))
     for i, j, h, _, at in hasher.many(buf, offs):
         n = np.diff(at)
-        yield i, np.insert(h, at[1:], END), np.repeat(np.arange(j - i), n + 1)
+        yield i, np.insert(h, at[1:], END), np.repeat(np.arange(j - i, dtype=np.int32), n + 1)
 
 
 def _older(x: np.ndarray, row: np.ndarray, k: int, begin, none) -> np.ndarray:
     """The symbol k places before each token of its text; begin just before the first, none beyond."""
-    first = np.concatenate(([0], np.flatnonzero(np.diff(row)) + 1))
-    place = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
     out = np.full(len(x), none, x.dtype)
-    out[k:] = x[:-k]
-    return np.where(place >= k, out, np.where(place == k - 1, begin, none)).astype(x.dtype)
+    out[k:] = np.where(row[k:] == row[:-k], x[:-k], none)
+    first = np.concatenate(([0], np.flatnonzero(np.diff(row)) + 1)) + k - 1
+    first = first[first < len(x)]
+    # the k-th token of a text, if that has so many
+    out[first[row[first] == row[first - k + 1]]] = begin
+    return out
 
 
 def _packed(x: np.ndarray, kind) -> bytes:
@@ -85,35 +87,40 @@ def _unpacked(b: bytes, kind) -> np.ndarray:
 
 def _count_words(batches):
     """(level, z, a, b, c): at level 0 how often training texts of a block have the word b, at others contexts that may be hot."""
-    hasher, held, count = WordHasher(), [], 0
+    hasher, held, count, rows = WordHasher(), [], 0, 0
     schema = pa.schema([("level", pa.int32()), *((x, pa.int64()) for x in "zabc")])
 
     def counted():
-        words = [np.concatenate(x) for x in zip(*held)]
-        cols = [[] for _ in range(5)]
-        for level in range(DEPTH + 1):
-            key = np.zeros(len(words[0]), np.uint64)
-            for w in words[1:level + 1] if level else words[:1]:
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + w)
-            _, first, c = np.unique(key, return_index=True, return_counts=True)
-            if level:
-                many = c >= max(32, len(key) * HOT_SHARE)
-                first, c = first[many], c[many]
-            # of the older words those of the context
-            own = [words[k][first] if k <= level and level else np.zeros(len(first), np.uint64) for k in (3, 2, 1)] if level else [np.zeros(len(first), np.uint64)] * 2 + [words[0][first]]
-            for col, x in zip(cols, (np.full(len(first), level), *map(signed, own), c)):
+        t, row = (np.concatenate(x) for x in zip(*held))
+        u, inv, c = np.unique(t, return_inverse=True, return_counts=True)
+        zero = np.zeros(len(u), np.uint64)
+        cols = [[np.zeros(len(u), np.int64)], [zero], [zero], [u], [c]]
+        often = max(32, len(t) * HOT_SHARE)
+        older = [_older(t, row, k, BEGIN, BEGIN) for k in range(1, DEPTH + 1)]
+        # tokens after a context that may be hot: one of its ends is
+        at, key = np.arange(len(t)), np.zeros(len(t), np.uint64)
+        for level, w in enumerate(older, 1):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + w[at])
+            _, first, inv, c = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            many = c >= often
+            own = at[first[many]]
+            context = [older[k - 1][own] if k <= level else np.zeros(len(own), np.uint64) for k in (3, 2, 1)]
+            for col, x in zip(cols, (np.full(len(own), level), *context, c[many])):
                 col.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in zip(cols, [np.int32] + [np.int64] * 4)], schema=schema)
+            at, key = at[many[inv]], key[many[inv]]
+        level, *context, c = (np.concatenate(x) for x in cols)
+        return pa.RecordBatch.from_arrays([pa.array(level.astype(np.int32)), *(pa.array(signed(x)) for x in context), pa.array(c.astype(np.int64))], schema=schema)
 
     for batch in batches:
         out = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         for i, t, row in _tokens(batch, hasher):
             keep = ~out[i + row]
-            held.append([t[keep], *(_older(t, row, k, BEGIN, BEGIN)[keep] for k in range(1, DEPTH + 1))])
+            held.append((t[keep], row[keep] + rows))  # whole texts
+            rows += int(row[-1]) + 1
             count += int(keep.sum())
             if count >= BLOCK:
                 yield counted()
-                held, count = [], 0
+                held, count, rows = [], 0, 0
     if count:
         yield counted()
 
@@ -129,16 +136,18 @@ class Symbols:
 
     def of(self, t: np.ndarray) -> np.ndarray:
         if not len(self.words):
-            return np.zeros(len(t), np.int64)
+            return np.zeros(len(t), np.int32)
         at = np.minimum(np.searchsorted(self.words, t), len(self.words) - 1)
-        return np.where(self.words[at] == t, at + 1, 0)
+        return np.where(self.words[at] == t, at + 1, 0).astype(np.int32)
 
     def contexts(self, s: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
         """The symbols before each token, the nearest first; 0 from where its context ends on."""
         out = []
         for k in range(1, DEPTH + 1):
             x = _older(s, row, k, self.begin, 0)
-            out.append(np.where(out[-1] > 0, x, 0) if out else x)
+            if out:
+                x[out[-1] == 0] = 0
+            out.append(x)
         return out
 
 
@@ -214,7 +223,7 @@ def _count_hot(shared):
                 context = [x[keep] for x in words.contexts(s, row)]
                 for level in range(1, DEPTH + 1):
                     at = routes.find(context, level)
-                    held[level - 1].append((at[at >= 0] << BITS) | s[keep][at >= 0])
+                    held[level - 1].append((at[at >= 0].astype(np.int64) << BITS) | s[keep][at >= 0])
                 count += len(t)
                 if count >= BLOCK:
                     yield counted()
@@ -256,10 +265,12 @@ def _send(shared):
             at = np.flatnonzero(context[0])
             own = [x[at] for x in context]
             task = routes.of(own, mix((number + at).astype(np.uint64)))
-            o = np.lexsort((_keys(own, DEPTH), task))
-            cols, task = [x[at][o] for x in (*context, s, mark)], task[o]
+            # by task, and within it by the two words before, for compression
+            o = np.argsort((task << 2 * BITS) | (own[0].astype(np.int64) << BITS) | own[1], kind="stable")
+            task, o = task[o], at[o]
+            cols = [x[o] for x in (*context, s, mark)]
             for x, y in _slices(task):
-                made.append((int(task[x]), 0, number, *(_packed(c[x:y], np.uint32) for c in cols), None))
+                made.append((int(task[x]), 0, number, *(_packed(x_[x:y], np.uint32) for x_ in cols), None))
             at = np.flatnonzero(s == 0)
             task = (mix(t[at] + np.uint64(1)) % np.uint64(routes.tasks)).astype(np.int64)
             o = np.argsort(task, kind="stable")
