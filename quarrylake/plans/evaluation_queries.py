@@ -140,7 +140,16 @@ def a16(spark, d):
     return rounded(C.generation_quality(pairs(spark, d)), "terminal_punctuation_rate", "truncated_generation_rate", "invalid_fdi_case_rate", "repetition_rate", "repetition_case_rate", "length_ratio_mean", "empty_generation_rate")
 
 
-@query("a17_bleu")
+_GRAMS = "unnest(list_transform(range(1, len({0}) - n + 2), lambda i: array_to_string({0}[i:i + n - 1], ' ')))"
+
+
+@query("a17_bleu", f"""WITH p AS (SELECT case_id, string_split_regex(trim(lower(prediction)), '\\s+') h, [string_split_regex(trim(lower(reference)), '\\s+'), string_split_regex(trim(lower(reference2)), '\\s+')] r FROM gen_predictions), o(n) AS (VALUES (1), (2), (3), (4)),
+hg AS (SELECT case_id, n, g, count(*) k FROM (SELECT case_id, n, {_GRAMS.format('h')} g FROM p, o) GROUP BY ALL),
+rg AS (SELECT case_id, n, g, max(k) most FROM (SELECT case_id, j, n, g, count(*) k FROM (SELECT case_id, j, n, {_GRAMS.format('w')} g FROM (SELECT case_id, unnest([1, 2]) j, unnest(r) w FROM p), o) GROUP BY ALL) GROUP BY ALL),
+hit AS (SELECT n, sum(least(k, most)) m FROM hg JOIN rg USING (case_id, n, g) GROUP BY 1), tot AS (SELECT n, sum(greatest(len(h) - n + 1, 0)) t FROM p, o GROUP BY 1),
+x AS (SELECT avg(ln(CASE WHEN coalesce(m, 0) = 0 THEN 0.1 ELSE m::DOUBLE END / greatest(t, 1))) l, max(m) FILTER (n = 1) m1 FROM tot LEFT JOIN hit USING (n)),
+z AS (SELECT sum(len(h))::DOUBLE c, sum(CASE WHEN (abs(len(r[1]) - len(h)), len(r[1])) <= (abs(len(r[2]) - len(h)), len(r[2])) THEN len(r[1]) ELSE len(r[2]) END)::DOUBLE r FROM p)
+SELECT round(CASE WHEN m1 > 0 THEN CASE WHEN c > r THEN 1.0 ELSE exp(1 - r / c) END * exp(l) ELSE 0 END, 9) AS bleu4 FROM x, z""", "gen_predictions")
 def a17(spark, d):
     return rounded(similarity.corpus_bleu(pairs(spark, d)), "bleu4")
 

