@@ -198,22 +198,19 @@ class Routes:
         return [[np.array(sorted(x)) for x in level] for level in need]
 
 
-def _count_hot(shared):
-    """(level, i, w, c): how often a symbol follows the i-th hot context of a level in training texts of a block."""
-    schema = pa.schema([("level", pa.int32()), ("i", pa.int64()), ("w", pa.int64()), ("c", pa.int64())])
+def _count_hot(shared, parts: int):
+    """(part, keys, counts), packed: how often symbols follow hot contexts in training texts of a block; a key has the context's level, its place and the symbol."""
+    schema = pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
         words, routes = Symbols(*shared.value[0]), Routes(*shared.value[1])
-        hasher, held, count = WordHasher(), [[] for _ in range(DEPTH)], 0
+        hasher, held, count = WordHasher(), [np.empty(0, np.int64)], 0
 
         def counted():
-            cols = [[] for _ in range(4)]
-            for level in range(DEPTH):
-                key, c = np.unique(np.concatenate([*held[level], np.empty(0, np.int64)]), return_counts=True)
-                for col, x in zip(cols, (np.full(len(key), level + 1), key >> BITS, key & MASK, c)):
-                    col.append(x)
-                held[level].clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in zip(cols, [np.int32] + [np.int64] * 3)], schema=schema)
+            key, c = np.unique(np.concatenate(held), return_counts=True)
+            part = (mix(key.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            o = np.argsort(part, kind="stable")
+            return _batch([(int(part[o[x]]), _packed(key[o[x:y]], np.uint64), _packed(c[o[x:y]], np.uint32)) for x, y in _slices(part[o])], schema)
 
         for batch in batches:
             out = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
@@ -221,17 +218,19 @@ def _count_hot(shared):
                 keep = ~out[i + row]
                 s = words.of(t)
                 context = [x[keep] for x in words.contexts(s, row)]
+                s = s[keep].astype(np.int64)
                 for level in range(1, DEPTH + 1):
                     at = routes.find(context, level)
-                    held[level - 1].append((at[at >= 0].astype(np.int64) << BITS) | s[keep][at >= 0])
+                    hot = at >= 0
+                    held.append((level << 60) | (at[hot].astype(np.int64) << BITS) | s[hot])
                 count += len(t)
                 if count >= BLOCK:
                     yield counted()
-                    count = 0
+                    held, count = [np.empty(0, np.int64)], 0
         if count:
             yield counted()
 
-    return run, "level int, i long, w long, c long"
+    return run, "part long, keys binary, counts binary"
 
 
 #: What goes to a task (kind 0: tokens, 1: words of the class, 2: counts of a hot context) and a chunk's own documents (kind 3).
@@ -302,20 +301,19 @@ def _send(shared):
 
 
 def _pack_hot(shared):
-    """Counts of hot contexts (level, i, w, c), packed for the tasks that need them."""
-    def run(batches):
+    def run(table: pa.Table) -> pa.Table:
+        """The counts of one part, packed for the tasks that need them."""
         routes = Routes(*shared.value[1])
         targets = routes.targets()
-        for batch in batches:
-            level, i, w, c = (batch.column(x).to_numpy() for x in ("level", "i", "w", "c"))
-            o = np.lexsort((w, i, level))
-            made, group = [], level[o].astype(np.int64) << 40 | i[o]
-            for x, y in _slices(group):
-                own = o[x:y]
-                lv, at = int(level[own[0]]), int(i[own[0]])
-                body = (_packed(w[own], np.uint32), _packed(c[own], np.uint64), lv.to_bytes(1, "little"), int(routes.hot[lv - 1][0][at]).to_bytes(8, "little"))
-                made += [(int(task), 2, None, *body, *[None] * (DEPTH - 2), None) for task in targets[lv - 1][at]]
-            yield _batch(made, _SENT)
+        keys, counts = (np.concatenate([_unpacked(x.as_py(), kind).astype(np.int64) for x in table.column(c)]) for c, kind in (("keys", np.uint64), ("counts", np.uint32)))
+        key, at = np.unique(keys, return_inverse=True)
+        c, made = np.zeros(len(key), np.int64), []
+        np.add.at(c, at, counts)
+        for x, y in _slices(key >> BITS):
+            level, i = int(key[x] >> 60), int(key[x] >> BITS) & ((1 << 40) - 1)
+            body = (_packed(key[x:y] & MASK, np.uint32), _packed(c[x:y], np.uint64), level.to_bytes(1, "little"), int(routes.hot[level - 1][0][i]).to_bytes(8, "little"))
+            made += [(int(task), 2, None, *body, *[None] * (DEPTH - 2), None) for task in targets[level - 1][i]]
+        return pa.Table.from_batches([_batch(made, _SENT)])
 
     return run
 
@@ -458,9 +456,10 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(fold_of(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"))
     model = train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    run, schema = _count_hot(shared)
-    hot = docs.mapInArrow(run, schema).groupBy("level", "i", "w").agg(F.sum("c").alias("c"))
-    sent = docs.mapInArrow(_send(shared), _SENT_SQL).unionByName(hot.mapInArrow(_pack_hot(shared), _SENT_SQL))
+    run, schema = _count_hot(shared, max(4, model[1][0] // 32))
+    pack = _pack_hot(shared)
+    hot = docs.mapInArrow(run, schema).groupBy("part").applyInArrow(lambda t: pack(t), _SENT_SQL)
+    sent = docs.mapInArrow(_send(shared), _SENT_SQL).unionByName(hot)
     scored = _scored(shared)
     back = sent.groupBy("task").applyInArrow(lambda t: scored(t), "chunk long, kind int, row binary, score binary, base binary, known binary, ids array<long>")
     out = back.groupBy("chunk").applyInArrow(lambda t: _finished(t), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
