@@ -40,10 +40,17 @@ def masked_mean(rows: DataFrame, by: str, value: str, mask: str) -> DataFrame:
     return rows.groupBy(by).agg(F.coalesce(F.avg(F.when(F.col(mask), F.col(value))), F.avg(value)).alias("mean"))
 
 
-def soft_dice(rows: DataFrame, by: list[str], smooth: float = 1.0) -> DataFrame:
-    """(by..., dice) of rows (by..., p, y): the soft Dice of probabilities and targets."""
-    tp = F.sum(F.col("p") * F.col("y"))
-    return rows.groupBy(*by).agg(((2 * tp + smooth) / F.greatest(F.sum("p") + F.sum("y") + smooth, F.lit(1e-8))).alias("dice"))
+def soft_dice(rows: DataFrame, by: list[str], smooth: float = 1.0, squared: bool = False, over: str | None = None) -> DataFrame:
+    """(by..., dice) of rows (by..., p, y, mask or none): the soft Dice of probabilities and targets, masked places left out.
+
+    squared: the squares of products are summed, as some losses do. over: a column of by whose groups are summed before
+    the quotient (the samples of a batch); without it each group has its own.
+    """
+    one = (lambda x: x * x) if squared else (lambda x: x)
+    m = F.col("mask").cast("double") if "mask" in rows.columns else F.lit(1.0)
+    keys = [b for b in by if b != over]
+    s = rows.groupBy(*keys).agg(*(F.sum(one(v) * m).alias(k) for k, v in (("tp", F.col("p") * F.col("y")), ("fp", F.col("p") * (1 - F.col("y"))), ("fn", (1 - F.col("p")) * F.col("y")))))
+    return s.select(*keys, ((2 * F.col("tp") + smooth) / F.greatest(2 * F.col("tp") + F.col("fp") + F.col("fn") + smooth, F.lit(1e-8))).alias("dice"))
 
 
 def top_share_mean(losses: DataFrame, share: float, *by: str) -> DataFrame:

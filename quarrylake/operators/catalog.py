@@ -75,3 +75,11 @@ def window_grid(starts: DataFrame) -> DataFrame:
     for k in ("z", "y", "x"):
         g = g.withColumn(k, F.explode(k))
     return g
+
+
+def the_dataset(names: DataFrame, number: int) -> str:
+    """The one name of a dataset's number; none or several raise."""
+    found = [r["name"] for r in datasets_by_id(names, number).orderBy("name").limit(3).collect()]
+    if len(found) != 1:
+        raise ValueError(f"dataset {number}: {', '.join(found) or 'none'}")
+    return found[0]

@@ -120,3 +120,22 @@ def warmup_cosine(step: Column, base: float, warmup: int, total: int, least: flo
 
 def polynomial_rate(step: Column, base: float, total: int, exponent: float = 0.9) -> Column:
     return F.lit(base) * F.pow(1 - step / total, F.lit(exponent))
+
+
+def warmup_steps(total: int, steps: int | None = None, ratio: float | None = None, percent: float | None = None) -> int:
+    """Warm-up steps given as a number, a share or a percentage of all; the first that is given counts."""
+    found = steps if steps is not None else ratio * total if ratio is not None else percent / 100 * total if percent is not None else 0
+    if not 0 <= found <= total:
+        raise ValueError(f"{found} warm-up steps of {total}")
+    return int(found)
+
+
+def schedule(name: str, step: Column, base: float, total: int, **options) -> Column:
+    """The learning rate at a step by a schedule's name: cosine (warm-up and cosine), poly, or constant."""
+    if name == "cosine":
+        return warmup_cosine(step, base, warmup_steps(total, **options), total)
+    if name == "poly":
+        return polynomial_rate(step, base, total, **options)
+    if name == "constant":
+        return F.lit(base) + 0 * step
+    raise ValueError(f"unknown schedule {name}")

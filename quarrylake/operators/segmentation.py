@@ -191,3 +191,37 @@ def balanced_slice(voxels: DataFrame) -> DataFrame:
     share = n.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("case_id", "label")))
     mean = share.groupBy("case_id", "z").agg(F.sum("share").alias("m"))
     return mean.groupBy("case_id").agg(F.min_by("z", F.struct((-F.col("m")).alias("a"), F.col("z").alias("b"))).alias("z"))
+
+
+def paired_files(reference: DataFrame, predicted: DataFrame, strict: bool = True) -> DataFrame:
+    """(file) that both have. Predictions drive: one without a reference raises, and if strict a reference without a prediction."""
+    r, p = (df.select("file", F.lit(True).alias(side)).distinct() for df, side in ((reference, "r"), (predicted, "p")))
+    j = p.join(r, "file", "full" if strict else "left")
+    wrong = F.when(F.col("r").isNull(), "no reference for ").when(F.col("p").isNull(), "no prediction for ")
+    return j.select(F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, "file"))).otherwise(F.col("file")).alias("file"))
+
+
+def accumulated_folds(folds: list[DataFrame]) -> DataFrame:
+    """The predictions (case_id, ...) of all folds in one table; a case that several predict raises."""
+    out = folds[0]
+    for f in folds[1:]:
+        out = out.unionByName(f)
+    n = out.groupBy("case_id").agg(F.count("*").alias("_n"))
+    return out.join(n, "case_id").withColumn("case_id", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("several folds predict "), F.col("case_id").cast("string")))).otherwise(F.col("case_id"))).drop("_n")
+
+
+def case_problems(cases: DataFrame, channels: int) -> DataFrame:
+    """(case_id, problem) of cases (case_id, channels, image_shape, label_shape, image_spacing, label_spacing, undefined)."""
+    found = F.array(
+        F.when(F.col("channels") != channels, "channels"), F.when(~F.col("image_shape").eqNullSafe(F.col("label_shape")), "shape"),
+        F.when(F.exists(F.zip_with("image_spacing", "label_spacing", lambda a, b: F.coalesce(F.abs(a - b) > 1e-5, F.lit(True))), lambda x: x), "spacing"), F.when(F.col("undefined") > 0, "undefined values"))
+    return cases.select("case_id", F.explode(F.array_compact(found)).alias("problem"))
+
+
+def of_version(runs: DataFrame, torch: str, cudnn: int, gpus: int) -> DataFrame:
+    """The benchmark runs of one set of versions and number of GPUs."""
+    return runs.where((F.col("torch") == torch) & (F.col("cudnn") == cudnn) & (F.col("gpus") == gpus))
+
+
+def sigmoid(score):
+    return 1 / (1 + F.exp(-score))

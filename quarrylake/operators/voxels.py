@@ -142,3 +142,102 @@ def pad(arrays: DataFrame, column: str, value: float = 0.0) -> DataFrame:
     longest = arrays.groupBy("batch").agg(F.max(F.size(column)).alias("_longest"))
     fill = F.col("_longest") - F.size(column)
     return arrays.join(broadcast_if_small(longest), "batch").withColumns({"mask": F.concat(F.array_repeat(F.lit(1), F.size(column)), F.array_repeat(F.lit(0), fill)), column: F.concat(column, F.array_repeat(F.lit(value), fill))}).drop("_longest")
+
+
+def least_weight(weights: DataFrame) -> DataFrame:
+    """weights (..., g) with zeros raised to the least weight that is not zero, so that every place counts."""
+    least = weights.agg(F.min(F.when(F.col("g") > 0, F.col("g"))).alias("_least"))
+    return weights.crossJoin(least).withColumn("g", F.when(F.col("g") > 0, F.col("g")).otherwise(F.col("_least"))).drop("_least")
+
+
+def crop_to_nonzero(volume: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(volume, labels) cropped to the box of places where a channel is not 0; labels of 0 outside the filled non-zero part become -1."""
+    from quarrylake.operators.augmentation import PLACE, filled
+
+    boxes = nonzero_box(volume)
+    inner = filled(volume.where("v <> 0").select(*PLACE).distinct(), volume.select(*PLACE).distinct()).withColumn("_in", F.lit(True))
+    outside = labels.join(inner, PLACE, "left").withColumn("label", F.when((F.col("label") == 0) & F.col("_in").isNull(), -1).otherwise(F.col("label"))).select(labels.columns)
+    return crop(volume, boxes), crop(outside, boxes)
+
+
+def uncropped_probabilities(probabilities: DataFrame, boxes: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """(case_id, c, z, y, x, v): probabilities of a crop in the whole volume; outside of it channel 0, the background, has 1."""
+    cases = probabilities.select("case_id", "c").distinct()
+    for a in AXES:
+        cases = cases.withColumn(a, F.explode(F.sequence(F.lit(0), F.lit(sizes[a] - 1))))
+    known = uncrop(probabilities, boxes).withColumnRenamed("v", "_v")
+    whole = cases.join(known, ["case_id", "c", *AXES], "left").join(broadcast_if_small(boxes), "case_id")
+    inside = F.lit(True)
+    for a in AXES:
+        inside = inside & (F.col(a) >= F.col(f"{a}0")) & (F.col(a) < F.col(f"{a}1"))
+    return whole.select("case_id", "c", *AXES, F.when(inside, F.col("_v")).when(F.col("c") == 0, 1.0).otherwise(0.0).alias("v"))
+
+
+def masked_z_score(volume: DataFrame, least: float = 1e-8) -> DataFrame:
+    """volume (..., v, inside) with v standardised by the places inside alone; the others are left at 0."""
+    w = W.partitionBy("case_id", "c")
+    own = F.when(F.col("inside"), F.col("v"))
+    z = (F.col("v") - F.avg(own).over(w)) / F.greatest(F.stddev_pop(own).over(w), F.lit(least))
+    return volume.withColumn("v", F.when(F.col("inside"), z).otherwise(0.0))
+
+
+def rgb_normalize(v: Column) -> Column:
+    """Intensities of 0 to 255 as 0 to 1; others raise."""
+    return F.when(v.between(0, 255), v / 255.0).otherwise(F.raise_error(F.lit("not an RGB intensity")).cast("double"))
+
+
+def separate_axis(spacing: Column, threshold: float = 3.0) -> Column:
+    """The axis (0, 1, 2) of a volume that is resampled by itself: the only coarsest one, if it is threshold times the finest; else NULL."""
+    most = F.array_max(spacing)
+    alone = F.size(F.filter(spacing, lambda s: s == most)) == 1
+    return F.when((most / F.array_min(spacing) > threshold) & alone, (F.array_position(spacing, most) - 1).cast("int"))
+
+
+def resampled(volume: DataFrame, source: dict[str, int], target: dict[str, int], linear: bool = False) -> DataFrame:
+    """volume (case_id, ..., z, y, x, v) of the source's size at the target's: the nearest place, or between neighbours along each axis.
+
+    Places are the middles of voxels; beyond the outermost ones their values continue.
+    """
+    rest = [c for c in volume.columns if c not in (*AXES, "v")]
+    for a in AXES:
+        n, m = source[a], target[a]
+        grid = volume.sparkSession.range(m).select(F.col("id").cast("int").alias("_to"))
+        at = F.greatest(F.least((F.col("_to") + 0.5) * n / m - 0.5, F.lit(n - 1.0)), F.lit(0.0))
+        if linear:
+            low = F.floor(at)
+            pairs = grid.select("_to", F.explode(F.array(F.struct(low.alias("k"), (1 - (at - low)).alias("g")), F.struct(F.least(low + 1, F.lit(n - 1)).alias("k"), (at - low).alias("g")))).alias("p")).select("_to", F.col("p.k").cast("int").alias(a), F.col("p.g").alias("g")).where("g > 0")
+        else:
+            pairs = grid.select("_to", F.least(F.floor((F.col("_to") + 0.5) * n / m), F.lit(n - 1)).cast("int").alias(a), F.lit(1.0).alias("g"))
+        others = [b for b in AXES if b != a]
+        # an axis's places are few
+        volume = volume.join(F.broadcast(pairs), a).groupBy(*rest, *others, F.col("_to").alias(a)).agg(F.sum(F.col("v") * F.col("g")).alias("v"))
+    return volume.select(*rest, *AXES, "v")
+
+
+def preprocessed(volume: DataFrame, labels: DataFrame, order: list[int], sizes: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """(volume, labels) transposed, cropped to what is not zero, standardised and brought to the sizes; all cases of one crop size.
+
+    Intensities are resampled along lines, labels by the nearest place.
+    """
+    from quarrylake.operators.planning import transpose
+
+    v, s = crop_to_nonzero(transpose(volume, order), transpose(labels, order))
+    top = v.agg(*(F.max(a).alias(a) for a in AXES)).first()
+    source = {a: top[a] + 1 for a in AXES}
+    # what is out of the range of a crop would be another size
+    return resampled(z_score(v), source, sizes, linear=True), resampled(s.withColumnRenamed("label", "v"), source, sizes).withColumn("label", F.col("v").cast("int")).drop("v")
+
+
+def grid_affine(affine: Column, origin: Column, scale: Column) -> Column:
+    """The affine of a feature grid: 3 x 4 rows of a volume's affine, moved to the crop's origin and scaled by voxels a cell.
+
+    The middle of cell 0 lies (scale - 1) / 2 voxels behind the origin on each axis.
+    """
+    def row(r):
+        cells = [F.get(r, F.lit(k)) * F.get(scale, F.lit(k)) for k in range(3)]
+        start = F.get(r, F.lit(3))
+        for k in range(3):
+            start = start + F.get(r, F.lit(k)) * (F.get(origin, F.lit(k)) + (F.get(scale, F.lit(k)) - 1) / 2)
+        return F.array(*cells, start)
+
+    return F.transform(affine, row)

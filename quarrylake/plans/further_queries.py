@@ -11,6 +11,7 @@ from quarrylake.operators import planning as P
 from quarrylake.operators import records as R
 from quarrylake.operators import sampling
 from quarrylake.operators import segmentation as S
+from quarrylake.operators import split as SPLIT
 from quarrylake.operators import voxels as V
 from quarrylake.operators.storage import checkpoint_folder
 from quarrylake.plans.generated import generated, with_tables
@@ -343,3 +344,96 @@ def a43(spark, d):
 @query("a44_balanced_slice", "WITH n AS (SELECT case_id, z, ref, count(*) n FROM gen_voxels WHERE ref > 0 GROUP BY 1, 2, 3), s AS (SELECT case_id, z, sum(n / t) m FROM (SELECT *, sum(n) OVER (PARTITION BY case_id, ref) t FROM n) GROUP BY 1, 2) SELECT case_id, z FROM s QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY m DESC, z) = 1", "gen_voxels")
 def a44(spark, d):
     return S.balanced_slice(generated(spark, d, "gen_voxels").withColumnRenamed("ref", "label"))
+
+
+@query("j10_paired_files", "SELECT DISTINCT o_custkey AS file FROM orders")
+def j10(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("file"))
+    return S.paired_files(read(spark, d, "customer").select(F.col("c_custkey").alias("file")), o, strict=False)
+
+
+@query("j13_accumulated_folds", "SELECT o_orderkey AS case_id, o_orderkey % 5 AS fold FROM orders")
+def j13(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), (F.col("o_orderkey") % 5).alias("fold"))
+    return S.accumulated_folds([o.where(F.col("fold") == k) for k in range(5)])
+
+
+@query("a42_case_problems", "SELECT * FROM (SELECT p_partkey AS case_id, unnest(list_filter([CASE WHEN p_size % 7 = 0 THEN 'channels' END, CASE WHEN p_size % 5 = 0 THEN 'shape' END, CASE WHEN p_partkey % 3 = 0 THEN 'spacing' END, CASE WHEN p_partkey % 11 = 0 THEN 'undefined values' END], lambda x: x IS NOT NULL)) AS problem FROM part)")
+def a42(spark, d):
+    size, key = F.col("p_size"), F.col("p_partkey")
+    c = read(spark, d, "part").select(key.alias("case_id"), F.when(size % 7 == 0, 2).otherwise(1).alias("channels"), F.array(size, F.lit(4)).alias("image_shape"), F.array(size + F.when(size % 5 == 0, 1).otherwise(0), F.lit(4)).alias("label_shape"),
+                                      F.array(F.lit(0.3), F.lit(1.0)).alias("image_spacing"), F.array(F.lit(0.3), F.when(key % 3 == 0, 1.1).otherwise(1.0)).alias("label_spacing"), F.when(key % 11 == 0, 1).otherwise(0).alias("undefined"))
+    return S.case_problems(c, 1)
+
+
+@query("a46_of_version", "SELECT p_partkey, p_retailprice AS epoch_seconds FROM part WHERE p_type = 'ECONOMY' AND p_size % 3 = 1 AND p_partkey % 2 = 1")
+def a46(spark, d):
+    r = read(spark, d, "part").select("p_partkey", F.col("p_type").alias("torch"), (F.col("p_size") % 3).alias("cudnn"), (F.col("p_partkey") % 2).alias("gpus"), F.col("p_retailprice").alias("epoch_seconds"))
+    return S.of_version(r, "ECONOMY", 1, 1).select("p_partkey", "epoch_seconds")
+
+
+@query("a49_masked_batch_dice", "SELECT l_linenumber, round((2 * sum(tp * tp) + 1) / greatest(2 * sum(tp * tp) + sum(fp * fp) + sum(fn * fn) + 1, 1e-8), 7) AS dice FROM (SELECT l_linenumber, l_discount * y tp, l_discount * (1 - y) fp, (1 - l_discount) * y fn FROM (SELECT *, (l_returnflag = 'A')::INT::DOUBLE y FROM lineitem WHERE l_linestatus = 'F')) GROUP BY 1")
+def a49(spark, d):
+    l = read(spark, d, "lineitem").select("l_linenumber", "l_suppkey", F.col("l_discount").alias("p"), (F.col("l_returnflag") == "A").cast("double").alias("y"), (F.col("l_linestatus") == "F").alias("mask"))
+    return losses.soft_dice(l, ["l_linenumber", "l_suppkey"], squared=True, over="l_suppkey").withColumn("dice", F.round("dice", 7))
+
+
+@query("w14_by_name", "SELECT i AS step, round(CASE WHEN i < 10 THEN 0.001 * i / 10 ELSE 0.001 * 0.5 * (1 + cos(pi() * least((i - 10) / 90.0, 1.0))) END, 9) AS cosine, round(0.01 * pow(1 - i / 100.0, 0.9), 9) AS poly, 0.5 AS constant FROM range(0, 100) t(i)")
+def w14(spark, d):
+    s = F.col("id")
+    return spark.range(100).select(s.alias("step"), F.round(sampling.schedule("cosine", s, 0.001, 100, percent=10.0), 9).alias("cosine"), F.round(sampling.schedule("poly", s, 0.01, 100), 9).alias("poly"), sampling.schedule("constant", s, 0.5, 100).alias("constant"))
+
+
+@query("v6_prefix_folds", "SELECT DISTINCT o_orderpriority AS id, o_orderpriority[1]::INT - 1 AS fold FROM orders WHERE o_orderpriority[1] IN ('1', '2')")
+def v6p(spark, d):
+    return SPLIT.prefix_folds(read(spark, d, "orders").select(F.col("o_orderpriority").alias("id")), ["1", "2"])
+
+
+@query("v6_vendor_counts", "SELECT p_brand AS vendor, least(25, count(*)) AS valid, count(*) - least(25, count(*)) AS train, (count(*) - least(25, count(*)))::BIGINT AS own FROM part GROUP BY 1")
+def v6v(spark, d):
+    s = SPLIT.vendor_split(read(spark, d, "part").select(F.col("p_brand").alias("vendor"), F.col("p_partkey").alias("patient")), 25, 42)
+    n = s.groupBy("vendor").agg(F.count_if(F.col("split") == "valid").alias("valid"), F.count_if(F.col("split") == "train").alias("train"))
+    mixed = SPLIT.mixed_halves(s)
+    return n.join(mixed.where("train_set = vendor").groupBy("vendor").agg(F.count("*").alias("own")), "vendor")
+
+
+@query("v6_frames", "SELECT o_orderkey AS patient, o_orderkey || '_' || lpad(k::VARCHAR, 4, '0') AS frame FROM (SELECT o_orderkey, unnest([o_custkey % 30, 30 + o_custkey % 30]) k FROM orders)")
+def v6f(spark, d):
+    c = F.col("o_custkey") % 30
+    f = SPLIT.frames(read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("patient"), c.alias("ed"), (c + 30).alias("es")))
+    return f.withColumn("patient", F.col("patient").cast("long"))
+
+
+@query("v13_sigmoid", "SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-(l_quantity - 25) / 5)), 9) AS p FROM lineitem")
+def v13(spark, d):
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.sigmoid((F.col("l_quantity") - 25) / 5), 9).alias("p"))
+
+
+@query("m1_grid_affine", "SELECT p_partkey, round(0.3 * p_size, 7) AS step, round(10 + 0.3 * (p_partkey % 50 + (p_size - 1) / 2.0), 7) AS start FROM part")
+def m1(spark, d):
+    affine = F.array(*(F.array(*map(F.lit, r)) for r in ((0.3, 0.0, 0.0, 10.0), (0.0, 1.0, 0.0, 0.0), (0.0, 0.0, 1.0, 0.0))))
+    g = V.grid_affine(affine, F.array(F.col("p_partkey") % 50, F.lit(0), F.lit(0)), F.array(F.col("p_size"), F.lit(1), F.lit(1)))
+    return read(spark, d, "part").select("p_partkey", g.alias("g")).select("p_partkey", F.round(F.col("g")[0][0], 7).alias("step"), F.round(F.col("g")[0][3], 7).alias("start"))
+
+
+@query("m3_separate_axis", "SELECT p_partkey, CASE WHEN p_size > 3 THEN p_partkey % 3 ELSE -1 END::INT AS axis FROM part")
+def m3(spark, d):
+    s = F.array(*(F.when(F.col("p_partkey") % 3 == k, F.col("p_size").cast("double")).otherwise(1.0) for k in range(3)))
+    return read(spark, d, "part").select("p_partkey", F.coalesce(V.separate_axis(s), F.lit(-1)).alias("axis"))
+
+
+@query("m3_nearest", "WITH v AS (SELECT case_id, z, y, x, max(v) v FROM gen_voxels WHERE x = 0 GROUP BY 1, 2, 3, 4) SELECT case_id, t.z, u.y, 0 AS x, v.v FROM v JOIN (SELECT i z, least(floor((i + 0.5) * 8 / 5), 7) s FROM range(0, 5) r(i)) t ON v.z = t.s JOIN (SELECT i y, least(floor((i + 0.5) * 64 / 90), 63) s FROM range(0, 90) r(i)) u ON v.y = u.s", "gen_voxels")
+def m3n(spark, d):
+    v = generated(spark, d, "gen_voxels").where("x = 0").groupBy("case_id", "z", "y", "x").agg(F.max("v").alias("v"))
+    return V.resampled(v, {"z": 8, "y": 64, "x": 1}, {"z": 5, "y": 90, "x": 1})
+
+
+@query("m4_masked_z_score", "SELECT l_orderkey, l_linenumber, round(CASE WHEN i THEN (l_quantity - avg(CASE WHEN i THEN l_quantity END) OVER w) / greatest(stddev_pop(CASE WHEN i THEN l_quantity END) OVER w, 1e-8) ELSE 0 END, 6) AS v, round(l_quantity / 255, 9) AS rgb FROM (SELECT *, l_tax > 0.02 i FROM lineitem) WINDOW w AS (PARTITION BY l_suppkey)")
+def m4z(spark, d):
+    l = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("case_id"), F.lit(0).alias("c"), F.col("l_quantity").alias("v"), (F.col("l_tax") > 0.02).alias("inside"), F.round(V.rgb_normalize(F.col("l_quantity")), 9).alias("rgb"))
+    return V.masked_z_score(l).select("l_orderkey", "l_linenumber", F.round("v", 6).alias("v"), "rgb")
+
+
+@query("m6_least_weight", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN (SELECT min(p_size) FROM part WHERE p_size % 4 > 0) ELSE p_size END::DOUBLE AS g FROM part")
+def m6(spark, d):
+    return V.least_weight(read(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 4 == 0, 0).otherwise(F.col("p_size")).cast("double").alias("g")))
