@@ -273,6 +273,10 @@ def test_mixing(spark):
         assert r.size == len(split(texts[r.doc_id])) and r.taken <= 3 * r.size and r.target == pytest.approx(target[sources[r.doc_id]])
         taken[sources[r.doc_id]] += r.taken
     assert all(abs(taken[s] - target[s]) <= 0.03 * target[s] + 2 * mixing.BLOCK for s in sizes)
+    # long texts, and equal rows whose hashes tie
+    long = table(spark, ["w " * 400_000, "w " * 400_000, "v"], ["a", "a", "b"]).withColumn("doc_id", F.when(F.col("doc_id") < 2, 7).otherwise(8))
+    both = [sorted(map(tuple, mixing.mix(d).collect())) for d in (long, long.repartition(3))]
+    assert both[0] == both[1] and sum(r[1] for r in both[0]) == 800_001 and all(r[4] <= 3 * r[1] for r in both[0])
     assert mixing.mix(table(spark, [])).count() == 0 and mixing.mix(table(spark, [None, ""])).agg(F.sum("taken")).first()[0] == 0
 
 
