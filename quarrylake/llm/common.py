@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 import numpy as np
@@ -126,15 +127,37 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes df as a table into the shared folder and returns that table: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/quarrylake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_ENDS: set[str] = set()
+
+
+def _remove_at_end(spark: SparkSession, folder: str) -> None:
+    """The folder goes when this driver ends, if its session still runs then; results are read before."""
+    if folder in _ENDS:
+        return
+    _ENDS.add(folder)
+
+    def remove():
+        try:
+            jvm = spark._jvm
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session has ended before
+            pass
+
+    atexit.register(remove)
 
 
-def column_or_null(df: DataFrame, name: str, kind: str):
-    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+def stored(df: DataFrame) -> DataFrame:
+    """Writes df as a table into the shared folder and returns that table: cuts lineage, survives lost executors.
+
+    All tables of an application are in one folder, which is removed when the driver ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/quarrylake-{spark.sparkContext.applicationId}"
+    path = f"{folder}/{uuid.uuid4().hex}"
+    _remove_at_end(spark, folder)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ordered_index(df: DataFrame, keys: list, name: str = "idx") -> DataFrame:

@@ -43,7 +43,7 @@ BITS = 20
 MASK = (1 << BITS) - 1
 DISCOUNT, DIVERGENCE = 0.8, 0.01
 #: Tokens counted or sent together, documents of a chunk at most, and tokens that one task's branch has, about.
-BLOCK, CHUNK_ROWS, BRANCH = 1 << 20, 60_000, 1 << 20
+BLOCK, CHUNK_ROWS, BRANCH = 3 << 18, 60_000, 3 << 18
 #: A context may be hot from this share of a block on, so there are at most DEPTH / share.
 HOT_SHARE = 2.0 ** -14
 _SCALE = 1e9
