@@ -258,8 +258,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wor
     several = stored(phrases.groupBy("trig").agg(F.count("*").alias("d"), F.bool_and("done").alias("all")).where("d > 1 AND NOT all").select("trig", "d"))
     dictionary = phrases.join(broadcast_if_small(several.select("trig")), "trig").select("trig", "least", "most", "done", "x.*")
     wanted = dictionary.groupBy("doc").agg(F.collect_list(F.struct("trig", "lo", "hi", "least", "most", "done")).alias("wanted"))
-    texts = docs.dropDuplicates(["doc"]) if across else docs
-    texts = stored(texts.join(wanted, "doc").mapInArrow(_with_symbols(length, words), _PHRASE))
+    texts = stored(docs.join(wanted, "doc").mapInArrow(_with_symbols(length, words), _PHRASE))
     crowds = several.where(F.col("d") > CROWDED).select("trig", F.lit(True).alias("crowded"))
     texts = texts.join(broadcast_if_small(crowds), "trig", "left")
     few = texts.where("crowded IS NULL").drop("crowded")
