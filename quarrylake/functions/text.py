@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylake.functions import lexicon as L
@@ -62,6 +63,21 @@ def clauses(text: Column) -> Column:
     return F.filter(folded["out"], lambda c: c["clause"].rlike(r"(?U)\S"))
 
 
+def clause_texts(text: Column) -> Column:
+    """The clauses of a text, blank ones left out."""
+    return F.filter(F.split(text, f"(?U){L.CLAUSE_BREAK}"), lambda c: c.rlike(r"(?U)\S"))
+
+
+def clause_table(reports: DataFrame) -> DataFrame:
+    """(id, begin, end, clause) of reports (id, text), one text an id; offsets are running sums, so long texts cost no more."""
+    pattern = f"(?U){L.CLAUSE_BREAK}"
+    rows = F.zip_with(F.split("text", pattern), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda p, b: F.struct(p.alias("p"), (F.length(p) + F.coalesce(F.length(b), F.lit(0))).alias("n")))
+    e = reports.select("id", F.posexplode(rows).alias("k", "x")).select("id", "k", "x.p", "x.n")
+    before = F.coalesce(F.sum("n").over(W.partitionBy("id").orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    e = e.withColumn("begin", before).where(F.col("p").rlike(r"(?U)\S"))
+    return e.select("id", "begin", (F.col("begin") + F.length("p")).alias("end"), F.col("p").alias("clause"))
+
+
 def is_coverage(clause: Column) -> Column:
     return clause.rlike(f"(?iuU){L.COVERAGE}") & clause.rlike(f"(?iuU){L.VISIBILITY}")
 

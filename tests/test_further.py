@@ -12,9 +12,12 @@ from quarrylake.functions import assertions as A
 from quarrylake.functions import lexicon as L
 from quarrylake.functions import losses
 from quarrylake.operators import augmentation as G
+from quarrylake.operators import catalog as K
 from quarrylake.operators import ordering, sampling, split
 from quarrylake.operators import planning as P
 from quarrylake.operators import records as R
+from quarrylake.operators import segmentation as S
+from quarrylake.operators import voxels as V
 from quarrylake.sources import files
 from quarrylake.sources import tables as T
 
@@ -226,3 +229,93 @@ def test_commands(spark, tmp_path, capsys):
     v.write.parquet(str(tmp_path / "ref"))
     assert cli.main(["evaluate", "--reference", str(tmp_path / "ref"), "--predicted", str(tmp_path / "ref"), "--output", str(tmp_path / "summary"), "--labels", "1"]) == 0
     assert spark.read.json(str(tmp_path / "summary")).first().dice == 1.0
+
+
+def grid(sizes, value):
+    z, y, x = sizes
+    return [("a", 0, i, j, k, float(value(i, j, k))) for i in range(z) for j in range(y) for k in range(x)]
+
+
+VOLUME = "case_id string, c int, z int, y int, x int, v double"
+
+
+def test_crop_and_back(spark):
+    # a hollow box of non-zero values: its inside counts as inside
+    def shell(i, j, k):
+        return float(2 <= i <= 6 and 2 <= j <= 6 and 1 <= k <= 5 and (i in (2, 6) or j in (2, 6) or k in (1, 5)))
+
+    volume = spark.createDataFrame(grid((9, 9, 9), shell), VOLUME)
+    labels = volume.select("case_id", "z", "y", "x", F.when(F.col("z") == 4, 3).otherwise(0).alias("label"))
+    v, s = V.crop_to_nonzero(volume, labels)
+    assert v.agg(F.max("z"), F.max("y"), F.max("x"), F.count("*")).first() == (4, 4, 4, 125)
+    assert {r.label for r in s.collect()} == {0, 3}  # all of the crop is in the filled box
+    corner = spark.createDataFrame(grid((5, 5, 5), lambda i, j, k: float(i + j + k <= 4)), VOLUME)
+    _, s = V.crop_to_nonzero(corner, corner.select("case_id", "z", "y", "x", F.lit(0).alias("label")))
+    assert {(r.z + r.y + r.x <= 4): r.label for r in s.collect()} == {True: 0, False: -1}
+    boxes = V.nonzero_box(volume)
+    p = v.withColumn("v", F.lit(0.25)).unionByName(v.withColumns({"c": F.lit(1), "v": F.lit(0.75)}))
+    whole = V.uncropped_probabilities(p, boxes, {"z": 9, "y": 9, "x": 9})
+    got = {(r.c, r.inside): (r.n, r.v) for r in whole.groupBy("c", ((F.col("z").between(2, 6)) & F.col("y").between(2, 6) & F.col("x").between(1, 5)).alias("inside")).agg(F.count("*").alias("n"), F.avg("v").alias("v")).collect()}
+    assert got == {(0, True): (125, 0.25), (1, True): (125, 0.75), (0, False): (604, 1.0), (1, False): (604, 0.0)}
+
+
+def test_resampling_against_brute_force(spark):
+    rng = random.Random(6)
+    source, target = (4, 5, 3), (7, 3, 6)
+    values = {(i, j, k): rng.random() for i in range(4) for j in range(5) for k in range(3)}
+    v = spark.createDataFrame(grid(source, lambda *p: values[p]), VOLUME)
+    named = [dict(zip("zyx", s)) for s in (source, target)]
+
+    def ends(t, n, m):
+        at = min(max((t + 0.5) * n / m - 0.5, 0), n - 1)
+        return [(int(at), 1 - (at - int(at))), (min(int(at) + 1, n - 1), at - int(at))]
+
+    got = {(r.z, r.y, r.x): r.v for r in V.resampled(v, *named, linear=True).collect()}
+    expected = {}
+    for t in ((i, j, k) for i in range(7) for j in range(3) for k in range(6)):
+        parts = [ends(a, n, m) for a, n, m in zip(t, source, target)]
+        expected[t] = sum(values[p[0], q[0], r[0]] * p[1] * q[1] * r[1] for p in parts[0] for q in parts[1] for r in parts[2])
+    assert got == {t: pytest.approx(x) for t, x in expected.items()}
+    near = {(r.z, r.y, r.x): r.v for r in V.resampled(v, *named).collect()}
+    assert near == {t: values[tuple(min(int((a + 0.5) * n / m), n - 1) for a, n, m in zip(t, source, target))] for t in expected}
+    labels = v.select("case_id", "z", "y", "x", F.lit(2).alias("label"))
+    image, seg = V.preprocessed(v, labels, [1, 0, 2], {"z": 5, "y": 4, "x": 6})
+    assert image.count() == seg.count() == 120 and {r.label for r in seg.collect()} == {2}
+
+
+def test_more_problems_raise(spark):
+    one = spark.createDataFrame([("a",)], "file string")
+    with pytest.raises(Exception, match="no reference for a"):
+        S.paired_files(one.limit(0), one, strict=False).collect()
+    with pytest.raises(Exception, match="no prediction for a"):
+        S.paired_files(one, one.limit(0)).collect()
+    f = spark.createDataFrame([(1, 0.5)], "case_id int, dice double")
+    with pytest.raises(Exception, match="several folds predict 1"):
+        S.accumulated_folds([f, f]).collect()
+    with pytest.raises(Exception, match="not an RGB"):
+        spark.range(1).select(V.rgb_normalize(F.lit(300.0))).collect()
+    names = spark.createDataFrame([("Dataset007_a",), ("Dataset007_b",), ("Dataset008_c",)], "name string")
+    assert K.the_dataset(names, 8) == "Dataset008_c"
+    for number in (7, 9):
+        with pytest.raises(ValueError):
+            K.the_dataset(names, number)
+    with pytest.raises(ValueError):
+        sampling.schedule("other", F.lit(1), 1.0, 10)
+    with pytest.raises(ValueError):
+        sampling.warmup_steps(10, steps=11)
+    assert (sampling.warmup_steps(200, ratio=0.1), sampling.warmup_steps(200, percent=5.0), sampling.warmup_steps(200)) == (20, 10, 0)
+    with pytest.raises(ValueError):
+        K.resolve_configuration({"a": {"inherits_from": "a"}}, "a")
+    with pytest.raises(KeyError):
+        K.resolve_configuration({}, "a")
+
+
+def test_vendor_halves(spark):
+    p = spark.createDataFrame([(v, f"{v}{k}") for v in "AB" for k in range(40)], "vendor string, patient string")
+    s = split.vendor_split(p, 25, 1)
+    n = {(r.vendor, r.split, r.half): r["count"] for r in s.groupBy("vendor", "split", "half").count().collect()}
+    assert n[("A", "valid", None)] == 25 and n[("A", "train", 0)] + n[("A", "train", 1)] == 15
+    sets = {}
+    for r in split.mixed_halves(s).collect():
+        sets.setdefault(r.train_set, set()).add(r.patient)
+    assert set(sets) == {"A", "B", "mix0", "mix1"} and not sets["mix0"] & sets["mix1"] and sets["mix0"] | sets["mix1"] == sets["A"] | sets["B"]
