@@ -23,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontamination": decontamination.ORACLE_OP1,
         "op6_jaccard_join": jaccard_join.ORACLE_OP6,
         "op8_line_dedup": line_dedup.ORACLE_OP8,
+        "op9_substring_dedup": substring_dedup.ORACLE_OP9,
     }

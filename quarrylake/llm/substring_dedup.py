@@ -322,3 +322,20 @@ def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(docs).join(passages, "doc", "left")
     # shares_passage: 1 if another document has more than PASSAGE words of it in a row, also where they have fewer than LENGTH bytes
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.coalesce("shares_passage", F.lit(0)).alias("shares_passage"))
+
+
+#: All strings of 400 bytes, as hexadecimal digits, and all runs of 51 words, by their hashes.
+ORACLE_OP9 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') t, hex(encode(coalesce(text, ''))) x FROM documents), n AS (SELECT *, len(x) // 2 AS nb FROM d),
+w AS (SELECT doc_id, i, hash(substr(x, 2 * i + 1, 800)) k FROM (SELECT doc_id, x, unnest(range(0, nb - 399)) i FROM n WHERE nb >= 400)),
+r AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1), s AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, true)::INT fresh FROM w SEMI JOIN r USING (k)),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) run FROM s), sp AS (SELECT doc_id, min(i) a, max(i) + 400 b FROM g GROUP BY doc_id, run),
+pc AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) f, a t FROM sp UNION ALL SELECT doc_id, max(b), NULL FROM sp GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * f + 1, 2 * (coalesce(pc.t, nb) - f)), '' ORDER BY f) kx FROM pc JOIN n USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(b - a)::BIGINT removed, count(*) spans FROM sp GROUP BY doc_id),
+v AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') v FROM d),
+q AS (SELECT doc_id, hash(array_to_string(v[i:i + 50], ' ')) k FROM (SELECT doc_id, v, unnest(range(1, len(v) - 49)) i FROM v WHERE len(v) > 50)),
+p AS (SELECT DISTINCT doc_id FROM q SEMI JOIN (SELECT k FROM q GROUP BY k HAVING min(doc_id) < max(doc_id)) USING (k))
+SELECT n.doc_id, nb::BIGINT AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kx, x))) AS kept_sha256, (p.doc_id IS NOT NULL)::INT AS shares_passage
+FROM n LEFT JOIN kept USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN p USING (doc_id)
+"""
