@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrylake.functions import assertions as A
@@ -30,7 +31,8 @@ def test_clauses_keep_offsets(spark):
     assert [(r.begin, r.end, r.clause) for r in rows] == [(0, 9, "One here."), (11, 21, "Two there;"), (23, 28, "Three"), (30, 35, "four ")]
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("one_task", [0, None])
+def test_components_match_union_find(spark, one_task):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]
     parent = list(range(60))
@@ -43,7 +45,7 @@ def test_components_match_union_find(spark):
     for a, b in edges:
         x, y = sorted((root(a), root(b)))
         parent[y] = x
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), cut).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), cut, one_task=one_task).collect()}
     assert got == {x: root(x) for e in edges for x in e if e[0] != e[1] or x in got}
 
 
