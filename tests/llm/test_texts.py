@@ -210,6 +210,7 @@ def test_jaccard_join(spark, monkeypatch, small):
         for name, x in (("ROUNDS", 0), ("CROWD", 1), ("LEAVES", 5), ("PROBES", 3), ("CHUNK", 500), ("DEALT", 100), ("BROADCAST_ROWS", 1), ("ONE_TASK", 1)):
             monkeypatch.setattr(jaccard_join, name, x)
     texts = corpus()
+    texts += [texts[-1] + " and more of it", "first " + texts[-1]]  # long near copies
     sets = []
     for t in texts:
         w = split(t)
