@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from quarrylake.llm import decontamination, html_extraction, jaccard_join, line_dedup, mixing, pii, simhash, substring_dedup, suffix_tree_lm, toxicity
+from quarrylake.llm import decontamination, html_extraction, jaccard_join, line_dedup, mixing, pii, projected_search, simhash, substring_dedup, suffix_tree_lm, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_lm_scoring": suffix_tree_lm.op10_lm_scoring,
+        "op11_nearest": projected_search.op11_nearest,
     }
 
 
