@@ -8,10 +8,11 @@ anything is grouped, so that copies and shared beginnings cross the shuffle once
 
 A node whose members are all one sequence of turns heads a plain chain, whose figures
 follow from running sums. What is left, the nodes where different sequences part and the
-tops of their chains, is grouped by first turn; each group becomes a dictionary trie
-inside applyInPandas, folded in postorder without recursion. A group of more than SUBTRIE
-nodes is opened: its top node is set aside and its members are grouped anew by their next
-turn, as often as it takes; the nodes set aside are folded afterwards, deepest first.
+tops of their chains, is hash-partitioned by first turn; each partition becomes dictionary
+tries inside applyInPandas, folded in postorder without recursion. A first turn of more than SUBTRIE
+nodes is opened: the turns that its members share are set aside and its members are
+partitioned anew by their next turn, as often as it takes; the nodes set aside are folded
+afterwards, deepest first.
 
 Defined results: null role or text count as empty, a null turn comes first, rows of one
 turn are ordered by digest, repeated rows are turns of their own. Rows without a conv_id
@@ -34,8 +35,8 @@ from quarrylake.llm.mixing import word_count
 from quarrylake.operators.ordering import ranges
 from quarrylake.operators.storage import broadcast_if_small
 
-#: Nodes of a trie that is built in one task at most.
-SUBTRIE = 50_000
+#: Nodes of a trie that is built in one task at most, and nodes of small tries that one call builds, about.
+SUBTRIE, BUCKET = 50_000, 4_096
 #: A conversation begins like the one at the next multiple.
 STRIDE = 20
 KEY = ["depth", "a", "b"]
@@ -145,43 +146,47 @@ def fold(nodes: pd.DataFrame) -> pd.DataFrame:
         else:
             leaves, saved = (sum(figures[c][i] for c in children) for i in (0, 1))
             figures[node] = (leaves, saved + (n_convs - 1) * words)
-            out.append((*node, *above[node][1:], len(children), *figures[node]))
-    return pd.DataFrame(out, columns=[*KEY, "pa", "pb", "n_children", "n_leaves", "saved_tokens"], dtype="int64")
+            out.append((*node, *above[node][1:], len(children), *figures[node], above[node] not in own))
+    return pd.DataFrame(out, columns=[*KEY, "pa", "pb", "n_children", "n_leaves", "saved_tokens", "top"])
 
 
-FOLDED = "depth long, a long, b long, pa long, pb long, n_children long, n_leaves long, saved_tokens long"
+FOLDED = "depth long, a long, b long, pa long, pb long, n_children long, n_leaves long, saved_tokens long, top boolean"
 
 
 def folded(skeleton: DataFrame, places: DataFrame, limit: int) -> DataFrame:
-    """FOLDED for all shared nodes; skeleton: shared nodes and tops of chains with ga, gb, their ancestor at depth 1. places: (conv_id, depth, a, b)."""
-    level, depth, found, opened, tops = skeleton, 1, [], [], []
+    """FOLDED for all shared nodes; skeleton: shared nodes and tops of chains with ga, gb, their ancestor at depth 1. places: (conv_id, depth, a, b).
+
+    A subtrie of more than limit nodes is opened where it branches first: the turns that all its members share are set
+    aside in one step, however many, and its members go on by their next turn.
+    """
+    level, found, opened, tops = skeleton.withColumn("top", F.col("depth") == 1), [], [], []
     while True:
         level = stored(level)
-        big = stored(level.groupBy("ga", "gb").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("ga", "gb"))
+        big = level.groupBy("ga", "gb", "depth").agg(F.count("*").alias("n")).groupBy("ga", "gb").agg(F.sum("n").alias("n"), F.coalesce(F.min(F.when(F.col("n") > 1, F.col("depth"))), F.max("depth") + 1).alias("fork"))
+        big = stored(big.where(F.col("n") > limit).drop("n"))
         small, over = level, None
         if not big.isEmpty():
             mark = broadcast_if_small(big)
             small, over = level.join(mark, ["ga", "gb"], "left_anti"), level.join(mark, ["ga", "gb"])
-        done = stored(small.groupBy("ga", "gb").applyInPandas(lambda pdf: fold(pdf), FOLDED))
-        found.append(done)
-        # what a node set aside one level above sums over: the tops of this level's groups
-        chains = level.where((F.col("depth") == depth) & F.col("single")).select("pa", "pb", F.lit(1).cast("long").alias("n_leaves"), F.col("chain_saved").alias("saved_tokens"))
-        tops.append(done.where(F.col("depth") == depth).select("pa", "pb", "n_leaves", "saved_tokens").union(chains))
+        buckets = max(1, level.count() // BUCKET)
+        done = stored(small.groupBy(F.pmod(F.xxhash64("ga", "gb"), F.lit(buckets)).alias("bucket")).applyInPandas(lambda pdf: fold(pdf), FOLDED))
+        found.append(done.drop("top"))
+        # what the node above sums over
+        tops.append(done.where("top").select("pa", "pb", "n_leaves", "saved_tokens").union(small.where("top and single").select("pa", "pb", F.lit(1).cast("long"), "chain_saved")))
         if over is None:
             break
-        opened.append(over.where((F.col("depth") == depth) & ~F.col("single")))
-        depth += 1
-        ahead = places.where(F.col("depth") == depth).select("conv_id", F.col("a").alias("ga"), F.col("b").alias("gb"))
-        level = over.where(F.col("depth") >= depth).drop("ga", "gb").join(ahead, "conv_id")
-    below = None
-    for nodes, top in zip(reversed(opened), reversed(tops[1:])):
-        if below is not None:
-            top = top.union(below)
-        sums = top.groupBy("pa", "pb").agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("below"))
-        sums = sums.select(F.col("pa").alias("a"), F.col("pb").alias("b"), "n_children", "n_leaves", "below")
-        done = stored(nodes.join(sums, ["a", "b"]).select(*KEY, "pa", "pb", "n_children", "n_leaves", (F.col("below") + (F.col("n_convs") - 1) * F.col("words")).alias("saved_tokens")))
-        found.append(done)
-        below = done.select("pa", "pb", "n_leaves", "saved_tokens")
+        opened.append(over.where("depth < fork"))
+        ahead = places.select("conv_id", F.col("depth").alias("fork"), F.col("a").alias("ga"), F.col("b").alias("gb"))
+        level = over.where("depth >= fork").drop("ga", "gb").join(ahead, ["conv_id", "fork"]).withColumn("top", F.col("depth") == F.col("fork")).drop("fork")
+    below = tops.pop()
+    for shared, top in zip(reversed(opened), reversed(tops)):
+        sums = below.groupBy(F.col("pa").alias("a"), F.col("pb").alias("b")).agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("below"))
+        up = W.partitionBy("ga", "gb").orderBy(F.col("depth").desc()).rowsBetween(W.unboundedPreceding, 0)
+        own = F.when(F.col("single"), F.col("chain_saved")).otherwise(F.coalesce("below", F.lit(0)) + (F.col("n_convs") - 1) * F.col("words"))
+        leaves = F.first(F.coalesce("leaves", F.lit(1).cast("long"))).over(up).alias("n_leaves")
+        done = stored(shared.join(sums, ["a", "b"], "left").select(*KEY, "pa", "pb", F.coalesce("n_children", F.lit(1).cast("long")).alias("n_children"), leaves, F.sum(own).over(up).alias("saved_tokens"), "top", "single"))
+        found.append(done.where("not single").drop("top", "single"))
+        below = top.union(done.where("top").select("pa", "pb", "n_leaves", "saved_tokens"))
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
