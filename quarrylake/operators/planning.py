@@ -90,23 +90,57 @@ def mirrored_mean(predictions: DataFrame, sizes: dict[str, int], axes: list[str]
     return p.withColumn("v", F.when(odd, F.raise_error(F.lit("a prediction is not finite"))).otherwise(F.col("v")))
 
 
-def pooling(patch: list[int], spacing: list[float], least: int = 4, uneven: float = 2.0) -> tuple[list[list[int]], list[list[int]]]:
-    """Strides and kernels of a network's stages: axes are halved while they have 2 * least places and are not coarser than
-    uneven times the finest; kernels take in an axis from when its spacing comes within that of the finest."""
-    size, space = list(patch), list(spacing)
-    strides, kernels = [[1] * len(size)], []
-    open_ = [False] * len(size)
-    while True:
-        fine = min(space)
-        open_ = [o or s / fine < uneven for o, s in zip(open_, space)]
-        kernels.append([3 if o else 1 for o in open_])
-        can = [n >= 2 * least for n in size]
-        if not any(can):
-            return strides, kernels
-        nearest = min(s for s, c in zip(space, can) if c)
-        step = [2 if c and s / nearest < uneven else 1 for s, c in zip(space, can)]
-        strides.append(step)
-        size, space = [-(-n // k) for n, k in zip(size, step)], [s * k for s, k in zip(space, step)]
+def topology(patch: Column, spacing: Column, least: int = 4, most: int = 999999, uneven: float = 2.0, stages: int = 40) -> Column:
+    """(pools, strides, kernels, patch, divisors) of a network for a patch and its spacings, both arrays along the axes.
+
+    A stage halves each axis that keeps least places afterwards, has a spacing under uneven times the finest of such axes and
+    was halved fewer than most times. Stages end where no axis is left, or a single one of fewer than 3 * least places. An axis
+    gets kernels of 3 from the stage on in which its spacing is under uneven times the finest of all, the bottleneck on all
+    axes. The patch is padded to what the strides divide.
+    """
+    axes = F.sequence(F.lit(0), F.size(patch) - 1)
+    ones = F.transform(axes, lambda a: F.lit(1))
+    begin = F.struct(F.transform(patch, lambda n: n.cast("long")).alias("size"), F.transform(spacing, lambda s: s.cast("double")).alias("space"), F.transform(ones, lambda o: o * 0).alias("pools"), ones.alias("kernel"),
+                     F.array(ones).alias("strides"), F.array().cast("array<array<int>>").alias("kernels"), F.lit(True).alias("open"))
+
+    def stage(s, _):
+        wide = lambda a: F.get(s["size"], a) >= 2 * least
+        fine = F.array_min(F.transform(F.filter(axes, wide), lambda a: F.get(s["space"], a)))
+        chosen = F.transform(axes, lambda a: F.coalesce(wide(a) & (F.get(s["space"], a) / fine < uneven) & (F.get(s["pools"], a) < most), F.lit(False)))
+        mine = F.filter(axes, lambda a: F.get(chosen, a))
+        on = s["open"] & ((F.size(mine) > 1) | ((F.size(mine) == 1) & (F.get(s["size"], F.get(mine, F.lit(0))) >= 3 * least)))
+        kernel = F.transform(axes, lambda a: F.when(F.get(s["space"], a) / F.array_min(s["space"]) < uneven, 3).otherwise(F.get(s["kernel"], a)))
+        halve = lambda a, yes, no: F.when(F.get(chosen, a), yes).otherwise(no)
+        after = F.struct(
+            F.transform(axes, lambda a: halve(a, F.ceil(F.get(s["size"], a) / 2), F.get(s["size"], a))).alias("size"), F.transform(axes, lambda a: halve(a, F.get(s["space"], a) * 2, F.get(s["space"], a))).alias("space"),
+            F.transform(axes, lambda a: halve(a, F.get(s["pools"], a) + 1, F.get(s["pools"], a))).alias("pools"), kernel.alias("kernel"),
+            F.concat(s["strides"], F.array(F.transform(axes, lambda a: halve(a, F.lit(2), F.lit(1))))).alias("strides"), F.concat(s["kernels"], F.array(kernel)).alias("kernels"), F.lit(True).alias("open"))
+        stop = F.struct(*(s[k].alias(k) for k in ("size", "space", "pools", "kernel", "strides", "kernels")), F.lit(False).alias("open"))
+        return F.when(on, after).otherwise(stop)
+
+    def finish(s):
+        divisors = F.transform(s["pools"], lambda p: F.pow(F.lit(2), p).cast("int"))
+        return F.struct(s["pools"].alias("pools"), s["strides"].alias("strides"), F.concat(s["kernels"], F.array(F.transform(axes, lambda a: F.lit(3)))).alias("kernels"),
+                        F.zip_with(patch, divisors, lambda n, d: (F.ceil(n / d) * d).cast("int")).alias("patch"), divisors.alias("divisors"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(stages)), begin, stage, finish)
+
+
+def pooling(patch: list[int], spacing: list[float], least: int = 4, most: int = 999999, uneven: float = 2.0) -> tuple[list[list[int]], list[list[int]]]:
+    """(strides, kernels) of a network for one patch, by the rule of topology."""
+    size, space, pools = list(patch), list(spacing), [0] * len(patch)
+    strides, kernels, near = [[1] * len(patch)], [], [1] * len(patch)
+    while wide := [a for a, n in enumerate(size) if n >= 2 * least]:
+        fine = min(space[a] for a in wide)
+        chosen = [a for a in wide if space[a] / fine < uneven and pools[a] < most]
+        if not chosen or len(chosen) == 1 and size[chosen[0]] < 3 * least:
+            break
+        near = [3 if s / min(space) < uneven else k for k, s in zip(near, space)]
+        for a in chosen:
+            size[a], space[a], pools[a] = -(-size[a] // 2), 2 * space[a], pools[a] + 1
+        strides.append([2 if a in chosen else 1 for a in range(len(size))])
+        kernels.append(near)
+    return strides, [*kernels, [3] * len(patch)]
 
 
 def any_of(conditions: list[Column]) -> Column:

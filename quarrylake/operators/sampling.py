@@ -49,6 +49,38 @@ def permutation(n: int, seed: int) -> list[int]:
     return order
 
 
+def permuted(index: Column, n: int, seed: int, rounds: int = 6) -> Column:
+    """The place of index (0 to n - 1) in a seeded order of n, computed by itself: a keyed permutation.
+
+    A Feistel network over a grid of a x b places, the least that holds n: each round moves one coordinate by a hash of the
+    other. Places beyond n, fewer than a, are passed through it again until they fall below n.
+    """
+    a = max(1, math.isqrt(max(n, 1) - 1) + 1) if n > 1 else 1
+    b = -(-max(n, 1) // a)
+
+    def once(x: Column) -> Column:
+        p, q = F.floor(x / b), x % b
+        for k in range(rounds):
+            if k % 2 == 0:
+                p = F.pmod(p + hash_offset(F.concat(F.lit(f"{seed}:{k}:"), q.cast("string"))), F.lit(a))
+            else:
+                q = F.pmod(q + hash_offset(F.concat(F.lit(f"{seed}:{k}:"), p.cast("string"))), F.lit(b))
+        return (p * b + q).cast("long")
+
+    # a walk ends after a * b - n steps outside at most, and one of 40 among a > 40 has a chance below 40 ** -40
+    steps = min(a * b - n, 40)
+    at = once(index.cast("long"))
+    if steps > 0:
+        at = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), at, lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return F.when(at < n, at).otherwise(F.raise_error(F.lit("a walk of the permutation did not end")).cast("long"))
+
+
+def shuffled(rows: DataFrame, order: list, seed: int, name: str = "place") -> DataFrame:
+    """rows with name: their places (from 0) in a seeded order; order: columns that order the rows fully. Nothing passes through the driver."""
+    indexed = ordered_index(rows, order, "_i")
+    return indexed.withColumn(name, permuted(F.col("_i"), indexed.count(), seed)).drop("_i")
+
+
 def derangement(records: DataFrame, order: str) -> DataFrame:
     """records with source: the case that follows in the cycle by the order column, never the case itself if there are two."""
     r = ordered_index(records, [order], "_i")

@@ -96,10 +96,15 @@ def uncrop(volume: DataFrame, boxes: DataFrame) -> DataFrame:
     return j.select(*((F.col(c) + F.col(f"{c}0")).alias(c) if c in AXES else F.col(c) for c in volume.columns))
 
 
+def _beside(volume: DataFrame, own: DataFrame) -> DataFrame:
+    """volume with the figures of its case and channel, which were aggregated rather than held in a window over a whole volume."""
+    return volume.join(broadcast_if_small(own), ["case_id", "c"])
+
+
 def z_score(volume: DataFrame, least: float = 1e-8) -> DataFrame:
     """volume with v less its case's and channel's mean, by the population's deviation."""
-    w = W.partitionBy("case_id", "c")
-    return volume.withColumn("v", (F.col("v") - F.avg("v").over(w)) / F.greatest(F.stddev_pop("v").over(w), F.lit(least)))
+    own = volume.groupBy("case_id", "c").agg(F.avg("v").alias("_mean"), F.stddev_pop("v").alias("_deviation"))
+    return _beside(volume, own).withColumn("v", (F.col("v") - F.col("_mean")) / F.greatest("_deviation", F.lit(least))).select(volume.columns)
 
 
 def ct_normalize(v: Column, mean: float, std: float, low: float, high: float) -> Column:
@@ -108,9 +113,8 @@ def ct_normalize(v: Column, mean: float, std: float, low: float, high: float) ->
 
 def rescale(volume: DataFrame) -> DataFrame:
     """volume with v brought to 0..1 in each case and channel."""
-    w = W.partitionBy("case_id", "c")
-    lo, hi = F.min("v").over(w), F.max("v").over(w)
-    return volume.withColumn("v", (F.col("v") - lo) / F.greatest(hi - lo, F.lit(1e-8)))
+    own = volume.groupBy("case_id", "c").agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+    return _beside(volume, own).withColumn("v", (F.col("v") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-8))).select(volume.columns)
 
 
 def resampled_size(size: Column, spacing: Column, target: Column) -> Column:
@@ -175,10 +179,10 @@ def uncropped_probabilities(probabilities: DataFrame, boxes: DataFrame, sizes: d
 
 def masked_z_score(volume: DataFrame, least: float = 1e-8) -> DataFrame:
     """volume (..., v, inside) with v standardised by the places inside alone; the others are left at 0."""
-    w = W.partitionBy("case_id", "c")
-    own = F.when(F.col("inside"), F.col("v"))
-    z = (F.col("v") - F.avg(own).over(w)) / F.greatest(F.stddev_pop(own).over(w), F.lit(least))
-    return volume.withColumn("v", F.when(F.col("inside"), z).otherwise(0.0))
+    inside = F.when(F.col("inside"), F.col("v"))
+    own = volume.groupBy("case_id", "c").agg(F.avg(inside).alias("_mean"), F.stddev_pop(inside).alias("_deviation"))
+    z = (F.col("v") - F.col("_mean")) / F.greatest("_deviation", F.lit(least))
+    return _beside(volume, own).withColumn("v", F.when(F.col("inside"), z).otherwise(0.0)).select(volume.columns)
 
 
 def rgb_normalize(v: Column) -> Column:
@@ -215,17 +219,18 @@ def resampled(volume: DataFrame, source: dict[str, int], target: dict[str, int],
 
 
 def preprocessed(volume: DataFrame, labels: DataFrame, order: list[int], sizes: dict[str, int]) -> tuple[DataFrame, DataFrame]:
-    """(volume, labels) transposed, cropped to what is not zero, standardised and brought to the sizes; all cases of one crop size.
+    """(volume, labels) transposed, cropped to what is not zero, standardised and brought to the sizes, each case from the size of its own crop.
 
-    Intensities are resampled along lines, labels by the nearest place.
+    Intensities are resampled along lines, labels by the nearest place; for splines and target spacings see resampling.preprocessed_cases.
     """
     from quarrylake.operators.planning import transpose
+    from quarrylake.operators.resampling import resampled_cases
 
-    v, s = crop_to_nonzero(transpose(volume, order), transpose(labels, order))
-    top = v.agg(*(F.max(a).alias(a) for a in AXES)).first()
-    source = {a: top[a] + 1 for a in AXES}
-    # what is out of the range of a crop would be another size
-    return resampled(z_score(v), source, sizes, linear=True), resampled(s.withColumnRenamed("label", "v"), source, sizes).withColumn("label", F.col("v").cast("int")).drop("v")
+    v = transpose(volume, order)
+    extent = F.array(*(F.col(f"{a}1") - F.col(f"{a}0") for a in AXES))
+    grids = nonzero_box(v).select("case_id", extent.alias("n"), F.array(*(F.lit(sizes[a]) for a in AXES)).alias("m"), F.lit(None).cast("int").alias("separate"))
+    v, s = crop_to_nonzero(v, transpose(labels, order))
+    return resampled_cases(z_score(v), grids, order=1, clip=False), resampled_cases(s.withColumnRenamed("label", "v"), grids, order=0, clip=False).withColumn("label", F.col("v").cast("int")).drop("v")
 
 
 def grid_affine(affine: Column, origin: Column, scale: Column) -> Column:

@@ -114,10 +114,23 @@ def a47(spark, d):
     return records.collated(read(spark, d, "orders"), "o_custkey", "o_orderkey").select("o_custkey", F.array_join(F.col("values").cast("array<string>"), ",").alias("keys"))
 
 
-@query("w3_seeded_shuffle")
+def _rounds(n: int = 6) -> str:
+    """SQL of a Feistel network of n rounds over x in a grid of a x b places."""
+    out = "SELECT i, n, a, b, x // b AS p, x % b AS q FROM walk"
+    for k in range(n):
+        moved = "p" if k % 2 == 0 else "q"
+        other, size = ("q", "a") if moved == "p" else ("p", "b")
+        value = f"({moved} + ('0x' || sha1('42:{k}:' || {other})[1:8])::BIGINT) % {size} AS {moved}"
+        out = f"SELECT i, n, a, b, {value}, {other} FROM ({out} WHERE x IS NULL OR k = 0 OR x >= n)" if k == 0 else f"SELECT i, n, a, b, {value}, {other} FROM ({out})"
+    return out
+
+
+@query("w3_seeded_shuffle", f"""WITH RECURSIVE size AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n, floor(sqrt(count(*) - 1))::BIGINT + 1 AS a FROM orders)),
+walk AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, n, a, b, row_number() OVER (ORDER BY o_orderkey) - 1 AS x, 0 AS k FROM orders, size
+ UNION ALL SELECT i, n, a, b, p * b + q, 1 FROM ({_rounds()}))
+SELECT o_orderkey, x AS place FROM walk JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) USING (i) WHERE k = 1 AND x < n""")
 def w3(spark, d):
-    order = sampling.permutation(100, 42)
-    return spark.createDataFrame(list(enumerate(order)), "pos long, item long")
+    return sampling.shuffled(read(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 42)
 
 
 @query("w6_limited_shard", "SELECT case_id FROM (SELECT case_id, row_number() OVER (ORDER BY case_id) - 1 i FROM gen_records) WHERE i % 3 = 2 ORDER BY case_id LIMIT 10", "gen_records")

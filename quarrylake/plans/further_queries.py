@@ -378,10 +378,30 @@ def a49(spark, d):
     return losses.soft_dice(l, ["l_linenumber", "l_suppkey"], squared=True, over="l_suppkey").withColumn("dice", F.round("dice", 7))
 
 
-@query("w14_by_name", "SELECT i AS step, round(CASE WHEN i < 10 THEN 0.001 * i / 10 ELSE 0.001 * 0.5 * (1 + cos(pi() * least((i - 10) / 90.0, 1.0))) END, 9) AS cosine, round(0.01 * pow(1 - i / 100.0, 0.9), 9) AS poly, 0.5 AS constant FROM range(0, 100) t(i)")
+@query("w14_by_name", "SELECT event_id, round(CASE WHEN i < 10 THEN 0.001 * i / 10 ELSE 0.001 * 0.5 * (1 + cos(pi() * least((i - 10) / 90.0, 1.0))) END, 9) AS cosine, round(0.01 * pow(1 - i / 100.0, 0.9), 9) AS poly, 0.5 AS constant FROM (SELECT event_id, event_id % 100 i FROM events)")
 def w14(spark, d):
-    s = F.col("id")
-    return spark.range(100).select(s.alias("step"), F.round(sampling.schedule("cosine", s, 0.001, 100, percent=10.0), 9).alias("cosine"), F.round(sampling.schedule("poly", s, 0.01, 100), 9).alias("poly"), sampling.schedule("constant", s, 0.5, 100).alias("constant"))
+    s = F.col("event_id") % 100
+    return read(spark, d, "events").select("event_id", F.round(sampling.schedule("cosine", s, 0.001, 100, percent=10.0), 9).alias("cosine"), F.round(sampling.schedule("poly", s, 0.01, 100), 9).alias("poly"), sampling.schedule("constant", s, 0.5, 100).alias("constant"))
+
+
+#: A configuration a part; one stage a step.
+CONFIGURED = "SELECT p_partkey, [4 + 4 * p_size, 64, 32 * (p_partkey % 5 + 1)] AS size, [1.0 + p_partkey % 4, 1, 1 + 0.5 * (p_partkey % 3)]::DOUBLE[] AS space FROM part"
+AXES = "list_filter([1, 2, 3], lambda a: size[a] >= 8)"
+
+
+@query("a31_topology", f"""WITH RECURSIVE c AS ({CONFIGURED}),
+run AS (SELECT p_partkey, 0 AS k, size, space, [0, 0, 0] AS pools, [1, 1, 1] AS near, '1,1,1' AS strides, '' AS kernels FROM c
+ UNION ALL SELECT p_partkey, k + 1, list_transform(size, lambda n, a: CASE WHEN list_contains(chosen, a) THEN (n + 1) // 2 ELSE n END), list_transform(space, lambda s, a: CASE WHEN list_contains(chosen, a) THEN 2 * s ELSE s END),
+  list_transform(pools, lambda p, a: CASE WHEN list_contains(chosen, a) THEN p + 1 ELSE p END), now, strides || ' ' || array_to_string(list_transform([1, 2, 3], lambda a: CASE WHEN list_contains(chosen, a) THEN 2 ELSE 1 END), ','), kernels || array_to_string(now, ',') || ' '
+ FROM (SELECT *, list_filter({AXES}, lambda a: space[a] / list_min(list_transform({AXES}, lambda b: space[b])) < 2 AND pools[a] < 4) AS chosen, list_transform(near, lambda m, a: CASE WHEN space[a] / list_min(space) < 2 THEN 3 ELSE m END) AS now FROM run)
+ WHERE len(chosen) > 1 OR (len(chosen) = 1 AND size[chosen[1]] >= 12))
+SELECT p_partkey, arg_max(strides, k) AS strides, arg_max(kernels, k) || '3,3,3' AS kernels, array_to_string(arg_max(list_transform(c.size, lambda n, a: ceil(n / (2 ** pools[a]))::INT * (2 ** pools[a])::INT), k), ',') AS patch FROM run JOIN c USING (p_partkey) GROUP BY p_partkey""")
+def a31t(spark, d):
+    patch = F.array(4 + 4 * F.col("p_size"), F.lit(64), (32 * (F.col("p_partkey") % 5 + 1)).cast("int"))
+    spacing = F.array(1.0 + F.col("p_partkey") % 4, F.lit(1.0), 1 + 0.5 * (F.col("p_partkey") % 3))
+    t = read(spark, d, "part").select("p_partkey", P.topology(patch.cast("array<int>"), spacing, 4, 4).alias("t"))
+    joined = lambda c: F.array_join(F.transform(c, lambda k: F.array_join(k.cast("array<string>"), ",")), " ")
+    return t.select("p_partkey", joined(F.col("t.strides")).alias("strides"), joined(F.col("t.kernels")).alias("kernels"), F.array_join(F.col("t.patch").cast("array<string>"), ",").alias("patch"))
 
 
 @query("v6_prefix_folds", "SELECT DISTINCT o_orderpriority AS id, o_orderpriority[1]::INT - 1 AS fold FROM orders WHERE o_orderpriority[1] IN ('1', '2')")
@@ -422,12 +442,6 @@ def m3(spark, d):
     return read(spark, d, "part").select("p_partkey", F.coalesce(V.separate_axis(s), F.lit(-1)).alias("axis"))
 
 
-@query("m3_nearest", "WITH v AS (SELECT case_id, z, y, x, max(v) v FROM gen_voxels WHERE x = 0 GROUP BY 1, 2, 3, 4) SELECT case_id, t.z, u.y, 0 AS x, v.v FROM v JOIN (SELECT i z, least(floor((i + 0.5) * 8 / 5), 7) s FROM range(0, 5) r(i)) t ON v.z = t.s JOIN (SELECT i y, least(floor((i + 0.5) * 64 / 90), 63) s FROM range(0, 90) r(i)) u ON v.y = u.s", "gen_voxels")
-def m3n(spark, d):
-    v = generated(spark, d, "gen_voxels").where("x = 0").groupBy("case_id", "z", "y", "x").agg(F.max("v").alias("v"))
-    return V.resampled(v, {"z": 8, "y": 64, "x": 1}, {"z": 5, "y": 90, "x": 1})
-
-
 @query("m4_masked_z_score", "SELECT l_orderkey, l_linenumber, round(CASE WHEN i THEN (l_quantity - avg(CASE WHEN i THEN l_quantity END) OVER w) / greatest(stddev_pop(CASE WHEN i THEN l_quantity END) OVER w, 1e-8) ELSE 0 END, 6) AS v, round(l_quantity / 255, 9) AS rgb FROM (SELECT *, l_tax > 0.02 i FROM lineitem) WINDOW w AS (PARTITION BY l_suppkey)")
 def m4z(spark, d):
     l = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("case_id"), F.lit(0).alias("c"), F.col("l_quantity").alias("v"), (F.col("l_tax") > 0.02).alias("inside"), F.round(V.rgb_normalize(F.col("l_quantity")), 9).alias("rgb"))

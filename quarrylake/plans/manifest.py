@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylake.functions import assertions as A
 from quarrylake.operators import dedup, split
-from quarrylake.operators.storage import cut
+from quarrylake.operators.storage import broadcast_if_small, cut
 
 
 def build(cases: DataFrame, fraction: float = 0.2, seed: int = 42, threshold: float = 0.85, beta: float = 0.99, low: float = 0.25, high: float = 4.0) -> tuple[DataFrame, DataFrame]:
@@ -22,9 +22,8 @@ def build(cases: DataFrame, fraction: float = 0.2, seed: int = 42, threshold: fl
     none = F.array().cast("array<string>")
     m = cases.join(groups, "case_id").join(gathered(A.labels(found), "labels"), "case_id", "left").join(gathered(A.labels(found, by_group=False), "weighting_labels"), "case_id", "left")
     m = cut(m.withColumns({"labels": F.coalesce("labels", none), "weighting_labels": F.coalesce("weighting_labels", none)}))
-    chosen = sorted(split.multilabel_split(m, fraction, seed))
-    valid = cases.sparkSession.createDataFrame([(g, True) for g in chosen], "duplicate_group string, valid boolean")
-    m = cut(m.join(F.broadcast(valid), "duplicate_group", "left").withColumn("split", F.when(F.col("valid"), "valid").otherwise("train")).drop("valid"))
+    valid = split.split_by_kinds(m, fraction, seed).withColumn("valid", F.lit(True))
+    m = cut(m.join(broadcast_if_small(valid), "duplicate_group", "left").withColumn("split", F.when(F.col("valid"), "valid").otherwise("train")).drop("valid"))
     weights = split.effective_weights(m.where("split = 'train'").select("case_id", F.col("weighting_labels").alias("labels")), beta, low, high)
     m = m.join(weights, "case_id", "left").withColumn("sampling_weight", F.coalesce("weight", F.lit(1.0))).drop("weight")
     return m, split.audit(m.withColumnRenamed("sampling_weight", "weight"))

@@ -9,6 +9,7 @@ from quarrylake.functions import assertions as A
 from quarrylake.functions import lexicon as L
 from quarrylake.functions import text as T
 from quarrylake.operators import dedup, records, sampling, split
+from quarrylake.operators.storage import broadcast_if_small
 from quarrylake.plans.generated import generated, with_tables
 
 Q: dict[str, tuple] = {}
@@ -63,21 +64,27 @@ def p5(spark, d):
     return generated(spark, d, REPORTS).select("rid", T.is_coverage(F.col("text")).alias("coverage"))
 
 
-TEETH = "(SELECT CAST(q AS VARCHAR) || CAST(p AS VARCHAR) t FROM range(1,5) a(q), range(1,9) b(p))"
+def read(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def teeth_table(spark):
-    return spark.createDataFrame([(t,) for t in L.TEETH], "t string")
+TEETH = "(SELECT p_partkey, CAST(p_partkey % 4 + 1 AS VARCHAR) || CAST(p_size % 8 + 1 AS VARCHAR) t FROM part)"
 
 
-@query("p6_tooth_side", f"SELECT t, CASE WHEN t[1] IN ('1','4') THEN 'right' ELSE 'left' END AS side FROM {TEETH}")
+def teeth_table(spark, d):
+    """A tooth a part."""
+    tooth = F.concat((F.col("p_partkey") % 4 + 1).cast("string"), (F.col("p_size") % 8 + 1).cast("string"))
+    return read(spark, d, "part").select("p_partkey", tooth.alias("t"))
+
+
+@query("p6_tooth_side", f"SELECT p_partkey, t, CASE WHEN t[1] IN ('1','4') THEN 'right' ELSE 'left' END AS side FROM {TEETH}")
 def p6(spark, d):
-    return teeth_table(spark).select("t", T.tooth_side(F.col("t")).alias("side"))
+    return teeth_table(spark, d).select("p_partkey", "t", T.tooth_side(F.col("t")).alias("side"))
 
 
-@query("p7_tooth_group", f"SELECT t, 'tooth_group:' || CASE WHEN t[1] IN ('1','2') THEN 'upper' ELSE 'lower' END || '_' || CASE WHEN t[1] IN ('1','4') THEN 'right' ELSE 'left' END || '_' || CASE WHEN t[2]::INT <= 3 THEN 'anterior' WHEN t[2]::INT <= 5 THEN 'premolar' ELSE 'molar' END AS tooth_group FROM {TEETH}")
+@query("p7_tooth_group", f"SELECT p_partkey, t, 'tooth_group:' || CASE WHEN t[1] IN ('1','2') THEN 'upper' ELSE 'lower' END || '_' || CASE WHEN t[1] IN ('1','4') THEN 'right' ELSE 'left' END || '_' || CASE WHEN t[2]::INT <= 3 THEN 'anterior' WHEN t[2]::INT <= 5 THEN 'premolar' ELSE 'molar' END AS tooth_group FROM {TEETH}")
 def p7(spark, d):
-    return teeth_table(spark).select("t", T.tooth_group(F.col("t")).alias("tooth_group"))
+    return teeth_table(spark, d).select("p_partkey", "t", T.tooth_group(F.col("t")).alias("tooth_group"))
 
 
 # the generated reports name a decimal tooth, and by branch a range, 4.6 and 12
@@ -232,8 +239,8 @@ def a3(spark, d):
 @query("a4_multilabel_split")
 def a4(spark, d):
     c = cases(spark, d)
-    chosen = spark.createDataFrame([(g,) for g in sorted(split.multilabel_split(c, 0.2, 42))], "duplicate_group string")
-    return c.join(F.broadcast(chosen.withColumn("valid", F.lit(True))), "duplicate_group", "left").select("case_id", F.coalesce("valid", F.lit(False)).alias("valid"))
+    chosen = split.split_by_kinds(c, 0.2, 42)
+    return c.join(broadcast_if_small(chosen.withColumn("valid", F.lit(True))), "duplicate_group", "left").select("case_id", F.coalesce("valid", F.lit(False)).alias("valid"))
 
 
 def _rounds(k: int) -> str:
@@ -329,18 +336,19 @@ def k10(spark, d):
     return sampling.best_so_far(generated(spark, d, "gen_epochs"), "epoch", "metric", "gate").select("epoch", "saved")
 
 
-@query("w14_schedules", "SELECT i AS step, round(CASE WHEN i < 10 THEN 0.001 * i / 10 ELSE 0.001 * 0.5 * (1 + cos(pi() * least((i - 10) / 90.0, 1.0))) END, 9) AS cosine, round(0.01 * pow(1 - i / 100.0, 0.9), 9) AS poly FROM range(0, 100) t(i)")
+@query("w14_schedules", "SELECT event_id, round(CASE WHEN i < 10 THEN 0.001 * i / 10 ELSE 0.001 * 0.5 * (1 + cos(pi() * least((i - 10) / 90.0, 1.0))) END, 9) AS cosine, round(0.01 * pow(1 - i / 100.0, 0.9), 9) AS poly FROM (SELECT event_id, event_id % 100 i FROM events)")
 def w14(spark, d):
-    s = F.col("id")
-    return spark.range(100).select(s.alias("step"), F.round(sampling.warmup_cosine(s, 0.001, 10, 100), 9).alias("cosine"), F.round(sampling.polynomial_rate(s, 0.01, 100), 9).alias("poly"))
+    s = F.col("event_id") % 100
+    return read(spark, d, "events").select("event_id", F.round(sampling.warmup_cosine(s, 0.001, 10, 100), 9).alias("cosine"), F.round(sampling.polynomial_rate(s, 0.01, 100), 9).alias("poly"))
 
 
-@query("w15_forced_foreground", "SELECT i, i >= round_even(12 * (1 - 0.33), 0) AS forced FROM range(0, 12) t(i)")
+@query("w15_forced_foreground", "SELECT case_id, o_orderkey % 12 AS i, o_orderkey % 12 >= round_even(12 * (1 - 0.33), 0) AS forced FROM (SELECT o_orderkey, 'c' || lpad(o_orderkey::VARCHAR, 7, '0') AS case_id FROM orders)")
 def w15(spark, d):
-    return spark.range(12).select(F.col("id").alias("i"), sampling.forced_foreground(F.col("id"), 12, 0.33).alias("forced"))
+    o = read(spark, d, "orders").select(F.concat(F.lit("c"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0")).alias("case_id"), (F.col("o_orderkey") % 12).alias("i"))
+    return o.withColumn("forced", sampling.forced_foreground(F.col("i"), 12, 0.33))
 
 
-@query("v21_forced_share", "SELECT avg(CASE WHEN i >= round_even(12 * (1 - 0.33), 0) THEN 1.0 ELSE 0.0 END)::DOUBLE AS share FROM range(0, 12) t(i)")
+@query("v21_forced_share", "SELECT avg(CASE WHEN i >= round_even(12 * (1 - 0.33), 0) THEN 1.0 ELSE 0.0 END)::DOUBLE AS share FROM (SELECT o_orderkey % 12 i FROM orders)")
 def v21(spark, d):
     return w15(spark, d).agg(F.avg(F.col("forced").cast("double")).alias("share"))
 
