@@ -30,6 +30,21 @@ def weighted_causal_loss(tokens: DataFrame, ignore: int = -100) -> DataFrame:
     return tokens.groupBy("sample").agg((F.sum(ce * active) / F.greatest(F.sum(active), F.lit(1e-8))).alias("loss"))
 
 
+def sample_weighted_loss(tokens: DataFrame, samples: DataFrame, ignore: int = -100) -> DataFrame:
+    """One row (weighted, unweighted): the mean over samples of their token-weighted losses times their weights, and the mean over all labelled tokens.
+
+    tokens: (sample, logits, label, weight), samples: (sample, sample_weight). A sample without a token of positive weight is
+    left out; without any the loss is 0.
+    """
+    labelled = F.col("label") != ignore
+    active = F.when(labelled, F.col("weight")).otherwise(0.0)
+    ce = F.when(labelled, log_sum_exp(F.col("logits")) - F.get("logits", F.col("label"))).otherwise(0.0)
+    own = tokens.groupBy("sample").agg((F.sum(ce * active) / F.greatest(F.sum(active), F.lit(1e-8))).alias("loss"), F.sum(active).alias("active"), F.sum(ce).alias("all"), F.count_if(labelled).alias("n"))
+    j = own.join(samples.select("sample", "sample_weight"), "sample")
+    weighted = F.avg(F.when(F.col("active") > 0, F.col("loss") * F.col("sample_weight")))
+    return j.agg(F.coalesce(weighted, F.lit(0.0)).alias("weighted"), F.coalesce(F.sum("all") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("unweighted"))
+
+
 def bce_with_logits(x: Column, y: Column, positive: float = 1.0) -> Column:
     soft = F.log1p(F.exp(-F.abs(x))) + F.greatest(-x, F.lit(0.0))
     return (1 - y) * x + (1 + (positive - 1) * y) * soft

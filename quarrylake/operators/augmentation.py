@@ -54,11 +54,15 @@ def closed(mask: DataFrame, within: DataFrame) -> DataFrame:
     return eroded(dilated(mask, within), within)
 
 
-def components(voxels: DataFrame) -> DataFrame:
-    """(case_id, z, y, x, component, size): the face-connected components of foreground places."""
+#: Half of the 26 places that touch one by face, edge or corner.
+_TOUCHING = tuple(s for s in ((a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)) if s > (0, 0, 0))
+
+
+def components(voxels: DataFrame, full: bool = False) -> DataFrame:
+    """(case_id, z, y, x, component, size): the face-connected components of foreground places; full: connected by edges and corners, too."""
     key = F.concat_ws(":", "case_id", *(F.lpad(F.col(a).cast("string"), 9, "0") for a in "zyx"))
     v = cut(voxels.select(*PLACE).distinct().withColumn("node", key))
-    steps = F.array(*(F.struct(*(F.lit(d).alias(a) for a, d in zip(("dz", "dy", "dx"), step))) for step in _STEPS))
+    steps = F.array(*(F.struct(*(F.lit(d).alias(a) for a, d in zip(("dz", "dy", "dx"), step))) for step in (_TOUCHING if full else _STEPS)))
     to = v.select("case_id", F.col("node").alias("a"), F.explode(steps).alias("s"), "z", "y", "x")
     to = to.select("case_id", "a", *((F.col(x) + F.col(f"s.d{x}")).alias(x) for x in "zyx"))
     edges = to.join(v, PLACE).select("a", F.col("node").alias("b"))

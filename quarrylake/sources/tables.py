@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,26 +93,89 @@ def write_metrics_csv(metrics: DataFrame, path: str) -> None:
     metrics.groupBy("step").pivot("metric").agg(F.first("value")).write.mode("overwrite").option("header", True).csv(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _rename(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"{source} cannot become {target}")
+
+
 def replace_folder(df: DataFrame, path: str, overwrite: bool = True) -> bool:
-    """Writes df beside path and moves it there when it is whole, so that readers never see a part; False if path is complete and stays."""
+    """Writes df beside path and moves it there when it is whole; False if path is complete and stays.
+
+    The table before is moved aside, not deleted, until the new one is in place, and comes back if that fails. Readers may find
+    no table for the moment between two renames; where they must not, use publish.
+    """
     spark = df.sparkSession
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    if not overwrite and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+    fs, target = _files(spark, path.rstrip("/"))
+    if not overwrite and fs.exists(_files(spark, f"{path}/_SUCCESS")[1]):
         return False
-    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    part = jvm.org.apache.hadoop.fs.Path(beside)
+    mark = uuid.uuid4().hex
+    new, old = (_files(spark, f"{path.rstrip('/')}.{mark}.{kind}")[1] for kind in ("new", "old"))
     try:
-        df.write.parquet(beside)
-        fs.delete(target, True)
-        if not fs.rename(part, target):
-            raise OSError(f"{beside} cannot become {path}")
+        df.write.parquet(new.toString())
+        before = fs.exists(target)
+        if before:
+            _rename(fs, target, old)
+        try:
+            _rename(fs, new, target)
+        except Exception:
+            if before:
+                _rename(fs, old, target)
+            raise
+        fs.delete(old, True)
     finally:
-        fs.delete(part, True)
+        fs.delete(new, True)
     return True
 
 
+def publish(df: DataFrame, path: str, keep: int = 1) -> str:
+    """Writes df as a new version of the table at path and makes it the current one by one rename of a small pointer file.
+
+    At every moment the pointer names a whole version, whatever fails. Returns the version's name. Of the versions that are not
+    current the keep newest stay, for readers that are still at them.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    folder = path.rstrip("/")
+    df.write.parquet(f"{folder}/{version}")
+    fs, beside = _files(spark, f"{folder}/.{version}")
+    out = fs.create(beside, True)
+    try:
+        out.write(version.encode())
+    finally:
+        out.close()
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT")
+    option = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(option, 1)
+    how[0] = option.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(beside), fs.makeQualified(pointer), how)
+    others = sorted(s.getPath().getName() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder)) if s.isDirectory() and s.getPath().getName()[:1] == "v")
+    for name in [n for n in others if n < version][: -keep or None]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), True)
+    return version
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The name of the version that publish made current last, or None."""
+    fs, pointer = _files(spark, f"{path.rstrip('/')}/CURRENT")
+    if not fs.exists(pointer):
+        return None
+    # one line of a known few bytes
+    return spark.read.text(pointer.toString()).first()[0]
+
+
+def published(spark: SparkSession, path: str) -> DataFrame | None:
+    """The current version of the table at path, or None."""
+    version = current_version(spark, path)
+    return spark.read.parquet(f"{path.rstrip('/')}/{version}") if version else None
+
+
 def discovery_problems(cases: DataFrame, reports: DataFrame, features: DataFrame) -> DataFrame:
     """(case_id, problem): cases (case_id) without a report (case_id, text), with an empty one, or without a feature file (case_id)."""
     r = reports.groupBy("case_id").agg(F.count_if(F.trim("text") == "").alias("empty"))
