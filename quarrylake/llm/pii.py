@@ -1,7 +1,7 @@
 """Personal data by weak supervision (DataFrame operations only).
 
 Base detectors find e-mail addresses, IPv4 addresses, card and phone numbers.
-Wider patterns propose further spans. Labelers vote on every candidate, for (1),
+Wider patterns, none of which limits the length of a secret, propose further spans. Labelers vote on every candidate, for (1),
 against (-1) or not at all (0): its format, cue words before it, a gazetteer,
 and what it touches. Expectation-maximisation over the counts of vote patterns
 estimates what each vote is worth; the resulting probabilities train a logistic
@@ -11,7 +11,7 @@ depends on the labelers and features, not on the corpus.
 
 Defined results: a null text counts as empty; offsets are code points, end
 exclusive; base spans always stay; a proposed span that overlaps a base span is
-dropped; repeated rows are separate documents; extra columns are ignored; an
+dropped, but for a secret that holds it whole; repeated rows are separate documents; extra columns are ignored; an
 empty table gives no rows. Of an assignment (token = "...") the span is the
 value, and of a phrase that introduces a name the name.
 """
@@ -38,10 +38,10 @@ NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 KINDS = [*BASE, "iban", "name", "secret", "ssn"]
 TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra"
 KEYS = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key"
-#: How well-known keys begin, with what follows.
-SECRETS = (r"(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{8,64}|sk-[A-Za-z0-9]{20,64}|gh[oprsu]_[A-Za-z0-9]{16,64}|github_pat_[A-Za-z0-9_]{20,90}|glpat-[A-Za-z0-9_-]{16,40}"
-           r"|(?:AKIA|ASIA)[A-Z0-9]{12,20}|AIza[A-Za-z0-9_-]{30,40}|xox[abprs]-[A-Za-z0-9-]{10,80}|eyJ[A-Za-z0-9_-]{8,400}\.[A-Za-z0-9_-]{8,800}\.[A-Za-z0-9_-]{8,400}")
-_NAME = "[A-ZÀ-Þ][a-zß-ÿ]{1,30}"
+#: How well-known keys begin, with what follows, however long: possessive, so that a match is one pass.
+SECRETS = (r"(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{8,}+|sk-[A-Za-z0-9]{20,}+|gh[oprsu]_[A-Za-z0-9]{16,}+|github_pat_[A-Za-z0-9_]{20,}+|glpat-[A-Za-z0-9_-]{16,}+"
+           r"|(?:AKIA|ASIA)[A-Z0-9]{12,}+|AIza[A-Za-z0-9_-]{30,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")
+_NAME = "[A-ZÀ-Þ][a-zß-ÿ]++"
 INTRODUCED = "[Mm]y name is|[Nn]ame is|[Nn]ame:|[Ii] am|I'm|[Dd]ear|[Ss]incerely,|[Rr]egards,|[Mm]ein Name ist|[Ii]ch hei(?:ß|ss)e|[Jj]e m'appelle|[Mm]e llamo"
 WIDER = (
     r"(?<![A-Za-z0-9+_-])(?:"
@@ -50,14 +50,15 @@ WIDER = (
     r"|0[0-9]{2,4}[ /-][0-9]{5,8}"
     r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?"
     rf"|{SECRETS}"
-    r"|[a-f0-9]{16,64}|[A-F0-9]{32,64}"
-    rf"|(?i:{KEYS})[\x20\t]{{0,3}}[:=][\x20\t]{{0,3}}[\"']?[^\s\"',;<>()]{{6,128}}"
+    r"|[a-f0-9]{16,}+|[A-F0-9]{32,}+"
+    rf"|(?i:{KEYS})[\x20\t]*+[:=][\x20\t]*+[\"']?[^\s\"',;<>()]{{6,}}+"
+    # the parts of an address are 64 characters long at most
     r"|[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,64}(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[A-Za-z0-9-]{1,64}){1,8}"
     rf"|(?:{TITLES})\.? {_NAME}(?: {_NAME})?"
     rf"|(?:{INTRODUCED}) {_NAME} {_NAME}"
     r")(?![A-Za-z0-9])")
 #: What of a match is the span, where that is less than the match.
-VALUE = {"secret": rf"^(?i:{KEYS})[\x20\t]*[:=][\x20\t]*[\"']?(.+)$", "name": rf"^(?:{INTRODUCED}) (.+)$"}
+VALUE = {"secret": rf"(?s)^(?i:{KEYS})[\x20\t]*[:=][\x20\t]*[\"']?(.+)$", "name": rf"(?s)^(?:{INTRODUCED}) (.+)$"}
 #: The gazetteer of given names.
 GIVEN = ("Anna|Maria|Laura|Julia|Sarah|Emma|Mary|Linda|Susan|Karen|Lisa|Nancy|Elena|Carmen|Sofia|Marie|Claire|Sophie|Camille|Petra|Sabine|Ursula|Heike|Ingrid|Monika|Jane|Alice|Olivia|"
          "John|James|Robert|Michael|David|William|Thomas|Peter|Paul|Mark|George|Daniel|Hans|Klaus|Stefan|Andreas|Martin|Wolfgang|Jürgen|Pierre|Jean|Luc|Michel|Antoine|José|Juan|Carlos|Luis|Miguel|Pedro|Antonio")
@@ -208,7 +209,11 @@ def personal_data(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         g = groups.setdefault((r["kind"], r["length"], r["digits"], r["marks"], r["before"], r["after_"]), [0.0, 0.0])
         g[0] += post[tuple(r[x] for x in LABELERS)] * r["n"]
         g[1] += r["n"]
-    weights = fit_classifier([(k, a / n, n) for k, (a, n) in sorted(groups.items())])
+    # each kind counts the same, so that many digits of one do not decide about the few spans of another
+    of_kind: dict[str, float] = {}
+    for k, (_, n) in groups.items():
+        of_kind[k[0]] = of_kind.get(k[0], 0.0) + n
+    weights = fit_classifier([(k, a / n, n / of_kind[k[0]]) for k, (a, n) in sorted(groups.items())])
     z = F.lit(weights["", ""])
     for name in FEATURES:
         own = [(k[1], w) for k, w in sorted(weights.items(), key=str) if k[0] == name]
@@ -219,7 +224,8 @@ def personal_data(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     base = v.where("base").select("doc_id", "row", "kind", "base", "start", "end", "m")
     more = v.where(~F.col("of_base") & (z >= 0)).select("doc_id", "row", "kind", "base", "start", "end", "m")
     taken = base.select(F.col("row").alias("r"), F.col("start").alias("s"), F.col("end").alias("e"))
-    more = more.join(taken, (F.col("row") == F.col("r")) & (F.col("start") < F.col("e")) & (F.col("s") < F.col("end")), "left_anti")
+    apart = (F.col("start") >= F.col("e")) | (F.col("s") >= F.col("end")) | ((F.col("kind") == "secret") & (F.col("start") <= F.col("s")) & (F.col("e") <= F.col("end")))
+    more = more.join(taken, (F.col("row") == F.col("r")) & ~apart, "left_anti")
     return rows, base.unionByName(more)
 
 

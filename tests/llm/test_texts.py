@@ -131,6 +131,28 @@ def test_pii_finds_more_kinds(spark):
     assert set(found) == set(range(3 * len(texts)))
 
 
+def test_pii_of_any_length(spark):
+    rng = random.Random(8)
+
+    def run(n, signs="abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"):
+        return "".join(rng.choice(signs) for _ in range(n - 1)) + "7"
+
+    made = {"password: {}": lambda n: run(n), "use {} now": lambda n: "ghp_" + run(n), "key {} is": lambda n: run(n, "0123456789abcdef"), "id {} there": lambda n: "sk_live_" + run(n), "take {} here": lambda n: f"eyJ{run(20)}.{run(n)}.{run(43)}", "token = '{}'": lambda n: run(n), "with {}.": lambda n: f"eyJ{run(n)}.{run(n)}.{run(n)}"}
+    texts, secrets = [], []
+    for n in (65, 129, 180, 1_200, 10_000, 300_000):
+        for form, make in made.items():
+            secrets.append(make(n))
+            texts.append("é words before " + form.format(secrets[-1]) + " and words behind")
+    clean = [f"plain words number {k} of page {k * 7} in section 4.{k}" for k in range(60)]
+    _, spans = pii.personal_data(table(spark, texts + clean))
+    found = {}
+    for r in spans.collect():
+        found.setdefault(r.doc_id, set()).add((r.kind, r.start, r.end))
+    for k, (t, x) in enumerate(zip(texts, secrets)):
+        assert ("secret", t.index(x), t.index(x) + len(x)) in found.get(k, ()), (k, len(x))
+    assert set(found) == set(range(len(texts)))
+
+
 def test_pii_estimates_the_hidden_class():
     # two kinds of candidates whose labelers are right nine times of ten
     rng = random.Random(4)
