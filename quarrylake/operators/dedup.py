@@ -21,18 +21,23 @@ def shingle_sets(reports: DataFrame, size: int = 5) -> DataFrame:
     return cut(exact_groups(reports).select("id", T.shingle_hashes(F.col("normal"), size).alias("s")).withColumn("n", F.size("s")))
 
 
-def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(id, n, h): the first shingles of each set, by document frequency.
+def frequencies(sets: DataFrame) -> DataFrame:
+    """(h, df): the shingles that several texts have."""
+    return sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
 
-    Sets with Jaccard >= t share one of their first n - ceil(t * n) + 1 shingles, which leaves frequent shingles out.
+
+def prefixes(sets: DataFrame, threshold: float, frequency: DataFrame | None = None, shared: int = 1) -> DataFrame:
+    """(id, n, h, r): the first shingles of each set, by document frequency, with their places from 1.
+
+    Sets with Jaccard >= t have their first `shared` common shingles among the first n - ceil(t * n) + shared of each,
+    which leaves frequent shingles out.
     """
     tokens = sets.select("id", "n", F.explode("s").alias("h"))
-    frequency = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    shared = tokens.join(frequency, "h")
-    order = W.partitionBy("id").orderBy("df", "h")
-    ranked = shared.withColumn("place", F.row_number().over(order)).withColumn("own", F.count("*").over(W.partitionBy("id")))
+    common = tokens.join(frequencies(sets) if frequency is None else frequency, "h")
+    ranked = common.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("df", "h"))).withColumn("own", F.count("*").over(W.partitionBy("id")))
     # shingles of one text only come first in the order
-    return ranked.where(F.col("place") + F.col("n") - F.col("own") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "n", "h")
+    ranked = ranked.withColumn("r", F.col("place") + F.col("n") - F.col("own"))
+    return ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + shared).select("id", "n", "h", "r")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -58,30 +63,63 @@ def near_pairs(reports: DataFrame, threshold: float = 0.85, size: int = 5) -> Da
     return verified(pairs, sets, threshold)
 
 
-def near_components(reports: DataFrame, threshold: float = 0.85, size: int = 5, rounds: int = 2) -> DataFrame:
+#: Texts of a key that are compared with each other at once; beyond, they are told apart by a further shingle, up to so many.
+CROWD, DEEPEST = 500, 2
+
+
+def linked_in_crowds(left: DataFrame, links: DataFrame, sets: DataFrame, threshold: float, most: int = CROWD) -> DataFrame:
+    """links (a, b) and those that join what near pairs among left join; left: (h, id, n, r, c), c: the component so far.
+
+    The texts of a key are compared where there are at most so many of them. In a larger crowd each text goes on under the key
+    and one further shingle behind it, of a prefix longer by one: a near pair still meets there, as its common shingles come in
+    the same order, while texts that share no more than one shingle part. A pair that shares as many shingles as its key has is
+    linked over the shortest text of the crowd, which both then reach the threshold with. Keys of DEEPEST shingles are not
+    lengthened, as their number would grow with each step; crowds that share so many without being near are compared in pairs.
+    """
+    frequency, shared = None, 1
+    crowd = left.select(F.array("h").alias("key"), "id", "n", "c", "r")
+    while True:
+        size = crowd.groupBy("key").agg(F.count("*").alias("_size"), F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.min(F.struct("n", "id")).alias("_least")).where("_lo < _hi")
+        crowd = cut(crowd.join(broadcast_if_small(size), "key"))
+        limit = most if shared < DEEPEST else 1 << 62
+        few = crowd.where(F.col("_size") <= limit)
+        other = few.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
+        pairs = few.join(other, "key").where((F.col("c") < F.col("d")) & _similar("n", "m", threshold)).select(F.col("id").alias("a"), "b")
+        large = crowd.where(F.col("_size") > limit)
+        enough = shared * (1 + threshold) >= threshold * (F.col("n") + F.col("_least.n"))
+        star = large.where(enough & (F.col("id") != F.col("_least.id"))).select(F.col("_least.id").alias("a"), F.col("id").alias("b"))
+        links = cut(links.unionByName(verified(pairs.unionByName(star).distinct(), sets, threshold).select("a", "b")))
+        if large.isEmpty():
+            return links
+        shared += 1
+        frequency = cut(frequencies(sets)) if frequency is None else frequency
+        ids = large.select("id").distinct()
+        longer = prefixes(sets.join(broadcast_if_small(ids), "id", "left_semi"), threshold, frequency, shared).select("id", "h", F.col("r").alias("_r"))
+        component = connected_components(links, cut).select(F.col("node").alias("id"), F.col("component").alias("c"))
+        crowd = large.select("key", "id", "n", "r").join(longer, "id").where("_r > r").select(F.concat("key", F.array("h")).alias("key"), "id", "n", F.col("_r").alias("r"))
+        crowd = crowd.join(component, "id", "left").withColumn("c", F.coalesce("c", "id"))
+
+
+def near_components(reports: DataFrame, threshold: float = 0.85, size: int = 5, rounds: int = 2, most: int = CROWD) -> DataFrame:
     """Links (a, b) that join what all near pairs join.
 
     In each round a shingle's texts are compared with one of them, another one each time, and what links is joined into
-    components; at last texts of different components that share a shingle are compared, which leaves few.
+    components; at last texts of different components that share shingles are compared, as linked_in_crowds says.
     """
     sets = shingle_sets(reports, size)
     prefix = cut(prefixes(sets, threshold))
     links = cut(prefix.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
     component = None
     for step in range(rounds + 1):
-        label = prefix.withColumn("c", F.col("id")) if component is None else prefix.join(component, "id", "left").select("id", "n", "h", F.coalesce("c", "id").alias("c"))
+        label = prefix.withColumn("c", F.col("id")) if component is None else prefix.join(component, "id", "left").select("id", "n", "h", "r", F.coalesce("c", "id").alias("c"))
         several = label.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
         left = cut(label.join(broadcast_if_small(several), "h"))
-        if step < rounds:
-            centre = left.groupBy("h").agg(F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("x"), "id", "n", "c")).alias("m"))
-            pairs = left.join(broadcast_if_small(centre), "h").where((F.col("c") != F.col("m.c")) & _similar("n", "m.n", threshold)).select(F.col("m.id").alias("a"), F.col("id").alias("b"))
-        else:
-            other = left.select("h", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-            pairs = left.join(other, "h").where((F.col("c") < F.col("d")) & _similar("n", "m", threshold)).select(F.col("id").alias("a"), "b")
+        if step == rounds:
+            return linked_in_crowds(left, links, sets, threshold, most)
+        centre = left.groupBy("h").agg(F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("x"), "id", "n", "c")).alias("m"))
+        pairs = left.join(broadcast_if_small(centre), "h").where((F.col("c") != F.col("m.c")) & _similar("n", "m.n", threshold)).select(F.col("m.id").alias("a"), F.col("id").alias("b"))
         links = cut(links.unionByName(verified(pairs.distinct(), sets, threshold).select("a", "b")))
-        if step < rounds:
-            component = connected_components(links, cut).select(F.col("node").alias("id"), F.col("component").alias("c"))
-    return links
+        component = connected_components(links, cut).select(F.col("node").alias("id"), F.col("component").alias("c"))
 
 
 def duplicate_groups(reports: DataFrame, threshold: float = 0.85) -> DataFrame:
