@@ -126,11 +126,19 @@ def moving_average(series: DataFrame, key: str, order: str, value: str, keep: fl
     r = r.withColumn("_n", F.row_number().over(w))
     r = r.withColumn("_s", F.sum((1 - keep) * F.col(value) * F.pow(F.lit(keep), -F.col("_n"))).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     last = r.groupBy(key, "_c").agg(F.max("_n").alias("_k"), F.max_by("_s", "_n").alias("_t"), F.min_by(value, "_n").alias("_v"))
-    chunks = last.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_c", "_k", "_t", "_v"))).alias("_x"))
-    # what the first chunk is given is the first value: keep * v + (1 - keep) * v is v
-    fold = F.aggregate("_x", F.struct(F.col("_x")[0]["_v"].alias("at"), F.array().cast("array<struct<c:bigint,given:double>>").alias("out")), lambda a, y: F.struct(
-        (F.pow(F.lit(keep), y["_k"]) * (a["at"] + y["_t"])).alias("at"), F.concat(a["out"], F.array(F.struct(y["_c"].alias("c"), a["at"].alias("given")))).alias("out")))["out"]
-    given = chunks.select(key, F.explode(fold).alias("_y")).select(key, F.col("_y.c").alias("_c"), F.col("_y.given").alias("_g"))
+
+    def passed_on(chunks):
+        chunks, at = chunks.sort_values("_c"), None
+        given = []
+        for k, t, v in zip(chunks["_k"], chunks["_t"], chunks["_v"]):
+            # what the first chunk is given is the first value: keep * v + (1 - keep) * v is v
+            at = v if at is None else at
+            given.append(at)
+            at = keep**k * (at + t)
+        return chunks[[key, "_c"]].assign(_g=given)
+
+    # a row a chunk
+    given = last.groupBy(key).applyInPandas(passed_on, f"{key} {r.schema[key].dataType.simpleString()}, _c long, _g double")
     return r.join(given, [key, "_c"]).select(key, order, value, (F.pow(F.lit(keep), F.col("_n")) * (F.col("_g") + F.col("_s"))).alias("ema"))
 
 
