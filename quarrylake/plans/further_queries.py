@@ -191,10 +191,10 @@ def v8(spark, d):
     return S_TABLES.unstacked(v).groupBy("file").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
 
 
-@query("v9_migrated", """SELECT p_partkey, '{"channel_names":{"0":"CT"},"labels":{"background":0,"' || p_name || '":' || p_size || '},"file_ending":".nii.gz","numTraining":' || p_partkey || '}' AS description FROM part WHERE p_name > 'background'""")
+@query("v9_migrated", """SELECT p_partkey, '{"channel_names":{"0":"CT"},"labels":{' || CASE WHEN p_name > 'background' THEN '"background":0,"' || p_name || '":' || p_size ELSE '"' || p_name || '":' || p_size || ',"background":0' END || '},"file_ending":".nii.gz","numTraining":' || p_partkey || '}' AS description FROM part""")
 def v9(spark, d):
     old = text('{"labels":{"0":"background","', F.col("p_size"), '":"', F.col("p_name"), '"},"modality":{"0":"CT"},"training":["a"],"numTraining":', F.col("p_partkey"), "}")
-    return read(spark, d, "part").where("p_name > 'background'").select("p_partkey", R.migrated(old).alias("description"))
+    return read(spark, d, "part").select("p_partkey", R.migrated(old).alias("description"))
 
 
 @query("v11_label_problems", "SELECT 'ignore must be the largest label' AS problem FROM (SELECT max(n_nationkey) m FROM nation) WHERE m <> 98")
