@@ -104,7 +104,9 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: t
     lines = line_table(rows.select(F.col(_ROW).alias("row"), "doc_id", "text"))
     gone = repeated_lines(lines, min_words).groupBy(F.col("row").alias(_ROW)).agg(F.collect_set("line").alias(_GONE))
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(_GONE, i)), "\n")
+    # the places that stay are a difference of sets, so a text takes time in proportion to its lines
+    places = lambda w: F.array_except(F.sequence(F.lit(0).cast("long"), F.size(w).cast("long") - 1), F.col(_GONE).cast("array<bigint>"))
+    kept = F.get(F.transform(F.array(lines), lambda w: F.array_join(F.transform(places(w), lambda i: F.get(w, i.cast("int"))), "\n")), F.lit(0))
     n = F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(lines))
     out = rows.join(gone, _ROW, "left")
     return out.withColumns({counts[0]: n.cast("long"), counts[1]: F.coalesce(F.size(_GONE), F.lit(0)).cast("long"), "text": F.when(F.col(_GONE).isNull(), F.col("text")).otherwise(kept)}).drop(_ROW, _GONE)
