@@ -157,7 +157,7 @@ def test_pipeline_and_registry(spark):
         assert docs.count() * 0.5 < left <= docs.count(), name
         docs = corpus_pipeline.stored(out)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, d).count() == docs.count()
-    assert len(registry.queries()) == 10 and set(registry.oracle_sql()) <= set(registry.queries())
+    assert len(registry.queries()) == 13 and set(registry.oracle_sql()) <= set(registry.queries())
 
 
 def test_pipeline_rejects_what_op4_predicts(spark, monkeypatch):
