@@ -14,6 +14,7 @@ doc_id comes last and is no query; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,11 @@ from quarrylake.llm.common import WordHasher, broadcast_if_small, mix, stored, u
 
 BITS = 128
 PAIR_WEIGHT, WORD_WEIGHT = 1.0, 0.25
-#: Bits that the query's search allows, and which rows are its queries: those whose doc_id SEARCHED divides.
-RADIUS, SEARCHED = 3, 20
+#: Bits that a search allows unless told otherwise (all but equal texts), and those of the query's search: within them lie
+#: 0.93 of the pairs of different texts with 3/4 of their word shingles in common (sf0.1), and no unrelated ones (45 bits and more).
+RADIUS, COPY_RADIUS = 3, 19
+#: Rows that are the search's queries, those whose doc_id SEARCHED divides; index rows of a key that meet its queries in one task.
+SEARCHED, SHARE = 20, 4096
 _PART = 1 << 14
 
 
@@ -77,34 +81,66 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fingerprint string")
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return sum((F.bit_count(F.conv(F.substring(a, k, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring(b, k, 8), 16, 10).cast("long")))
-                for k in range(1, BITS // 4, 8)), F.lit(0))
+def _halves(name: str) -> list[Column]:
+    """The two words of 64 bits of a fingerprint, from its 32 hex digits."""
+    quarter = [F.conv(F.substring(name, k, 8), 16, 10).cast("long") for k in range(1, BITS // 4, 8)]
+    return [F.shiftleft(quarter[k], 32).bitwiseOR(quarter[k + 1]) for k in (0, 2)]
 
 
-def neighbours(queries: DataFrame, index: DataFrame, radius: int, blocks: int | None = None) -> DataFrame:
-    """(query, match, distance): all distinct fingerprints of index within radius bits of each distinct one of queries.
-
-    Both have a column fingerprint; equal fingerprints are one entry. The bits are cut into blocks; two fingerprints
-    within the radius agree in blocks - radius of them, so a table is kept for each choice of so many blocks (the
-    permuted tables) and looked up by those bits. A pair is taken from the first table in which it meets.
-    """
-    from itertools import combinations
+def _blocks(n: int) -> list[tuple[int, int, int]]:
+    """(half, shift, width) of n blocks, n even, of equal width but for one bit; none crosses the halves."""
+    cuts = [k * 128 // n for k in range(n // 2 + 1)]
+    return [(half, 64 - high, high - low) for half in (0, 1) for low, high in zip(cuts, cuts[1:])]
 
-    blocks = blocks or radius + 1
-    digits = BITS // 4
-    cuts = [k * digits // blocks for k in range(blocks + 1)]
-    tables = list(combinations(range(blocks), blocks - radius))
 
-    def dealt(df: DataFrame, name: str) -> DataFrame:
-        parts = [F.substring("fingerprint", cuts[k] + 1, cuts[k + 1] - cuts[k]) for k in range(blocks)]
-        keys = F.array(*(F.struct(F.lit(n).alias("t"), F.concat(*(parts[k] for k in t)).alias("key")) for n, t in enumerate(tables)))
-        return df.select("fingerprint").where("fingerprint IS NOT NULL").distinct().select(F.col("fingerprint").alias(name), F.explode(keys).alias("x")).select(name, "x.t", "x.key")
+def neighbours(queries: DataFrame, index: DataFrame, radius: int, blocks: int | None = None, share: int = SHARE) -> DataFrame:
+    """(query, match, distance): all distinct fingerprints of index within radius bits of each distinct one of queries.
 
-    met = dealt(queries, "query").join(dealt(index, "match"), ["t", "key"])
-    same = F.array(*(F.substring("query", cuts[k] + 1, cuts[k + 1] - cuts[k]) == F.substring("match", cuts[k] + 1, cuts[k + 1] - cuts[k]) for k in range(blocks)))
-    first = F.array_min(F.filter(F.array(*(F.when(F.forall(F.array(*(same[k] for k in t)), lambda x: x), F.lit(n)) for n, t in enumerate(tables))), lambda x: x.isNotNull()))
-    return met.where(F.col("t") == first).select("query", "match", _distance(F.col("query"), F.col("match")).cast("long").alias("distance")).where(F.col("distance") <= radius)
+    Both have a column fingerprint; equal fingerprints are one entry. The bits are cut into blocks, and each block has its
+    permuted table, whose key is that block. Of radius bits at most radius // blocks differ in some block, so each table is
+    looked up by the query's block and by all blocks that differ from it in so many bits: in none where blocks > radius, in
+    one at most by default. A pair is taken from the first table in which it meets, after its distance is computed in the
+    join. A key of more than share index rows is dealt out by rank of a hash to several tasks, to each of which its
+    queries go, so no task holds a group that grows with the table.
+    """
+    blocks = blocks or max(4, radius + 1 if radius < 8 else radius // 2 + 1)
+    if not 4 <= blocks <= BITS:
+        raise ValueError(f"{blocks} blocks; keys have 1 to 32 bits, so 4 to {BITS} are needed")
+    cut = _blocks(blocks + blocks % 2)
+    flips = radius // len(cut)
+
+    def words(df: DataFrame, a: str, b: str) -> DataFrame:
+        hi, lo = _halves("fingerprint")
+        return df.select("fingerprint").where("fingerprint IS NOT NULL").distinct().select(hi.alias(a), lo.alias(b))
+
+    def key(a: str, b: str, t: int) -> Column:
+        half, shift, width = cut[t]
+        return F.shiftrightunsigned(F.col((a, b)[half]), shift).bitwiseAND((1 << width) - 1).bitwiseOR(F.lit(t << 32))
+
+    def masks(t: int) -> Column:
+        return F.array(*(F.lit(sum(1 << k for k in c)).cast("long") for n in range(flips + 1) for c in combinations(range(cut[t][2]), n)))
+
+    tables = range(len(cut))
+    right = words(index, "c", "d").select("c", "d", F.explode(F.array(*(key("c", "d", t) for t in tables))).alias("key"))
+    looked = F.concat(*(F.transform(masks(t), key("a", "b", t).bitwiseXOR) for t in tables))
+    left = words(queries, "a", "b").select("a", "b", F.explode(looked).alias("key"))
+    large = right.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > share).select("key", F.ceil(F.col("n") / share).alias("parts"))
+    large = broadcast_if_small(stored(large))
+    # the part stands above the table (7 bits) and the block (32 bits)
+    right = right.join(large, "key", "left").withColumn("key", F.col("key") + F.shiftleft(F.pmod(F.xxhash64("c", "d"), F.coalesce("parts", F.lit(1))), 40))
+    left = left.join(large, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
+    left = left.select("a", "b", (F.col("key") + F.shiftleft("part", 40)).alias("key"))
+    other = [F.col("a").bitwiseXOR(F.col("c")), F.col("b").bitwiseXOR(F.col("d"))]
+    distance = F.bit_count(other[0]) + F.bit_count(other[1])
+    close = [F.bit_count(other[half].bitwiseAND(((1 << width) - 1) << shift if shift + width < 64 else -(1 << shift))) <= flips for half, shift, width in cut]
+    first = F.coalesce(*(F.when(close[t], F.lit(t)) for t in tables))
+    met = left.alias("l").join(right.select("c", "d", "key").alias("r"), (F.col("l.key") == F.col("r.key")) & (distance <= radius)
+                               & (F.shiftrightunsigned(F.col("l.key"), 32).bitwiseAND(127) == first))
+
+    def text(a: str, b: str) -> Column:
+        return F.lower(F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0")))
+
+    return met.select(text("a", "b").alias("query"), text("c", "d").alias("match"), distance.cast("long").alias("distance"))
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -192,4 +228,4 @@ def near_counts(rows: DataFrame, radius: int = RADIUS, every: int = SEARCHED) ->
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
-    return near_counts(stored(compare_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+    return near_counts(stored(compare_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))), COPY_RADIUS)

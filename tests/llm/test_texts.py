@@ -226,6 +226,42 @@ def test_simhash(spark):
     assert near == {(a, b): d for a in all_f for b in all_f if (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= 3}
 
 
+@pytest.mark.parametrize("radius, blocks, share", [(3, None, 4096), (8, 4, 7), (19, None, 4096), (19, None, 5), (19, 24, 4096), (0, None, 4096)])
+def test_simhash_search(spark, radius, blocks, share):
+    """All pairs within the radius, also where a block is shared by all and its key is dealt out."""
+    rng = random.Random(radius)
+    made = [0, (1 << 128) - 1]
+    for _ in range(12):
+        centre = rng.getrandbits(128)
+        made += [centre] + [centre ^ sum(1 << b for b in rng.sample(range(128), rng.randrange(24))) for _ in range(10)]
+    made += [rng.getrandbits(100) for _ in range(40)]
+    rows = [(k, f"{x:032x}") for k, x in enumerate(made + made[:9])] + [(999, None)]
+    index = spark.createDataFrame(rows, "doc_id long, fingerprint string")
+    asked = index.where("doc_id % 3 = 0")
+    got = [(r["query"], r.match, r.distance) for r in simhash.neighbours(asked, index, radius, blocks, share).collect()]
+    few = {x for k, x in rows if x and k % 3 == 0}
+    assert sorted(got) == sorted((a, b, d) for a in few for b in {x for _, x in rows if x} if (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= radius)
+
+
+def test_simhash_finds_near_copies(spark):
+    """At least 0.9 of the pairs with 3/4 of their shingles in common, no pair of unrelated texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL")
+    sets = {}
+    for r in docs.select("text").distinct().collect():
+        w = split(r.text)
+        sets[r.text] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    texts = sorted(sets)
+    alike = {(a, b): len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) for k, a in enumerate(texts) for b in texts[:k]}
+    f = {r.doc_id: r.fingerprint for r in simhash.fingerprints(table(spark, texts)).collect()}
+    value = dict(zip(texts, (f[k] for k in range(len(texts)))))
+    rows = spark.createDataFrame(list(f.items()), "doc_id long, fingerprint string")
+    near = {(r["query"], r.match) for r in simhash.neighbours(rows, rows, simhash.COPY_RADIUS).collect()}
+    links = [p for p, x in alike.items() if x >= 0.75]
+    found = [(a, b) for a, b in links if (value[a], value[b]) in near]
+    assert len(links) > 10 and len(found) >= 0.9 * len(links)
+    assert not [p for p, x in alike.items() if x < 0.2 and len(sets[p[0]]) > 20 and len(sets[p[1]]) > 20 and (value[p[0]], value[p[1]]) in near]
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_jaccard_join(spark, monkeypatch, small):
     if small:  # no rounds of centres, crowds of two components, small tries and chunks
