@@ -27,7 +27,8 @@ from quarrylake.llm.common import WordHasher, broadcast_if_small, mix, stored, u
 BITS = 128
 PAIR_WEIGHT, WORD_WEIGHT = 1.0, 0.25
 #: Bits that a search allows unless told otherwise (all but equal texts), and those of the query's search: within them lie
-#: 0.93 of the pairs of different texts with 3/4 of their word shingles in common (sf0.1), and no unrelated ones (45 bits and more).
+#: 0.93 of the pairs of different texts with 3/4 of their word shingles in common (sf0.1). Lists of words with one separator
+#: between them lie there too, as the separator is most of their terms; other unrelated texts differ in 45 bits or more.
 RADIUS, COPY_RADIUS = 3, 19
 #: Rows that are the search's queries, those whose doc_id SEARCHED divides; index rows of a key that meet its queries in one task.
 SEARCHED, SHARE = 20, 4096
