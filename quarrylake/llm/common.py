@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylake.operators.storage import broadcast_if_small, checkpoint_folder, small_enough
@@ -160,6 +161,22 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_dealt(rows: DataFrame, facts: DataFrame, on: list[str], by: Column, share: int, how: str = "inner") -> DataFrame:
+    """rows joined with facts, which have one row for each value of on at most; null values meet none and are dealt out too.
+
+    A value of more than share rows is dealt out to several tasks by the hash by, and its facts go to each of them, so that
+    no task gets more than about share rows of a value. The counts of large values are at most rows / share in number.
+    """
+    large = rows.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > share)
+    large = broadcast_if_small(stored(large.select(*on, F.ceil(F.col("_n") / share).alias("_parts"))))
+    parts = F.coalesce("_parts", F.lit(1))
+    found = large.select(*(F.col(c).alias(f"_on_{c}") for c in on), "_parts")
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on))
+    left = rows.join(found, same, "left").withColumn("_part", F.pmod(by, parts)).drop("_parts", *(f"_on_{c}" for c in on))
+    right = facts.join(large, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return left.join(right, [*on, "_part"], how).drop("_part")
+
+
 def ordered_index(df: DataFrame, keys: list, name: str = "idx") -> DataFrame:
     """df with name, the place (from 0) of each row in the order of keys; sorted in ranges, with no task that holds all rows.
 

@@ -15,7 +15,8 @@ marked as the main one.
 
 Pages are parsed twice, for the counts and for the text, and never stored: only
 counts are shuffled. What is to be removed is broadcast if its rows are few
-enough, otherwise joined to the pages by host.
+enough, otherwise joined to the pages by host, where a host of many pages is
+dealt out to several tasks.
 
 Defined results: null and empty html give an empty text; broken markup is
 closed as browsers do (a new block ends a paragraph, an end tag ends what is
@@ -35,13 +36,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.common import small_enough, stored
+from quarrylake.llm.common import join_dealt, small_enough, stored
 
 #: A text is a host's template if its importance falls below LOW, or its own below LOW_MAIN in an element that is marked
 #: as the main one, where styles vary, copied articles and quoted lines repeat too; that takes MIN_PAGES pages with the place.
 MIN_PAGES, LOW, LOW_MAIN, GAMMA = 8, 0.4, 0.03, 0.9
 #: Keys to remove that are broadcast at most, 16 bytes each and about 64 in a worker's set.
 BROADCAST_KEYS = 200_000
+#: Pages of a host, and texts of a host's place, that one task joins with what is known of the host or place.
+HOST_PAGES, PLACE_TEXTS = 1000, 1 << 20
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
@@ -247,7 +250,7 @@ def site_style_tree(pages: DataFrame) -> DataFrame:
     # entropy to the base of the number of pages: 0 for one style, 1 if each page has its own
     entropy = F.when(F.col("total") > 1, (F.log("total") - F.col("x") / F.col("total")) / F.log("total")).otherwise(0.0)
     places = styles.select("host", "place", "total", entropy.alias("h"), F.pow(F.lit(GAMMA), F.col("l")).alias("g"))
-    texts = s.where("key <> 0 AND n > 1").join(places.where(F.col("total") >= MIN_PAGES), ["host", "place"])
+    texts = join_dealt(s.where("key <> 0 AND n > 1").drop("style"), places.where(F.col("total") >= MIN_PAGES), ["host", "place"], F.xxhash64("key"), PLACE_TEXTS)
     own = 1 - F.log("n") / F.log("total")
     return texts.select("host", "place", "key", "n", "total", own.alias("own"), ((1 - F.col("g")) * F.col("h") + F.col("g") * own).alias("importance"))
 
@@ -288,7 +291,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
         shared = pages.sparkSession.sparkContext.broadcast(tuple(keys[found[c].to_numpy(bool)] for c in ("low", "low_main")))
         return rows.mapInArrow(_extracted(shared), schema)
     per = low.groupBy("host").agg(*(F.collect_list(F.when(F.col(c), F.col("key"))).alias(c) for c in ("low", "low_main")))
-    return rows.join(per, "host", "left").select("page_id", "url", "host", "html", "low", "low_main").mapInArrow(_extracted(None), schema)
+    return join_dealt(rows, per, ["host"], F.xxhash64("html"), HOST_PAGES, "left").select("page_id", "url", "host", "html", "low", "low_main").mapInArrow(_extracted(None), schema)
 
 
 def op5_html_extraction(spark, sf_dir: str) -> DataFrame:

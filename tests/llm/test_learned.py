@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylake.llm import html_extraction as H
 from quarrylake.llm import toxicity
@@ -136,6 +137,33 @@ def test_extraction_of_odd_tables(spark, monkeypatch, most):
     assert H.extract_main_text(d.limit(0)).count() == 0
 
 
+def test_one_host_with_all_pages_is_dealt_out(spark, monkeypatch):
+    """The same texts as with one task a host, and no task with more than a share of the pages (by the hash, twice as many)."""
+    from quarrylake.llm.common import join_dealt
+
+    rows = [(k, "http://a.example/", STYLE.format(f"<div class=x><p>Buy our things now</p></div><div class=y><p>Story {k}</p><p>More of {k // 2}</p></div>")) for k in range(400)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted((r.page_id, r.text) for r in H.extract_main_text(d).collect())
+    for name, x in (("BROADCAST_KEYS", 0), ("HOST_PAGES", 25), ("PLACE_TEXTS", 3)):
+        monkeypatch.setattr(H, name, x)
+    assert sorted((r.page_id, r.text) for r in H.extract_main_text(d).collect()) == want == [(k, f"Story {k}\nMore of {k // 2}") for k in range(400)]
+
+    pages, facts = d.select("page_id", F.lit("a").alias("host")).union(spark.createDataFrame([(-1, "b"), (-2, "c")], "page_id long, host string")), \
+        spark.createDataFrame([("a", 1), ("b", 2)], "host string, fact int")
+    dealt = join_dealt(pages, facts, ["host"], F.xxhash64("page_id"), 25, "left")
+    assert sorted((r.page_id, r.fact) for r in dealt.collect()) == sorted([(k, 1) for k in range(400)] + [(-1, 2), (-2, None)], key=lambda x: x[0])
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, x in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.shuffle.partitions", "64")):
+            spark.conf.set(k, x)
+        dealt = join_dealt(pages, facts, ["host"], F.xxhash64("page_id"), 25, "left")
+        largest = max(r["count"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    finally:
+        for k, x in kept.items():
+            spark.conf.set(k, x)
+    assert largest < 150
+
+
 def test_templates_go_by_importance(spark):
     rows = [(k, f"http://a.example/{k}", STYLE.format(f"<div class=x><p>Buy our things now</p></div><div class=y><p>Story number {k} is here</p></div>")) for k in range(20)]
     rows += [(20, None, None), (21, "http://b.example/", ""), (22, "http://b.example/2", "<p>Buy our things now</p>"), (22, "http://b.example/2", "<p>Buy our things now</p>")]
