@@ -29,7 +29,7 @@ def confusion(voxels: DataFrame, regions: DataFrame, ignore: int | None = None)
     """
     v = voxels if ignore is None else voxels.where(F.col("ref") != ignore)
     c = v.groupBy("case_id", "ref", "pred").agg(F.count("*").alias("n"))
-    j = c.crossJoin(F.broadcast(regions))  # a dimension of a few labels
+    j = c.crossJoin(broadcast_if_small(regions))
     r, p, n = region_mask(F.col("ref"), F.col("labels")), region_mask(F.col("pred"), F.col("labels")), F.col("n")
     a = j.groupBy("case_id", "region").agg(*(F.sum(F.when(x, n).otherwise(0)).alias(k) for k, x in (("tp", r & p), ("fp", ~r & p), ("fn", r & ~p), ("tn", ~r & ~p))))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrylake.operators.storage import broadcast_if_small
+from quarrylake.operators.storage import BROADCAST_ROWS, broadcast_if_small
 
 AXES = ("z", "y", "x")
 
@@ -25,7 +25,7 @@ def region_pool(features: DataFrame, labels: DataFrame, regions: DataFrame) -> D
 
 def present_regions(labels: DataFrame, names: DataFrame) -> DataFrame:
     """(case_id, label, name) of non-zero labels; label_<n> without a name."""
-    found = labels.where("label <> 0").select("case_id", "label").distinct().join(F.broadcast(names), "label", "left")
+    found = labels.where("label <> 0").select("case_id", "label").distinct().join(broadcast_if_small(names), "label", "left")
     return found.select("case_id", "label", F.coalesce("name", F.concat(F.lit("label_"), F.col("label").cast("string"))).alias("name"))
 
 
@@ -213,8 +213,8 @@ def resampled(volume: DataFrame, source: dict[str, int], target: dict[str, int],
         else:
             pairs = grid.select("_to", F.least(F.floor((F.col("_to") + 0.5) * n / m), F.lit(n - 1)).cast("int").alias(a), F.lit(1.0).alias("g"))
         others = [b for b in AXES if b != a]
-        # an axis's places are few
-        volume = volume.join(F.broadcast(pairs), a).groupBy(*rest, *others, F.col("_to").alias(a)).agg(F.sum(F.col("v") * F.col("g")).alias("v"))
+        few = 2 * m <= BROADCAST_ROWS  # a place has two sources at most
+        volume = volume.join(F.broadcast(pairs) if few else pairs, a).groupBy(*rest, *others, F.col("_to").alias(a)).agg(F.sum(F.col("v") * F.col("g")).alias("v"))
     return volume.select(*rest, *AXES, "v")
 
 
