@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quarrylake.functions import text as T
+from quarrylake.operators.storage import broadcast_if_small, cut
+
+#: Different pairs of texts with their similarity that are broadcast at most.
+COMPARED = 10_000
 
 
 def _grams(tokens: Column, n: int) -> Column:
@@ -42,6 +46,18 @@ def character_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x.strip(), y.strip()).ratio() if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
 
 
+def compared(pairs: DataFrame, name: str = "similarity") -> DataFrame:
+    """pairs (a, b, ...) with the character similarity of a and b, found once for each different pair; NULL if one is NULL."""
+    # different pairs are dealt out by number, as a comparison takes long for its size
+    different = pairs.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct().repartition(spread(pairs), "a", "b")
+    return pairs.join(broadcast_if_small(cut(different.withColumn(name, character_similarity("a", "b"))), COMPARED), ["a", "b"], "left")
+
+
+def spread(df: DataFrame) -> int:
+    """Parts over which work on rows is dealt out that takes long for their size."""
+    return 4 * df.sparkSession.sparkContext.defaultParallelism
+
+
 def overfit_metrics(rows: DataFrame) -> DataFrame:
     """One row of rows (prediction, reference, swapped, source): how far predictions repeat references or follow the swapped input.
 
@@ -51,7 +67,9 @@ def overfit_metrics(rows: DataFrame) -> DataFrame:
     rows = rows.select(p.alias("p"), r.alias("r"), s.alias("s"), o.alias("o"))
     sides = {"character_similarity": ("p", "r"), "swap_stays": ("p", "s"), "swap_follows": ("o", "s")}
     pairs = F.array(*(F.struct(F.lit(name).alias("name"), F.col(a).alias("a"), F.col(b).alias("b")) for name, (a, b) in sides.items()))
-    n = rows.select(F.explode(pairs).alias("x")).select("x.*").groupBy("name", "a", "b").agg(F.count("*").alias("n")).withColumn("v", character_similarity("a", "b")).where("v IS NOT NULL")
+    # NULLs go before: a filter by the similarity itself would be moved to the single rows, and compare each of them
+    n = rows.select(F.explode(pairs).alias("x")).select("x.*").where("a IS NOT NULL AND b IS NOT NULL").groupBy("name", "a", "b").agg(F.count("*").alias("n"))
+    n = n.repartition(spread(n), "name", "a", "b").withColumn("v", character_similarity("a", "b"))
     like = n.agg(*((F.sum(F.when(F.col("name") == name, F.col("v") * F.col("n"))) / F.sum(F.when(F.col("name") == name, F.col("n")))).alias(name) for name in sides))
     equal = rows.agg(F.avg((F.col("p") == F.col("r")).cast("double")).alias("exact_match"), F.avg((F.col("p") != F.col("s")).cast("double")).alias("swap_change_rate"))
     # two single rows

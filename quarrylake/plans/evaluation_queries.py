@@ -162,7 +162,8 @@ def a18(spark, d):
 @query("p24_character_similarity")
 def p24(spark, d):
     p = generated(spark, d, "gen_predictions")
-    return p.select("case_id", F.round(similarity.character_similarity(F.col("prediction"), F.col("reference")), 9).alias("similarity"))
+    like = similarity.compared(p.select("case_id", F.col("prediction").alias("a"), F.col("reference").alias("b")))
+    return like.select("case_id", F.round("similarity", 9).alias("similarity"))
 
 
 @query("a19_overfit_metrics")
