@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quarrylake.functions import similarity as SIM
+from quarrylake.operators import resampling as R
 
 
 def counted(spark, monkeypatch):
@@ -35,3 +36,28 @@ def test_pairs_are_compared_once(spark, monkeypatch):
     got = {(r.a, r.b, r.similarity): r.n for r in SIM.compared(pairs).groupBy("a", "b", "similarity").agg(F.count("*").alias("n")).collect()}
     assert calls.value == 2
     assert got == {("abcd", "ab0", 4 / 7): 1200, ("abcd", "ab1", 4 / 7): 1200, (None, "ab0", None): 300, (None, "ab1", None): 300}
+
+
+def shuffles(df):
+    """Exchanges of a plan, those by broadcast left out."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_a_resampled_volume_is_shuffled_once(spark):
+    v = spark.range(400).selectExpr("'a' AS case_id", "0 AS z", "int(id % 2) AS y", "int(id / 2) AS x", "double(id) AS v")
+    grids = spark.createDataFrame([("a", [1, 2, 200], [1, 3, 90], None)], "case_id string, n array<int>, m array<int>, separate int")
+    found = R.resampled_cases(v, grids, clip=False)
+    assert shuffles(found) == 1 and found.count() == 270
+    labels = v.selectExpr("case_id", "z", "y", "x", "int(x > 99) AS label")
+    assert shuffles(R.resampled_labels(labels, grids)) == 1
+    assert {r.label: r.n for r in R.resampled_labels(labels, grids, zeros=False).groupBy("label").agg(F.count("*").alias("n")).collect()} == {1: 135}
+
+
+def test_volumes_alone_are_those_with_labels(spark):
+    v = spark.range(300).selectExpr("'a' AS case_id", "0 AS c", "int(id % 3) AS z", "int(id / 3 % 10) AS y", "int(id / 30) AS x", "double(id * 7 % 11) AS v")
+    labels = v.selectExpr("case_id", "z", "y", "x", "int(v > 5) AS label")
+    spacings = spark.createDataFrame([("a", [2.0, 1.0, 1.0])], "case_id string, spacing array<double>")
+    one = R.preprocessed_volumes(v, spacings, [0, 2, 1], [1.5, 2.0, 0.8])
+    two, _ = R.preprocessed_cases(v, labels, spacings, [0, 2, 1], [1.5, 2.0, 0.8])
+    one, two = ({tuple(r)[:-1]: r.v for r in x.collect()} for x in (one, two))
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-12 for k in one)
