@@ -1,8 +1,10 @@
 """Morphology with balls, by distances: what a ball reaches is what lies no farther than its radius.
 
 Squared distances come axis by axis: the least of (distance along the axis)^2 + what the axes
-before have found. Lines are dealt out in chunks with the radius as halo on both sides, so
-that no task holds a whole line, and all lines of a batch are taken at once.
+before have found. Places are dealt out in tiles with a halo on all sides, of the radius for
+each step of an operator, so that no task holds a whole volume or line, each place is shuffled
+once and all steps of an operator are taken in the tile. Only tiles with places of the mask
+in reach are looked at, as no operator adds anything elsewhere.
 """
 
 from __future__ import annotations
@@ -18,70 +20,115 @@ from pyspark.sql import functions as F
 from quarrylake.operators.augmentation import PLACE, components
 from quarrylake.operators.storage import broadcast_if_small, cut
 
-#: Places of a line that one row of lists holds, besides the halo.
-CHUNK = 256
-
-
-def _nearest_along(places: DataFrame, axis: str, radius: int) -> DataFrame:
-    """places (case_id, z, y, x, d2) with d2 the least of (a - a')^2 + d2(a') over places of the line within radius; NULL is none."""
-    keys = [c for c in PLACE if c != axis]
-    near = F.sequence(F.floor((F.col(axis) - radius) / CHUNK), F.floor((F.col(axis) + radius) / CHUNK))
-    parts = places.select(*keys, F.col(axis).cast("long").alias("_at"), F.coalesce(F.col("d2").cast("double"), F.lit(float("inf"))).alias("_d"), F.explode(near).alias("_chunk"))
-    parts = parts.groupBy(*keys, "_chunk").agg(F.collect_list("_at").alias("_at"), F.collect_list("_d").alias("_d"))
-    width = CHUNK + 2 * radius
-
-    def envelope(batches):
-        for b in batches:
-            at, d = b.column("_at"), b.column("_d")
-            offs, flat, values = np.asarray(at.offsets), np.asarray(at.flatten()), np.asarray(d.flatten())
-            row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-            start = np.asarray(b.column("_chunk"))[row] * CHUNK
-            for s in range(0, len(offs) - 1, 4096):  # lines at a time
-                mine = (row >= s) & (row < s + 4096)
-                dense = np.full((min(4096, len(offs) - 1 - s), width + 2 * radius), np.inf)
-                column = flat[mine] - start[mine] + 2 * radius
-                dense[row[mine] - s, column] = values[mine]
-                best = reduce(np.minimum, (dense[:, radius + k:radius + k + width] + k * k for k in range(-radius, radius + 1)))
-                inside = (column >= 2 * radius) & (column < 2 * radius + CHUNK)
-                found = best[(row[mine] - s)[inside], column[inside] - radius]
-                again = b.select(keys).take(pa.array(row[mine][inside]))
-                yield pa.RecordBatch.from_arrays([*again.columns, pa.array(flat[mine][inside].astype(np.int32)), pa.array(np.where(np.isfinite(found), found, -1).astype(np.int64))], [*keys, axis, "d2"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in places.schema}
-    out = parts.mapInArrow(envelope, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {axis} int, d2 long")
-    return out.withColumn("d2", F.when(F.col("d2") >= 0, F.col("d2")))
+#: Places of a tile along an axis, besides the halo.
+TILE = 64
+_FAR = 1 << 29
+_BOX = [f"{a}{k}" for a in "zyx" for k in (0, 1)]
+
+
+def _squares(seed: np.ndarray, radius: int) -> np.ndarray:
+    """Of each place the squared distance to the seed, if it lies within radius along every axis."""
+    out = np.where(seed, 0, _FAR).astype(np.int32)
+    for axis in range(3):
+        before, out = out, out.copy()
+        for k in range(1, min(radius, out.shape[axis] - 1) + 1):
+            up, down = ([slice(None)] * axis + [s] for s in (slice(k, None), slice(None, -k)))
+            for to, of in ((tuple(up), tuple(down)), (tuple(down), tuple(up))):
+                np.minimum(out[to], before[of] + k * k, out=out[to])
+    return out
+
+
+def _grown(mask: np.ndarray, inside: np.ndarray, radius: float) -> np.ndarray:
+    return (_squares(mask & inside, int(radius)) <= radius * radius) & inside
+
+
+def _shrunk(mask: np.ndarray, inside: np.ndarray, radius: float) -> np.ndarray:
+    return mask & ~_grown(inside & ~mask, inside, radius)
+
+
+def _tiled(mask: DataFrame, within: DataFrame, steps: list[Callable], radius: float, distances: bool = False) -> DataFrame:
+    """(case_id, z, y, x) that the steps, one after the other, make of the mask; distances: with d2, the squared distance to the mask, instead of a step.
+
+    within: the volume's places, or boxes (case_id, z0, z1, ...) without the ends, a row a case.
+    """
+    reach = int(np.floor(radius))
+    halo = reach * max(1, len(steps))
+    boxes = "x" not in within.columns
+    lowest = lambda a: F.col(f"{a}0") if boxes else F.lit(-(1 << 31))
+    highest = lambda a: F.col(f"{a}1") - 1 if boxes else F.lit((1 << 31) - 1)
+
+    def dealt(places):
+        for a in "zyx":
+            tiles = F.sequence(F.floor(F.greatest(F.col(a) - halo, lowest(a)) / TILE), F.floor(F.least(F.col(a) + halo, highest(a)) / TILE))
+            places = places.withColumn(f"_{a}", F.explode(tiles))
+        return places
+
+    if boxes:
+        cells = mask.select(*PLACE, F.lit(True).alias("_in")).join(broadcast_if_small(within.select("case_id", *_BOX)), "case_id")
+        cells = cells.where(" AND ".join(f"{a} >= {a}0 AND {a} < {a}1" for a in "zyx"))
+    else:
+        cells = mask.select(*PLACE, F.lit(True).alias("_in")).unionByName(within.select(*PLACE, F.lit(False).alias("_in")))
+    kind = mask.schema["case_id"].dataType.simpleString()
+    names = [*PLACE, "d2"] if distances else PLACE
+
+    def run(table):
+        first = [table.column(f"_{a}")[0].as_py() * TILE for a in "zyx"]
+        at = np.stack([table.column(a).to_numpy().astype(np.int64) for a in "zyx"])
+        own = table.column("_in").to_numpy(zero_copy_only=False).astype(bool)
+        edges = [(table.column(f"{a}0")[0].as_py(), table.column(f"{a}1")[0].as_py()) for a in "zyx"] if boxes else [(p.min(), p.max() + 1) for p in at]
+        lo = [max(f - halo, e[0]) for f, e in zip(first, edges)]
+        hi = [min(f + TILE + halo, e[1]) for f, e in zip(first, edges)]
+        at -= np.array(lo)[:, None]
+        seed = np.zeros([b - a for a, b in zip(lo, hi)] if own.any() else (0, 0, 0), bool)
+        inside = np.full(seed.shape, boxes)
+        if own.any():
+            seed[tuple(at[:, own])] = True
+            if not boxes:
+                inside[tuple(at[:, ~own])] = True
+        out = seed
+        for step in steps:
+            out = step(out, inside, radius)
+        if distances:
+            squares = _squares(seed & inside, reach)
+            out = (squares <= radius * radius) & inside
+        # the tile without its halo
+        middle = tuple(slice(max(f - a, 0), f + TILE - a) for f, a in zip(first, lo))
+        found = np.nonzero(out[middle])
+        columns = [pa.repeat(table.column("case_id")[0], len(found[0]))]
+        columns += [pa.array((f + m.start + a).astype(np.int32)) for f, m, a in zip(found, middle, lo)]
+        if distances:
+            columns.append(pa.array(squares[middle][found].astype(np.int64)))
+        return pa.Table.from_arrays(columns, names=list(names))
+
+    return dealt(cells).groupBy("_x", "_y", "_z", "case_id").applyInArrow(lambda table: run(table), f"case_id {kind}, z int, y int, x int" + (", d2 long" if distances else ""))
 
 
 def squared_distance(mask: DataFrame, within: DataFrame, radius: float) -> DataFrame:
     """(case_id, z, y, x, d2): of the places within no farther than radius from the mask their squared distance to it.
 
-    Exact along lines of places that are all within; within: a volume without gaps, repeated rows count once.
+    within, here and below: a volume's places (case_id, z, y, x), repeated rows count once, or a box a case
+    (case_id, z0, z1, y0, y1, x0, x1; the ends not included), which needs no rows of places. A task holds a tile
+    and twice as many radii around it at most.
     """
-    reach = int(np.floor(radius))
-    own = mask.select(*PLACE).distinct().withColumn("d2", F.lit(0).cast("long"))
-    out = within.select(*PLACE).distinct().join(own, PLACE, "left").select("case_id", *(F.col(a).cast("int").alias(a) for a in "zyx"), "d2")
-    for a in "xyz":
-        out = _nearest_along(out, a, reach).select(*PLACE, "d2")
-    return out.where(F.col("d2") <= radius * radius)
+    return _tiled(mask, within, [], radius, True)
 
 
 def ball_dilated(mask: DataFrame, within: DataFrame, radius: float) -> DataFrame:
     """The places (case_id, z, y, x) within that a ball around a place of the mask reaches."""
-    return squared_distance(mask, within, radius).select(*PLACE)
+    return _tiled(mask, within, [_grown], radius)
 
 
 def ball_eroded(mask: DataFrame, within: DataFrame, radius: float) -> DataFrame:
     """The places of the mask whose ball lies in it; beyond the volume counts as mask."""
-    outside = within.select(*PLACE).join(mask.select(*PLACE), PLACE, "left_anti")
-    return mask.select(*PLACE).distinct().join(ball_dilated(outside, within, radius), PLACE, "left_anti")
+    return _tiled(mask, within, [_shrunk], radius)
 
 
 def ball_opened(mask: DataFrame, within: DataFrame, radius: float) -> DataFrame:
-    return ball_dilated(ball_eroded(mask, within, radius), within, radius)
+    return _tiled(mask, within, [_shrunk, _grown], radius)
 
 
 def ball_closed(mask: DataFrame, within: DataFrame, radius: float) -> DataFrame:
-    return ball_eroded(ball_dilated(mask, within, radius), within, radius)
+    return _tiled(mask, within, [_grown, _shrunk], radius)
 
 
 OPERATORS: dict[str, Callable] = {"dilation": ball_dilated, "erosion": ball_eroded, "closing": ball_closed, "opening": ball_opened}

@@ -33,11 +33,11 @@ def reached(source: str, name: str) -> str:
 
 
 def block(spark, d):
-    """(within, mask) of all cases."""
+    """(box, mask) of all cases."""
     v = generated(spark, d, "gen_voxels")
-    axis = lambda lo, hi: F.explode(F.sequence(F.lit(lo), hi))
-    every = v.groupBy("case_id").agg(F.max("x").alias("n")).select("case_id", axis(1, F.lit(7)).alias("z"), "n").select("case_id", "z", axis(0, F.lit(63)).alias("y"), "n")
-    return every.select("case_id", "z", "y", axis(0, F.col("n")).alias("x")), v.where("ref = 1").select("case_id", "z", "y", "x").distinct()
+    box = v.groupBy("case_id").agg((F.max("x") + 1).alias("x1"))
+    box = box.select("case_id", *(F.lit(k).alias(n) for n, k in (("z0", 1), ("z1", 8), ("y0", 0), ("y1", 64), ("x0", 0))), "x1")
+    return box, v.where("ref = 1").select("case_id", "z", "y", "x")
 
 
 @query("m16_ball_dilated", f"WITH {BLOCK}, {MASK}, {reached('m', 'big')} SELECT case_id, z::INT AS z, y::INT AS y, x::INT AS x FROM big", "gen_voxels")

@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quarrylake.functions import similarity as SIM
+from quarrylake.operators import morphology as M
 from quarrylake.operators import resampling as R
 
 
@@ -61,3 +62,14 @@ def test_volumes_alone_are_those_with_labels(spark):
     two, _ = R.preprocessed_cases(v, labels, spacings, [0, 2, 1], [1.5, 2.0, 0.8])
     one, two = ({tuple(r)[:-1]: r.v for r in x.collect()} for x in (one, two))
     assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-12 for k in one)
+
+
+def test_balls_in_boxes_need_no_rows_of_places(spark):
+    box = spark.createDataFrame([("a", 0, 3, 0, 1 << 14, 0, 1 << 20), ("b", 2, 4, 0, 2, 63, 66)], "case_id string, z0 int, z1 int, y0 int, y1 int, x0 int, x1 int")
+    mask = spark.createDataFrame([("a", 1, 64, 63), ("a", 1, 64, 65), ("b", 2, 0, 64), ("b", 9, 0, 64)], "case_id string, z int, y int, x int")
+    big = M.ball_dilated(mask, box, 1)
+    assert shuffles(big) == 1
+    got = {tuple(r) for r in big.collect()}
+    assert {r for r in got if r[0] == "b"} == {("b", 2, 0, 63), ("b", 2, 0, 64), ("b", 2, 0, 65), ("b", 2, 1, 64), ("b", 3, 0, 64)}
+    assert len(got) == 5 + 13
+    assert {tuple(r) for r in M.ball_closed(mask.where("case_id = 'a'"), box, 1).collect()} == {("a", 1, 64, x) for x in (63, 64, 65)}
