@@ -107,11 +107,19 @@ def aligned_starts(size: Column, patch: Column, step: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda k: (k * step).cast("int"))
 
 
+def spread_count(size: Column, patch: Column, share: float) -> Column:
+    return F.when(size <= patch, 1).otherwise(F.ceil((size - patch) / (patch * share)).cast("int") + 1)
+
+
+def spread_start(k: Column, n: Column, last: Column) -> Column:
+    """The k-th of n starts from 0 to last."""
+    return F.when(n > 1, F.bround(last / (n - 1) * k)).otherwise(0).cast("int")
+
+
 def spread_starts(size: Column, patch: Column, share: float) -> Column:
     """Starts of windows spread evenly from 0 to size - patch, no further apart than share of a patch."""
-    n = F.when(size <= patch, 1).otherwise(F.ceil((size - patch) / (patch * share)).cast("int") + 1)
-    last = F.greatest(size - patch, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.when(n > 1, F.bround(last / (n - 1) * k)).otherwise(0).cast("int"))
+    n, last = spread_count(size, patch, share), F.greatest(size - patch, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: spread_start(k, n, last))
 
 
 def moving_average(series: DataFrame, key: str, order: str, value: str, keep: float = 0.9) -> DataFrame:

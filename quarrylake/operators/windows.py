@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.operators.sampling import spread_starts
+from quarrylake.operators.sampling import spread_count, spread_start, spread_starts
 from quarrylake.operators.storage import broadcast_if_small
 from quarrylake.operators.voxels import AXES, gaussian_weight
 
@@ -30,20 +30,29 @@ def cut_windows(volume: DataFrame, sizes: DataFrame, patch: dict[str, int], shar
     z0, y0, x0: the window's start in the unpadded volume; flip: the mirrored axes, joined by commas. Places beyond the volume give no rows.
     """
     flips = [",".join(s) for k in range(len(mirrored) + 1) for s in combinations(mirrored, k)]
-    j = volume.join(broadcast_if_small(starts(sizes, patch, share)), "case_id")
+    room = {a: F.greatest(F.col(a), F.lit(patch[a])) for a in AXES}
+    bounds = sizes.select("case_id", *(room[a].alias(f"room_{a}") for a in AXES), *(F.floor((room[a] - F.col(a)) / 2).cast("int").alias(f"pad_{a}") for a in AXES))
+    j = volume.join(broadcast_if_small(bounds), "case_id")
+    # found before a row becomes several
+    j = j.withColumns({f"_{a}0": F.transform(windows_of(F.col(a) + F.col(f"pad_{a}"), F.col(f"room_{a}"), patch[a], share), lambda s: s - F.col(f"pad_{a}")) for a in AXES})
     for a in AXES:
-        j = j.withColumn(f"{a}0", F.explode(_windows_of(F.col(a) + F.col(f"pad_{a}"), f"start_{a}", f"pad_{a}", patch[a])))
+        j = j.withColumn(f"{a}0", F.explode(f"_{a}0"))
     j = j.withColumn("flip", F.explode(F.array(*map(F.lit, flips))))
     return j.select("case_id", "z0", "y0", "x0", "flip", "c", *(_mirror(F.col(a) - F.col(f"{a}0"), a, patch[a]).cast("int").alias(a) for a in AXES), "v")
 
 
-def _windows_of(at: Column, begin: str, pad: str, size: int) -> Column:
-    """Starts, less the padding, of the windows of a size that a place lies in."""
-    return F.transform(F.filter(begin, lambda s: (s <= at) & (at < s + size)), lambda s: s - F.col(pad))
+def windows_of(at: Column, size: Column, patch: int, share: float) -> Column:
+    """Those of spread_starts whose windows hold a place: only the few around it are looked at, however long the axis."""
+    n, last = spread_count(size, F.lit(patch), share), F.greatest(size - patch, F.lit(0))
+    # starts are rounded, so half a place more on both sides
+    lo = F.when(n > 1, F.least(F.greatest(F.floor((at - patch - 0.5) * (n - 1) / last), F.lit(0)), n - 1)).otherwise(0).cast("int")
+    hi = F.when(n > 1, F.least(F.greatest(F.floor((at + 0.5) * (n - 1) / last) + 1, lo), n - 1)).otherwise(0).cast("int")
+    return F.filter(F.transform(F.sequence(lo, hi), lambda k: spread_start(k, n, last)), lambda s: (s <= at) & (at < s + patch))
 
 
 def _mirror(offset: Column, axis: str, size: int) -> Column:
-    return F.when(F.array_contains(F.split("flip", ","), axis), F.lit(size - 1) - offset).otherwise(offset)
+    # axes are single letters
+    return F.when(F.contains("flip", F.lit(axis)), F.lit(size - 1) - offset).otherwise(offset)
 
 
 def added_up(predictions: DataFrame, sizes: DataFrame, patch: dict[str, int], gaussian: bool = True) -> DataFrame:
@@ -55,7 +64,7 @@ def added_up(predictions: DataFrame, sizes: DataFrame, patch: dict[str, int], ga
     g = F.lit(1.0)
     if gaussian:
         for a in AXES:
-            g = g * gaussian_weight(F.col(f"_o{a}"), patch[a])
+            g = g * F.get(F.array(*(gaussian_weight(F.lit(k), patch[a]) for k in range(patch[a]))), F.col(f"_o{a}"))
     inside = F.lit(True)
     for a in AXES:
         inside = inside & (F.col(f"_{a}") >= 0) & (F.col(f"_{a}") < F.col(f"_size_{a}"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from quarrylake.functions import similarity as SIM
 from quarrylake.operators import morphology as M
 from quarrylake.operators import resampling as R
+from quarrylake.operators import sampling
+from quarrylake.operators import windows as WI
 
 
 def counted(spark, monkeypatch):
@@ -72,4 +74,16 @@ def test_balls_in_boxes_need_no_rows_of_places(spark):
     got = {tuple(r) for r in big.collect()}
     assert {r for r in got if r[0] == "b"} == {("b", 2, 0, 63), ("b", 2, 0, 64), ("b", 2, 0, 65), ("b", 2, 1, 64), ("b", 3, 0, 64)}
     assert len(got) == 5 + 13
-    assert {tuple(r) for r in M.ball_closed(mask.where("case_id = 'a'"), box, 1).collect()} == {("a", 1, 64, x) for x in (63, 64, 65)}
+    assert {tuple(r) for r in M.ball_closed(mask.where("case_id = 'a'"), box, 1).collect()} == {("a", 1, 64, 63), ("a", 1, 64, 65)}
+
+
+def test_windows_around_a_place_are_those_of_all_starts(spark):
+    rows = [(n, at) for n in (1, 3, 4, 5, 7, 10, 23, 61) for at in range(n + 2)]
+    t = spark.createDataFrame(rows, "n int, at int")
+    for patch, share in ((4, 0.5), (5, 0.3), (8, 1.0)):
+        room = F.greatest("n", F.lit(patch))
+        every = F.filter(sampling.spread_starts(room, F.lit(patch), share), lambda s: (s <= F.col("at")) & (F.col("at") < s + patch))
+        assert t.where(WI.windows_of(F.col("at"), room, patch, share) != every).count() == 0
+    # few are made along a long axis
+    plan = spark.range(1).select(WI.windows_of(F.lit(500), F.col("id").cast("int") + 10**9, 4, 0.5).alias("w")).first()
+    assert plan.w == [498, 500]
