@@ -70,11 +70,17 @@ def soft_dice(rows: DataFrame, by: list[str], smooth: float = 1.0, squared: bool
 
 def top_share_mean(losses: DataFrame, share: float, *by: str) -> DataFrame:
     """(by..., loss): the mean of the largest share of losses (by..., loss, id), rounded down to whole rows, one at least."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(*by)
-    ranked = losses.withColumns({"_k": F.row_number().over(w.orderBy(F.col("loss").desc(), "id")), "_n": F.count("*").over(w)})
-    return ranked.where(F.col("_k") <= F.greatest(F.floor(F.col("_n") * share), F.lit(1))).groupBy(*by).agg(F.avg("loss").alias("loss"))
+    from quarrylake.operators.ordering import ordered_index
+    from quarrylake.operators.storage import broadcast_if_small
+
+    # ranks by ranges over all groups, less the first of each: no task holds a group
+    at = ordered_index(losses.select(*by, "loss", "id"), [*by, F.col("loss").desc(), "id"], "_i")
+    own = at.groupBy(*by).agg(F.min("_i").alias("_first"), F.count("*").alias("_n")).withColumnsRenamed({c: f"_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    taken = at.join(broadcast_if_small(own), same).where(F.col("_i") - F.col("_first") < F.greatest(F.floor(F.col("_n") * share), F.lit(1)))
+    return taken.groupBy(*by).agg(F.avg("loss").alias("loss"))
 
 
 def compound(first: Column, second: Column, weight_first: float = 1.0, weight_second: float = 1.0) -> Column:
