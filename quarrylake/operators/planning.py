@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrylake.operators.storage import broadcast_if_small, cut
+
 #: Channel names and the normalisation they stand for; all others mean z-score.
 SCHEMES = {"ct": "ct", "nonorm": "none", "zscore": "zscore", "rescale_to_0_1": "rescale", "rgb_to_0_1": "rgb"}
 #: Schemes that can be limited to the non-zero part.
@@ -126,6 +128,13 @@ def topology(patch: Column, spacing: Column, least: int = 4, most: int = 999999,
     return F.aggregate(F.sequence(F.lit(1), F.lit(stages)), begin, stage, finish)
 
 
+def topologies(rows: DataFrame, least: int = 4, most: int = 999999, uneven: float = 2.0, stages: int = 40) -> DataFrame:
+    """rows (patch, spacing, ...) with t, their topology, found once for each different patch and spacing."""
+    different = rows.select("patch", "spacing").distinct().repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "patch", "spacing")
+    found = cut(different.withColumn("t", topology(F.col("patch"), F.col("spacing"), least, most, uneven, stages)))
+    return rows.join(broadcast_if_small(found, 10_000), ["patch", "spacing"], "left")
+
+
 def pooling(patch: list[int], spacing: list[float], least: int = 4, most: int = 999999, uneven: float = 2.0) -> tuple[list[list[int]], list[list[int]]]:
     """(strides, kernels) of a network for one patch, by the rule of topology."""
     size, space, pools = list(patch), list(spacing), [0] * len(patch)

@@ -399,7 +399,7 @@ SELECT p_partkey, arg_max(strides, k) AS strides, arg_max(kernels, k) || '3,3,3'
 def a31t(spark, d):
     patch = F.array(4 + 4 * F.col("p_size"), F.lit(64), (32 * (F.col("p_partkey") % 5 + 1)).cast("int"))
     spacing = F.array(1.0 + F.col("p_partkey") % 4, F.lit(1.0), 1 + 0.5 * (F.col("p_partkey") % 3))
-    t = read(spark, d, "part").select("p_partkey", P.topology(patch.cast("array<int>"), spacing, 4, 4).alias("t"))
+    t = P.topologies(read(spark, d, "part").select("p_partkey", patch.cast("array<int>").alias("patch"), spacing.alias("spacing")), 4, 4)
     joined = lambda c: F.array_join(F.transform(c, lambda k: F.array_join(k.cast("array<string>"), ",")), " ")
     return t.select("p_partkey", joined(F.col("t.strides")).alias("strides"), joined(F.col("t.kernels")).alias("kernels"), F.array_join(F.col("t.patch").cast("array<string>"), ",").alias("patch"))
 
