@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quarrylake.functions import text as T
-from quarrylake.operators.storage import broadcast_if_small, cut
+from quarrylake.operators.storage import broadcast_if_small, cut, parts_for
 
+#: Texts of a part, whose n-grams are counted there.
+TEXTS = 2_000
 #: Different pairs of texts with their similarity that are broadcast at most.
 COMPARED = 10_000
 
@@ -21,6 +23,8 @@ def _grams(tokens: Column, n: int) -> Column:
 def corpus_bleu(pairs: DataFrame, order: int = 4, epsilon: float = 0.1) -> DataFrame:
     """One row (bleu4) of pairs (case_id, prediction, references): clipped n-gram counts summed over the corpus,
     an epsilon for orders without a match, and the brevity penalty against the closest reference lengths."""
+    # n-grams are counted by case, so they stay in the part of their case
+    pairs = pairs.select("case_id", "prediction", "references").repartition(parts_for(pairs, TEXTS), "case_id")
     p = pairs.select("case_id", T.metric_tokens(F.col("prediction")).alias("h"), F.transform("references", T.metric_tokens).alias("r"))
     closest = F.array_min(F.transform("r", lambda x: F.struct(F.abs(F.size(x) - F.size("h")).alias("d"), F.size(x).alias("n"))))["n"]
     size = p.agg(F.sum(F.size("h")).alias("c"), F.sum(closest).alias("r"))

@@ -3,8 +3,11 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from quarrylake.functions import assertions as A
+from quarrylake.functions import losses
 from quarrylake.functions import similarity as SIM
 from quarrylake.operators import morphology as M
+from quarrylake.operators import planning as P
 from quarrylake.operators import resampling as R
 from quarrylake.operators import sampling
 from quarrylake.operators import windows as WI
@@ -87,3 +90,28 @@ def test_windows_around_a_place_are_those_of_all_starts(spark):
     # few are made along a long axis
     plan = spark.range(1).select(WI.windows_of(F.lit(500), F.col("id").cast("int") + 10**9, 4, 0.5).alias("w")).first()
     assert plan.w == [498, 500]
+
+
+def test_top_share_holds_no_group_in_a_window(spark):
+    t = spark.createDataFrame([(g, float(v), k) for k, (g, v) in enumerate([("a", 3), ("a", 1), ("a", 3), ("a", 2), ("b", 5), (None, 7), (None, 9)] * 3)], "g string, loss double, id long")
+    found = losses.top_share_mean(t, 0.5, "g")
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.g: r.loss for r in found.collect()} == {"a": 3.0, "b": 5.0, None: 9.0}
+
+
+def test_topology_is_found_once_for_equal_patches(spark):
+    t = spark.range(3000).select("id", F.array(F.lit(16), F.lit(64), (32 * (F.col("id") % 3 + 1)).cast("int")).alias("patch"), F.array(F.lit(2.0), F.lit(1.0), F.lit(1.0)).alias("spacing"))
+    found = P.topologies(t, 4, 4)
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()  # what is left is a join with the few found
+    assert found.where(F.col("t") != P.topology(F.col("patch"), F.col("spacing"), 4, 4)).count() == 0 and found.count() == 3000
+
+
+def test_rows_of_few_parts_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(SIM, "TEXTS", 10)
+    pairs = spark.range(100).coalesce(1).select(F.col("id").alias("case_id"), F.lit("a b c d e").alias("prediction"), F.array(F.lit("a b c d f")).alias("references"))
+    plan = SIM.corpus_bleu(pairs)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(case_id" in plan and ", 10), REPARTITION_BY_NUM" in plan
+    monkeypatch.setattr(A, "TOKENS", 10)
+    tokens = spark.range(100).coalesce(1).select(F.lit("r").alias("id"), F.col("id").cast("int").alias("begin"), (F.col("id") + 2).cast("int").alias("end"))
+    plan = A.token_weights(tokens, spark.createDataFrame([("r", "a b. c d.")], "id string, text string"), 0.2, 2.0)._jdf.queryExecution().executedPlan().toString()
+    assert ", 10), REPARTITION_BY_NUM" in plan
