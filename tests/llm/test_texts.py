@@ -562,3 +562,12 @@ def test_pipeline_drops_whole_copies(spark):
     text = " ".join(f"once{k}" for k in range(20)) + "\nfive short words at last"
     left = corpus_pipeline.drop_repeated_lines(spark, table(spark, [text, text, text + "\nx"]), "")
     assert {r.doc_id: r.text for r in left.collect()} == {0: text, 2: "x"}
+
+
+def test_frequent_shingles_reach_the_driver_as_bytes(spark):
+    from quarrylake.llm import jaccard_join
+
+    rows = spark.range(1000).selectExpr("id - 500 AS h", "id + 4 AS c").repartition(2).mapInArrow(jaccard_join._packed_counts, "h binary, c binary").collect()
+    assert len(rows) < 20
+    h, c = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in ((0, np.int64), (1, np.uint32)))
+    assert sorted(zip(h.tolist(), c.tolist())) == [(k - 500, k + 4) for k in range(1000)]
