@@ -565,6 +565,8 @@ def test_pipeline_drops_whole_copies(spark):
 
 
 def test_frequent_shingles_reach_the_driver_as_bytes(spark):
+    import numpy as np
+
     from quarrylake.llm import jaccard_join
 
     rows = spark.range(1000).selectExpr("id - 500 AS h", "id + 4 AS c").repartition(2).mapInArrow(jaccard_join._packed_counts, "h binary, c binary").collect()
