@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrylake.functions.text import hash_offset
 from quarrylake.operators.ordering import ordered_index, running_max
+from quarrylake.operators.storage import cut
 
 
 def epoch_sample(records: DataFrame, epoch: int, cap: int = 3, near_cap: int | None = None) -> DataFrame:
@@ -145,8 +146,11 @@ def moving_average(series: DataFrame, key: str, order: str, value: str, keep: fl
             at = keep**k * (at + t)
         return chunks[[key, "_c"]].assign(_g=given)
 
-    # a row a chunk
-    given = last.groupBy(key).applyInPandas(passed_on, f"{key} {r.schema[key].dataType.simpleString()}, _c long, _g double")
+    # a row a chunk; only a series that crosses the end of a chunk has several, so there are no more of these than chunks
+    last = cut(last.withColumn("_many", F.count("*").over(W.partitionBy(key))))
+    several = last.where("_many > 1").drop("_many").repartition(series.sparkSession.sparkContext.defaultParallelism, key)
+    given = several.groupBy(key).applyInPandas(passed_on, f"{key} {r.schema[key].dataType.simpleString()}, _c long, _g double")
+    given = given.unionByName(last.where("_many = 1").select(key, "_c", F.col("_v").alias("_g")))
     return r.join(given, [key, "_c"]).select(key, order, value, (F.pow(F.lit(keep), F.col("_n")) * (F.col("_g") + F.col("_s"))).alias("ema"))
 
 

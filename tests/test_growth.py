@@ -115,3 +115,16 @@ def test_rows_of_few_parts_are_dealt_out(spark, monkeypatch):
     tokens = spark.range(100).coalesce(1).select(F.lit("r").alias("id"), F.col("id").cast("int").alias("begin"), (F.col("id") + 2).cast("int").alias("end"))
     plan = A.token_weights(tokens, spark.createDataFrame([("r", "a b. c d.")], "id string, text string"), 0.2, 2.0)._jdf.queryExecution().executedPlan().toString()
     assert ", 10), REPARTITION_BY_NUM" in plan
+
+
+def test_only_series_of_several_chunks_are_folded(spark):
+    rows = [(u, k, float((u * 7 + k * 3) % 11)) for u, n in enumerate([1, 2, 200, 3, 500, 66, 1] + [1] * 90) for k in range(n)]
+    series = spark.createDataFrame(rows, "u long, k long, v double").repartition(5)
+    found = sampling.moving_average(series, "u", "k", "v", keep=0.001)  # chunks of 66 rows
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "_many" in plan and "Union" in plan
+    last, expected = {}, {}
+    for u, k, v in rows:
+        last[u] = expected[u, k] = 0.001 * last[u] + 0.999 * v if u in last else v
+    got = {(r.u, r.k): r.ema for r in found.collect()}
+    assert got.keys() == expected.keys() and all(abs(got[x] - expected[x]) < 1e-9 for x in expected)
