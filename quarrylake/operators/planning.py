@@ -83,10 +83,11 @@ def mirrored_mean(predictions: DataFrame, sizes: dict[str, int], axes: list[str]
     """(case_id, c, z, y, x, v): the mean over predictions of an image and of all its mirror images.
 
     predictions: (case_id, flip, c, z, y, x, v), flip names the mirrored axes joined by commas ("" for none), places as predicted.
-    A place with an infinite or undefined value raises.
+    A place with an infinite or undefined value raises. Predictions that are dealt out by case_id and an axis that is not
+    mirrored (or several) are not shuffled again.
     """
     wanted = [",".join(c) for k in range(len(axes) + 1) for c in combinations(axes, k)]
-    back = {a: F.when(F.array_contains(F.split("flip", ","), a), F.lit(n - 1) - F.col(a)).otherwise(F.col(a)) for a, n in sizes.items()}
+    back = {a: F.when(F.array_contains(F.split("flip", ","), a), F.lit(sizes[a] - 1) - F.col(a)).otherwise(F.col(a)) for a in axes}
     p = predictions.where(F.col("flip").isin(*wanted)).withColumns(back).groupBy("case_id", "c", "z", "y", "x").agg(F.avg("v").alias("v"))
     odd = F.isnan("v") | (F.abs("v") == float("inf"))
     return p.withColumn("v", F.when(odd, F.raise_error(F.lit("a prediction is not finite"))).otherwise(F.col("v")))

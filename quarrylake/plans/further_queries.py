@@ -13,7 +13,7 @@ from quarrylake.operators import sampling
 from quarrylake.operators import segmentation as S
 from quarrylake.operators import split as SPLIT
 from quarrylake.operators import voxels as V
-from quarrylake.operators.storage import checkpoint_folder
+from quarrylake.operators.storage import checkpoint_folder, parts_for
 from quarrylake.plans.generated import generated, with_tables
 from quarrylake.sources import files as S_FILES
 from quarrylake.sources import tables as S_TABLES
@@ -251,10 +251,16 @@ def a31n(spark, d):
     return P.normalization(c, F.col("p_retailprice") / 2000).select("p_partkey", "scheme", "use_mask")
 
 
+#: Places of volumes in a part.
+PLACES = 100_000
+
+
 @query("a39_mirrored_mean", """WITH v AS (SELECT case_id, z, y, x, max(v) v FROM gen_voxels WHERE z BETWEEN 0 AND 7 GROUP BY 1, 2, 3, 4), m AS (SELECT case_id, z, y, x, v FROM v UNION ALL SELECT case_id, 7 - z, y, x, v + 1 FROM v UNION ALL SELECT case_id, z, 63 - y, x, v + 2 FROM v UNION ALL SELECT case_id, 7 - z, 63 - y, x, v + 3 FROM v)
 SELECT case_id, z, y, x, round(avg(v), 7) AS v FROM m GROUP BY 1, 2, 3, 4""", "gen_voxels")
 def a39(spark, d):
-    v = generated(spark, d, "gen_voxels").where("z BETWEEN 0 AND 7").groupBy("case_id", "z", "y", "x").agg(F.max("v").alias("v"))
+    v = generated(spark, d, "gen_voxels").where("z BETWEEN 0 AND 7").select("case_id", "z", "y", "x", "v")
+    # mirror images of a place keep its case and x, so all is found where the places are dealt out to
+    v = v.repartition(parts_for(v, PLACES), "case_id", "x").groupBy("case_id", "z", "y", "x").agg(F.max("v").alias("v"))
     flips = F.explode(F.array(*(F.struct(F.lit(f).alias("flip"), F.lit(float(k)).alias("more")) for k, f in enumerate(("", "z", "y", "z,y")))))
     # what is predicted at a place of a mirrored image shows there
     p = v.select("case_id", flips.alias("f"), F.lit(0).alias("c"), "z", "y", "x", "v").select("case_id", "f.flip", "c", "z", "y", "x", (F.col("v") + F.col("f.more")).alias("v"))

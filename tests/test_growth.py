@@ -128,3 +128,12 @@ def test_only_series_of_several_chunks_are_folded(spark):
         last[u] = expected[u, k] = 0.001 * last[u] + 0.999 * v if u in last else v
     got = {(r.u, r.k): r.ema for r in found.collect()}
     assert got.keys() == expected.keys() and all(abs(got[x] - expected[x]) < 1e-9 for x in expected)
+
+
+def test_mirror_images_are_shuffled_once(spark, tmp_path, monkeypatch):
+    from quarrylake.plans import further_queries as Q
+
+    monkeypatch.setattr(Q, "PLACES", 10, raising=False)
+    spark.range(700).selectExpr("id % 300 AS l_orderkey", "id AS l_partkey", "id % 40 AS l_suppkey", "int(id % 7 + 1) AS l_linenumber", "double(id % 50) AS l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = Q.Q["a39_mirrored_mean"][0](spark, str(tmp_path))
+    assert shuffles(found) == 1 and ", 70), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
