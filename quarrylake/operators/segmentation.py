@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylake.operators.ordering import ordered_index
-from quarrylake.operators.storage import broadcast_if_small
+from quarrylake.operators.storage import broadcast_if_small, parts_for
 
 
 def align(reference: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -162,21 +162,103 @@ def adopt_postprocessing(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.agg((F.coalesce(F.avg("a") > F.avg("b"), F.lit(False)) & (F.count_if(F.col("a") < F.col("b")) == 0)).alias("adopt"))
 
 
+#: Places of a tile along the axes, and voxels in a part.
+TILE, VOXELS = {"z": 64, "y": 64, "x": 256}, 500_000
+
+
+def _roots(at: dict):
+    """The order of a tile's voxels by (z, y, x), and for each in that order the first voxel of its face-connected component."""
+    import numpy as np
+
+    order = np.lexsort((at["x"], at["y"], at["z"]))
+    z, y, x = (at[a][order] - at[a].min() for a in "zyx")
+    # one place more along an axis, so that ends of lines are no neighbours
+    wide, plane = TILE["x"] + 1, (TILE["x"] + 1) * (TILE["y"] + 1)
+    code = z * plane + y * wide + x
+    first, second = [], []
+    for step in (1, wide, plane):
+        to = np.minimum(np.searchsorted(code, code + step), len(code) - 1)
+        mine = np.flatnonzero(code[to] == code + step)
+        first.append(mine)
+        second.append(to[mine])
+    i, j, root = np.concatenate(first), np.concatenate(second), np.arange(len(code))
+    while len(i):
+        lo, hi = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+        np.minimum.at(root, hi, lo)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+    return order, root
+
+
+def _in_tiles(voxels: DataFrame, only: DataFrame | None, brief: bool) -> DataFrame:
+    """(case_id, rz, ry, rx, n, z, y, x): each voxel with the first one of its component inside its tile.
+
+    brief: instead, of each tile the voxels on its faces, and with their sizes n (and no place) the components that reach a
+    face and the largest one that does not. only: (case_id, _z, _y, _x), the tiles to be looked at.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    kind, tiles = dict(voxels.dtypes)["case_id"], ["case_id", "_z", "_y", "_x"]
+    v = voxels.select("case_id", *(F.col(a).cast("long").alias(a) for a in "zyx"), *(F.floor(F.col(a) / TILE[a]).cast("long").alias(f"_{a}") for a in "zyx"))
+    if only is not None:
+        v = v.join(broadcast_if_small(only), tiles, "left_semi")
+    tile = TILE
+
+    def found(table):
+        at = {a: table.column(a).to_numpy() for a in "zyx"}
+        order, root = _roots(at)
+        at = {a: x[order] for a, x in at.items()}
+        if not brief:
+            whose, n, places = root, pa.nulls(len(root), pa.int64()), {a: pa.array(x) for a, x in at.items()}
+        else:
+            face = np.zeros(len(root), bool)
+            for a, x in at.items():
+                face |= (x % tile[a] == 0) | (x % tile[a] == tile[a] - 1)
+            size = np.bincount(root, minlength=len(root))
+            open_ = np.zeros(len(root), bool)
+            open_[root[face]] = True
+            inside = np.where(open_, 0, size)
+            if inside.max() > 0:
+                open_[inside.argmax()] = True
+            own = np.flatnonzero(open_)
+            on = np.flatnonzero(face)
+            whose = np.concatenate([own, root[on]])
+            n = pa.concat_arrays([pa.array(size[own].astype("int64")), pa.nulls(len(on), pa.int64())])
+            places = {a: pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(x[on])]) for a, x in at.items()}
+        case = pa.array(table.column("case_id").slice(0, 1).to_pylist() * len(whose), table.schema.field("case_id").type)
+        return pa.Table.from_arrays([case, *(pa.array(at[a][whose]) for a in "zyx"), n, *(places[a] for a in "zyx")], names=["case_id", "rz", "ry", "rx", "n", "z", "y", "x"])
+
+    out = f"case_id {kind}, rz long, ry long, rx long, n long, z long, y long, x long"
+    return v.repartition(parts_for(v, VOXELS), *tiles).distinct().groupBy(*tiles).applyInArrow(lambda table: found(table), out)
+
+
 def largest_component(voxels: DataFrame) -> DataFrame:
-    """Of foreground voxels (case_id, z, y, x) those of each case's largest face-connected component."""
+    """Of foreground voxels (case_id, z, y, x) those of each case's largest face-connected component.
+
+    Components are found inside tiles; only those that reach a face of their tile are links of a graph, and only tiles of the
+    largest components are gone through again for their voxels.
+    """
     from quarrylake.operators.components import connected_components
     from quarrylake.operators.storage import cut
 
-    key = F.concat_ws(":", "case_id", F.lpad("z", 9, "0"), F.lpad("y", 9, "0"), F.lpad("x", 9, "0"))
-    v = cut(voxels.select("case_id", "z", "y", "x").distinct().withColumn("node", key))
-    steps = F.array(*(F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx")) for a, b, c in ((1, 0, 0), (0, 1, 0), (0, 0, 1))))
-    to = v.select("case_id", F.col("node").alias("a"), F.explode(steps).alias("s"), "z", "y", "x")
-    to = to.select("case_id", "a", (F.col("z") + F.col("s.dz")).alias("z"), (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
-    edges = to.join(v, ["case_id", "z", "y", "x"]).select("a", F.col("node").alias("b"))
-    c = v.join(connected_components(edges, cut), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = c.groupBy("case_id", "component").agg(F.count("*").alias("n"))
+    node = F.concat_ws(":", "case_id", *(F.lpad(F.col(f"r{a}").cast("string"), 9, "0") for a in "zyx"))
+    brief = cut(_in_tiles(voxels, None, True).withColumn("node", node))
+    face = brief.where("n IS NULL").select("case_id", "z", "y", "x", "node")
+    steps = [F.when(F.pmod(F.col(a), F.lit(TILE[a])) == TILE[a] - 1, F.struct(*((F.col(b) + int(a == b)).alias(b) for b in "zyx"))) for a in "zyx"]
+    to = face.select("case_id", F.col("node").alias("a"), F.explode(F.array_compact(F.array(*steps))).alias("s")).select("case_id", "a", "s.*")
+    edges = cut(to.join(face, ["case_id", "z", "y", "x"]).select("a", F.col("node").alias("b")).distinct())
+    joined = connected_components(edges, cut)
+    part = brief.where("n IS NOT NULL").join(broadcast_if_small(joined), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = part.groupBy("case_id", "component").agg(F.sum("n").alias("n"))
     best = sizes.groupBy("case_id").agg(F.min_by("component", F.struct((-F.col("n")).alias("a"), F.col("component").alias("b"))).alias("component"))
-    return c.join(best, ["case_id", "component"], "left_semi").select("case_id", "z", "y", "x")
+    own = cut(part.join(best, ["case_id", "component"], "left_semi").select("case_id", "rz", "ry", "rx"))
+    tiles = own.select("case_id", *(F.floor(F.col(f"r{a}") / TILE[a]).cast("long").alias(f"_{a}") for a in "zyx")).distinct()
+    found = _in_tiles(voxels, tiles, False).join(broadcast_if_small(own), ["case_id", "rz", "ry", "rx"], "left_semi")
+    kinds = dict(voxels.dtypes)
+    return found.select("case_id", *(F.col(a).cast(kinds[a]).alias(a) for a in "zyx"))
 
 
 def foreground_slice(voxels: DataFrame) -> DataFrame:

@@ -137,3 +137,23 @@ def test_mirror_images_are_shuffled_once(spark, tmp_path, monkeypatch):
     spark.range(700).selectExpr("id % 300 AS l_orderkey", "id AS l_partkey", "id % 40 AS l_suppkey", "int(id % 7 + 1) AS l_linenumber", "double(id % 50) AS l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
     found = Q.Q["a39_mirrored_mean"][0](spark, str(tmp_path))
     assert shuffles(found) == 1 and ", 70), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_of_tiles_make_few_links(spark, monkeypatch):
+    from quarrylake.operators import components, segmentation
+
+    real, seen = components.connected_components, []
+
+    def counted(edges, *rest):
+        seen.append(edges.count())
+        return real(edges, *rest)
+
+    monkeypatch.setattr(components, "connected_components", counted)
+    snake = {("a", 63, 64, x) for x in range(-300, 300)} | {("a", z, 64, 299) for z in range(60, 140)} | {("a", 139, y, 299) for y in range(60, 140)}
+    block = {("a", z, y, x) for z in range(5) for y in range(12) for x in range(12)}  # 720 voxels, of which the snake has 758
+    other = {("b", 0, 0, 255), ("b", 0, 0, 256), ("b", 7, 7, 7), ("b", 7, 8, 8), ("b", 30, 63, 2), ("b", 30, 64, 2)}
+    rows = [*snake, *block, *other, *list(snake)[:50]]
+    found = segmentation.largest_component(spark.createDataFrame(rows, "case_id string, z int, y int, x int"))
+    assert dict(found.dtypes)["x"] == "int"
+    assert sorted(map(tuple, found.collect())) == sorted([*snake, ("b", 0, 0, 255), ("b", 0, 0, 256)])
+    assert seen and sum(seen) < 200
