@@ -46,9 +46,9 @@ def shingle_hashes(normal: Column, size: int = 5) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays without repeats; 1 if both are empty."""
-    both = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - both
-    return F.when(union == 0, 1.0).otherwise(both / union)
+    both, sizes = F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)
+    # not in a branch, so that both is found once a row
+    return F.coalesce(F.try_divide(both, sizes - both), F.when(sizes == 0, 1.0))
 
 
 def clauses(text: Column) -> Column:

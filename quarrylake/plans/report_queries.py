@@ -49,8 +49,7 @@ i AS (SELECT a.doc_id, count(*) i FROM s a JOIN s b ON b.doc_id = a.doc_id + 1 A
 SELECT a.doc_id, CAST(coalesce(i, 0) AS DOUBLE) / (a.c + b.c - coalesce(i, 0)) AS jaccard FROM k a JOIN k b ON b.doc_id = a.doc_id + 1 LEFT JOIN i ON i.doc_id = a.doc_id""")
 def p3(spark, d):
     s = docs(spark, d).select("doc_id", T.shingle_hashes(T.normalize_report(F.col("text"))).alias("s"))
-    n = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t"))
-    return s.join(n, "doc_id").select("doc_id", T.jaccard(F.col("s"), F.col("t")).alias("jaccard"))
+    return dedup.followed(s, "doc_id", "s").select("doc_id", T.jaccard(F.col("s"), F.col("next")).alias("jaccard"))
 
 
 @query("p4_clauses", "SELECT rid, c AS clause, ord::BIGINT AS ord FROM (SELECT rid, unnest(l) c, unnest(range(1, len(l) + 1)) ord FROM (SELECT rid, list_filter(string_split_regex(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') l FROM gen_reports))", REPORTS)

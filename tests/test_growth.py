@@ -157,3 +157,13 @@ def test_components_of_tiles_make_few_links(spark, monkeypatch):
     assert dict(found.dtypes)["x"] == "int"
     assert sorted(map(tuple, found.collect())) == sorted([*snake, ("b", 0, 0, 255), ("b", 0, 0, 256)])
     assert seen and sum(seen) < 200
+
+
+def test_next_rows_are_found_in_one_shuffle(spark):
+    from quarrylake.operators import dedup
+
+    rows = [(k, [k * 10]) for k in (-65, -64, -1, 0, 1, 2, 5, 62, 63, 64, 65, 127, 128, 130)] + [(5, [51]), (6, [60]), (6, [61]), (None, [7])]
+    found = dedup.followed(spark.createDataFrame(rows, "k long, s array<long>"), "k", "s")
+    assert shuffles(found) == 1
+    pairs = sorted((a, s, t) for a, s in rows for b, t in rows if a is not None and b is not None and b == a + 1)
+    assert sorted((r.k, r.s, r.next) for r in found.collect()) == pairs
