@@ -24,13 +24,17 @@ def strip(text: Column) -> Column:
 
 def normalize_report(text: Column) -> Column:
     """Lower-case alphanumeric runs joined by one blank; EMPTY if there is none."""
-    joined = F.array_join(F.regexp_extract_all(F.lower(text), F.lit(L.WORD), F.lit(0)), " ")
-    return F.when(joined == "", EMPTY).otherwise(joined)
+    low = F.lower(text)
+    # one replacement a row: an array of words joined again, also compared with "", would be made twice
+    return F.when(low.rlike(L.WORD), F.trim(F.regexp_replace(low, L.NO_WORD, " "))).when(low.isNotNull(), EMPTY)
 
 
 def grams(words: Column, n: int) -> Column:
     """Runs of n words joined by blanks; words must have n at least. (slice() would copy all words for each run.)"""
-    return F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.concat_ws(" ", *(F.get(words, i + k) for k in range(n))))
+    def one(i):
+        return F.concat(F.get(words, i), *(x for k in range(1, n) for x in (F.lit(" "), F.get(words, i + k))))
+
+    return F.transform(F.sequence(F.lit(0), F.size(words) - n), one)
 
 
 def shingles(normal: Column, size: int = 5) -> Column:

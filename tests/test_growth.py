@@ -167,3 +167,17 @@ def test_next_rows_are_found_in_one_shuffle(spark):
     assert shuffles(found) == 1
     pairs = sorted((a, s, t) for a, s in rows for b, t in rows if a is not None and b is not None and b == a + 1)
     assert sorted((r.k, r.s, r.next) for r in found.collect()) == pairs
+
+
+def test_texts_are_normalised_by_one_replacement(spark):
+    from quarrylake.functions import text as T
+
+    cases = {None: None, "": T.EMPTY, " -- ": T.EMPTY, "A": "a", "  Tooth 4.6,\nis MISSING!": "tooth 4 6 is missing", "ÄbİcK9": "b i ck9", "a_b": "a b"}
+    t = spark.createDataFrame([(x,) for x in cases], "t string").select("t", T.normalize_report(F.col("t")).alias("n"))
+    got = {r.t: r.n for r in t.collect()}
+    old = {r.t: r.n for r in t.select("t", F.array_join(F.regexp_extract_all(F.lower("t"), F.lit("[a-z0-9]+"), F.lit(0)), " ").alias("n")).collect()}
+    assert got == {x: None if x is None else old[x] or T.EMPTY for x in cases} and got["  Tooth 4.6,\nis MISSING!"] == "tooth 4 6 is missing"
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and "regexp_extract_all" not in plan
+    sets = spark.createDataFrame([([1, 2, 3], [2, 3, 4, 5]), ([], []), ([1], []), (None, [1])], "a array<long>, b array<long>")
+    assert [r[0] for r in sets.select(T.jaccard(F.col("a"), F.col("b"))).collect()] == [2 / 5, 1.0, 0.0, None]
