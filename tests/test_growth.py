@@ -181,3 +181,19 @@ def test_texts_are_normalised_by_one_replacement(spark):
     assert plan.count("regexp_replace(") == 1 and "regexp_extract_all" not in plan
     sets = spark.createDataFrame([([1, 2, 3], [2, 3, 4, 5]), ([], []), ([1], []), (None, [1])], "a array<long>, b array<long>")
     assert [r[0] for r in sets.select(T.jaccard(F.col("a"), F.col("b"))).collect()] == [2 / 5, 1.0, 0.0, None]
+
+
+def test_copies_make_no_links(spark, monkeypatch):
+    from quarrylake.operators import dedup
+
+    real, seen = dedup.connected_components, []
+
+    def counted(edges, *rest):
+        seen.append(edges.count())
+        return real(edges, *rest)
+
+    monkeypatch.setattr(dedup, "connected_components", counted)
+    reports = spark.range(1200).selectExpr("concat('i', lpad(id, 4, '0')) AS id", "concat('only one of three words ', id % 3, 'x') AS text")
+    got = dedup.duplicate_groups(reports).groupBy("duplicate_group", "template_group").count().collect()
+    assert sorted(map(tuple, got)) == [(f"i000{k}", f"i000{k}", 400) for k in range(3)]
+    assert sum(seen) < 10
