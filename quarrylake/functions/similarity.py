@@ -30,12 +30,12 @@ def corpus_bleu(pairs: DataFrame, order: int = 4, epsilon: float = 0.1) -> DataF
     size = p.agg(F.sum(F.size("h")).alias("c"), F.sum(closest).alias("r"))
     # every order has a row also where no text is long enough
     total = p.select(F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.greatest(F.size("h") - n + 1, F.lit(0)).alias("t")) for n in range(1, order + 1)))).alias("x")).groupBy("x.n").agg(F.sum("x.t").alias("t"))
-    grams = F.array(*(F.struct(F.lit(n).alias("n"), _grams(F.col("h"), n).alias("g")) for n in range(1, order + 1)))
-    h = p.select("case_id", F.explode(grams).alias("x")).select("case_id", "x.n", F.explode("x.g").alias("g")).groupBy("case_id", "n", "g").agg(F.count("*").alias("k"))
-    one = p.select("case_id", F.posexplode("r").alias("i", "w"))
-    ref = one.select("case_id", "i", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), _grams(F.col("w"), n).alias("g")) for n in range(1, order + 1)))).alias("x"))
-    ref = ref.select("case_id", "i", "x.n", F.explode("x.g").alias("g")).groupBy("case_id", "i", "n", "g").agg(F.count("*").alias("k")).groupBy("case_id", "n", "g").agg(F.max("k").alias("most"))
-    hit = h.join(ref, ["case_id", "n", "g"]).groupBy("n").agg(F.sum(F.least("k", "most")).alias("m"))
+    # prediction (0) and references are counted by one grouping: a join's sides are estimated by the size of the input files, so it would broadcast all n-grams
+    texts = p.where("case_id IS NOT NULL").select("case_id", F.posexplode(F.concat(F.array("h"), "r")).alias("i", "w"))
+    grams = texts.select("case_id", "i", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), _grams(F.col("w"), n).alias("g")) for n in range(1, order + 1)))).alias("x"))
+    each = grams.select("case_id", "i", "x.n", F.explode("x.g").alias("g")).groupBy("case_id", "i", "n", "g").agg(F.count("*").alias("c"))
+    both = each.groupBy("case_id", "n", "g").agg(F.max(F.when(F.col("i") == 0, F.col("c"))).alias("k"), F.max(F.when(F.col("i") > 0, F.col("c"))).alias("most"))
+    hit = both.where("k IS NOT NULL AND most IS NOT NULL").groupBy("n").agg(F.sum(F.least("k", "most")).alias("m"))
     rows = total.join(hit, "n", "left").select("n", F.greatest("t", F.lit(1)).alias("t"), F.coalesce("m", F.lit(0)).alias("m"))
     log = rows.agg(F.avg(F.log(F.when(F.col("m") == 0, F.lit(epsilon)).otherwise(F.col("m")) / F.col("t"))).alias("l"), F.max(F.when(F.col("n") == 1, F.col("m"))).alias("m1"))
     penalty = F.when(F.col("c") > F.col("r"), 1.0).when(F.col("c") > 0, F.exp(1 - F.col("r") / F.col("c"))).otherwise(0.0)
