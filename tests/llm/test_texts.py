@@ -299,6 +299,21 @@ def test_jaccard_join(spark, monkeypatch, small):
     assert jaccard_join.near_duplicate_classes(table(spark, [])).count() == 0
 
 
+def test_jaccard_join_shuffles_no_texts(spark, monkeypatch):
+    plans, before, kept = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), jaccard_join.stored
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 1)  # as where more than 100,000 sets are left
+    monkeypatch.setattr(jaccard_join, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a = "a b c d e f g h i j k l m n o p"
+        rows = [(None, a), (0, "zero " + a + " q"), (0, "other words than those of all the rest"), (5, a + " q"), (6, a + " q"), (7, "x y")]
+        sets = jaccard_join.possible_sets(spark.createDataFrame(rows, "doc_id long, text string"))[1].collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(r.n for r in sets) == [12, 13, 14]
+    assert not [x for p in plans for x in p.splitlines() if "SortMergeJoin" in x and "doc_id" in x]
+
+
 def test_jaccard_join_of_odd_ids(spark):
     a, b, c = "a b c d e f g h", "p q r s t u v w", "x y"
     rows = [(None, a), (None, None), (7, a), (7, b), (7, None), (3, b), (1 << 60, c), ((1 << 60) + 1, c)]
